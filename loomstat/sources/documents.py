@@ -33,10 +33,14 @@ def hashtags(tweets: DataFrame) -> DataFrame:
 
 
 def read_whole_files(spark: SparkSession, path) -> DataFrame:
-    """One ``(name, text)`` row per file."""
+    """One ``(folder, name, text)`` row per file."""
     files = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return files.select(name.alias("name"), F.col("value").alias("text"))
+    full = F.input_file_name()
+    return files.select(
+        F.regexp_extract(full, r"^(.*)/[^/]+$", 1).alias("folder"),
+        F.regexp_extract(full, r"([^/]+)$", 1).alias("name"),
+        F.col("value").alias("text"),
+    )
 
 
 def read_categories(spark: SparkSession, root: str) -> DataFrame:

@@ -144,5 +144,6 @@ def json_points(df: DataFrame, ts: str, metric: str, value: str) -> DataFrame:
 
     Points stay one per row, so a long series never sits in one record.
     """
-    point = F.to_json(F.array(F.col(value), F.unix_seconds(F.col(ts).cast("timestamp")).cast("double")))
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp")).cast("string")
+    point = F.concat(F.lit("["), F.col(value).cast("string"), F.lit(","), seconds, F.lit("]"))
     return df.where(~F.isnan(value)).select(metric, ts, point.alias("datapoint"))
