@@ -79,7 +79,7 @@ def regex_matches(
     )
     found = F.lit(True)
     for column, pattern in tests:
-        hit = left[column].cast("string").rlike(F.concat(F.lit("(?i)"), right[pattern]))
+        hit = F.rlike(left[column].cast("string"), F.concat(F.lit("(?i)"), right[pattern]))
         found = found & F.coalesce(hit, right[pattern].isNull())
     same = (left["_chunk"] == right["_chunk"]) & (left["_slice"] == right["_slice"])
     return left.join(right, same & found).drop("_chunk", "_slice")
@@ -94,7 +94,7 @@ def touching(events: DataFrame, start: Column, end: Column, host: Column | None
     s, e = F.col("start_ts"), F.col("end_ts")
     inside = F.when(e.isNull(), (s >= start) & (s <= end)).otherwise((e >= start) & (s <= end))
     if host is not None:
-        inside = inside & host.rlike(F.col("host_regex"))
+        inside = inside & F.rlike(host, F.col("host_regex"))
     return events.where(inside).withColumns(
         {"clip_start": F.greatest(s, start), "clip_end": F.least(e, end), "starts_inside": s >= start}
     )

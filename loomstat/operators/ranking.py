@@ -82,11 +82,11 @@ def score_rank(df: DataFrame, score: str, tie: Sequence[str], name: str = "rank"
 def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """0-based position inside each group, also when one group holds most rows."""
     placed = with_position(df, [*[F.col(k).asc() for k in keys], *order], "_at")
-    starts = placed.groupBy(*keys).agg(F.min("_at").alias("_start"))
+    starts = placed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_at").alias("_start"))
     same = F.lit(True)
     for k in keys:
-        same = same & placed[k].eqNullSafe(starts[k])
-    return placed.join(starts, same).select(*[placed[c] for c in df.columns], (F.col("_at") - F.col("_start")).alias(name))
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(starts, same).select(*df.columns, (F.col("_at") - F.col("_start")).alias(name))
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percent: float, name: str = "percentile") -> DataFrame:

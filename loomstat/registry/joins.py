@@ -1 +1,265 @@
-"""Stub."""
+"""Join queries."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from loomstat.operators import grouping as G
+from loomstat.operators import joins as J
+from loomstat.operators.pairs import pair_sums
+from loomstat.operators.ranking import with_position
+from loomstat.plans import years as Y
+from loomstat.registry.base import COUNTS, METRICS, RATINGS, metric_table, phrases, query, ratings, table, year_counts
+
+
+def _pay_sources(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.length("n_name").alias("salary"))
+    people = table(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("money"), F.nullif("c_nationkey", F.lit(3)).alias("home")
+    )
+    return {"nations": nations, "people": people}
+
+
+@query(
+    "J01_cogroup_in_order",
+    """
+    WITH rows AS (
+      SELECT n_nationkey AS nation, 0 AS source_ix, CAST(length(n_name) AS INTEGER) AS salary, NULL AS name, NULL::DOUBLE AS money FROM nation
+      UNION ALL SELECT nullif(c_nationkey, 3), 1, NULL, c_name, c_acctbal FROM customer)
+    SELECT *, row_number() OVER (ORDER BY nation NULLS FIRST, source_ix DESC, money NULLS FIRST, name) - 1 AS position FROM rows
+    """,
+)
+def cogroup_in_order(spark, d):
+    """Two sources per key: people by money first, then the nation's own row."""
+    rows, order = G.cogroup_rows(
+        _pay_sources(spark, d), ["nation"], aliases={"people": {"nation": "home"}},
+        specific_order={"people": "money, name"}, source_descending=True,
+    )
+    return with_position(rows, order)
+
+
+@query(
+    "J01_cogroup_reducer",
+    """
+    SELECT n_nationkey AS nation, count(c_name) AS people, max(CAST(length(n_name) AS BIGINT)) AS salary, round(sum(c_acctbal), 2) AS money
+    FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL
+    """,
+)
+def cogroup_reducer(spark, d):
+    sources = _pay_sources(spark, d)
+    sources["people"] = table(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("money"), F.col("c_nationkey").alias("home")
+    )
+
+    def summarise(key, batches):
+        people, money, salary = 0, 0.0, None
+        for b in batches:
+            mine = b[b["source_ix"] == 1]
+            people += len(mine)
+            money += float(mine["money"].sum())
+            found = b.loc[b["source_ix"] == 0, "salary"]
+            salary = int(found.iloc[-1]) if len(found) else salary
+        cash = round(money, 2) if people else None
+        yield pd.DataFrame({"nation": [key[0]], "people": [people], "salary": [salary], "money": [cash]})
+
+    return G.reduce_cogroups(
+        sources, ["nation"], summarise, "nation int, people long, salary long, money double",
+        aliases={"people": {"nation": "home"}}, specific_order={"people": "money"},
+    )
+
+
+URLS = """
+h AS (SELECT split_part(split_part(url, '#', 1), '?', 1) AS url, page_id AS timestamp, length(html) AS size FROM pages),
+map AS (SELECT url AS nc, regexp_replace(url, '^https?://(m\\.)?', '') AS canonical FROM h WHERE timestamp % 3 <> 0)
+""".replace("\\\\", "\\")
+
+
+@query(
+    "J02_url_resolution",
+    f"""
+    WITH {URLS}, one AS (SELECT nc, max(canonical) AS canonical FROM map GROUP BY nc)
+    SELECT h.url AS original, canonical AS url, timestamp, size FROM h LEFT JOIN one ON h.url = nc
+    """,
+)
+def url_resolution(spark, d):
+    base = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
+    hits = table(spark, d, "pages").select(base.alias("url"), F.col("page_id").alias("timestamp"), F.length("html").cast("bigint").alias("size"))
+    mapping = hits.where(F.col("timestamp") % 3 != 0).select(
+        F.col("url").alias("nc"), F.regexp_replace("url", r"^https?://(m\.)?", "").alias("canonical")
+    )
+    return J.resolve(hits, mapping, "url", "nc", "canonical", "timestamp")
+
+
+@query(
+    "J03_fan_out_with_array",
+    """
+    SELECT l_orderkey, l_linenumber, len(p.tags) AS n_tags, p.tags[1] AS first_tag
+    FROM lineitem LEFT JOIN (SELECT p_partkey, string_split(p_name, ' ') AS tags FROM part WHERE p_size < 25) p ON l_partkey = p_partkey
+    """,
+)
+def fan_out(spark, d):
+    p = table(spark, d, "part").where("p_size < 25").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = J.fan_out(li, p, "l_partkey", "p_partkey", ["tags"])
+    n = F.when(F.col("tags").isNotNull(), F.size("tags").cast("bigint"))
+    return rows.select("l_orderkey", "l_linenumber", n.alias("n_tags"), F.get("tags", F.lit(0)).alias("first_tag"))
+
+
+@query(
+    "J04_lookup_with_default",
+    f"""
+    WITH {COUNTS}, n AS (SELECT count(DISTINCT year) AS n FROM counts),
+    idf AS (SELECT word, ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5) AS idf FROM counts WHERE length(word) > 4 GROUP BY word)
+    SELECT year, round(sum(count * coalesce(CAST(idf AS DOUBLE), 0)), 3) AS weighted FROM counts LEFT JOIN idf USING (word) GROUP BY year
+    """,
+)
+def lookup_default(spark, d):
+    counts = year_counts(spark, d)
+    idf = Y.idf_model(counts).where(F.length("word") > 4)
+    joined = counts.join(idf, "word", "left")
+    return joined.groupBy("year").agg(F.round(F.sum(F.col("count") * F.coalesce("idf", F.lit(0.0))), 3).alias("weighted"))
+
+
+@query(
+    "J05_rows_with_totals_full_outer",
+    """
+    WITH t AS (SELECT c_nationkey AS key, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY ALL),
+    s AS (SELECT s_nationkey AS key, count(*) AS suppliers FROM supplier GROUP BY ALL)
+    SELECT key, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM t FULL JOIN s USING (key)
+    """,
+)
+def totals_outer(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("customers"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("suppliers"))
+    return J.outer_by_key(c, s, "key").na.fill(0, ["customers", "suppliers"])
+
+
+@query(
+    "J06_normalise_by_magnitude",
+    f"""
+    WITH {COUNTS}, mags AS (SELECT year, sqrt(sum(count * count)) AS mag FROM counts GROUP BY year)
+    SELECT year, count(*) AS words, round(max(count / mag), 9) AS largest FROM counts JOIN mags USING (year) GROUP BY year
+    """,
+)
+def normalise_magnitude(spark, d):
+    counts = year_counts(spark, d)
+    mags = counts.groupBy("year").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("mag"))
+    return counts.join(mags, "year").groupBy("year").agg(
+        F.count("*").alias("words"), F.round(F.max(F.col("count") / F.col("mag")), 9).alias("largest")
+    )
+
+
+@query(
+    "J07_dictionary_lookup",
+    f"""
+    WITH {COUNTS}, q AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark)
+    SELECT word AS term, count(*) AS n_years, CAST(sum(count) AS BIGINT) AS total FROM counts JOIN q ON word = term WHERE term <> '' GROUP BY ALL
+    """,
+)
+def dictionary_lookup(spark, d):
+    known = Y.phrase_terms(phrases(spark, d)).select("term").distinct()
+    counts = year_counts(spark, d).withColumnRenamed("word", "term")
+    return counts.join(known, "term").groupBy("term").agg(F.count("*").alias("n_years"), F.sum("count").alias("total"))
+
+
+@query(
+    "J08_semi_and_anti",
+    """
+    SELECT c_mktsegment, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)) AS large,
+      count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)) AS rest FROM customer GROUP BY ALL
+    """,
+)
+def semi_anti(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    keys = table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    semi = c.join(keys, "c_custkey", "left_semi").select("c_mktsegment", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    anti = c.join(keys, "c_custkey", "left_anti").select("c_mktsegment", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    return semi.unionByName(anti).groupBy("c_mktsegment").agg(F.sum("a").alias("large"), F.sum("b").alias("rest"))
+
+
+@query(
+    "J10_co_rated_pairs",
+    f"""
+    WITH {RATINGS} SELECT a.i AS a, b.i AS b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(a.x) AS DOUBLE) AS sx, CAST(sum(b.x) AS DOUBLE) AS sy,
+      sum(a.x * a.x) AS sxx, sum(b.x * b.x) AS syy, sum(a.x * b.x) AS sxy
+    FROM r a JOIN r b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2
+    """,
+)
+def co_rated(spark, d):
+    return pair_sums(ratings(spark, d), "item", "user", "rating")
+
+
+@query(
+    "J11_regex_rules",
+    f"""
+    WITH {METRICS}, rules AS (SELECT 'e-' || (n_nationkey % 10) || '-.*' || (n_nationkey % 4) || '$' AS hp,
+        CASE WHEN n_regionkey = 0 THEN NULL ELSE substr('VCPES', n_regionkey + 1, 1) || '.*[kr]' END AS mp, n_name FROM nation),
+    c AS (SELECT DISTINCT host, metric FROM m)
+    SELECT host, metric, n_name FROM c JOIN rules ON regexp_matches(host, '(?i)' || hp) AND (mp IS NULL OR regexp_matches(metric, '(?i)' || mp))
+    """,
+)
+def regex_rules(spark, d):
+    n = table(spark, d, "nation")
+    rules = n.select(
+        F.concat(F.lit("e-"), F.col("n_nationkey") % 10, F.lit("-.*"), F.col("n_nationkey") % 4, F.lit("$")).alias("hp"),
+        F.when(F.col("n_regionkey") != 0, F.concat(F.substring(F.lit("VCPES"), F.col("n_regionkey") + 1, F.lit(1)), F.lit(".*[kr]"))).alias("mp"),
+        "n_name",
+    )
+    catalog = metric_table(spark, d).select("host", "metric")
+    return J.regex_matches(catalog, rules, [("host", "hp"), ("metric", "mp")], chunk=8, spread=4).select("host", "metric", "n_name")
+
+
+EVENT_ROWS = """
+ev AS (SELECT event_id, ts AS start_ts, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts + to_hours(event_id % 48) END AS end_ts,
+         'compute-' || (user_id % 3) || '-' AS host_regex FROM events)
+"""
+
+
+def dated_events(spark, d):
+    """``events`` as spans: three of four have an end some hours later."""
+    e = table(spark, d, "events")
+    hours = F.make_dt_interval(F.lit(0), (F.col("event_id") % 48).cast("int"))
+    return e.select(
+        "event_id",
+        F.col("ts").alias("start_ts"),
+        F.when(F.col("event_id") % 4 != 0, F.col("ts") + hours).alias("end_ts"),
+        F.concat(F.lit("compute-"), F.col("user_id") % 3, F.lit("-")).alias("host_regex"),
+    )
+
+
+@query(
+    "J12_events_in_window",
+    f"""
+    WITH {EVENT_ROWS} SELECT event_id, greatest(start_ts, TIMESTAMP '2024-01-10') AS clip_start,
+      CASE WHEN end_ts IS NULL THEN TIMESTAMP '2024-01-12' ELSE least(end_ts, TIMESTAMP '2024-01-12') END AS clip_end,
+      start_ts >= TIMESTAMP '2024-01-10' AS starts_inside FROM ev
+    WHERE CASE WHEN end_ts IS NULL THEN start_ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'
+          ELSE end_ts >= TIMESTAMP '2024-01-10' AND start_ts <= TIMESTAMP '2024-01-12' END
+      AND regexp_matches('compute-1-7', host_regex)
+    """,
+)
+def events_in_window(spark, d):
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    out = J.touching(dated_events(spark, d), at("2024-01-10 00:00:00"), at("2024-01-12 00:00:00"), F.lit("compute-1-7"))
+    return out.select("event_id", "clip_start", "clip_end", "starts_inside")
+
+
+@query(
+    "J12_overlap_join",
+    f"""
+    WITH {EVENT_ROWS}, sp AS (SELECT event_id, CAST(floor(epoch(start_ts)) AS BIGINT) AS s, CAST(floor(epoch(coalesce(end_ts, start_ts))) AS BIGINT) AS e FROM ev),
+    o AS (SELECT event_id AS other, ts, CAST(floor(epoch(ts)) AS BIGINT) AS os, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS oe FROM events WHERE event_type = 'error')
+    SELECT other, count(*) AS n, max(event_id) AS newest FROM sp JOIN o ON s <= oe AND os <= e GROUP BY other
+    """,
+)
+def overlap(spark, d):
+    spans = dated_events(spark, d).select(
+        "event_id",
+        F.unix_seconds(F.col("start_ts").cast("timestamp")).alias("s"),
+        F.unix_seconds(F.coalesce("end_ts", "start_ts").cast("timestamp")).alias("e"),
+    )
+    os = F.unix_seconds(F.col("ts").cast("timestamp"))
+    errors = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("other"), os.alias("os"), (os + 600).alias("oe"))
+    pairs = J.overlap_join(spans, errors, ("s", "e"), ("os", "oe"), width=6 * 3600)
+    return pairs.groupBy("other").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
