@@ -148,6 +148,22 @@ def nearest_years(counts: DataFrame, queries: DataFrame) -> DataFrame:
     return joined.select("query_id", "year", F.sqrt(squared).alias("distance"))
 
 
+def squared_distances(counts: DataFrame, queries: DataFrame) -> DataFrame:
+    """‖q − y‖² of raw count vectors for every (query, year).
+
+    ‖q‖² + ‖y‖² − 2·q·y covers terms missing on either side without pairing
+    the two vocabularies.
+    """
+    vectors = phrase_vectors(queries)
+    f, q = F.col("count"), F.col("q")
+    years = counts.groupBy("year").agg(F.sum(f * f).alias("_yy"))
+    lengths = vectors.groupBy("query_id").agg(F.sum(q * q).alias("_qq"))
+    dots = counts.join(vectors, "word").groupBy("query_id", "year").agg(F.sum(q * f).alias("_dot"))
+    grid = _every_year(lengths.select("query_id"), years, "_yy").join(lengths, "query_id")
+    total = F.col("_qq") + F.col("_yy") - 2 * F.coalesce("_dot", F.lit(0))
+    return grid.join(dots, ["query_id", "year"], "left").select("query_id", "year", total.alias("squared"))
+
+
 def rank_years(scores: DataFrame, score: Column) -> DataFrame:
     """Rank the years of each phrase, best first; ties by year.
 

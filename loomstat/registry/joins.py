@@ -11,6 +11,7 @@ from loomstat.operators.pairs import pair_sums
 from loomstat.operators.ranking import with_position
 from loomstat.plans import years as Y
 from loomstat.registry.base import COUNTS, METRICS, RATINGS, metric_table, phrases, query, ratings, table, year_counts
+from loomstat.registry.rows import PHRASE_VECTORS
 
 
 def _pay_sources(spark, d):
@@ -178,6 +179,21 @@ def semi_anti(spark, d):
     return semi.unionByName(anti).groupBy("c_mktsegment").agg(F.sum("a").alias("large"), F.sum("b").alias("rest"))
 
 
+@query(
+    "J09_vectors_with_missing_terms",
+    f"""
+    WITH {COUNTS}, {PHRASE_VECTORS}, grid AS (SELECT DISTINCT query_id, year FROM (SELECT DISTINCT query_id FROM pv) CROSS JOIN (SELECT DISTINCT year FROM counts)),
+    q2 AS (SELECT query_id, sum(q * q) AS s FROM pv GROUP BY query_id), y2 AS (SELECT year, sum(count * count) AS s FROM counts GROUP BY year),
+    d AS (SELECT query_id, year, sum(q * count) AS s FROM pv JOIN counts USING (word) GROUP BY ALL)
+    SELECT query_id, year, CAST(q2.s + y2.s - 2 * coalesce(d.s, 0) AS BIGINT) AS squared
+    FROM grid JOIN q2 USING (query_id) JOIN y2 USING (year) LEFT JOIN d USING (query_id, year)
+    """,
+)
+def missing_terms(spark, d):
+    """Squared distance of raw count vectors; terms may be missing on either side."""
+    return Y.squared_distances(year_counts(spark, d), phrases(spark, d))
+
+
 @query(
     "J10_co_rated_pairs",
     f"""

@@ -14,6 +14,7 @@ from loomstat.plans import vectors as V
 from loomstat.plans import years as Y
 from loomstat.registry.base import AGE, COUNTS, METRICS, TOKENS, as_of, metric_table, phrases, query, table, token_rows, year_counts
 from loomstat.sources import documents as DOC
+from loomstat.sources import tables as TB
 
 
 @query("P01_without_fields", "SELECT c_custkey, c_name, c_nationkey FROM customer")
@@ -345,6 +346,30 @@ def mapper_flush(spark, d):
     return map_rows(li, LastOfTask(), "lines long").agg(F.sum("lines").alias("lines"))
 
 
+@query(
+    "F05_mappers_with_own_settings",
+    "SELECT 'order' AS kind, round(sum(o_totalprice * 0.5), 2) AS scaled FROM orders UNION ALL SELECT 'line', round(sum(l_extendedprice * 0.25), 2) FROM lineitem",
+)
+def own_settings(spark, d):
+    """Each input goes through its own mapper instance with its own setting."""
+
+    def scaled(column, kind, factor):
+        return lambda df: df.select(F.lit(kind).alias("kind"), (F.col(column) * F.lit(factor)).alias("v"))
+
+    rows = TB.gather([
+        (table(spark, d, "orders"), scaled("o_totalprice", "order", 0.5)),
+        (table(spark, d, "lineitem"), scaled("l_extendedprice", "line", 0.25)),
+    ])
+    return rows.groupBy("kind").agg(F.round(F.sum("v"), 2).alias("scaled"))
+
+
+@query("F06_scalar_function", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS level FROM orders")
+def scalar_function(spark, d):
+    """A user's scalar function as an Arrow batch function."""
+    first = F.pandas_udf(lambda s: s.str.split("-").str[0], "string")
+    return table(spark, d, "orders").select("o_orderkey", first("o_orderpriority").alias("level"))
+
+
 @query(
     "U01_union_all",
     "SELECT kind, count(*) AS n FROM (SELECT 'doc' AS kind, text FROM documents UNION ALL SELECT 'item', text FROM benchmark) GROUP BY ALL",
