@@ -65,7 +65,7 @@ def shingles(words: Column, n_max: int, n_min: int = 1) -> Column:
 
 def head_of(ngram: Column) -> Column:
     """Everything before the last blank."""
-    return F.regexp_extract(ngram, r"^(.*) [^ ]*$", 1)
+    return F.left(ngram, F.length(ngram) - F.length(tail_of(ngram)) - 1)
 
 
 def tail_of(ngram: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomstat.functions.ordering import SortKey, as_keys, check_job, sort_columns
 from loomstat.functions.schema import alias_fields
@@ -138,34 +142,74 @@ def rollup_events(
     )
 
 
-def ordered_groups(df: DataFrame, keys: Sequence[str], order: str | Sequence[SortKey]) -> DataFrame:
+def ordered_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[Column] = ()) -> DataFrame:
     """Hash-partition by key and sort inside, the layout group hooks read."""
-    columns = sort_columns(order, df.schema)
     return df.repartition(*keys).sortWithinPartitions(*[F.col(k).asc() for k in keys], *columns)
 
 
+Reducer = Callable[[tuple, Iterator[pd.DataFrame]], Iterator[tuple]]
+
+
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Cut key-sorted batches where the key changes: (key, rows) pieces."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pdf = batch.to_pandas()
+        starts = np.zeros(len(pdf), dtype=bool)
+        starts[0] = True
+        for k in keys:
+            now, before = pdf[k], pdf[k].shift()
+            starts |= ((now != before) & ~(now.isna() & before.isna())).to_numpy()
+        cuts = [*np.flatnonzero(starts).tolist(), len(pdf)]
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        for first, last in itertools.pairwise(cuts):
+            yield tuple(c[first].as_py() for c in columns), pdf.iloc[first:last]
+
+
+def _as_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Collect output tuples into Arrow batches of the declared schema."""
+    while chunk := list(itertools.islice(rows, size)):
+        columns = [pa.array(list(c), type=f.type) for c, f in zip(zip(*chunk), schema)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _reduce_sorted(rows: DataFrame, keys: Sequence[str], reducer: Reducer, schema: T.StructType | str) -> DataFrame:
+    out, keys = to_arrow_schema(_struct(schema)), list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def produced() -> Iterator[tuple]:
+            for key, group in itertools.groupby(_pieces(batches, keys), key=lambda piece: piece[0]):
+                yield from reducer(key, (frame for _, frame in group))
+
+        yield from _as_batches(produced(), out)
+
+    return rows.mapInArrow(run, _struct(schema))
+
+
 def reduce_groups(
     df: DataFrame,
     keys: Sequence[str],
-    reducer: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    reducer: Reducer,
     schema: T.StructType | str,
     order: str | Sequence[SortKey] | None = None,
     combiner: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Run a user reducer over each ordered group.
+    """Run a user reducer over each ordered group; it yields output tuples.
 
-    The group arrives as an iterator of batches, so memory stays flat however
-    long the group is. It is still one task per key: give a ``combiner``
-    (DataFrame → DataFrame pre-aggregation) when a key can be hot and the
-    reducer allows it, or use the built-in aggregates instead.
+    A task streams its key-sorted rows once, in Arrow batches shared by many
+    small groups; a long group arrives as several frames, so memory stays flat.
+    It is still one task per key: give a ``combiner`` (DataFrame → DataFrame
+    pre-aggregation) when a key can be hot and the reducer allows it, or use the
+    built-in aggregates instead.
     """
     rows = combiner(df) if combiner else df
-    rows = ordered_groups(rows, keys, order) if order is not None else rows
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from reducer(key, batches)
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    columns = sort_columns(order, df.schema) if order is not None else ()
+    return _reduce_sorted(ordered_groups(rows, keys, columns), keys, reducer, schema)
 
 
 class RowMapper:
@@ -197,15 +241,15 @@ def map_rows(df: DataFrame, mapper: RowMapper, schema: T.StructType | str) -> Da
 
 
 class RollupHooks:
-    """Callbacks of a rollup; each yields output frames. ``row`` is a dict."""
+    """Callbacks of a rollup; each yields output tuples. ``row`` is a dict."""
 
-    def on_open(self, depth: int, field: str, row: dict) -> Iterator[pd.DataFrame]:
+    def on_open(self, depth: int, field: str, row: dict) -> Iterator[tuple]:
         return iter(())
 
-    def on_element(self, row: dict) -> Iterator[pd.DataFrame]:
+    def on_element(self, row: dict) -> Iterator[tuple]:
         return iter(())
 
-    def on_close(self, depth: int, field: str, row: dict) -> Iterator[pd.DataFrame]:
+    def on_close(self, depth: int, field: str, row: dict) -> Iterator[tuple]:
         return iter(())
 
 
@@ -227,20 +271,21 @@ def rollup_hooks(
     base = prefixes(names, group_fields, rollup_from)[0]
     events = rollup_events(df, keys, group_fields, rollup_from)
     layout = events.repartition(*base).sortWithinPartitions("seq")
-    columns = df.columns
+    out, columns = to_arrow_schema(_struct(schema)), df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for record in batch.to_dict("records"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def produced() -> Iterator[tuple]:
+            for record in itertools.chain.from_iterable(batch.to_pylist() for batch in batches):
                 row = {c: record[c] for c in columns}
                 if record["event"] == "ELEMENT":
                     yield from hooks.on_element(row)
                     continue
-                depth = int(record["depth"])
                 call = hooks.on_open if record["event"] == "OPEN" else hooks.on_close
-                yield from call(depth, names[depth], row)
+                yield from call(record["depth"], names[record["depth"]], row)
+
+        yield from _as_batches(produced(), out)
 
-    return layout.mapInPandas(run, schema)
+    return layout.mapInArrow(run, _struct(schema))
 
 
 def tagged_union(sources: Mapping[str, DataFrame], source_column: str = "source_ix") -> DataFrame:
@@ -285,17 +330,8 @@ def cogroup_rows(
 
 
 def reduce_cogroups(
-    sources: Mapping[str, DataFrame],
-    group_fields: Sequence[str],
-    reducer: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
-    schema: T.StructType | str,
-    **layout,
+    sources: Mapping[str, DataFrame], group_fields: Sequence[str], reducer: Reducer, schema: T.StructType | str, **layout
 ) -> DataFrame:
     """User reducer over n co-grouped sources, streamed in the declared order."""
     rows, columns = cogroup_rows(sources, group_fields, **layout)
-    placed = rows.repartition(*group_fields).sortWithinPartitions(*[F.col(k).asc() for k in group_fields], *columns)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from reducer(key, batches)
-
-    return placed.groupBy(*group_fields).applyInPandas(run, schema)
+    return _reduce_sorted(ordered_groups(rows, group_fields, columns), group_fields, reducer, schema)

@@ -119,14 +119,16 @@ def check_one(snapshot: DataFrame, hosts: DataFrame, metric: str, operator: str,
 def _against(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
     """One row per (host, check), value null when the host lacks the metric.
 
-    The checks ride as one array value (they are a configuration list), so no
-    join without a key is needed; each host row expands to its checks.
+    The checks ride as one array value (they are a configuration list). Each
+    host keeps a map of just the checked metrics, so the snapshot is read once
+    and no host is paired with a check by a join.
     """
     as_list = checks.agg(F.collect_list(F.struct(*checks.columns)).alias("c")).scalar()
-    hosts = snapshot.select("host").distinct()
-    wanted = hosts.select("host", F.explode(as_list).alias("_c")).select("host", "_c.*")
-    values = snapshot.select(F.col("host").alias("_h"), F.col("metric").alias("_m"), "value")
-    return wanted.join(values, (F.col("host") == F.col("_h")) & (F.col("metric") == F.col("_m")), "left").drop("_h", "_m")
+    names = checks.agg(F.collect_set("metric").alias("n")).scalar()
+    checked = F.array_contains(names, F.col("metric"))
+    per_host = snapshot.groupBy("host").agg(F.collect_list(F.when(checked, F.struct("metric", "value"))).alias("_v"))
+    rows = per_host.select("host", F.map_from_entries("_v").alias("_m"), F.explode(as_list).alias("_c"))
+    return rows.select("host", "_c.*", F.try_element_at("_m", F.col("_c.metric")).alias("value"))
 
 
 def check_many(snapshot: DataFrame, checks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstat.session import ensure_checkpoints
+from loomstat.session import materialise
 
 _BITS = 33  # monotonically_increasing_id keeps the in-partition position in its low 33 bits
 
@@ -20,16 +20,16 @@ _BITS = 33  # monotonically_increasing_id keeps the in-partition position in its
 def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-sorted rows with fixed ``_part`` and ``_pos``.
 
-    The checkpoint freezes which row sits where: sampling range boundaries anew
-    after a lost executor could otherwise place rows differently in the two
+    The written table freezes which row sits where: sampling range boundaries
+    anew after a lost executor could otherwise place rows differently in the two
     passes that follow.
     """
-    ensure_checkpoints(df.sparkSession)
     mid = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select(
+    placed = ranged.select(
         "*", F.shiftright(mid, _BITS).alias("_part"), mid.bitwiseAND(F.lit((1 << _BITS) - 1)).alias("_pos")
-    ).checkpoint()
+    )
+    return materialise(placed, "placed")
 
 
 def _shifts(per_part: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _shifts(per_part: DataFrame) -> DataFrame:
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Add the 0-based position in the global order. Runs one job (checkpoint).
+    """Add the 0-based position in the global order. Runs one job.
 
     A row hash breaks ties, so rows with one sort key still spread over tasks.
     """

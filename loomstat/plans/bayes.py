@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import normalise_word, tokens
+from loomstat.session import materialise
 from loomstat.plans.vectors import analyzed_grams, document_frequencies, term_frequencies, tf_idf
 
 
@@ -45,19 +46,15 @@ def score(model: DataFrame, docs: DataFrame, doc: str, text: str, size: str = "t
     taken from the complete sums.
     """
     v = _vocabulary(model, size)
-    words = (
-        docs.select(doc, F.explode(tokens(F.col(text))).alias("_w"))
-        .select(doc, normalise_word(F.col("_w")).alias("word"))
-        .where(F.col("word") != "")
-    )
-    counted = words.groupBy(doc, "word").agg(F.count("*").alias("_m"))
-    lengths = counted.groupBy(doc).agg(F.sum("_m").alias("_len"))
+    normal = F.filter(F.transform(tokens(F.col(text)), normalise_word), lambda w: w != "")
+    words = docs.select(doc, normal.alias("_ws"))
+    # The length rides along with the words, so no second pass per document is needed.
+    exploded = words.select(doc, F.size("_ws").alias("_len"), F.explode("_ws").alias("word"))
+    counted = exploded.groupBy(doc, "_len", "word").agg(F.count("*").alias("_m"))
     totals = model.groupBy("category").agg(F.sum("count").alias("_total"))
     known = model.select("word", "category", F.ln(F.col("count") + F.lit(1)).alias("_ln"))
-    matched = (
-        counted.join(known, "word").groupBy(doc, "category").agg(F.sum(F.col("_m") * F.col("_ln")).alias("_sum"))
-    )
-    out = matched.join(lengths, doc).join(totals, "category")
+    matched = counted.join(known, "word").groupBy(doc, "_len", "category").agg(F.sum(F.col("_m") * F.col("_ln")).alias("_sum"))
+    out = matched.join(totals, "category")
     return out.select(doc, "category", (F.col("_sum") - F.col("_len") * F.ln(F.col("_total") + v)).alias("score"))
 
 
@@ -140,8 +137,11 @@ def weighted_documents(docs: DataFrame, doc: str, text: str, n_max: int = 1, kno
 def classify_documents(
     docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, n_max: int = 1, alpha: float = 1.0
 ) -> DataFrame:
-    """The whole chain: train on the labelled documents, score all of them."""
-    vectors = weighted_documents(docs, doc, text, n_max)
+    """The whole chain: train on the labelled documents, score all of them.
+
+    The vectors feed training and scoring, so they are written once.
+    """
+    vectors = materialise(weighted_documents(docs, doc, text, n_max), "vectors")
     return score_weights(weight_model(vectors, labels, doc, label), vectors, doc, alpha)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions import stats
@@ -77,18 +77,28 @@ def gram_counts(docs: DataFrame, doc: str, text: str, n_max: int = 2) -> DataFra
     return parts.join(heads, "head").join(tails, "tail").select("gram", "head", "tail", "n", "head_n", "tail_n")
 
 
-def collocations(grams: DataFrame, min_support: int = 2, min_llr: float = 1.0) -> DataFrame:
+def gram_total(docs: DataFrame, text: str, n_max: int = 2) -> Column:
+    """Number of n-grams of 2..n_max words in all documents, as a scalar.
+
+    A document of w words has w − n + 1 grams of n words, so only the words are
+    counted, not the grams.
+    """
+    w = F.size(tokens(F.col(text)))
+    per_doc = sum((F.greatest(w - (n - 1), F.lit(0)) for n in range(2, n_max + 1)), F.lit(0).cast("bigint"))
+    return docs.agg(F.sum(per_doc).alias("t")).scalar()
+
+
+def collocations(grams: DataFrame, total: Column, min_support: int = 2, min_llr: float = 1.0) -> DataFrame:
     """N-grams scored by log-likelihood ratio, weak and rare ones dropped.
 
-    The total is a scalar subquery over the counts, not an action.
+    ``total`` comes from ``gram_total``; it is a scalar subquery, not an action.
     """
-    total = grams.agg(F.sum("n").alias("t")).scalar()
     n, head, tail = F.col("n"), F.col("head_n"), F.col("tail_n")
+    frequent = grams.where(n >= min_support)
     # A three-word tail can also end two-word grams, so the rest may not go below 0.
     rest = F.greatest(total - (head + tail - n), F.lit(0))
     llr = stats.log_likelihood_ratio(n, head - n, tail - n, rest)
-    scored = grams.where(n >= min_support).withColumn("llr", llr)
-    return scored.where(F.col("llr") >= F.lit(float(min_llr))).select("gram", "n", "llr")
+    return frequent.select("gram", "n", llr.alias("llr")).where(F.col("llr") >= F.lit(float(min_llr)))
 
 
 def unigrams(docs: DataFrame, text: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstat.operators import grouping as G
@@ -11,7 +10,7 @@ from loomstat.operators import ranking as R
 from loomstat.operators import windows as W
 from loomstat.plans import vectors as V
 from loomstat.plans import years as Y
-from loomstat.registry.base import COUNTS, METRICS, TOKENS, as_of, metric_table, query, table, token_rows, year_counts
+from loomstat.registry.base import COUNTS, METRICS, TOKENS, as_of, documents, metric_table, query, table, token_rows, year_counts
 
 
 @query(
@@ -51,7 +50,7 @@ def combined_reduce(spark, d):
         n, total = 0, 0.0
         for b in batches:
             n, total = n + int(b["n"].sum()), total + float(b["total"].sum())
-        yield pd.DataFrame({"o_custkey": [key[0]], "n": [n], "total": [total]})
+        yield key[0], n, total
 
     o = table(spark, d, "orders").select("o_custkey", "o_totalprice")
     out = G.reduce_groups(o, ["o_custkey"], finish, "o_custkey long, n long, total double", combiner=combine)
@@ -196,7 +195,7 @@ def ordered_reducer(spark, d):
             ups += int((prices[1:] > prices[:-1]).sum())
             orders += len(prices)
             last = prices[-1] if len(prices) else last
-        yield pd.DataFrame({"o_custkey": [key[0]], "orders": [orders], "rises": [ups]})
+        yield key[0], orders, ups
 
     o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return G.reduce_groups(o, ["o_custkey"], rises, "o_custkey long, orders long, rises long", order="o_orderdate, o_orderkey")
@@ -213,7 +212,7 @@ def ordered_reducer(spark, d):
     """,
 )
 def collocation_counts(spark, d):
-    return V.gram_counts(table(spark, d, "documents"), "doc_id", "text", 2).where("n >= 2")
+    return V.gram_counts(documents(spark, d), "doc_id", "text", 2).where("n >= 2")
 
 
 @query(
@@ -391,9 +390,7 @@ class FlagTotals(G.RollupHooks):
 
     def on_close(self, depth, field, row):
         if field == "l_linestatus":
-            yield pd.DataFrame(
-                {"l_returnflag": [row["l_returnflag"]], "l_linestatus": [row["l_linestatus"]], "n": [self.rows], "quantity": [self.total]}
-            )
+            yield row["l_returnflag"], row["l_linestatus"], self.rows, self.total
 
 
 @query(

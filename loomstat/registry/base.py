@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstat.session import materialise, spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -61,11 +63,16 @@ def as_of(metrics: DataFrame) -> Column:
     return metrics.agg(F.max("ts").alias("t")).scalar()
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents``, spread over the cores when it comes in too few splits."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def token_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as one row per blank-separated word."""
     from loomstat.functions.text import tokens
 
-    d = table(spark, folder, "documents")
+    d = documents(spark, folder)
     return d.select("doc_id", "lang", "source", F.explode(tokens(F.col("text"))).alias("word"))
 
 
@@ -82,6 +89,11 @@ def year_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("word", "year").agg(F.count("*").alias("count"))
 
 
+def year_table(spark: SparkSession, folder: str) -> DataFrame:
+    """``year_counts`` as a model table, written once for plans that use it often."""
+    return materialise(year_counts(spark, folder), "year-counts")
+
+
 COUNTS = TOKENS + ", counts AS (SELECT word, source AS year, count(*) AS count FROM tok GROUP BY ALL)"
 
 
@@ -99,6 +111,11 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ratings_table(spark: SparkSession, folder: str) -> DataFrame:
+    """``ratings`` written once, for the recommenders read them several times."""
+    return materialise(ratings(spark, folder), "ratings")
+
+
 RATINGS = """
 r AS (SELECT o_custkey AS u, l_suppkey AS i, max(l_quantity) AS x
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstat.operators import grouping as G
@@ -10,7 +9,9 @@ from loomstat.operators import joins as J
 from loomstat.operators.pairs import pair_sums
 from loomstat.operators.ranking import with_position
 from loomstat.plans import years as Y
-from loomstat.registry.base import COUNTS, METRICS, RATINGS, metric_table, phrases, query, ratings, table, year_counts
+from loomstat.registry.base import (
+    COUNTS, METRICS, RATINGS, metric_table, phrases, query, ratings_table, table, year_counts, year_table,
+)
 from loomstat.registry.rows import PHRASE_VECTORS
 
 
@@ -61,8 +62,7 @@ def cogroup_reducer(spark, d):
             money += float(mine["money"].sum())
             found = b.loc[b["source_ix"] == 0, "salary"]
             salary = int(found.iloc[-1]) if len(found) else salary
-        cash = round(money, 2) if people else None
-        yield pd.DataFrame({"nation": [key[0]], "people": [people], "salary": [salary], "money": [cash]})
+        yield key[0], people, salary, round(money, 2) if people else None
 
     return G.reduce_cogroups(
         sources, ["nation"], summarise, "nation int, people long, salary long, money double",
@@ -116,7 +116,7 @@ def fan_out(spark, d):
     """,
 )
 def lookup_default(spark, d):
-    counts = year_counts(spark, d)
+    counts = year_table(spark, d)
     idf = Y.idf_model(counts).where(F.length("word") > 4)
     joined = counts.join(idf, "word", "left")
     return joined.groupBy("year").agg(F.round(F.sum(F.col("count") * F.coalesce("idf", F.lit(0.0))), 3).alias("weighted"))
@@ -144,7 +144,7 @@ def totals_outer(spark, d):
     """,
 )
 def normalise_magnitude(spark, d):
-    counts = year_counts(spark, d)
+    counts = year_table(spark, d)
     mags = counts.groupBy("year").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("mag"))
     return counts.join(mags, "year").groupBy("year").agg(
         F.count("*").alias("words"), F.round(F.max(F.col("count") / F.col("mag")), 9).alias("largest")
@@ -191,7 +191,7 @@ def semi_anti(spark, d):
 )
 def missing_terms(spark, d):
     """Squared distance of raw count vectors; terms may be missing on either side."""
-    return Y.squared_distances(year_counts(spark, d), phrases(spark, d))
+    return Y.squared_distances(year_table(spark, d), phrases(spark, d))
 
 
 @query(
@@ -203,7 +203,7 @@ def missing_terms(spark, d):
     """,
 )
 def co_rated(spark, d):
-    return pair_sums(ratings(spark, d), "item", "user", "rating")
+    return pair_sums(ratings_table(spark, d), "item", "user", "rating")
 
 
 @query(

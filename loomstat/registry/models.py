@@ -9,12 +9,14 @@ from loomstat.plans import bayes as B
 from loomstat.plans import recommend as REC
 from loomstat.plans import vectors as V
 from loomstat.plans import years as Y
-from loomstat.registry.base import COUNTS, RATINGS, TOKENS, phrases, query, ratings, table, token_rows, year_counts
+from loomstat.registry.base import (
+    COUNTS, RATINGS, TOKENS, documents, phrases, query, ratings_table, table, token_rows, year_counts, year_table,
+)
 from loomstat.registry.rows import ANALYZED, PHRASE_VECTORS
 
 
 def labelled(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    docs, labels = documents(spark, d), table(spark, d, "labels")
     return docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").cast("string").alias("category")), "doc_id")
 
 
@@ -45,7 +47,7 @@ best AS (SELECT doc_id, category, score FROM (
 )
 def nb_classify(spark, d):
     model = B.word_category_counts(labelled(spark, d), "text", "category")
-    return B.classify(model, table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
+    return B.classify(model, documents(spark, d), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -76,7 +78,7 @@ hit AS (SELECT query_id, word, year, count FROM counts JOIN terms ON lower(word)
     """,
 )
 def year_nb(spark, d):
-    return Y.naive_bayes(year_counts(spark, d), phrases(spark, d)).withColumn("score", F.round("score", 6))
+    return Y.naive_bayes(year_table(spark, d), phrases(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -87,7 +89,7 @@ def year_nb(spark, d):
     """,
 )
 def bm25_model(spark, d):
-    return Y.idf_model(year_counts(spark, d)).withColumn("idf", F.round("idf", 9))
+    return Y.idf_model(year_table(spark, d)).withColumn("idf", F.round("idf", 9))
 
 
 BM25 = f"""
@@ -107,7 +109,7 @@ bm AS (SELECT item_id AS query_id, t.year, coalesce(s, 0) AS score FROM benchmar
     """,
 )
 def bm25_scores(spark, d):
-    scores = Y.bm25(year_counts(spark, d), phrases(spark, d)).withColumn("score", F.round("score", 6))
+    scores = Y.bm25(year_table(spark, d), phrases(spark, d)).withColumn("score", F.round("score", 6))
     return Y.rank_years(scores, F.col("score").desc())
 
 
@@ -122,7 +124,7 @@ def bm25_scores(spark, d):
     """,
 )
 def bm25_log(spark, d):
-    scores = Y.bm25(year_counts(spark, d), phrases(spark, d), k1=1.2, b=0.5, log_idf=True)
+    scores = Y.bm25(year_table(spark, d), phrases(spark, d), k1=1.2, b=0.5, log_idf=True)
     return scores.withColumn("score", F.round("score", 6))
 
 
@@ -137,7 +139,7 @@ near AS (SELECT ql.query_id, norm.year, sqrt(greatest(2 - 2 * coalesce(dt, 0) /
 
 @query("M06_nearest_years", f"WITH {NEAREST} SELECT query_id, year, round(distance, 7) AS distance FROM near")
 def nearest(spark, d):
-    return Y.nearest_years(year_counts(spark, d), phrases(spark, d)).withColumn("distance", F.round("distance", 7))
+    return Y.nearest_years(year_table(spark, d), phrases(spark, d)).withColumn("distance", F.round("distance", 7))
 
 
 @query(
@@ -171,7 +173,7 @@ def term_frequencies(spark, d):
 def empty_vectors(spark, d):
     terms = token_rows(spark, d).withColumnRenamed("word", "term")
     vectors = V.term_frequencies(terms, "doc_id", terms.where(F.length("term") > 12).select("term").distinct())
-    return V.empty_documents(table(spark, d, "documents"), "doc_id", vectors)
+    return V.empty_documents(documents(spark, d), "doc_id", vectors)
 
 
 TFIDF = f"""
@@ -182,7 +184,7 @@ w AS (SELECT doc_id, term, sqrt(tf) * (ln((SELECT count(*) FROM documents) / (df
 
 @query("M09_tf_idf", f"WITH {TFIDF} SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM w GROUP BY doc_id")
 def tf_idf(spark, d):
-    w = B.weighted_documents(table(spark, d, "documents"), "doc_id", "text")
+    w = B.weighted_documents(documents(spark, d), "doc_id", "text")
     return w.groupBy("doc_id").agg(
         F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest")
     )
@@ -200,7 +202,7 @@ wb AS (SELECT doc_id, label AS predicted FROM (SELECT *, row_number() OVER (PART
 
 def _weighted(spark, d):
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    scores = B.classify_documents(table(spark, d, "documents"), labels, "doc_id", "text", "label")
+    scores = B.classify_documents(documents(spark, d), labels, "doc_id", "text", "label")
     return scores, labels
 
 
@@ -216,7 +218,7 @@ def weighted_scores(spark, d):
     """,
 )
 def validity(spark, d):
-    vectors = B.weighted_documents(table(spark, d, "documents"), "doc_id", "text")
+    vectors = B.weighted_documents(documents(spark, d), "doc_id", "text")
     model = B.weight_model(vectors, table(spark, d, "labels").withColumn("label", F.col("quality").cast("string")), "doc_id", "label")
     return B.validate_weights(model, 1.0).withColumn("total_weight", F.round("total_weight", 4))
 
@@ -232,7 +234,7 @@ g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unn
 def ngrams(spark, d):
     from loomstat.functions.text import shingles, tokens
 
-    words = table(spark, d, "documents").select(tokens(F.col("text")).alias("w"))
+    words = documents(spark, d).select(tokens(F.col("text")).alias("w"))
     grams = words.select(F.explode(shingles(F.col("w"), 3, 2)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
@@ -254,8 +256,9 @@ def ngrams(spark, d):
     """,
 )
 def collocations(spark, d):
-    grams = V.gram_counts(table(spark, d, "documents"), "doc_id", "text", 3)
-    return V.collocations(grams, min_support=3, min_llr=20.0).withColumn("llr", F.round("llr", 4))
+    docs = documents(spark, d)
+    grams = V.gram_counts(docs, "doc_id", "text", 3)
+    return V.collocations(grams, V.gram_total(docs, "text", 3), min_support=3, min_llr=20.0).withColumn("llr", F.round("llr", 4))
 
 
 @query(
@@ -263,7 +266,7 @@ def collocations(spark, d):
     f"WITH {TOKENS} SELECT word AS gram, count(*) AS n FROM tok GROUP BY word",
 )
 def unigram_counts(spark, d):
-    return V.unigrams(table(spark, d, "documents"), "text")
+    return V.unigrams(documents(spark, d), "text")
 
 
 @query("M14_document_classifier", f"WITH {WEIGHTED} SELECT doc_id, predicted FROM wb")
@@ -284,7 +287,7 @@ def document_classifier(spark, d):
     """,
 )
 def all_scorers(spark, d):
-    return Y.analyse(year_counts(spark, d), phrases(spark, d)).withColumn("score", F.round("score", 6))
+    return Y.analyse(year_table(spark, d), phrases(spark, d)).withColumn("score", F.round("score", 6))
 
 
 SIMILAR = f"""
@@ -297,7 +300,7 @@ sim AS (SELECT a, b, CAST(n AS BIGINT) AS n, (n * sxy - sx * sy) / (sqrt(n * sxx
 
 @query("M16_user_similarity", f"WITH {SIMILAR} SELECT a, b, n, round(similarity, 8) AS similarity FROM sim WHERE n >= 10")
 def user_similarity(spark, d):
-    pairs = REC.user_similarity(ratings(spark, d)).where("n >= 10")
+    pairs = REC.user_similarity(ratings_table(spark, d)).where("n >= 10")
     return pairs.withColumn("similarity", F.round("similarity", 8))
 
 
@@ -310,13 +313,13 @@ NEAR = f"""
 
 @query("M17_threshold_neighbourhood", f"WITH {BOTH} SELECT of, count(*) AS n, round(min(similarity), 8) AS lowest FROM bw WHERE similarity >= 0.1 GROUP BY of")
 def threshold_near(spark, d):
-    near = REC.near_threshold(REC.user_similarity(ratings(spark, d)), 0.1)
+    near = REC.near_threshold(REC.user_similarity(ratings_table(spark, d)), 0.1)
     return near.groupBy("of").agg(F.count("*").alias("n"), F.round(F.min("similarity"), 8).alias("lowest"))
 
 
 @query("M17_nearest_neighbourhood", f"WITH {NEAR} SELECT of, other, round(similarity, 8) AS similarity FROM nn")
 def nearest_near(spark, d):
-    return REC.near_n(REC.user_similarity(ratings(spark, d)), 75).withColumn("similarity", F.round("similarity", 8))
+    return REC.near_n(REC.user_similarity(ratings_table(spark, d)), 75).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(
@@ -329,7 +332,7 @@ def nearest_near(spark, d):
     """,
 )
 def user_recommendations(spark, d):
-    r = ratings(spark, d)
+    r = ratings_table(spark, d)
     out = REC.recommend(REC.near_n(REC.user_similarity(r), 75), r, 3)
     return out.select("user", "item", F.round("estimate", 6).alias("estimate"), "rank")
 
@@ -350,7 +353,7 @@ isim AS (SELECT a, b, n, 1 - 1 / (1 + g) AS similarity FROM llr)
 
 @query("M19_item_similarity", f"WITH {ITEMS} SELECT a, b, n, round(similarity, 7) AS similarity FROM isim")
 def item_similarity(spark, d):
-    return REC.item_similarity(ratings(spark, d)).withColumn("similarity", F.round("similarity", 7))
+    return REC.item_similarity(ratings_table(spark, d)).withColumn("similarity", F.round("similarity", 7))
 
 
 @query(
@@ -364,7 +367,7 @@ def item_similarity(spark, d):
     """,
 )
 def item_recommendations(spark, d):
-    r = ratings(spark, d)
+    r = ratings_table(spark, d)
     out = REC.recommend_by_items(r, REC.item_similarity(r), 2)
     return out.select("user", "item", F.round("estimate", 6).alias("estimate"), "rank")
 
@@ -372,7 +375,7 @@ def item_recommendations(spark, d):
 @query("M20_recommender_error")
 def recommender_error(spark, d):
     """Hold-out error of two trials. The split is by Spark's row hash, so there is no SQL twin."""
-    return REC.evaluate(ratings(spark, d), seeds=(0, 1))
+    return REC.evaluate(ratings_table(spark, d), seeds=(0, 1))
 
 
 @query(
@@ -389,7 +392,7 @@ def recommender_error(spark, d):
     """,
 )
 def hold_out(spark, d):
-    r = ratings(spark, d)
+    r = ratings_table(spark, d)
     held = (F.col("user") * 7 + F.col("item") * 3) % 10 == 0
     out = REC.holdout_error(r.where(~held), r.where(held), 0.1)
     return out.withColumn("mae", F.round("mae", 6))

@@ -12,7 +12,7 @@ from loomstat.operators import metrics as M
 from loomstat.operators.grouping import RowMapper, map_rows
 from loomstat.plans import vectors as V
 from loomstat.plans import years as Y
-from loomstat.registry.base import AGE, COUNTS, METRICS, TOKENS, as_of, metric_table, phrases, query, table, token_rows, year_counts
+from loomstat.registry.base import AGE, COUNTS, METRICS, TOKENS, as_of, documents, metric_table, phrases, query, table, token_rows, year_counts
 from loomstat.sources import documents as DOC
 from loomstat.sources import tables as TB
 
@@ -70,7 +70,7 @@ def map_only(spark, d):
 
 @query("P08_grep", "SELECT doc_id, md5(text) AS text_hash FROM documents WHERE contains(text, '. The')")
 def grep(spark, d):
-    docs = table(spark, d, "documents").where(X.contains_literal(F.col("text"), ". The"))
+    docs = documents(spark, d).where(X.contains_literal(F.col("text"), ". The"))
     return docs.select("doc_id", F.md5("text").alias("text_hash"))
 
 
@@ -187,7 +187,7 @@ an AS (SELECT doc_id, term FROM (
 
 @query("P18_analyzed_terms", f"WITH {ANALYZED} SELECT term, count(*) AS n FROM an GROUP BY ALL")
 def analyzed_terms(spark, d):
-    return V.analyzed_grams(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("n"))
+    return V.analyzed_grams(documents(spark, d), "doc_id", "text").groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -375,7 +375,7 @@ def scalar_function(spark, d):
     "SELECT kind, count(*) AS n FROM (SELECT 'doc' AS kind, text FROM documents UNION ALL SELECT 'item', text FROM benchmark) GROUP BY ALL",
 )
 def union_all(spark, d):
-    a = table(spark, d, "documents").select(F.lit("doc").alias("kind"), "text")
+    a = documents(spark, d).select(F.lit("doc").alias("kind"), "text")
     b = table(spark, d, "benchmark").select(F.lit("item").alias("kind"), "text")
     return a.unionByName(b).groupBy("kind").agg(F.count("*").alias("n"))
 

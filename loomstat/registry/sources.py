@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstat.functions import schema as S
-from loomstat.registry.base import query, table
+from loomstat.registry.base import documents, query, table
 from loomstat.session import scratch_path
 from loomstat.sources import delimited as D
 from loomstat.sources import documents as DOC
@@ -99,7 +99,7 @@ def fixed_width(spark, d):
 )
 def text_lines(spark, d):
     path = scratch_path(spark, "lines")
-    table(spark, d, "documents").select("text").write.text(path)
+    documents(spark, d).select("text").write.text(path)
     return D.read_lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
@@ -273,7 +273,7 @@ def compressed_text(spark, d):
 )
 def category_folders(spark, d):
     path = scratch_path(spark, "categories")
-    table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    documents(spark, d).select("lang", "text").write.partitionBy("lang").text(path)
     rows = DOC.read_categories(spark, path)
     return rows.groupBy(F.regexp_extract("category", "lang=(.*)", 1).alias("category")).agg(F.count("*").alias("lines"))
 

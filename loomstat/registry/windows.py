@@ -11,7 +11,7 @@ from loomstat.operators import ranking as R
 from loomstat.operators import windows as W
 from loomstat.operators.grouping import tagged_union
 from loomstat.plans import years as Y
-from loomstat.registry.base import COUNTS, METRICS, TOKENS, metric_table, phrases, query, table, token_rows, year_counts
+from loomstat.registry.base import COUNTS, METRICS, TOKENS, metric_table, phrases, query, table, token_rows, year_table
 from loomstat.registry.rows import HASHTAGS, tweets
 from loomstat.sources import documents as DOC
 
@@ -89,7 +89,7 @@ def secondary_sort(spark, d):
     f"WITH {COUNTS} SELECT word, year, count, rank() OVER (ORDER BY word) AS rank FROM counts",
 )
 def rank_ties(spark, d):
-    return R.rank_by(year_counts(spark, d), "word")
+    return R.rank_by(year_table(spark, d), "word")
 
 
 @query(

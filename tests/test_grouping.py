@@ -118,7 +118,7 @@ def test_cogroup_source_order(rows):
         seen = []
         for b in batches:
             seen += [n if ix else f"average {int(s)}" for ix, n, s in zip(b["source_ix"], b["name"], b["averageSalary"].fillna(0))]
-        yield pd.DataFrame({"country": [key[0]], "seen": [", ".join(seen)]})
+        yield key[0], ", ".join(seen)
 
     got = G.reduce_cogroups(
         {"country": countries, "user": users}, ["country"], names, "country string, seen string",
@@ -139,7 +139,7 @@ def test_ordered_reducer_streams_a_long_group(spark, rows):
             values = b["v"].tolist()
             ordered &= values == sorted(values) and (last is None or values[0] >= last)
             last, count, n = values[-1], count + len(values), n + 1
-        yield pd.DataFrame({"k": [key[0]], "count": [count], "ordered": [ordered], "batches": [n]})
+        yield key[0], count, ordered, n
 
     try:
         df = spark.range(5000).selectExpr("IF(id % 10 = 0, 1, 0) AS k", "CAST(hash(id) AS bigint) AS v")
@@ -174,11 +174,30 @@ def test_mapper_hooks(spark):
 def test_rollup_hooks(rows):
     class Trace(G.RollupHooks):
         def on_open(self, depth, field, row):
-            yield pd.DataFrame({"event": [f"open {field}"], "country": [row["country"]]})
+            yield f"open {field}", row["country"]
 
         def on_close(self, depth, field, row):
-            yield pd.DataFrame({"event": [f"close {field}"], "country": [row["country"]]})
+            yield f"close {field}", row["country"]
 
     got = G.rollup_hooks(rows.of(FIRST, PEOPLE), ORDER, ["country", "age", "name"], "country", Trace(), "event string, country string")
     us = [r["event"] for r in got.collect() if r["country"] == "US"]
     assert us[0] == "open country" and us[-1] == "close country" and us.count("open age") == us.count("close age") == 3
+
+
+def test_reducer_sees_null_and_mixed_keys(rows):
+    data = [(None, "a", 1), (None, None, 2), (1, "a", 3), (1, None, 4), (None, "a", 5)]
+
+    def total(key, batches):
+        yield *key, sum(int(b["v"].sum()) for b in batches)
+
+    got = G.reduce_groups(rows.of(data, "x int, y string, v int"), ["x", "y"], total, "x int, y string, v bigint")
+    assert rows.sorted(got) == sorted([(None, "a", 6), (None, None, 2), (1, "a", 3), (1, None, 4)], key=repr)
+
+
+def test_reducer_that_stops_early(spark, rows):
+    def first(key, batches):
+        yield key[0], int(next(batches)["v"].iloc[0])
+
+    df = spark.range(3000).selectExpr("id % 3 AS k", "id AS v")
+    got = G.reduce_groups(df, ["k"], first, "k bigint, v bigint", order="v:desc")
+    assert rows.sorted(got) == [(0, 2997), (1, 2998), (2, 2999)]

@@ -132,7 +132,7 @@ def test_collocations_by_hand(rows):
     docs = rows.of([(1, "new york is big"), (2, "new york is new"), (3, "york new is big")], "id int, text string")
     grams = {r["gram"]: r for r in V.gram_counts(docs, "id", "text").collect()}
     assert (grams["new york"]["n"], grams["new york"]["head_n"], grams["new york"]["tail_n"]) == (2, 3, 2)
-    got = {r["gram"]: r["llr"] for r in V.collocations(V.gram_counts(docs, "id", "text"), 2, 0.5).collect()}
+    got = {r["gram"]: r["llr"] for r in V.collocations(V.gram_counts(docs, "id", "text"), V.gram_total(docs, "text"), 2, 0.5).collect()}
     h = lambda *k: sum(x * math.log(x) for x in k if x > 0)
     want = 2 * (h(2, 1, 0, 6) - h(3, 6) - h(2, 7) + h(9))
     assert got["new york"] == pytest.approx(want)
