@@ -18,7 +18,7 @@ ENGLISH_STOP_WORDS = (
 
 def tokens(text: Column) -> Column:
     """Blank-separated tokens, none empty."""
-    return F.filter(F.split(text, BLANKS), lambda w: w != "")
+    return F.array_remove(F.split(text, BLANKS), "")
 
 
 def normalise_word(word: Column) -> Column:
@@ -26,6 +26,15 @@ def normalise_word(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"\p{Punct}", ""))
 
 
+def normalised_tokens(text: Column) -> Column:
+    """All normalised words of a text, none empty.
+
+    Punctuation goes from the whole text in one pass; splitting afterwards gives
+    the same words as treating them one by one.
+    """
+    return tokens(F.lower(F.regexp_replace(text, r"\p{Punct}", "")))
+
+
 def strip_unicode_punctuation(word: Column) -> Column:
     return F.regexp_replace(word, r"\p{P}", "")
 
@@ -40,14 +49,14 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), " "))
 
 
-def analyzed_tokens(text: Column, stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)) -> Column:
-    """Lower-cased letter/digit runs without stop words, repeats kept.
+def analyzed_words(text: Column) -> Column:
+    """Lower-cased letter/digit runs, joined across one inner apostrophe or full stop."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:['.][\p{L}\p{N}]+)*"), F.lit(0))
 
-    Approximates a standard analyzer: a token is a run of letters or digits,
-    joined across a single inner apostrophe or full stop.
-    """
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:['.][\p{L}\p{N}]+)*"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(list(stop_words)))
+
+def analyzed_tokens(text: Column, stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)) -> Column:
+    """Analyzed words without stop words, repeats kept; approximates a standard analyzer."""
+    return F.filter(analyzed_words(text), lambda w: ~w.isin(list(stop_words)))
 
 
 def shingles(words: Column, n_max: int, n_min: int = 1) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomstat.functions.ordering import SortKey, as_keys, check_job, sort_columns
 from loomstat.functions.schema import alias_fields
-from loomstat.operators.ranking import with_position
+from loomstat.operators.ranking import with_neighbours
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str], count: str | None = None) -> DataFrame:
@@ -107,15 +107,7 @@ def rollup_events(
     names = [k.name for k in keys if k.name in group_fields]
     first = len(prefixes(names, group_fields, rollup_from)[0]) - 1
     columns = sort_columns(keys, df.schema)
-    placed = with_position(df, columns, "_at")
-
-    # The depth where a row differs from the one before: shift the positions by
-    # one and join, instead of a window over all rows.
-    group_key = F.struct(*[F.col(n) for n in names])
-    here = placed.select("*", group_key.alias("_key"))
-    before = here.select((F.col("_at") + 1).alias("_at"), F.col("_key").alias("_prev"))
-    after = here.select((F.col("_at") - 1).alias("_at"), F.col("_key").alias("_next"))
-    near = here.join(before, "_at", "left").join(after, "_at", "left")
+    near = with_neighbours(df, columns, F.struct(*[F.col(n) for n in names]), "_at")
 
     def changed(other: str) -> Column:
         """Smallest depth where the neighbour differs; one past the last if equal."""

@@ -50,6 +50,36 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     return joined.select(*df.columns, (F.col("_pos") + F.col("_shift")).alias(name))
 
 
+def with_neighbours(df: DataFrame, order: Sequence[Column], key: Column, name: str = "position") -> DataFrame:
+    """Add the global position and the ``key`` struct of the rows just before and after.
+
+    Neighbours come from a window inside each range partition; only the two edge
+    keys of every partition are shared.
+    """
+    placed = _placed(df, [*order, F.xxhash64(*df.columns)]).withColumn("_key", key)
+    inside = Window.partitionBy("_part").orderBy("_pos")
+    local = placed.withColumns({"_before": F.lag("_key").over(inside), "_after": F.lead("_key").over(inside)})
+    edges = placed.groupBy("_part").agg(
+        F.min_by("_key", "_pos").alias("_first"), F.max_by("_key", "_pos").alias("_last"), (F.max("_pos") + 1).alias("_size")
+    )
+    # One row per partition from here on.
+    parts = Window.orderBy("_part")
+    edges = edges.select(
+        "_part",
+        F.lag("_last").over(parts).alias("_left"),
+        F.lead("_first").over(parts).alias("_right"),
+        F.coalesce(F.sum("_size").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"),
+    )
+    joined = local.join(F.broadcast(edges), "_part")
+    return joined.select(
+        *df.columns,
+        "_key",
+        (F.col("_pos") + F.col("_shift")).alias(name),
+        F.coalesce("_before", "_left").alias("_prev"),
+        F.coalesce("_after", "_right").alias("_next"),
+    )
+
+
 def with_running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the total of ``value`` over all rows before this one in the order."""
     placed = _placed(df, [F.col(c) for c in order])

@@ -9,20 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.functions.text import normalise_word, tokens
+from loomstat.functions.text import normalised_tokens
 from loomstat.session import materialise
 from loomstat.plans.vectors import analyzed_grams, document_frequencies, term_frequencies, tf_idf
 
 
 def word_category_counts(docs: DataFrame, text: str, category: str) -> DataFrame:
     """``(word, category, count)`` over normalised tokens of labelled texts."""
-    words = docs.select(F.col(category).alias("category"), F.explode(tokens(F.col(text))).alias("_w"))
-    return (
-        words.select("category", normalise_word(F.col("_w")).alias("word"))
-        .where(F.col("word") != "")
-        .groupBy("word", "category")
-        .agg(F.count("*").alias("count"))
-    )
+    words = docs.select(F.col(category).alias("category"), F.explode(normalised_tokens(F.col(text))).alias("word"))
+    return words.groupBy("word", "category").agg(F.count("*").alias("count"))
 
 
 def merge_counts(rows: DataFrame) -> DataFrame:
@@ -41,13 +36,14 @@ def _vocabulary(model: DataFrame, size: str) -> Column:
 def score(model: DataFrame, docs: DataFrame, doc: str, text: str, size: str = "tokens") -> DataFrame:
     """Add-one score of each document for each category it shares a word with.
 
+    The model is read three times: give a stored table.
+
     score = Σ over tokens ln((n_cw + 1)/(n_c + V)). A token unknown to the
     category adds ln(1/(n_c + V)), which the constant term covers; the answer is
     taken from the complete sums.
     """
     v = _vocabulary(model, size)
-    normal = F.filter(F.transform(tokens(F.col(text)), normalise_word), lambda w: w != "")
-    words = docs.select(doc, normal.alias("_ws"))
+    words = docs.select(doc, normalised_tokens(F.col(text)).alias("_ws"))
     # The length rides along with the words, so no second pass per document is needed.
     exploded = words.select(doc, F.size("_ws").alias("_len"), F.explode("_ws").alias("word"))
     counted = exploded.groupBy(doc, "_len", "word").agg(F.count("*").alias("_m"))

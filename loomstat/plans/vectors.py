@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions import stats
-from loomstat.functions.text import analyzed_tokens, head_of, shingles, tail_of, tokens
+from loomstat.functions.text import ENGLISH_STOP_WORDS, analyzed_tokens, analyzed_words, head_of, shingles, tail_of, tokens
 from loomstat.operators.ranking import with_position
 
 
@@ -17,9 +17,12 @@ def word_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def analyzed_grams(docs: DataFrame, doc: str, text: str, n_max: int = 1) -> DataFrame:
     """One row per analyzed term (and n-gram up to ``n_max``)."""
+    if n_max == 1:
+        # Without n-grams the stop words can go after the explode, in compiled code.
+        terms = docs.select(doc, F.explode(analyzed_words(F.col(text))).alias("term"))
+        return terms.where(~F.col("term").isin(ENGLISH_STOP_WORDS))
     words = docs.select(doc, analyzed_tokens(F.col(text)).alias("_w"))
-    grams = F.col("_w") if n_max == 1 else shingles(F.col("_w"), n_max)
-    return words.select(doc, F.explode(grams).alias("term"))
+    return words.select(doc, F.explode(shingles(F.col("_w"), n_max)).alias("term"))
 
 
 def dictionary(terms: DataFrame, term: str = "term") -> DataFrame:

@@ -13,6 +13,7 @@ from loomstat.registry.base import (
     COUNTS, RATINGS, TOKENS, documents, phrases, query, ratings_table, table, token_rows, year_counts, year_table,
 )
 from loomstat.registry.rows import ANALYZED, PHRASE_VECTORS
+from loomstat.session import materialise
 
 
 def labelled(spark, d):
@@ -46,7 +47,7 @@ best AS (SELECT doc_id, category, score FROM (
     f"WITH {NB_SCORES} SELECT doc_id, category, round(score, 6) AS score FROM documents LEFT JOIN best USING (doc_id)",
 )
 def nb_classify(spark, d):
-    model = B.word_category_counts(labelled(spark, d), "text", "category")
+    model = materialise(B.word_category_counts(labelled(spark, d), "text", "category"), "bayes")
     return B.classify(model, documents(spark, d), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
