@@ -1,0 +1,21 @@
+"""Short lists (years, labels, checks) as one array value inside a plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+LIMIT = 100_000
+
+
+def short_list(df: DataFrame, value: Column, limit: int = LIMIT) -> Column:
+    """All values of a short table as an array scalar.
+
+    At most ``limit`` + 1 rows are ever gathered, so the size is bounded whatever
+    the table holds; a longer table is an error, never a shortened list.
+    """
+    kept = df.select(value.alias("v")).limit(limit + 1)
+    values = kept.agg(F.collect_list("v").alias("vs"))
+    too_long = F.raise_error(F.lit(f"more than {limit} values where a short list is needed"))
+    checked = F.when(F.size("vs") <= limit, F.col("vs")).otherwise(too_long.cast(values.schema["vs"].dataType))
+    return values.select(checked.alias("vs")).scalar()

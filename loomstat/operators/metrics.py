@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import status as ST
 from loomstat.functions.ordering import natural_key
+from loomstat.operators.lists import short_list
 from loomstat.operators.ranking import position_in_group
 
 
@@ -123,8 +124,8 @@ def _against(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
     host keeps a map of just the checked metrics, so the snapshot is read once
     and no host is paired with a check by a join.
     """
-    as_list = checks.agg(F.collect_list(F.struct(*checks.columns)).alias("c")).scalar()
-    names = checks.agg(F.collect_set("metric").alias("n")).scalar()
+    as_list = short_list(checks, F.struct(*checks.columns), limit=10_000)
+    names = short_list(checks.select("metric").distinct(), F.col("metric"), limit=10_000)
     checked = F.array_contains(names, F.col("metric"))
     per_host = snapshot.groupBy("host").agg(F.collect_list(F.when(checked, F.struct("metric", "value"))).alias("_v"))
     rows = per_host.select("host", F.map_from_entries("_v").alias("_m"), F.explode(as_list).alias("_c"))

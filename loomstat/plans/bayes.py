@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import normalised_tokens
-from loomstat.session import materialise
+from loomstat.operators.lists import short_list
 from loomstat.plans.vectors import analyzed_grams, document_frequencies, term_frequencies, tf_idf
+from loomstat.session import materialise
 
 
 def word_category_counts(docs: DataFrame, text: str, category: str) -> DataFrame:
@@ -102,10 +103,8 @@ def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float =
         raise ValueError("alpha must be positive")
     n_terms = model.agg(F.count_distinct("term").alias("f")).scalar()
     labels = model.groupBy("label").agg(F.sum("weight").alias("_w"))
-    listed = labels.select(
-        F.struct("label", (F.lit(alpha) / (F.col("_w") + F.lit(alpha) * n_terms)).alias("floor")).alias("_l")
-    )
-    floors = listed.agg(F.collect_list("_l").alias("ls")).scalar()
+    floor = F.lit(alpha) / (F.col("_w") + F.lit(alpha) * n_terms)
+    floors = short_list(labels, F.struct("label", floor.alias("floor")))
     per_doc = vectors.groupBy(doc).agg(F.sum("weight").alias("_total"))
     base = per_doc.select(doc, "_total", F.explode(floors).alias("_l")).select(
         doc, F.col("_l.label").alias("label"), (F.col("_total") * F.ln("_l.floor")).alias("_base")

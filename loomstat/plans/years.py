@@ -10,12 +10,13 @@ import logging
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstat.functions import stats
 from loomstat.functions.casting import lenient_number
 from loomstat.functions.text import query_terms, strip_pos, strip_unicode_punctuation, tokens
 from loomstat.operators.joins import keep_terms
-from pyspark.sql import types as T
+from loomstat.operators.lists import short_list
 
 log = logging.getLogger(__name__)
 
@@ -86,7 +87,7 @@ def matched_counts(counts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _every_year(queries: DataFrame, totals: DataFrame, *columns: str) -> DataFrame:
     """One row per (query, year): the result grid. The years travel as one array."""
-    years = totals.agg(F.collect_list(F.struct("year", *columns)).alias("ys")).scalar()
+    years = short_list(totals, F.struct("year", *columns))
     return queries.select("query_id", F.explode(years).alias("_y")).select("query_id", "_y.*")
 
 

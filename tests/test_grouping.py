@@ -201,3 +201,17 @@ def test_reducer_that_stops_early(spark, rows):
     df = spark.range(3000).selectExpr("id % 3 AS k", "id AS v")
     got = G.reduce_groups(df, ["k"], first, "k bigint, v bigint", order="v:desc")
     assert rows.sorted(got) == [(0, 2997), (1, 2998), (2, 2999)]
+
+
+def test_rollup_over_many_partitions(spark, rows):
+    """Groups cross partition edges when small partitions are not merged."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rng = random.Random(21)
+        data = sorted({(rng.choice("AB"), rng.randint(0, 1), rng.choice("xy"), -i) for i in range(60)})
+        data = [(a, b, c, -d) for a, b, c, d in data]
+        assert events(rows, data, "country", ["country", "age", "name"]) == expected(data, 0, 2)
+    finally:
+        spark.conf.set(key, old)
