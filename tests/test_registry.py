@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 from tools.check_oracle import DATES, TABLES, compare, type_problem  # noqa: E402
 
 FOLDER = os.environ.get("LOOMSTAT_TABLES", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.all_queries(), entry.all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not present")
 
