@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -23,6 +23,42 @@ def unit_hash(*cols: str, seed: int) -> Column:
     return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
 
 
+#: Bits of a filter as a power of two: 2^27 bits are 16 MB, the bound of what is broadcast.
+FILTER_BITS = 27
+_BLOCK = 12  # one row of a filter holds 2^12 bits as 64 words
+
+
+def filter_cell(value: Column, which: int) -> Column:
+    """A filter cell of a value; cells of one value with different ``which`` share a block."""
+    block = F.xxhash64(value, F.lit(-1)).bitwiseAND(F.lit((1 << (FILTER_BITS - _BLOCK)) - 1))
+    inside = F.xxhash64(value, F.lit(which)).bitwiseAND(F.lit((1 << _BLOCK) - 1))
+    return F.shiftleft(block, _BLOCK).bitwiseOR(inside)
+
+
+def filter_blocks(cells: DataFrame) -> DataFrame:
+    """A bitmap filter as rows (filter_block, filter_words), with the bit of every ``cell`` set.
+
+    Whatever the number of cells, it has at most 2^(FILTER_BITS - 12) rows of
+    64 words, so it may be broadcast.
+    """
+    word, bit = F.expr("cast(shiftright(cell, 6) & 63 as int)"), F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    words = cells.groupBy(F.shiftright("cell", _BLOCK).alias("filter_block"), word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = words.groupBy("filter_block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    return held.select("filter_block", F.expr("transform(sequence(0, 63), w -> coalesce(held[w], 0L))").alias("filter_words"))
+
+
+def with_filter(rows: DataFrame, blocks: DataFrame, cell: Column) -> DataFrame:
+    """``rows`` with the words of the filter's block, null where the filter has none. No shuffle of ``rows``."""
+    return rows.join(F.broadcast(blocks), F.shiftright(cell, _BLOCK) == F.col("filter_block"), "left").drop("filter_block")
+
+
+def in_filter(cell: Column) -> Column:
+    """Whether the cell's bit is set in ``filter_words``."""
+    word = F.get(F.col("filter_words"), F.shiftright(cell, 6).bitwiseAND(F.lit(63)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
+    return F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))
+
+
 def text_chunks(ids: pa.Array, texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Cut one Arrow batch into runs of rows of about ``limit`` bytes of text, one row at least."""
     if not len(texts):

@@ -8,39 +8,12 @@ shuffle by their hash; the rest pass straight through as groups of one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.llm.common import filter_blocks, filter_cell, in_filter, with_filter
 from loomstat.session import materialise
 
-#: Bits of the filter: 2^27 bits are 16 MB, the bound of what is broadcast. More rows than about
-#: a tenth of it make more of them shuffle, never a wrong result.
-FILTER_BITS = 27
-HASHES = 2
-_BLOCK = 12  # one row of the filter holds 2^12 bits as 64 words
-
-
-def _cells(digest: Column) -> list[Column]:
-    """The filter cells of a text, from its digest; all lie in one block of the filter."""
-    block = F.xxhash64(digest, F.lit(1)).bitwiseAND(F.lit((1 << (FILTER_BITS - _BLOCK)) - 1))
-    inside = [F.xxhash64(digest, F.lit(k + 2)).bitwiseAND(F.lit((1 << _BLOCK) - 1)) for k in range(HASHES)]
-    return [F.shiftleft(block, _BLOCK).bitwiseOR(i) for i in inside]
-
-
-def _filter(rows: DataFrame) -> DataFrame:
-    """Blocks of the filter: (block, words), a bit for every cell that at least two texts fall on."""
-    cells = rows.select(F.explode(F.array_distinct(F.array("c0", "c1"))).alias("cell"))
-    often = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    word = F.shiftright(F.col("cell"), 6).bitwiseAND(F.lit((1 << (_BLOCK - 6)) - 1))
-    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
-    words = often.groupBy(F.shiftright("cell", _BLOCK).alias("block"), word.cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    held = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
-    return held.select("block", F.expr(f"transform(sequence(0, {(1 << (_BLOCK - 6)) - 1}), w -> coalesce(held[w], 0L))").alias("words"))
-
-
-def _hit(cell: str) -> Column:
-    return F.expr(f"shiftright(words[cast(shiftright({cell}, 6) & {(1 << (_BLOCK - 6)) - 1} as int)], cast({cell} & 63 as int)) & 1") == 1
-
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
@@ -51,17 +24,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Only (id, digest) goes on after the texts are read, written once so that both
     passes see the same rows. The filter that is broadcast has a fixed number of
-    bits. A group of copies is counted before it shuffles; joining the count back
+    bits (``common.FILTER_BITS``); beyond about a tenth as many rows, more of them
+    shuffle, and the result stays the same. A group of copies is counted before it shuffles; joining the count back
     is a plain join, which Spark splits when a group is large.
     """
     digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     rows = docs.select(F.col(id_col).alias("id"), digest.alias("digest"))
-    c0, c1 = _cells(F.col("digest"))
-    rows = materialise(rows.select("*", F.monotonically_increasing_id().alias("row"), c0.alias("c0"), c1.alias("c1")), "digests")
+    cells = {f"c{k}": filter_cell(F.col("digest"), k) for k in (0, 1)}
+    rows = materialise(rows.select("*", F.monotonically_increasing_id().alias("row")).withColumns(cells), "digests")
 
-    blocks = F.broadcast(_filter(rows).withColumnRenamed("block", "b"))
-    tested = rows.join(blocks, F.shiftright(F.col("c0"), _BLOCK) == F.col("b"), "left")
-    tested = tested.select("id", "digest", "row", F.coalesce(_hit("c0") & _hit("c1"), F.lit(False)).alias("maybe"))
+    each = rows.select(F.explode(F.array_distinct(F.array("c0", "c1"))).alias("cell"))
+    often = each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    maybe = in_filter(F.col("c0")) & in_filter(F.col("c1"))
+    tested = with_filter(rows, filter_blocks(often), F.col("c0")).select("id", "digest", "row", maybe.alias("maybe"))
     single = tested.where(~F.col("maybe")).select(
         "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )

@@ -3,10 +3,10 @@
 A text is lower-cased (A-Z) and cut into words at ASCII blanks; its set holds the
 distinct five-word shingles. Documents link when the Jaccard similarity of
 their sets reaches the threshold. One pass over the texts gives each document
-128 MinHash samples; four of them make a band key (32 keys), and all of them are
-folded into a 512-bit parity bitmap, its Odd sketch. Documents that share a band
-key are candidates; the bits in which two sketches differ estimate the
-similarity, and what passes is confirmed on the full sets.
+128 MinHash samples, four to each of 32 band keys, and up to 4096 more from one
+permutation, folded into a bitmap of 2048 parities, its Odd sketch. Documents
+that share a band key are candidates; the bits in which two sketches differ
+estimate the similarity, and what passes is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import mix, text_chunks, utf8_bytes
+from loomstat.llm.common import filter_blocks, filter_cell, in_filter, mix, text_chunks, utf8_bytes, with_filter
 from loomstat.llm.components import components
 from loomstat.session import materialise
 
 WORDS = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BITS = 512
-#: A pair of similarity 0.75 differs in 57 sketch bits on average, deviation 8.5; beyond 102 bits
-#: (an estimate below 0.5) less than one such pair in ten million is lost.
-MAX_DIFFERENT_BITS = 102
+#: The sketch folds the minima of 2^12 bins into 2^11 parities.
+BINS, BITS = 1 << 12, 1 << 11
+#: How many standard deviations below its expectation the estimate of a pair at the threshold may fall.
+DEVIATIONS = 4.0
 
 _SEEDS = np.random.default_rng(20_240_517)
 _MULTIPLY = _SEEDS.integers(1 << 62, (1 << 63) - 1, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,13 +97,19 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Fold each row of samples into BITS parities: a bit says if an odd number of samples fell on it."""
-    n = len(samples)
-    place = mix(samples ^ mix(np.arange(SAMPLES, dtype=np.uint64) + _BASE)[None, :]) % np.uint64(BITS)
-    flat = place.astype(np.int64) + np.arange(n)[:, None] * BITS
-    odd = (np.bincount(flat.ravel(), minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
+def odd_sketch(items: np.ndarray) -> tuple[int, np.ndarray]:
+    """The Odd sketch of a set: how many bins have a minimum, and BITS parities as 64-bit words.
+
+    One permutation deals the items into BINS bins; the least item of a bin is
+    one MinHash sample. A bit says if an odd number of samples fell on it.
+    """
+    dealt = np.sort(mix(items ^ _STEP))
+    bins = dealt >> np.uint64(52)
+    first = np.ones(len(dealt), bool)
+    first[1:] = bins[1:] != bins[:-1]
+    place = mix(dealt[first] ^ _BASE) >> np.uint64(53)
+    odd = np.bincount(place.astype(np.int64), minlength=BITS) & 1
+    return int(first.sum()), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -111,7 +117,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
 
-_SIGNATURE = "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>"
+_SIGNATURE = "id long, n long, f1 long, f2 long, m int, bands array<long>, sketch array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +126,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros(len(ids), np.int64)
             marks = np.zeros((len(ids), 2), np.uint64)
             samples = np.zeros((len(ids), SAMPLES), np.uint64)
+            m, sketch = np.zeros(len(ids), np.int32), np.zeros((len(ids), BITS // 64), np.int64)
             for k, items in enumerate(shingle_sets(texts)):
                 if len(items):
                     n[k] = len(items)
                     marks[k] = mix(items).sum(), mix(items ^ _STEP).sum()
                     samples[k] = min_hashes(items)
-            full = n > 0
-            bands = np.zeros((len(ids), BANDS), np.int64)
-            sketch = np.zeros((len(ids), BITS // 64), np.int64)
-            bands[full], sketch[full] = band_keys(samples[full]), odd_sketches(samples[full])
-            marks = marks.view(np.int64)
+                    m[k], sketch[k] = odd_sketch(items)
+            bands, marks = band_keys(samples), marks.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1]), _lists(bands), _lists(sketch)],
-                ["id", "n", "f1", "f2", "bands", "sketch"],
+                [ids, pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(m), _lists(bands), _lists(sketch)],
+                ["id", "n", "f1", "f2", "m", "bands", "sketch"],
             )
 
 
@@ -151,17 +155,38 @@ def different_bits(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def _may_link(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches of two sides leave it possible that the similarity reaches the threshold.
+
+    The bits that differ estimate how many samples do, hence how many bins agree. At
+    the threshold the agreeing bins are a hypergeometric draw from the union; the
+    variance of the sketch comes on top. Only what lies DEVIATIONS below is refused.
+    """
+    (na, ma, sa), (nb, mb, sb) = ([F.col(f"{side}.{c}") for c in ("n", "m", "sketch")] for side in (a, b))
+    j, bits, bins = percent / 100, float(BITS), float(BINS)
     near = (F.lit(100) * F.least(na, nb)) >= (F.lit(percent) * F.greatest(na, nb))
-    return near & (different_bits(sa, sb) <= MAX_DIFFERENT_BITS)
+    apart = -bits / 2 * F.log(F.greatest(1 - 2 * different_bits(sa, sb) / bits, F.lit(1e-3)))
+    agree = (ma + mb - apart) / 2
+    union = (na + nb) / (1 + j)
+    empty = F.exp(-union / bins)
+    full = bins * (1 - empty)
+    drawn = full * j * (1 - j) * F.greatest(1 - full / union, F.lit(0.0)) + j * j * bins * empty * F.greatest(1 - (1 + union / bins) * empty, F.lit(0.0))
+    expected = F.greatest(ma + mb - 2 * j * full, F.lit(0.0))
+    growth = F.exp(4 * expected / bits)
+    folded = F.greatest((bits / 4 * (1 - 1 / growth) - expected / growth) * growth, F.lit(0.0))
+    return near & (agree >= j * full - DEVIATIONS * F.sqrt(drawn + folded / 4) - 1)
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = rows.join(asked, "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
+    # A filter of bounded size keeps most other texts out of the shuffle. The join is a merge join at
+    # every size, so its cost stays in proportion.
+    cell = filter_cell(F.col("id"), 0)
+    likely = with_filter(rows, filter_blocks(asked.select(cell.alias("cell"))), cell).where(in_filter(cell)).select("id", "text")
+    sets = likely.join(asked.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
     sets = materialise(sets, "shingle-sets")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
+    with_a = pairs.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
     shared = with_b.select("a", "b", (F.size("xs") + F.size("ys")).alias("total"), F.size(F.array_intersect("xs", "ys")).alias("both"))
     return shared.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("total") - F.col("both"))).select("a", "b")
@@ -175,8 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Scale: copies with equal sets collapse first (``min`` per fingerprint,
     combined before the shuffle). Inside a band bucket every document is compared
-    with the bucket's smallest one, so a bucket of copies costs as many pairs as
-    it has members. Only where a bucket still holds several components are
+    with the bucket's smallest and largest one, so a bucket of copies costs no more
+    than two pairs a member. Only where a bucket still holds several components are
     documents of different components compared, on sizes and sketches inside
     the join, so no pair that the sketches refuse leaves it. Nothing is capped.
 
@@ -189,30 +214,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     reps = usable.join(classes, ["f1", "f2", "n"]).where("id = rep")
-    sketches = materialise(reps.select("rep", "n", "sketch", "bands"), "sketches")
+    sketches = materialise(reps.select("rep", "n", "m", "sketch", "bands"), "sketches")
 
-    buckets = sketches.select("rep", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = materialise(buckets.join(hubs.select("key", "hub"), "key"), "buckets")
+    buckets = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
+    hubs = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+    shared = materialise(buckets.join(hubs, "key"), "buckets")
 
-    a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    may = _may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
-    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = materialise(stars.join(a, "a").join(b, "b").where(may).select("a", "b"), "pairs")
+    slim = sketches.select("rep", "n", "m", "sketch")
+    stars = shared.select("rep", F.explode(F.array("first", "last")).alias("hub")).where("rep <> hub")
+    stars = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    stars = stars.join(slim.alias("x"), F.col("a") == F.col("x.rep")).join(slim.alias("y"), F.col("b") == F.col("y.rep"))
+    stars = materialise(stars.where(_may_link("x", "y", percent)).select("a", "b"), "pairs")
     linked = materialise(_confirmed(stars, rows, percent), "links")
     found = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = placed.join(mixed.select("key"), "key", "left_semi").join(sketches.select("rep", "n", "sketch"), "rep")
+    placed = placed.join(mixed.select("key"), "key", "left_semi").join(sketches, "rep")
     placed = materialise(placed, "mixed-buckets")
     x, y = placed.alias("x"), placed.alias("y")
-    may = _may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & may)
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    across = materialise(across, "pairs").join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(materialise(across, "pairs"), rows, percent)
+    # A pair may share many buckets; it counts in the first of them only.
+    shared_bands = F.zip_with("x.bands", "y.bands", lambda p, q: p == q)
+    first = F.array_position(shared_bands, F.lit(True)) == F.col("x.band") + 1
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & _may_link("x", "y", percent) & first)
+    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    across = materialise(across.join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = _confirmed(across, rows, percent)
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     edges = edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(edges).withColumnRenamed("node", "rep")
