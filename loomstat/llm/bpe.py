@@ -49,8 +49,10 @@ UNKNOWN = [
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 ]
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
+#: Characters that split() takes for blanks and the pattern does not.
+NO_BLANKS = re.compile("[\x1c-\x1f]")
 #: Words whose ids are remembered by one worker before it starts anew (bounds its memory).
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: No pair at a leaf of the tree.
 NONE = 1 << 62
 
@@ -171,12 +173,18 @@ class WordBPE:
         self.words, self.all_words = _pattern(0xFFFF), _pattern(sys.maxunicode)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.known = _Memo(self._encode_word)
+        self.runs = _Memo(self._encode_run)
 
     def _encode_word(self, word: str) -> bytes:
         data = word.encode("utf-8")
         ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
         return array("i", merge_word(ids, self.ranks)).tobytes()
 
+    def _encode_run(self, run: str) -> bytes:
+        """Ids of text as it stands between blanks; words do not reach over blanks."""
+        words = self.all_words if BEYOND.search(run) else self.words
+        return b"".join(map(self.known.__getitem__, words.findall(run)))
+
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():
             # Lower case goes by single characters, so a capital sigma never takes its final form.
@@ -184,8 +192,9 @@ class WordBPE:
             if NEW_CAPITALS.search(text):
                 text = text.translate(LOWERED)
         text = text.lower()
-        words = self.all_words if BEYOND.search(text) else self.words
-        return b"".join(map(self.known.__getitem__, words.findall(text)))
+        if NO_BLANKS.search(text):
+            return self._encode_run(text)
+        return b"".join(map(self.runs.__getitem__, text.split()))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text; special tokens written in the text become their ids."""

@@ -23,8 +23,8 @@ def unit_hash(*cols: str, seed: int) -> Column:
     return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
 
 
-#: Bits of a filter as a power of two: 2^27 bits are 16 MB, the bound of what is broadcast.
-FILTER_BITS = 27
+#: Bits of a filter as a power of two: 2^25 bits are 4 MB, the bound of what is broadcast.
+FILTER_BITS = 25
 _BLOCK = 12  # one row of a filter holds 2^12 bits as 64 words
 
 

@@ -61,8 +61,9 @@ def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_s") -> t
         "f_lines": c["lines"] / words,
     }
     names = [prefix + n for n in stats]
-    made = made.withColumns({prefix + n: e for n, e in stats.items()}).drop(*[prefix + n for n in c])
-    return made, names
+    # Rows of one generated record: a filter on the score stops here and does not copy the counts.
+    record = F.inline(F.array(F.struct(*[e.alias(prefix + n) for n, e in stats.items()])))
+    return made.select(*docs.columns, record), names
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.ndarray], depth: int, rows: np.ndarray, path: Rule, rules: list[Rule], out: np.ndarray) -> None:
