@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.llm.common import text_chunks
+from loomstat.llm.common import free_name, text_chunks
 
 #: Unicode blanks, as the pattern \\s of the tokenizer file takes them (fixed values).
 BLANKS = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -51,8 +51,8 @@ UNKNOWN = [
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
 #: Characters that split() takes for blanks and the pattern does not.
 NO_BLANKS = re.compile("[\x1c-\x1f]")
-#: Words whose ids are remembered by one worker before it starts anew (bounds its memory).
-REMEMBERED = 300_000
+#: Words that one generation of a worker's memory holds (about 100 MB each, two at most).
+REMEMBERED = 500_000
 #: No pair at a leaf of the tree.
 NONE = 1 << 62
 
@@ -141,15 +141,22 @@ def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
 
 
 class _Memo(dict):
-    """Words and the packed ids of each, filled on demand and emptied when full."""
+    """Words and the packed ids of each, filled on demand.
 
-    def __init__(self, encode):
-        self.encode = encode
+    When it is full, what it holds becomes the old generation, which gives back
+    what is asked for again and is dropped at the next turn; so frequent words stay.
+    """
+
+    def __init__(self, encode, limit: int = REMEMBERED):
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        packed = self.old.get(word)
+        if packed is None:
+            packed = self.encode(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        packed = self.encode(word)
         if len(word) <= 64:
             self[word] = packed
         return packed
@@ -173,7 +180,7 @@ class WordBPE:
         self.words, self.all_words = _pattern(0xFFFF), _pattern(sys.maxunicode)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.known = _Memo(self._encode_word)
-        self.runs = _Memo(self._encode_run)
+        self.runs = _Memo(self._encode_run, REMEMBERED // 2)
 
     def _encode_word(self, word: str) -> bytes:
         data = word.encode("utf-8")
@@ -237,13 +244,13 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_co
                     [*part.columns[: len(kept)], ids, bpe.decode(ids).cast(pa.string())], [*kept, ids_col, decoded_col]
                 )
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of the text; see ``encode_and_decode``."""
-    named = docs.withColumn("_encoded_text", F.col(text_col))
-    return encode_and_decode(named, path, "_encoded_text", ids_col, "_decoded").drop("_decoded")
+    copy, decoded = free_name(docs, "_copy"), free_name(docs, "_decoded")
+    return encode_and_decode(docs.withColumn(copy, F.col(text_col)), path, copy, ids_col, decoded).drop(decoded)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

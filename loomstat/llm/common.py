@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added until no column begins with it."""
+    while any(c.lower().startswith(base.lower()) for c in df.columns):
+        base += "_"
+    return base
+
+
 def crc_of_id(id_col: str) -> Column:
     """crc32 of an id written as text: the rule that splits training from held-out rows."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.llm.common import text_chunks, unit_hash
+from loomstat.llm.common import free_name, text_chunks, unit_hash
 
 BITS = 15
 FEATURES = 1 << BITS
@@ -221,4 +221,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
                 part = batch.slice(at[0].as_py(), len(at))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], [*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, schema)

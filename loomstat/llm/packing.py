@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from loomstat.llm.bpe import WordBPE
-from loomstat.llm.common import text_chunks
+from loomstat.llm.common import free_name, text_chunks
 from loomstat.session import materialise
 
 CAPACITY = 4096
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays(out, [f"c{i}" for i in range(len(out))]).rename_columns(names_of)
 
     names_of = [id_col, "piece", "start", "length", "ids_crc32", "part", "local"] + ["ids"] * with_ids
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -14,15 +14,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import unit_hash
+from loomstat.llm.common import free_name, unit_hash
 
 SAMPLE = 8_000
 THRESHOLD = 0.3
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all of which must hold
 
 
-def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "_s") -> tuple[DataFrame, list[str]]:
+def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with numeric statistics of the whole text; null counts as empty."""
+    prefix = free_name(docs, "_s")
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     made = docs.withColumns(
         {

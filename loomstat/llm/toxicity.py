@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstat.llm.common import text_chunks, unit_hash
+from loomstat.llm.common import free_name, text_chunks, unit_hash
 
 POSITIVES, UNLABELLED = 3_000, 6_000
 THRESHOLD = 0.3
@@ -191,4 +191,4 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
                 new = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], [*kept, "score", "predicted"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
