@@ -53,13 +53,13 @@ def nb_classify(spark, d):
 
 @query(
     "M03_year_model",
-    f"WITH {COUNTS} SELECT year, count(*) AS unique_words, CAST(sum(count) AS BIGINT) AS total_words FROM counts WHERE length(word) > 3 GROUP BY year",
+    f"WITH {COUNTS} SELECT year, count(*) AS unique_words, CAST(sum(count) AS BIGINT) AS total_words FROM counts GROUP BY year",
 )
 def year_model(spark, d):
     """Lines of counts are parsed back, filtered and totalled per year."""
     c = year_counts(spark, d)
     number = F.regexp_extract("year", r"(\d+)", 1)
-    lines = c.where(F.length("word") > 3).select(F.concat_ws("\t", "word", number, "count").alias("value"))
+    lines = c.select(F.concat_ws("\t", "word", number, "count").alias("value"))
     totals = Y.year_totals(Y.parse_counts(lines))
     return totals.select(F.concat(F.lit("src"), "year").alias("year"), "unique_words", "total_words")
 
@@ -299,9 +299,9 @@ sim AS (SELECT a, b, CAST(n AS BIGINT) AS n, (n * sxy - sx * sy) / (sqrt(n * sxx
 """
 
 
-@query("M16_user_similarity", f"WITH {SIMILAR} SELECT a, b, n, round(similarity, 8) AS similarity FROM sim WHERE n >= 10")
+@query("M16_user_similarity", f"WITH {SIMILAR} SELECT a, b, n, round(similarity, 8) AS similarity FROM sim")
 def user_similarity(spark, d):
-    pairs = REC.user_similarity(ratings_table(spark, d)).where("n >= 10")
+    pairs = REC.user_similarity(ratings_table(spark, d))
     return pairs.withColumn("similarity", F.round("similarity", 8))
 
 
@@ -411,7 +411,7 @@ def evaluation(spark, d):
 @query(
     "M22_default_category",
     r"""
-    WITH model AS (SELECT lower(p_type) AS word, p_brand AS category, count(*) AS count FROM part WHERE p_size > 25 GROUP BY ALL),
+    WITH model AS (SELECT lower(p_type) AS word, p_brand AS category, count(*) AS count FROM part GROUP BY ALL),
     v AS (SELECT count(DISTINCT word) AS v FROM model), tot AS (SELECT category, sum(count) AS t FROM model GROUP BY category),
     dw AS (SELECT p_partkey, lower(p_name) AS text, unnest(string_split(lower(p_name), ' ')) AS word FROM part),
     dd AS (SELECT p_partkey, word, count(*) AS m FROM (SELECT p_partkey, word FROM dw UNION ALL
@@ -425,7 +425,7 @@ def evaluation(spark, d):
 )
 def default_category(spark, d):
     p = table(spark, d, "part")
-    model = p.where("p_size > 25").groupBy(F.lower("p_type").alias("word"), F.col("p_brand").alias("category")).agg(F.count("*").alias("count"))
+    model = p.groupBy(F.lower("p_type").alias("word"), F.col("p_brand").alias("category")).agg(F.count("*").alias("count"))
     text = F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 40, F.col("p_type")))
     out = B.classify(model, p.select("p_partkey", text.alias("text")), "p_partkey", "text", size="vocabulary", default="OTHER")
     return out.select("p_partkey", "category")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +29,11 @@ def build_session(app: str = "loomstat", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder; a cluster
-    session without it is an error, because a machine-local folder would be
-    lost with its executor.
+    A session without the setting is an error, because a machine-local folder
+    would be lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -47,10 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not _is_local(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
