@@ -47,8 +47,8 @@ def text_features(text: str) -> list[int]:
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for kinds, texts in text_chunks(batch.column(0), batch.column(1)):
-            found = [text_features(t) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([kinds, pa.array(found, pa.list_(pa.int64()))], ["positive", "found"])
+            found = [np.array(text_features(t), np.uint32).view(np.int32) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([kinds, pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
 
 
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, features: int, prior: float, rounds: int = 400, rate: float = 0.05, strength: float = 1.0) -> tuple[np.ndarray, float]:
@@ -142,15 +142,17 @@ def train(
     texts = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     sure = texts.join(F.broadcast(chosen), "_id").select(F.lit(True).alias("positive"), "_text")
     plain = texts.where(unit_hash("_id", seed=9) * F.lit(float(size)) < unlabelled).select(F.lit(False).alias("positive"), "_text")
-    kind = "positive boolean, found array<long>"
+    kind = "positive boolean, found array<int>"
     found = sure.mapInArrow(_feature_rows, kind).limit(2 * positives).unionByName(plain.mapInArrow(_feature_rows, kind).limit(2 * unlabelled))
     found = found.toPandas()
     positive = found["positive"].to_numpy(bool)
     if not positive.any():
         return ToxicityModel({}, -500.0)
-    sure, plain = (np.concatenate([np.zeros(0, np.int64), *found["found"][p]]) for p in (positive, ~positive))
+    sure, plain = (np.concatenate([np.zeros(0, np.int32), *found["found"][p]]) for p in (positive, ~positive))
     names, n = np.unique(sure, return_counts=True)
-    other = np.searchsorted(np.sort(plain), names, side="right") - np.searchsorted(np.sort(plain), names)
+    plain.sort()
+    other = np.searchsorted(plain, names, side="right") - np.searchsorted(plain, names)
+    del sure, plain
     # The share among clean texts, corrected by the prior; what is common there would only add noise to long texts.
     share = n / positive.sum()
     clean = np.maximum(other / max((~positive).sum(), 1) - prior * share, 0) / (1 - prior)
@@ -158,7 +160,7 @@ def train(
     names = names[(n >= max(3, LEAST_SHARE * positive.sum())) & telling]
     rows = []
     for f in found["found"]:
-        f = np.asarray(f, np.int64)
+        f = np.asarray(f, np.int32)
         at = np.searchsorted(names, f)
         inside = at < len(names)
         at = at[inside]
@@ -170,7 +172,7 @@ def train(
     rows = [place[r][place[r] >= 0] for r in rows]
     # The penalty has chosen the features; their weights are fitted again without it.
     names, (weights, intercept) = names[kept], fit_nnpu(rows, positive, len(kept), prior, strength=0.0)
-    return ToxicityModel({int(a): float(b) for a, b in zip(names, weights)}, intercept)
+    return ToxicityModel({int(a) & 0xFFFFFFFF: float(b) for a, b in zip(names, weights)}, intercept)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
