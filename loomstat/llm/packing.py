@@ -10,6 +10,7 @@ size does not depend on the data; the pieces are placed in parallel.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from loomstat.llm.bpe import WordBPE
+from loomstat.llm.bpe import WordBPE, byte_letters
 from loomstat.llm.common import free_name, text_chunks
 from loomstat.session import materialise
 
@@ -31,16 +32,20 @@ END = 1
 
 
 class LibraryCoder(WordBPE):
-    """Ids by the tokenizers library; words seen before are not encoded again."""
+    """Ids by the model of the tokenizers library; words seen before are not encoded again.
+
+    Words come here normalised and split, so only the library's merges are asked. Its
+    normaliser must not run again: lower case can leave marks in an order that it changes.
+    """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = Tokenizer.from_file(path).model
+        self.letters = dict(enumerate(byte_letters()))
         super().__init__(path)
 
     def _encode_word(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
+        written = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("i", [token.id for token in self.library.tokenize(written)]).tobytes()
 
 
 @lru_cache(maxsize=2)

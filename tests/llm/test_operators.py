@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and planted cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -196,6 +197,14 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, toxicity.train(empty, known.limit(0), F.lit(True))).where("score < 1e-9 and predicted = 0").count() == len(TEXTS) + 2
 
 
+def test_packing_coder_equals_library():
+    coder, library = packing.LibraryCoder(PATH), Tokenizer.from_file(PATH)
+    rng, pool = random.Random(11), [chr(c) for c in range(0x300, 0x370)] + list("İÀΣςŉ'sSt<|endoftext|> \t中😀")
+    texts = ["", "İ\u0356", "a's", *("".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(500))]
+    for text in texts:
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(PATH)
     got = packing.pack(docs, PATH, capacity=512, with_ids=True).collect()
