@@ -113,10 +113,10 @@ def check_job(
 
 
 def natural_key(column: Column) -> list[Column]:
-    """Sort keys for names with one embedded number: text before, number, rest."""
-    number = F.regexp_extract(column, r"^\D*(\d+)", 1)
-    return [
-        F.regexp_extract(column, r"^(\D*)", 1),
-        F.try_to_number(F.nullif(number, F.lit("")), F.lit("9" * 30)),
-        column,
-    ]
+    """Sort keys for names with embedded numbers: every run of digits counts as its number.
+
+    Runs are padded to 40 digits; of a longer run the last 40 decide. Names that
+    are equal so far, as by leading zeros, go by their text.
+    """
+    padded = F.regexp_replace(column, r"(\d+)", "0" * 40 + "$1")
+    return [F.regexp_replace(padded, r"\d*(\d{40})", "$1"), column]

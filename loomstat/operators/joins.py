@@ -89,14 +89,14 @@ def touching(events: DataFrame, start: Column, end: Column, host: Column | None
     """Events overlapping one window, clipped to it.
 
     An event without an end is a moment: it counts when it starts inside the
-    window. With ``host`` given, the event's ``host_regex`` must be found in it.
+    window, and its clipped end stays null. With ``host`` given, the event's ``host_regex`` must be found in it.
     """
     s, e = F.col("start_ts"), F.col("end_ts")
     inside = F.when(e.isNull(), (s >= start) & (s <= end)).otherwise((e >= start) & (s <= end))
     if host is not None:
         inside = inside & F.rlike(host, F.col("host_regex"))
     return events.where(inside).withColumns(
-        {"clip_start": F.greatest(s, start), "clip_end": F.least(e, end), "starts_inside": s >= start}
+        {"clip_start": F.greatest(s, start), "clip_end": F.when(e.isNotNull(), F.least(e, end)), "starts_inside": s >= start}
     )
 
 

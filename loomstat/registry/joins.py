@@ -246,7 +246,7 @@ def dated_events(spark, d):
     "J12_events_in_window",
     f"""
     WITH {EVENT_ROWS} SELECT event_id, greatest(start_ts, TIMESTAMP '2024-01-10') AS clip_start,
-      CASE WHEN end_ts IS NULL THEN TIMESTAMP '2024-01-12' ELSE least(end_ts, TIMESTAMP '2024-01-12') END AS clip_end,
+      CASE WHEN end_ts IS NOT NULL THEN least(end_ts, TIMESTAMP '2024-01-12') END AS clip_end,
       start_ts >= TIMESTAMP '2024-01-10' AS starts_inside FROM ev
     WHERE CASE WHEN end_ts IS NULL THEN start_ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'
           ELSE end_ts >= TIMESTAMP '2024-01-10' AND start_ts <= TIMESTAMP '2024-01-12' END

@@ -254,10 +254,10 @@ def hosts_by_metric(spark, d):
 
 @query(
     "O11_hosts_by_natural_name",
-    "SELECT host, row_number() OVER (ORDER BY n) - 1 AS position FROM (SELECT DISTINCT 'node' || user_id || '.x' AS host, user_id AS n FROM events)",
+    "SELECT host, row_number() OVER (ORDER BY r, n) - 1 AS position FROM (SELECT DISTINCT 'compute-' || user_id % 12 || '-' || user_id AS host, user_id % 12 AS r, user_id AS n FROM events)",
 )
 def hosts_by_name(spark, d):
-    hosts = table(spark, d, "events").select(F.concat(F.lit("node"), "user_id", F.lit(".x")).alias("host")).distinct()
+    hosts = table(spark, d, "events").select(F.concat(F.lit("compute-"), F.col("user_id") % 12, F.lit("-"), "user_id").alias("host")).distinct()
     return R.with_position(hosts, [c.asc() for c in O.natural_key(F.col("host"))])
 
 

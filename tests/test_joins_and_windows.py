@@ -72,7 +72,7 @@ def test_events_in_window(rows):
     )
     at = lambda h: F.lit(t(h)).cast("timestamp_ntz")
     got = rows.sorted(J.touching(ev, at(3), at(10), F.lit("web-7")), "event_id", "clip_start", "clip_end", "starts_inside")
-    assert got == [(1, t(3), t(5), False), (3, t(4), t(10), True), (5, t(8), t(10), True)]
+    assert got == [(1, t(3), t(5), False), (3, t(4), None, True), (5, t(8), t(10), True)]
 
 
 def test_pair_sums_match_brute_force(rows):

@@ -46,6 +46,13 @@ def test_natural_names(rows):
     assert [r[0] for r in df.orderBy(*O.natural_key(F.col("h"))).collect()] == ["m100", "n", "n9", "n9b", "n10"]
 
 
+def test_natural_names_with_several_numbers(rows):
+    names = ["compute-10-2", "compute-0-10", "compute-0-2", "compute-2-1", "compute-0-1"]
+    df = rows.of([(n,) for n in names], "h string")
+    got = [r[0] for r in df.orderBy(*O.natural_key(F.col("h"))).collect()]
+    assert got == ["compute-0-1", "compute-0-2", "compute-0-10", "compute-2-1", "compute-10-2"]
+
+
 def test_job_checks(rows):
     a = rows.of([(1, "x")], "k int, s string")
     b = rows.of([(1,)], "k bigint")
