@@ -25,6 +25,8 @@ BITS = 15
 FEATURES = 1 << BITS
 PER_LANGUAGE = 600
 MAX_SAMPLE = 20_000
+#: Languages that a model learns at most, the most frequent ones; bounds its size and a broadcast.
+MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -168,7 +170,7 @@ def train(
 
     Document frequencies cover all those rows; ``per_language`` bounds the sample
     for the weights (about so many rows of each language, chosen by a hash of the
-    id; MAX_SAMPLE in all). The driver gets 2^15 counts and the sample's features.
+    id; MAX_SAMPLE in all, from MAX_LANGUAGES languages). Texts do not shuffle. The driver gets 2^15 counts and the sample's features.
     An empty table gives a model without languages.
     """
     rows = docs.where(learn).select(
@@ -182,8 +184,8 @@ def train(
         frequency[at] = n
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
 
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    chosen = rows.withColumn("u", unit_hash("id", seed=3)).join(sizes, "lang").where(F.col("u") * F.col("size") < per_language)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
+    chosen = rows.withColumn("u", unit_hash("id", seed=3)).join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("size") < per_language)
     sample = chosen.select("lang", "text").mapInArrow(_examples, "lang string, at array<int>, x array<float>").limit(MAX_SAMPLE).toPandas()
     sample = sample[sample["at"].map(len) > 0].reset_index(drop=True)
     languages = sorted(set(sample["lang"]))
