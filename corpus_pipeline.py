@@ -27,13 +27,13 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text, the one with the largest id."""
-    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return exact_dedup.without_copies(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    """Of documents that links join, the one with the smallest id. An id on several rows leaves only if all of them do."""
+    ids = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = ids.where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

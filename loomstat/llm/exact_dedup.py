@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import filter_blocks, filter_cell, in_filter, with_filter
+from loomstat.llm.common import filter_blocks, filter_cell, free_name, in_filter, with_filter
 from loomstat.session import materialise
 
 
@@ -49,3 +49,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return single.unionByName(back).select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns: one row of each text.
+
+    Rows are told apart by id and text, so another text under the same id stays and
+    a null id leaves where an id with the same text is there. Where the id that stays
+    repeats with that text, any one of its rows does.
+    """
+    own = free_name(docs, "_copy")
+    who, what = f"{own}_id", f"{own}_digest"
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    extra = exact_duplicates(docs, id_col, text_col).where("not kept")
+    same = F.col(id_col).eqNullSafe(F.col("keep_id")).alias("same")
+    extra = materialise(extra.select(F.col(id_col).alias(who), F.col("text_sha256").alias(what), same).distinct(), "copies")
+    match = F.col(id_col).eqNullSafe(F.col(who)) & (digest == F.col(what))
+    repeated = docs.join(extra.where("same"), match, "left_semi").withColumn(what, digest).dropDuplicates([id_col, what])
+    return docs.join(extra, match, "left_anti").unionByName(repeated.drop(what))

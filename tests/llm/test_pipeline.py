@@ -45,3 +45,20 @@ def test_stages_take_effect(spark):
     assert clean.columns == docs.columns and clean.count() == near.count()
     packed = corpus_pipeline.pack_sequences(spark, clean, FOLDER)
     assert packed.select("doc_id").distinct().count() == clean.count()
+
+
+def test_stages_with_repeated_and_null_ids(spark):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, text[0]), (5, text[0] + " end"), (5, text[1]), (5, text[1]), (7, text[0]), (None, text[2]), (None, text[2]), (None, text[0]), (8, None), (9, "")]
+    table = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.drop_copies(spark, table, FOLDER).collect()
+    assert sorted(((r.doc_id, r.text) for r in once), key=repr) == sorted(
+        [(7, text[0]), (5, text[0] + " end"), (5, text[1]), (None, text[2]), (9, "")], key=repr
+    )
+    near = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(once, table.schema), FOLDER).collect()
+    assert sorted(((r.doc_id, r.text) for r in near), key=repr) == sorted(
+        [(5, text[0] + " end"), (5, text[1]), (None, text[2]), (9, "")], key=repr
+    )
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, table, FOLDER).collect()
+        assert stage(spark, table.limit(0), FOLDER).count() == 0
