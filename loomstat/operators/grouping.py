@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,21 +148,44 @@ def _struct(schema: T.StructType | str) -> T.StructType:
     return T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
+def _same_as_before(column: pa.Array) -> np.ndarray:
+    """For every value but the first whether it equals the one before; nulls are equal, and so are NaNs."""
+    now, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    if pa.types.is_nested(column.type):
+        return np.array([a == b for a, b in itertools.pairwise(column.to_pylist())], dtype=bool)
+    same = pc.or_(pc.fill_null(pc.equal(now, before), False), pc.and_(pc.is_null(now), pc.is_null(before)))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(before)), False))
+    return same.to_numpy(zero_copy_only=False)
+
+
+def _key_value(value: object) -> object:
+    """A key as batches compare it: every NaN is one object, hence equal to itself inside a tuple."""
+    return math.nan if isinstance(value, float) and math.isnan(value) else value
+
+
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """A batch as pandas; whole numbers beside nulls stay whole (nullable integers), not floats."""
+    pdf = batch.to_pandas()
+    for at, column in enumerate(batch.columns):
+        if pa.types.is_integer(column.type) and column.null_count:
+            pdf.isetitem(at, column.to_pandas(types_mapper={column.type: pd.Int64Dtype()}.get))
+    return pdf
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Cut key-sorted batches where the key changes: (key, rows) pieces."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        pdf = batch.to_pandas()
-        starts = np.zeros(len(pdf), dtype=bool)
-        starts[0] = True
-        for k in keys:
-            now, before = pdf[k], pdf[k].shift()
-            starts |= ((now != before) & ~(now.isna() & before.isna())).to_numpy()
-        cuts = [*np.flatnonzero(starts).tolist(), len(pdf)]
         columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        changes = np.zeros(batch.num_rows - 1, dtype=bool)
+        for column in columns:
+            changes |= ~_same_as_before(column)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        pdf = _frame(batch)
         for first, last in itertools.pairwise(cuts):
-            yield tuple(c[first].as_py() for c in columns), pdf.iloc[first:last]
+            yield tuple(_key_value(c[first].as_py()) for c in columns), pdf.iloc[first:last]
 
 
 def _as_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

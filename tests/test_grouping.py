@@ -194,6 +194,40 @@ def test_reducer_sees_null_and_mixed_keys(rows):
     assert rows.sorted(got) == sorted([(None, "a", 6), (None, None, 2), (1, "a", 3), (1, None, 4)], key=repr)
 
 
+def test_reducer_keeps_long_null_and_nan_keys_apart(spark, rows):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2")  # groups go on over batch edges
+    big, nan = 2**53, float("nan")
+    data = [(big, 1.0), (big + 1, 1.0), (None, 1.0), (None, nan), (None, nan), (None, nan), (None, nan), (None, nan), (7, None), (7, None), (7, None)]
+
+    def count(key, batches):
+        yield key[0], str(key[1]), sum(len(b) for b in batches)
+
+    try:
+        got = G.reduce_groups(rows.of(data, "x long, y double").coalesce(1), ["x", "y"], count, "x long, y string, n long")
+        found = rows.sorted(got)
+    finally:
+        spark.conf.set(key, old)
+    want = [(big, "1.0", 1), (big + 1, "1.0", 1), (None, "1.0", 1), (None, "nan", 5), (7, "None", 3)]
+    assert found == sorted(want, key=repr)
+
+
+def test_cogroup_keeps_long_values_whole(rows):
+    big = 2**53 + 1
+    left, right = rows.of([(1, big)], "k int, v long"), rows.of([(1, big + 2)], "k int, w long")
+
+    def values(key, batches):
+        v, w = None, None
+        for b in batches:
+            for x, y in zip(b["v"], b["w"]):
+                v, w = v if pd.isna(x) else int(x), w if pd.isna(y) else int(y)
+        yield key[0], v, w
+
+    got = G.reduce_cogroups({"left": left, "right": right}, ["k"], values, "k int, v long, w long")
+    assert rows.sorted(got) == [(1, big, big + 2)]
+
+
 def test_reducer_that_stops_early(spark, rows):
     def first(key, batches):
         yield key[0], int(next(batches)["v"].iloc[0])
