@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ BITS = 15
 FEATURES = 1 << BITS
 PER_LANGUAGE = 600
 MAX_SAMPLE = 20_000
-#: Languages that a model learns at most, the most frequent ones; bounds its size and a broadcast.
-MAX_LANGUAGES = 1_000
+#: Rows of each language that MAX_SAMPLE does not take away, however many languages there are.
+FEW = 10
 UNKNOWN = "und"
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -78,13 +78,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for langs, texts in text_chunks(batch.column(0), batch.column(1)):
+        for at, texts in text_chunks(pa.array(range(len(batch))), batch.column(1)):
+            langs, u = (batch.column(k).slice(at[0].as_py(), len(at)) for k in (0, 2))
             found = [ngram_counts(t) for t in texts.to_pylist()]
             offsets = pa.array(np.cumsum([0, *(len(a) for a, _ in found)]).astype(np.int32))
-            at = np.concatenate([a for a, _ in found]).astype(np.int32)
+            grams = np.concatenate([a for a, _ in found]).astype(np.int32)
             x = _weights(np.concatenate([c for _, c in found])).astype(np.float32)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (at, x)]
-            yield pa.RecordBatch.from_arrays([langs, *lists], ["lang", "at", "x"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (grams, x)]
+            yield pa.RecordBatch.from_arrays([langs, *lists, u], ["lang", "at", "x", "u"])
 
 
 @dataclass
@@ -153,6 +154,14 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[np.argmin([loss(t) for t in grid])])
 
 
+def quota(sizes: list[int], per_language: int) -> int:
+    """The most rows the sample takes of one language: as many as MAX_SAMPLE allows, but FEW at least."""
+    held, most = np.array(sizes, np.int64), per_language
+    while most > FEW and np.minimum(held, most).sum() > MAX_SAMPLE:
+        most -= 1
+    return most
+
+
 def train(
     docs: DataFrame,
     learn: Column,
@@ -169,8 +178,12 @@ def train(
     """Train on the rows where ``learn`` holds and neither text nor language is null.
 
     Document frequencies cover all those rows; ``per_language`` bounds the sample
-    for the weights (about so many rows of each language, chosen by a hash of the
-    id; MAX_SAMPLE in all, from MAX_LANGUAGES languages). Texts do not shuffle. The driver gets 2^15 counts and the sample's features.
+    for the weights (so many rows of each language, those with the smallest hash
+    of id and text; fewer where MAX_SAMPLE rows would not do, see ``quota``).
+    Every language with a letter in some text is learned, so the weights grow
+    with the number of languages (2^15 numbers each), and so does the sample
+    above MAX_SAMPLE / FEW languages. Only the sample's features shuffle. The
+    driver gets 2^15 counts, the size of each language and the sample's features.
     An empty table gives a model without languages.
     """
     rows = docs.where(learn).select(
@@ -184,10 +197,18 @@ def train(
         frequency[at] = n
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
 
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
-    chosen = rows.withColumn("u", unit_hash("id", seed=3)).join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("size") < per_language)
-    sample = chosen.select("lang", "text").mapInArrow(_examples, "lang string, at array<int>, x array<float>").limit(MAX_SAMPLE).toPandas()
-    sample = sample[sample["at"].map(len) > 0].reset_index(drop=True)
+    lettered = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", unit_hash("id", "text", seed=3).alias("u"))
+    sizes = lettered.groupBy("lang").agg(F.count("*").alias("size"), F.min("u").alias("least")).collect()
+    most = quota([r["size"] for r in sizes], per_language)
+    # More rows than needed pass the cut, so that the rank below finds ``most`` of them; the least hash always passes.
+    cuts = [(r["lang"], max((most + 5 * most**0.5 + 5) / r["size"], r["least"])) for r in sizes]
+    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, cut double")
+    # A row per language is far less than the model, which every executor holds.
+    chosen = lettered.join(F.broadcast(cuts), "lang").where(F.col("u") <= F.col("cut")).select("lang", "text", "u")
+    examples = chosen.mapInArrow(_examples, "lang string, at array<int>, x array<float>, u double").where(F.size("at") > 0)
+    ranked = examples.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("u")))
+    sample = ranked.where(F.col("_r") <= most).drop("_r").toPandas()
+    sample = sample.sort_values(["lang", "u"], ignore_index=True)
     languages = sorted(set(sample["lang"]))
     place = {lang: k for k, lang in enumerate(languages)}
     data = []
@@ -197,7 +218,7 @@ def train(
         data.append((at, x / np.linalg.norm(x), place[lang]))
     if not data:
         return LanguageModel([], idf.astype(np.float32), np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
-    apart = np.arange(len(data)) % 5 == 4
+    apart = (sample.groupby("lang").cumcount() % 5 == 4).to_numpy()
     weights, intercepts = _ftrl([d for d, a in zip(data, apart) if not a], len(languages), epochs, alpha, beta, l1, l2)
     kept = [d for d, a in zip(data, apart) if a]
     logits = np.array([x @ weights[at] + intercepts for at, x, _ in kept]).reshape(len(kept), len(languages))

@@ -145,6 +145,22 @@ def test_language(spark, empty, docs):
     assert {(r.lang_pred, r.score) for r in blank} == {("und", 0.0)}
 
 
+def test_language_sample_reaches_every_language(spark, monkeypatch):
+    assert language.quota([1_000_000] * 4, 600) == 600 and language.quota([1000] * 40 + [1] * 500, 600) == 487
+    assert language.quota([1000] * 5000, 600) == language.FEW
+    monkeypatch.setattr(language, "MAX_SAMPLE", 120)
+    # Ordered by language, as a corpus put together from sources is; the last language has one row.
+    rows = [(i, f"w{chr(97 + i // 40) * 3} " * 6, f"l{i // 40:02}") for i in range(480)] + [(999, "zyx zyx", "rare")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), F.lit(True))
+    assert model.languages == [*(f"l{k:02}" for k in range(12)), "rare"]
+
+
+def test_language_learns_rare_languages(spark):
+    rows = [(i, f"text number {i}", f"l{i}") for i in range(1003)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), epochs=0)
+    assert len(model.languages) == 1003
+
+
 def test_exact_duplicates(docs, empty, spark):
     got = exact_dedup.exact_duplicates(docs).collect()
     assert len(got) == len(TEXTS) + 2
