@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from loomstat.functions import status as ST
 from loomstat.functions.ordering import natural_key
-from loomstat.operators.lists import short_list
 from loomstat.operators.ranking import position_in_group
 
 
@@ -117,25 +116,17 @@ def check_one(snapshot: DataFrame, hosts: DataFrame, metric: str, operator: str,
     return joined.select("host", F.lit(metric).alias("metric"), F.col("_v.value").alias("value"), state.alias("status"))
 
 
-def _against(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row per (host, check), value null when the host lacks the metric.
+def check_many(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
+    """Every check (metric, operator, limit_value) on every host: status per check.
 
-    The checks ride as one array value (they are a configuration list). Each
-    host keeps a map of just the checked metrics, so the snapshot is read once
-    and no host is paired with a check by a join.
+    The value is null when the host lacks the metric. The result has a row for
+    every host and check, so the two are crossed; values meet them on (host, metric).
     """
-    as_list = short_list(checks, F.struct(*checks.columns), limit=10_000)
-    names = short_list(checks.select("metric").distinct(), F.col("metric"), limit=10_000)
-    checked = F.array_contains(names, F.col("metric"))
-    per_host = snapshot.groupBy("host").agg(F.collect_list(F.when(checked, F.struct("metric", "value"))).alias("_v"))
-    rows = per_host.select("host", F.map_from_entries("_v").alias("_m"), F.explode(as_list).alias("_c"))
-    return rows.select("host", "_c.*", F.try_element_at("_m", F.col("_c.metric")).alias("value"))
-
-
-def check_many(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
-    """Every check (metric, operator, limit_value) on every host: status per check."""
+    asked = snapshot.select("host").distinct().crossJoin(checks.select("metric", "operator", "limit_value"))
+    values = snapshot.select(F.col("host").alias("_h"), F.col("metric").alias("_m"), "value")
+    rows = asked.join(values, F.col("host").eqNullSafe(F.col("_h")) & (F.col("metric") == F.col("_m")), "left")
     state = ST.threshold_status(F.col("operator"), F.col("value"), F.col("limit_value"))
-    return _against(snapshot, checks).select("host", "metric", "value", state.alias("status"))
+    return rows.select("host", "metric", "value", state.alias("status"))
 
 
 def summarise_checks(results: DataFrame) -> DataFrame:
@@ -158,7 +149,7 @@ def check_levels(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
     level = ST.two_level_status(
         F.col("value"), F.col("warn_op"), F.col("warn_limit"), F.col("crit_op"), F.col("crit_limit")
     )
-    rows = _against(snapshot, checks).withColumn("_s", level)
+    rows = snapshot.join(checks.withColumn("_c", F.lit(True)), "metric", "left").withColumn("_s", F.when(F.col("_c"), level))
     counts = rows.groupBy("host").agg(*[F.count_if(F.col("_s") == s).alias(n) for s, n in (
         (ST.OK, "n_ok"), (ST.WARNING, "n_warning"), (ST.CRITICAL, "n_critical"))])
     worst = (

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import normalised_tokens
-from loomstat.operators.lists import short_list
 from loomstat.plans.vectors import analyzed_grams, document_frequencies, term_frequencies, tf_idf
 from loomstat.session import materialise
 
@@ -96,19 +95,17 @@ def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float =
     """Σ w·ln((W_lf + α)/(W_l + α·F)) for every document and label.
 
     Terms a label has never seen contribute w·ln(α/(W_l + α·F)); that part is a
-    per-label constant times the document's total weight. The labels ride along
-    as one short array.
+    per-label constant times the document's total weight. The result has a row for
+    every document and label, so the two are crossed.
     """
     if alpha <= 0:
         raise ValueError("alpha must be positive")
     n_terms = model.agg(F.count_distinct("term").alias("f")).scalar()
     labels = model.groupBy("label").agg(F.sum("weight").alias("_w"))
     floor = F.lit(alpha) / (F.col("_w") + F.lit(alpha) * n_terms)
-    floors = short_list(labels, F.struct("label", floor.alias("floor")))
+    floors = labels.select("label", F.ln(floor).alias("_floor"))
     per_doc = vectors.groupBy(doc).agg(F.sum("weight").alias("_total"))
-    base = per_doc.select(doc, "_total", F.explode(floors).alias("_l")).select(
-        doc, F.col("_l.label").alias("label"), (F.col("_total") * F.ln("_l.floor")).alias("_base")
-    )
+    base = per_doc.crossJoin(floors).select(doc, "label", (F.col("_total") * F.col("_floor")).alias("_base"))
     gain = F.ln((F.col("_mw") + F.lit(alpha)) / F.lit(alpha))
     known = model.select("term", "label", F.col("weight").alias("_mw"))
     matched = vectors.join(known, "term").groupBy(doc, "label").agg(F.sum(F.col("weight") * gain).alias("_gain"))

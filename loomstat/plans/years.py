@@ -1,7 +1,7 @@
 """Which year does a phrase come from: three scorers over word counts per year.
 
-``counts`` holds one row per (word, year) with ``count``. "Year" is any category
-with a bounded number of values. Queries come as a batch ``(query_id, text)``.
+``counts`` holds one row per (word, year) with ``count``. "Year" is any category,
+with any number of values. Queries come as a batch ``(query_id, text)``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from loomstat.functions import stats
 from loomstat.functions.casting import lenient_number
 from loomstat.functions.text import query_terms, strip_pos, strip_unicode_punctuation, tokens
 from loomstat.operators.joins import keep_terms
-from loomstat.operators.lists import short_list
 
 log = logging.getLogger(__name__)
 
@@ -86,9 +85,8 @@ def matched_counts(counts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _every_year(queries: DataFrame, totals: DataFrame, *columns: str) -> DataFrame:
-    """One row per (query, year): the result grid. The years travel as one array."""
-    years = short_list(totals, F.struct("year", *columns))
-    return queries.select("query_id", F.explode(years).alias("_y")).select("query_id", "_y.*")
+    """One row per (query, year): the result grid, which is as large as the result itself."""
+    return queries.select("query_id").crossJoin(totals.select("year", *columns))
 
 
 def bm25(

@@ -145,3 +145,12 @@ def test_used_memory_optional_parts(rows):
     assert M.used_memory(wide, 1).head()["mem_used"] == 50.0
     more = wide.withColumns({"mem_buffers": F.lit(60.0), "mem_shared": F.lit(None).cast("double")})
     assert M.used_memory(more, 1).head()["mem_used"] == 0.0
+
+
+def test_no_bound_on_checks(df, spark):
+    checks = spark.range(10_001).select(F.concat(F.lit("m"), "id").alias("metric"), F.lit("more").alias("operator"), F.lit(2.5).alias("limit_value"))
+    checks = checks.union(spark.sql("select 'load', 'more', 2.5"))
+    got = {r["host"]: (r["n_critical"], r["n_ok"], r["n_unknown"]) for r in M.summarise_checks(M.check_many(M.latest(df), checks)).collect()}
+    assert got == {"a": (1, 0, 10_001), "B2": (1, 0, 10_001), "b": (0, 1, 10_001)}
+    levels = checks.selectExpr("metric", "'more' warn_op", "1.5D warn_limit", "'more' crit_op", "3.5D crit_limit")
+    assert {r["host"]: r["n_warning"] for r in M.check_levels(M.latest(df), levels).collect()} == {"a": 1, "B2": 1, "b": 1}

@@ -238,3 +238,15 @@ def test_nearest_n_and_split(ratings):
     again, _ = REC.split_ratings(df, 90, seed=4)
     assert train.exceptAll(again).count() == 0
     assert REC.evaluate(df, seeds=(1, 2), train_percent=70).count() == 2
+
+
+def test_no_bound_on_years_and_labels(spark, rows):
+    n = 100_001
+    ids = spark.range(n)
+    counts = ids.select(F.lit("war").alias("word"), F.col("id").alias("year"), (F.col("id") + 1).alias("count"))
+    q = rows.of([("q", "war"), ("r", "peace")], "query_id string, text string")
+    for grid in (Y.bm25(counts, q), Y.nearest_years(counts, q), Y.squared_distances(counts, q)):
+        assert grid.agg(F.count("*"), F.count_distinct("year")).head()[:] == (2 * n, n)
+    model = ids.select(F.col("id").cast("string").alias("label"), F.lit("a").alias("term"), F.lit(1.0).alias("weight"))
+    vectors = rows.of([(1, "a", 1.0), (2, "zz", 1.0)], "id int, term string, weight double")
+    assert B.score_weights(model, vectors, "id").agg(F.count("score"), F.count_distinct("label")).head()[:] == (2 * n, n)
