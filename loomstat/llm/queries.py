@@ -91,6 +91,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
         *[count(k) for k in pii.KINDS[:4]],
         F.sha2(pii.span_list(base), 256).alias("base_sha256"),
         pii.span_list(F.col("pii")).alias("spans"),
+        F.transform("pii", lambda s: s["score"]).alias("scores"),
     )
 
 

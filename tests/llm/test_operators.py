@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomstat.llm import bpe, components, exact_dedup, language, near_dedup, packing, pii, quality, sharding, topk, toxicity
+from loomstat.llm import bpe, components, exact_dedup, language, near_dedup, packing, pii, quality, queries, sharding, topk, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, id string, n long, _text string, score string"
@@ -336,3 +336,11 @@ def test_pii_matches_brute_force(spark, docs, empty):
     assert pii.find_pii(empty).count() == 0
     clean = {r.doc_id: r.text for r in pii.redact(pii.find_pii(docs)).collect()}
     assert clean[14] == "IBAN <IBAN> ok" and clean[0] is None and clean[11] == "mail me at <EMAIL> or <PHONE>, <IP>"
+
+
+def test_pii_query_returns_scores(spark, tmp_path):
+    texts = ["call a@b.org now", "email: a@b.org", "nothing", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    assert all(len(r.scores) == len([s for s in r.spans.split(",") if s]) for r in got.values())
+    assert got[0].scores and got[1].scores[0] > got[0].scores[0] and got[2].scores == [] == got[3].scores
