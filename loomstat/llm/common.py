@@ -19,6 +19,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def exact_columns(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns by exact name, also beside columns whose names differ only by case."""
+    at = [df.columns.index(name) for name in names]
+    return df.toDF(*[f"_c{k}" for k in range(len(df.columns))]).select(*[F.col(f"_c{k}").alias(n) for k, n in zip(at, names)])
+
+
 def crc_of_id(id_col: str) -> Column:
     """crc32 of an id written as text: the rule that splits training from held-out rows."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import bpe, exact_dedup, language, near_dedup, packing, pii, quality, sharding, topk, toxicity
+from loomstat.llm import bpe, exact_dedup, language, near_dedup, packing, pii, quality, sharding, source_divergence, topk, toxicity
 from loomstat.llm.common import crc_of_id
 
 VOCABULARY = "word_bpe_49k.json"
@@ -95,6 +95,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.source_divergence(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -135,14 +139,46 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
 """
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+whole AS (SELECT lang, sum(n) AS n FROM total GROUP BY lang),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(total.n, 0) + 5 * v)::HUGEINT AS p
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN total USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c.n) + 5)) // (any_value(whole.n) + 5 * any_value(v))::HUGEINT AS q
+      FROM c JOIN whole USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+out AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM out)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM r WHERE part = 'pair' OR place <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_near_duplicates, op2_bpe, op3_language, op4_exact_duplicates, op5_quality, op6_packing, op7_toxicity,
-        op8_sharding, op9_top_k, op10_pii, pipeline,
+        op8_sharding, op9_top_k, op10_pii, op13_source_divergence, pipeline,
     )
     return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": NEAR_SQL.strip(), "op4_exact_duplicates": EXACT_SQL.strip(), "op9_top_k": TOP_K_SQL.strip()}
+    sql = {
+        "op1_near_duplicates": NEAR_SQL,
+        "op4_exact_duplicates": EXACT_SQL,
+        "op9_top_k": TOP_K_SQL,
+        "op13_source_divergence": DIVERGENCE_SQL,
+    }
+    return {name: text.strip() for name, text in sql.items()}
