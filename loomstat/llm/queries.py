@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import bpe, exact_dedup, language, near_dedup, packing, pii, quality, sharding, source_divergence, topk, toxicity
+from loomstat.llm import bpe, exact_dedup, language, near_dedup, packing, pii, quality, quality_rules, sharding, source_divergence, topk, toxicity
 from loomstat.llm.common import crc_of_id
 
 VOCABULARY = "word_bpe_49k.json"
@@ -95,6 +95,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.source_divergence(_table(spark, folder, "documents"))
 
@@ -139,6 +143,53 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
 """
 
+RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+n AS (SELECT r, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars FROM w),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT step) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS step FROM twice) GROUP BY r),
+s AS (SELECT d.r, doc_id, lang, n_words, CAST(word_chars AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      FROM d JOIN n USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+grid AS (SELECT * FROM (VALUES {grid}) AS x(rule, step, cutoff)),
+v AS (SELECT r, lang, 'long_words' AS rule, 1000 * word_chars // greatest(n_words, 1) AS value FROM b WHERE NOT base_failed
+      UNION ALL SELECT r, lang, 'short_words', -(1000 * word_chars // greatest(n_words, 1)) FROM b WHERE NOT base_failed
+      UNION ALL SELECT r, lang, 'symbols', 1000 * n_symbols // greatest(n_words, 1) FROM b WHERE NOT base_failed
+      UNION ALL SELECT r, lang, 'repeated_lines', 1000 * n_dup_lines // greatest(n_lines, 1) FROM b WHERE NOT base_failed
+      UNION ALL SELECT r, lang, 'repeated_words', 1000 * n_repeat_words // greatest(n_words, 1) FROM b WHERE NOT base_failed
+      UNION ALL SELECT r, lang, 'few_words', -n_words FROM b WHERE NOT base_failed),
+mark AS (SELECT doc_id, bool_and(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT v.*, good FROM v JOIN b USING (r) JOIN mark ON mark.doc_id = b.doc_id),
+c AS (SELECT held.lang, grid.rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND value > cutoff) AS k,
+        count(*) FILTER (NOT good AND value > cutoff) AS hits FROM held JOIN grid USING (rule) GROUP BY ALL),
+tests AS (SELECT count(DISTINCT coalesce(lang, chr(0))) * {rules} AS n FROM held),
+p AS (SELECT lang, rule, step, cutoff, hits, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+        exp(lgamma(n + 1) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({part}) + (n - i) * ln(1 - {part})))) END AS tail FROM c),
+chain AS (SELECT *, bool_and(tail <= {delta} / (SELECT n FROM tests)) OVER (PARTITION BY lang, rule ORDER BY step) AS certified FROM p),
+chosen AS (SELECT lang, rule, cutoff FROM chain WHERE certified AND hits > 0
+           QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY hits DESC, step) = 1),
+out AS (SELECT DISTINCT r, v.rule FROM v JOIN chosen ON v.rule = chosen.rule AND v.lang IS NOT DISTINCT FROM chosen.lang WHERE value > cutoff),
+names AS (SELECT r, string_agg(out.rule, ',' ORDER BY place) AS rejected_by
+          FROM out JOIN (SELECT rule, row_number() OVER () AS place FROM (VALUES {names}) AS x(rule)) USING (rule) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN names USING (r)
+"""
+
+
+def rules_sql(risk: float = 0.02, delta: float = 0.05) -> str:
+    """The twin of ``op11_quality_rules``: a rule that rejects small values takes both sides with the sign turned."""
+    rules = quality_rules.RULES
+    grid = ", ".join(f"('{r.name}', {k}, {c if r.above else -c})" for r in rules for k, c in enumerate(r.cutoffs))
+    names = ", ".join(f"('{r.name}')" for r in rules)
+    return RULES_SQL.format(grid=grid, names=names, rules=len(rules), part=f"({risk}::DOUBLE / {len(rules)})", delta=f"{delta}::DOUBLE")
+
+
 DIVERGENCE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -169,7 +220,7 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS I
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_near_duplicates, op2_bpe, op3_language, op4_exact_duplicates, op5_quality, op6_packing, op7_toxicity,
-        op8_sharding, op9_top_k, op10_pii, op13_source_divergence, pipeline,
+        op8_sharding, op9_top_k, op10_pii, op11_quality_rules, op13_source_divergence, pipeline,
     )
     return {q.__name__: q for q in own}
 
@@ -179,6 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_near_duplicates": NEAR_SQL,
         "op4_exact_duplicates": EXACT_SQL,
         "op9_top_k": TOP_K_SQL,
+        "op11_quality_rules": rules_sql(),
         "op13_source_divergence": DIVERGENCE_SQL,
     }
     return {name: text.strip() for name, text in sql.items()}
