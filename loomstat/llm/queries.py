@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm import bpe, exact_dedup, language, near_dedup, packing, pii, quality, quality_rules, sharding, source_divergence, topk, toxicity
+from loomstat.llm import bpe, exact_dedup, hard_negatives, language, near_dedup, packing, pii, quality, quality_rules, sharding, source_divergence, topk, toxicity
 from loomstat.llm.common import crc_of_id
 
 VOCABULARY = "word_bpe_49k.json"
@@ -99,6 +99,12 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.source_divergence(_table(spark, folder, "documents"))
 
@@ -143,6 +149,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
 """
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS place
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 10
+"""
+
 RULES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -220,7 +240,7 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS I
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_near_duplicates, op2_bpe, op3_language, op4_exact_duplicates, op5_quality, op6_packing, op7_toxicity,
-        op8_sharding, op9_top_k, op10_pii, op11_quality_rules, op13_source_divergence, pipeline,
+        op8_sharding, op9_top_k, op10_pii, op11_quality_rules, op12_hard_negatives, op13_source_divergence, pipeline,
     )
     return {q.__name__: q for q in own}
 
@@ -231,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_duplicates": EXACT_SQL,
         "op9_top_k": TOP_K_SQL,
         "op11_quality_rules": rules_sql(),
+        "op12_hard_negatives": NEGATIVES_SQL,
         "op13_source_divergence": DIVERGENCE_SQL,
     }
     return {name: text.strip() for name, text in sql.items()}
