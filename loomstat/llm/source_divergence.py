@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,99 +26,132 @@ CELLS = 400_000
 #: Terms of a bucket on average, and sources of a block: what one cell of the last step holds.
 TERMS, SOURCES = 4_096, 256
 _PIECE = 1 << 20
-_ROWS = 4_096
+_ROWS = 16_384
 _STRIPE = "lang string, term binary, df long, sources array<string>, counts array<long>"
-_DOCS = None  # the key of the document frequency inside a stripe; sources are strings
 
 #: A-Z to a-z; every other ASCII character that is no letter becomes a blank. Bytes from 128 on stay.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def term_counts(text: bytes) -> Counter:
-    """How often each term occurs in one UTF-8 text, read piece by piece."""
-    text, found, start = text.translate(_LETTERS), Counter(), 0
+def pieces(text: bytes, size: int = _PIECE) -> Iterator[list[bytes]]:
+    """The terms of one UTF-8 text, in lists of about ``size`` bytes of text."""
+    text, start = text.translate(_LETTERS), 0
     while start < len(text):
-        stop = text.find(b" ", start + _PIECE)
+        stop = text.find(b" ", start + size)
         stop = len(text) if stop < 0 else stop
-        found.update(text[start:stop].split())
+        yield text[start:stop].split()
         start = stop
-    return found
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, df, stripes = zip(*rows)
-    offsets = np.cumsum([0, *map(len, stripes)]).astype(np.int32)
-    sources = pa.array([s for stripe in stripes for s in stripe], pa.string())
-    counts = pa.array([n for stripe in stripes for n in stripe.values()], pa.int64())
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), values) for values in (sources, counts)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), pa.array(term, pa.binary()), pa.array(df, pa.int64()), *lists], ["lang", "term", "df", "sources", "counts"]
-    )
+def _lists(sizes: np.ndarray, *values: pa.Array) -> list[pa.Array]:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, v) for v in values]
 
 
-def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == _ROWS:
-            yield _rows(held)
-            held = []
-    if held:
-        yield _rows(held)
+def _batches(lang: pa.Array, term: pa.Array, df: pa.Array, lists: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays([lang, term, df, *lists], ["lang", "term", "df", "sources", "counts"])
+    for at in range(0, len(batch), _ROWS):
+        yield batch.slice(at, _ROWS)
 
 
-def fold(cells: int = CELLS):
-    """The map side: batches of (lang, source, text) to stripes, with a hash of at most about ``cells`` cells."""
+class Stripes:
+    """The stripes of one language, by column: document frequencies, and one hash of counts per source."""
+
+    def __init__(self) -> None:
+        self.df: Counter = Counter()
+        self.by_source: dict[str, Counter] = {}
+
+    def add(self, source: str, text: bytes) -> int:
+        """Fold one document in; returns how many cells that made."""
+        counts, terms = self.by_source.setdefault(source, Counter()), set()
+        before = len(counts) + len(self.df)
+        for found in pieces(text):
+            counts.update(found)
+            terms.update(found)
+        self.df.update(terms)
+        return len(counts) + len(self.df) - before
 
-    def spilled(stripes: dict) -> Iterator[tuple]:
-        for lang, terms in stripes.items():
-            for term, stripe in terms.items():
-                df = stripe.pop(_DOCS)
-                yield lang, term, df, stripe
+    def spill(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """One row per term with its whole stripe."""
+        if not self.df:
+            return
+        place = dict(zip(self.df, range(len(self.df))))
+        held = [(k, c) for k, c in enumerate(self.by_source.values())]
+        row = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for _, c in held])
+        count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for _, c in held])
+        source = np.repeat([k for k, _ in held], [len(c) for _, c in held])
+        order = np.argsort(row, kind="stable")
+        lists = _lists(np.bincount(row, minlength=len(place)), pa.array(list(self.by_source), pa.string()).take(pa.array(source[order])), pa.array(count[order]))
+        yield from _batches(pa.repeat(lang, len(place)), pa.array(list(place), pa.binary()), pa.array(self.df.values(), pa.int64()), lists)
+
+
+def fold(cells: int = CELLS):
+    """The map side: batches of (lang, source, text) to stripes, with hashes of at most about ``cells`` cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes, size = {}, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2)):
-                terms = stripes.setdefault(lang, {})
-                for term, n in term_counts(text.as_py()).items():
-                    stripe = terms.get(term)
-                    if stripe is None:
-                        terms[term] = {_DOCS: 1, source: n}
-                        size += 2
-                    elif source in stripe:
-                        stripe[_DOCS] += 1
-                        stripe[source] += n
-                    else:
-                        stripe[_DOCS] += 1
-                        stripe[source] = n
-                        size += 1
+                size += stripes.setdefault(lang, Stripes()).add(source, text.as_py())
                 if size >= cells:
-                    yield from _batched(spilled(stripes))
+                    for name, held in stripes.items():
+                        yield from held.spill(name)
                     stripes, size = {}, 0
-        yield from _batched(spilled(stripes))
+        for name, held in stripes.items():
+            yield from held.spill(name)
 
     return run
 
 
+def _merged(batch: pa.RecordBatch, starts: np.ndarray, df: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys of one batch, each as one row; those below ``least`` documents are not looked into."""
+    ends = np.append(starts[1:], len(batch))
+    kept = np.flatnonzero(df >= least)
+    if not len(kept):
+        return
+    sizes = ends[kept] - starts[kept]
+    rows = np.repeat(starts[kept] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    held = batch.take(pa.array(rows))
+    sources, counts = (held.column(k) for k in (3, 4))
+    run = np.repeat(np.repeat(np.arange(len(kept)), sizes), np.asarray(sources.value_lengths()))
+    names = sources.flatten().dictionary_encode()
+    cell, at = np.unique(run * len(names.dictionary) + np.asarray(names.indices), return_inverse=True)
+    sums = np.zeros(len(cell), np.int64)
+    np.add.at(sums, at, np.asarray(counts.flatten()))
+    run, source = np.divmod(cell, len(names.dictionary))
+    firsts = batch.take(pa.array(starts[kept]))
+    lists = _lists(np.bincount(run, minlength=len(kept)), names.dictionary.take(pa.array(source)), pa.array(sums))
+    yield from _batches(firsts.column(0), firsts.column(1), pa.array(df[kept]), lists)
+
+
 def merge(least: int):
-    """The reduce side: key-sorted stripes to one stripe per key, those of at least ``least`` documents."""
+    """The reduce side: key-sorted stripes to one stripe per key, those of at least ``least`` documents.
+
+    Runs that lie inside a batch are merged together; the last run of a batch may go on
+    in the next one and is carried as one merged row.
+    """
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, df, stripe = None, 0, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(column.to_pylist() for column in batch.columns)):
-                if key != (lang, term):
-                    if df >= least and key is not None:
-                        yield *key, df, stripe
-                    key, df, stripe = (lang, term), 0, {}
-                df += n
-                for source, count in zip(sources, counts):
-                    stripe[source] = stripe.get(source, 0) + count
-        if df >= least and key is not None:
-            yield *key, df, stripe
-
-    return lambda batches: _batched(merged(batches))
+            if not len(batch):
+                continue
+            if carried is not None:
+                both = [pa.Table.from_batches([carried]).cast(batch.schema), pa.Table.from_batches([batch])]
+                batch = pa.concat_tables(both).combine_chunks().to_batches()[0]
+            lang, term = batch.column(0), batch.column(1)
+            n = len(batch)
+            differs = pc.or_(pc.not_equal(lang.slice(1), lang.slice(0, n - 1)), pc.not_equal(term.slice(1), term.slice(0, n - 1)))
+            starts = np.append(0, np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1)
+            df = np.add.reduceat(batch.column(2).to_numpy(), starts)
+            last = int(starts[-1])
+            if last:
+                yield from _merged(batch.slice(0, last), starts[:-1], df[:-1], least)
+            carried = next(_merged(batch.slice(last), np.zeros(1, np.int64), df[-1:], 0))
+        if carried is not None and carried.column(2)[0].as_py() >= least:
+            yield carried
+
+    return run
 
 
 def billionths(count: np.ndarray, total: np.ndarray, terms: np.ndarray) -> np.ndarray:
