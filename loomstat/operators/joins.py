@@ -85,41 +85,84 @@ def regex_matches(
     return left.join(right, same & found).drop("_chunk", "_slice")
 
 
-def touching(events: DataFrame, start: Column, end: Column, host: Column | None = None) -> DataFrame:
-    """Events overlapping one window, clipped to it.
+def touching(events: DataFrame, start: Column | None = None, end: Column | None = None, host: Column | None = None) -> DataFrame:
+    """Events overlapping one window, clipped to it; a side that is not given is open.
 
     An event without an end is a moment: it counts when it starts inside the
     window, and its clipped end stays null. With ``host`` given, the event's ``host_regex`` must be found in it.
     """
     s, e = F.col("start_ts"), F.col("end_ts")
-    inside = F.when(e.isNull(), (s >= start) & (s <= end)).otherwise((e >= start) & (s <= end))
+    inside, starts_inside = s.isNotNull(), F.lit(True)
+    if start is not None:
+        inside, starts_inside = inside & (F.coalesce(e, s) >= start), s >= start
+    if end is not None:
+        inside = inside & (s <= end)
     if host is not None:
         inside = inside & F.rlike(host, F.col("host_regex"))
     return events.where(inside).withColumns(
-        {"clip_start": F.greatest(s, start), "clip_end": F.when(e.isNotNull(), F.least(e, end)), "starts_inside": s >= start}
+        {
+            "clip_start": s if start is None else F.greatest(s, start),
+            "clip_end": e if end is None else F.when(e.isNotNull(), F.least(e, end)),
+            "starts_inside": starts_inside,
+        }
     )
 
 
+def _levelled(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
+    """Rows with a non-empty range as (row, start, end, level): 2^level is the least power that the range's length fits."""
+    s, e = F.col(start).cast("bigint"), F.coalesce(F.col(end), F.col(start)).cast("bigint")
+    level = F.when(e == s, F.lit(0)).otherwise(F.length(F.bin(e - s)))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    out = df.where(s.isNotNull() & (s <= e))
+    return out.select(row.alias(f"{side}row"), s.alias(f"{side}s"), e.alias(f"{side}e"), level.cast("int").alias(f"{side}level"))
+
+
+def _levels(df: DataFrame, side: str) -> Column:
+    """The levels in use, at most 64 numbers, as a scalar."""
+    return df.agg(F.collect_set(f"{side}level")).scalar()
+
+
+def _keyed(df: DataFrame, side: str, others: Column) -> DataFrame:
+    """Each row under (level, bucket) at its own level and at the higher levels of the other side: two buckets a level at most."""
+    own = F.col(f"{side}level")
+    at = df.withColumn("level", F.explode(F.array_union(F.array(own), others))).where(F.col("level") >= own)
+    first, last = (F.call_function("shiftright", F.col(f"{side}{end}"), F.col("level")) for end in "se")
+    return at.withColumn("bucket", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+
+
 def overlap_join(
-    left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: int, also: Column | None = None
+    left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], also: Column | None = None, slice_rows: int = 4096
 ) -> DataFrame:
-    """Pairs whose closed integer ranges overlap, by buckets of ``width``.
-
-    Both sides are copied into the buckets they touch and joined on the bucket;
-    a pair is kept only in the bucket where its overlap begins, so it appears
-    once. Choose ``width`` near the usual range length.
+    """Pairs whose closed ranges of whole numbers overlap, all columns of both sides.
+
+    An end that is null makes the range a moment, its start. A null start, or an end before the
+    start, matches nothing. ``also`` is a further condition on the columns of both
+    sides; the sides must not share column names.
+
+    Intervals in levels: a range lies on the level whose buckets are at least as
+    long as it, so it touches two buckets at most, however long it is. Ranges of two levels
+    meet in the buckets of the higher one, and a pair is taken where its overlap
+    begins. A year beside a second costs the year nothing and the second one more
+    key. A bucket with more rows than ``slice_rows`` on a side is cut into slices by a
+    row hash, each slice of one side meeting each of the other in a key of its own.
     """
-    (ls, le), (rs, re_) = left_range, right_range
-
-    def bucket(c: Column) -> Column:
-        return F.floor(c / F.lit(width)).cast("bigint")
-
-    lb = left.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(ls)), bucket(F.col(le)))))
-    rb = right.withColumn("_rbucket", F.explode(F.sequence(bucket(F.col(rs)), bucket(F.col(re_)))))
-    pair = (
-        (lb["_bucket"] == rb["_rbucket"])
-        & (lb[ls] <= rb[re_])
-        & (rb[rs] <= lb[le])
-        & (lb["_bucket"] == bucket(F.greatest(lb[ls], rb[rs])))
-    )
-    return lb.join(rb, pair if also is None else pair & also).drop("_bucket", "_rbucket")
+    shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
+    if shared:
+        raise ValueError(f"both sides have {sorted(shared)}")
+    sides = {"l": _levelled(left, *left_range, "l"), "r": _levelled(right, *right_range, "r")}
+    keyed = {side: _keyed(df, side, _levels(sides["r" if side == "l" else "l"], "r" if side == "l" else "l")) for side, df in sides.items()}
+    keys = ["level", "bucket"]
+    # Busy buckets only: each side counted before its rows move, a key that one side lacks is left out.
+    counts = {side: df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(slice_rows)).cast("int").alias(f"{side}n")) for side, df in keyed.items()}
+    busy = counts["l"].join(counts["r"], keys).where((F.col("ln") > 1) | (F.col("rn") > 1))
+    parts = {}
+    for side, other in (("l", "r"), ("r", "l")):
+        rows = keyed[side].join(busy, keys, "left")
+        mine, theirs = (F.coalesce(f"{x}n", F.lit(1)) for x in (side, other))
+        rows = rows.withColumn(f"{side}slice", F.pmod(F.xxhash64(f"{side}row"), mine).cast("int"))
+        parts[side] = rows.withColumn(f"{other}slice", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("ln", "rn")
+    joined = parts["l"].join(parts["r"], [*keys, "lslice", "rslice"])
+    begins = F.call_function("shiftright", F.greatest("ls", "rs"), F.col("level")) == F.col("bucket")
+    here = F.greatest("llevel", "rlevel") == F.col("level")
+    found = joined.where(here & begins & (F.col("ls") <= F.col("re")) & (F.col("rs") <= F.col("le"))).select("lrow.*", "rrow.*")
+    return found if also is None else found.where(also)

@@ -117,25 +117,35 @@ def check_one(snapshot: DataFrame, hosts: DataFrame, metric: str, operator: str,
 
 
 def check_many(snapshot: DataFrame, checks: DataFrame) -> DataFrame:
-    """Every check (metric, operator, limit_value) on every host: status per check.
+    """Every check (metric, operator, limit_value) on every host: host, metric, value, status, n_checks.
 
-    The value is null when the host lacks the metric. The result has a row for
-    every host and check, so the two are crossed; values meet them on (host, metric).
+    A row per check whose metric the host has (``n_checks`` 1), and one per host for all
+    checks whose metric it lacks: metric and value null, UNKNOWN, and how many they are. Values
+    meet checks on the metric, so hosts and checks are not crossed.
     """
-    asked = snapshot.select("host").distinct().crossJoin(checks.select("metric", "operator", "limit_value"))
-    values = snapshot.select(F.col("host").alias("_h"), F.col("metric").alias("_m"), "value")
-    rows = asked.join(values, F.col("host").eqNullSafe(F.col("_h")) & (F.col("metric") == F.col("_m")), "left")
+    n = checks.agg(F.count("*").alias("n")).scalar()
+    asked = checks.select(F.col("metric").alias("_m"), "operator", "limit_value")
+    rows = snapshot.select("host", "metric", "value").join(asked, F.col("metric") == F.col("_m"))
     state = ST.threshold_status(F.col("operator"), F.col("value"), F.col("limit_value"))
-    return rows.select("host", "metric", "value", state.alias("status"))
+    known = rows.select("host", "metric", "value", state.alias("status"), F.lit(1).cast("bigint").alias("n_checks"))
+    kinds = {f.name: f.dataType for f in snapshot.schema}
+    found = F.count(F.col("_m"))
+    rest = snapshot.select("host", "metric").join(asked.select("_m"), F.col("metric") == F.col("_m"), "left")
+    rest = rest.groupBy("host").agg((n - found).alias("n_checks")).where("n_checks > 0")
+    rest = rest.select(
+        "host", F.lit(None).cast(kinds["metric"]).alias("metric"), F.lit(None).cast(kinds["value"]).alias("value"), F.lit(ST.UNKNOWN).alias("status"), "n_checks"
+    )
+    return known.unionByName(rest)
 
 
 def summarise_checks(results: DataFrame) -> DataFrame:
     """Per host: counts by status, CRITICAL if anything is not OK."""
+    n = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n_checks"))), F.lit(0).cast("bigint"))
     bad = F.count_if(F.col("status") != ST.OK)
     return results.groupBy("host").agg(
-        F.count_if(F.col("status") == ST.OK).alias("n_ok"),
-        F.count_if(F.col("status") == ST.CRITICAL).alias("n_critical"),
-        F.count_if(F.col("status") == ST.UNKNOWN).alias("n_unknown"),
+        n(ST.OK).alias("n_ok"),
+        n(ST.CRITICAL).alias("n_critical"),
+        n(ST.UNKNOWN).alias("n_unknown"),
         F.when(bad == 0, F.lit(ST.OK)).otherwise(F.lit(ST.CRITICAL)).alias("status"),
     )
 

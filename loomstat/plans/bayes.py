@@ -92,11 +92,14 @@ def validate_weights(model: DataFrame, alpha: float) -> DataFrame:
 
 
 def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float = 1.0) -> DataFrame:
-    """Σ w·ln((W_lf + α)/(W_l + α·F)) for every document and label.
-
-    Terms a label has never seen contribute w·ln(α/(W_l + α·F)); that part is a
-    per-label constant times the document's total weight. The result has a row for
-    every document and label, so the two are crossed.
+    """Σ w·ln((W_lf + α)/(W_l + α·F)) of the labels that share a term with the document.
+
+    Terms a label has never seen contribute w·ln(α/(W_l + α·F)): a constant of the
+    label, its floor, times the document's total weight. A label without a shared term
+    has that floor alone, so of these only the best is returned, as one row per document with
+    ``matched`` false: the label of the greatest floor (ties to the smaller). Where that
+    label shares a term itself, it has the matched row only. Weights must not be negative, so that no
+    other unmatched label can come first.
     """
     if alpha <= 0:
         raise ValueError("alpha must be positive")
@@ -104,21 +107,47 @@ def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float =
     labels = model.groupBy("label").agg(F.sum("weight").alias("_w"))
     floor = F.lit(alpha) / (F.col("_w") + F.lit(alpha) * n_terms)
     floors = labels.select("label", F.ln(floor).alias("_floor"))
+    weight = F.when(F.col("weight") >= 0, F.col("weight")).otherwise(F.raise_error(F.lit("a weight is negative or no number")).cast("double"))
+    vectors = vectors.select(doc, "term", weight.alias("weight"))
     per_doc = vectors.groupBy(doc).agg(F.sum("weight").alias("_total"))
-    base = per_doc.crossJoin(floors).select(doc, "label", (F.col("_total") * F.col("_floor")).alias("_base"))
     gain = F.ln((F.col("_mw") + F.lit(alpha)) / F.lit(alpha))
     known = model.select("term", "label", F.col("weight").alias("_mw"))
     matched = vectors.join(known, "term").groupBy(doc, "label").agg(F.sum(F.col("weight") * gain).alias("_gain"))
-    out = base.join(matched, [doc, "label"], "left")
-    return out.select(doc, "label", (F.col("_base") + F.coalesce("_gain", F.lit(0.0))).alias("score"))
+    scored = matched.join(per_doc, doc).join(floors, "label")
+    scored = scored.select(doc, "label", (F.col("_total") * F.col("_floor") + F.col("_gain")).alias("score"), F.lit(True).alias("matched"))
+    # One label for all documents: a scalar of the small table of floors.
+    best = floors.agg(F.min_by(F.struct("label", "_floor"), F.struct(-F.col("_floor"), F.col("label"))).alias("b")).scalar()
+    rest = per_doc.withColumn("_b", best).where("_b is not null")
+    rest = rest.select(doc, F.col("_b.label").alias("label"), (F.col("_total") * F.col("_b._floor")).alias("score"), F.lit(False).alias("matched"))
+    rest = rest.join(matched.select(doc, "label"), [doc, "label"], "left_anti")
+    return scored.unionByName(rest.select(doc, "label", "score", "matched"))
 
 
 def best_label(scores: DataFrame, doc: str, digits: int = 9) -> DataFrame:
+    """The label with the greatest score; ties (to ``digits`` decimals) to the smaller label."""
     return scores.groupBy(doc).agg(
         F.min_by("label", F.struct(-F.round("score", digits), F.col("label"))).alias("predicted")
     )
 
 
+def held_out(doc: str, percent: int = 20, seed: int = 0) -> Column:
+    """Whether a document is held out of training: the first 32 bits of md5('seed:id') decide, as any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), doc).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < percent
+
+
+def evaluate_documents(
+    docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, n_max: int = 1, alpha: float = 1.0, percent: int = 20, seed: int = 0
+) -> DataFrame:
+    """Confusion on held-out labelled documents: trained on the other labels, tested on these only."""
+    vectors = materialise(weighted_documents(docs, doc, text, n_max), "vectors")
+    out = held_out(doc, percent, seed)
+    model = weight_model(vectors, labels.where(~out), doc, label)
+    tests = labels.where(out)
+    scores = score_weights(model, vectors.join(tests.select(doc), doc, "left_semi"), doc, alpha)
+    return confusion(best_label(scores, doc), tests, doc, label)
+
+
 def weighted_documents(docs: DataFrame, doc: str, text: str, n_max: int = 1, known: DataFrame | None = None) -> DataFrame:
     """Text → analyzed n-grams → counts (dictionary only) → TF-IDF weights."""
     tf = term_frequencies(analyzed_grams(docs, doc, text, n_max), doc, known)
@@ -129,7 +158,7 @@ def weighted_documents(docs: DataFrame, doc: str, text: str, n_max: int = 1, kno
 def classify_documents(
     docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, n_max: int = 1, alpha: float = 1.0
 ) -> DataFrame:
-    """The whole chain: train on the labelled documents, score all of them.
+    """The whole chain: train on the labelled documents, score all of them (see ``score_weights``).
 
     The vectors feed training and scoring, so they are written once.
     """

@@ -2,6 +2,10 @@
 
 ``counts`` holds one row per (word, year) with ``count``. "Year" is any category,
 with any number of values. Queries come as a batch ``(query_id, text)``.
+
+Scores have a row per matched (query, year) and one complement row per query for
+all years that share no word with it: its year is null and ``n_years`` says how many
+there are. No query is crossed with all years.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from loomstat.functions import stats
 from loomstat.functions.casting import lenient_number
 from loomstat.functions.text import query_terms, strip_pos, strip_unicode_punctuation, tokens
 from loomstat.operators.joins import keep_terms
+from loomstat.operators.ranking import with_position
 
 log = logging.getLogger(__name__)
 
@@ -84,15 +89,25 @@ def matched_counts(counts: DataFrame, terms: DataFrame) -> DataFrame:
     return kept.join(terms, F.lower("word") == F.col("term"))
 
 
-def _every_year(queries: DataFrame, totals: DataFrame, *columns: str) -> DataFrame:
-    """One row per (query, year): the result grid, which is as large as the result itself."""
-    return queries.select("query_id").crossJoin(totals.select("year", *columns))
+def with_complement(queries: DataFrame, matched: DataFrame, totals: DataFrame, **constant: Column) -> DataFrame:
+    """``matched`` (query_id, year, …) plus, per query, one row for all other years.
+
+    The row has a null year, the values of ``constant`` for the other columns, and
+    ``n_years``, how many years it stands for; it is missing where every year is matched.
+    """
+    n = totals.agg(F.count("*").alias("n")).scalar()
+    found = matched.groupBy("query_id").agg(F.count("*").alias("_m"))
+    rest = queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("n_years", n - F.coalesce("_m", F.lit(0)))
+    none = F.lit(None).cast(matched.schema["year"].dataType)
+    rest = rest.where("n_years > 0").select("query_id", none.alias("year"), *[c.alias(k) for k, c in constant.items()], "n_years")
+    one = matched.select("query_id", "year", *constant, F.lit(1).cast("bigint").alias("n_years"))
+    return one.unionByName(rest)
 
 
 def bm25(
     counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, log_idf: bool = False
 ) -> DataFrame:
-    """BM25 of each year for each phrase; a year without a query word scores 0."""
+    """BM25 of the years that have a word of the phrase; all other years score 0, in one complement row."""
     totals = year_totals(counts).select("year", "total_words")
     average = average_words(totals).scalar()
     terms = phrase_terms(queries)
@@ -100,11 +115,8 @@ def bm25(
     rows = matched_counts(counts, terms).join(idf, "word", "left").join(totals, "year", "left")
     length = F.coalesce("total_words", F.lit(0))
     term = stats.bm25_term(F.coalesce("idf", F.lit(0.0)), F.col("count"), length, average, k1, b)
-    scored = rows.groupBy("query_id", "year").agg(F.sum(term).alias("_s"))
-    grid = _every_year(queries, totals)
-    return grid.join(scored, ["query_id", "year"], "left").select(
-        "query_id", "year", F.coalesce("_s", F.lit(0.0)).alias("score")
-    )
+    scored = rows.groupBy("query_id", "year").agg(F.sum(term).alias("score"))
+    return with_complement(queries, scored, totals, score=F.lit(0.0))
 
 
 def naive_bayes(counts: DataFrame, queries: DataFrame, vocabulary: int = 0) -> DataFrame:
@@ -130,61 +142,79 @@ def phrase_vectors(queries: DataFrame) -> DataFrame:
 
 
 def nearest_years(counts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Euclidean distance of unit-length count vectors, for every year.
+    """Euclidean distance of unit-length count vectors to the years that share a word.
 
-    d² = 2 − 2·cos, so only words shared with the phrase are joined; a year
-    without any is at √2. Doubles throughout.
+    d² = 2 − 2·cos, so only shared words are joined; all other years lie at √2, in one
+    complement row. Phrases without a word are left out. Doubles throughout.
     """
     vectors = phrase_vectors(queries)
     f = F.col("count").cast("double")
     norms = counts.groupBy("year").agg(F.sqrt(F.sum(f * f)).alias("_norm"))
     lengths = vectors.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q").cast("double"))).alias("_len"))
     dots = counts.join(vectors, "word").groupBy("query_id", "year").agg(F.sum(F.col("q") * f).alias("_dot"))
-    grid = _every_year(lengths.select("query_id"), norms, "_norm")
-    joined = grid.join(lengths, "query_id").join(dots, ["query_id", "year"], "left")
-    cos = F.try_divide(F.coalesce("_dot", F.lit(0.0)), F.col("_norm") * F.col("_len"))
+    joined = dots.join(norms, "year").join(lengths, "query_id")
+    cos = F.try_divide("_dot", F.col("_norm") * F.col("_len"))
     squared = F.greatest(F.lit(2.0) - F.lit(2.0) * F.coalesce(cos, F.lit(0.0)), F.lit(0.0))
-    return joined.select("query_id", "year", F.sqrt(squared).alias("distance"))
+    matched = joined.select("query_id", "year", F.sqrt(squared).alias("distance"))
+    return with_complement(lengths, matched, norms, distance=F.sqrt(F.lit(2.0)))
 
 
 def squared_distances(counts: DataFrame, queries: DataFrame) -> DataFrame:
-    """‖q − y‖² of raw count vectors for every (query, year).
+    """‖q − y‖² of raw count vectors: every year that shares a word, and the nearest of the others.
 
-    ‖q‖² + ‖y‖² − 2·q·y covers terms missing on either side without pairing
-    the two vocabularies.
+    ‖q‖² + ‖y‖² − 2·q·y covers terms missing on either side without pairing the two
+    vocabularies. Without a shared word only ‖y‖² differs between years, so the
+    nearest such year is the first in the order of (‖y‖², year) that the query does not match; with
+    m matches it is among the first m + 1, and no more are looked at. Its row has
+    ``n_years``, how many years share no word; matched rows have 1 and ``shared`` true.
     """
     vectors = phrase_vectors(queries)
     f, q = F.col("count"), F.col("q")
     years = counts.groupBy("year").agg(F.sum(f * f).alias("_yy"))
     lengths = vectors.groupBy("query_id").agg(F.sum(q * q).alias("_qq"))
     dots = counts.join(vectors, "word").groupBy("query_id", "year").agg(F.sum(q * f).alias("_dot"))
-    grid = _every_year(lengths.select("query_id"), years, "_yy").join(lengths, "query_id")
-    total = F.col("_qq") + F.col("_yy") - 2 * F.coalesce("_dot", F.lit(0))
-    return grid.join(dots, ["query_id", "year"], "left").select("query_id", "year", total.alias("squared"))
+    squared = F.col("_qq") + F.col("_yy") - 2 * F.col("_dot")
+    columns = ["query_id", "year", "squared", "n_years", "shared"]
+    matched = dots.join(years, "year").join(lengths, "query_id").withColumns(
+        {"squared": squared, "n_years": F.lit(1).cast("bigint"), "shared": F.lit(True)}
+    )
+    placed = with_position(years, [F.col("_yy"), F.col("year")], "_at")
+    n = years.agg(F.count("*").alias("n")).scalar()
+    found = dots.groupBy("query_id").agg(F.count("*").alias("_m"))
+    rest = lengths.join(found, "query_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0).cast("bigint"))).where(F.col("_m") < n)
+    first = rest.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m"))).alias("_at")).join(placed, "_at")
+    first = first.join(dots.select("query_id", "year"), ["query_id", "year"], "left_anti")
+    nearest = first.groupBy("query_id", "_qq", "_m").agg(F.min_by(F.struct("year", "_yy"), "_at").alias("_y"))
+    others = nearest.select(
+        "query_id", F.col("_y.year").alias("year"), (F.col("_qq") + F.col("_y._yy")).alias("squared"), (n - F.col("_m")).alias("n_years"), F.lit(False).alias("shared")
+    )
+    return matched.select(*columns).unionByName(others.select(*columns))
 
 
 def rank_years(scores: DataFrame, score: Column) -> DataFrame:
-    """Rank the years of each phrase, best first; ties by year.
+    """Rank the years of each phrase, best first; ties by year, the complement row last.
 
-    A phrase has at most one row per year, so its window is bounded.
+    A complement row counts as its ``n_years`` years: it has the first rank of
+    them, and what comes after it follows with the gap. A phrase has at most one row per matched year, so its window is bounded.
     """
-    order = Window.partitionBy("query_id").orderBy(score, F.col("year").asc())
-    return scores.withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("query_id").orderBy(score, F.col("year").asc_nulls_last())
+    before = F.sum("n_years").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return scores.withColumn("rank", (F.coalesce(before, F.lit(0)) + 1).cast("int"))
 
 
 def all_scorers(counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> dict[str, DataFrame]:
     return {
         "bm25": bm25(counts, queries, k1, b),
-        "naive_bayes": naive_bayes(counts, queries),
+        "naive_bayes": naive_bayes(counts, queries).withColumn("n_years", F.lit(1).cast("bigint")),
         "nearest": nearest_years(counts, queries).withColumnRenamed("distance", "score"),
     }
 
 
 def analyse(counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """All three scorers on a batch: (scorer, query_id, year, score)."""
+    """All three scorers on a batch: (scorer, query_id, year, score, n_years)."""
     out = None
     for name, df in all_scorers(counts, queries, k1, b).items():
-        rows = df.select(F.lit(name).alias("scorer"), "query_id", "year", "score")
+        rows = df.select(F.lit(name).alias("scorer"), "query_id", "year", "score", "n_years")
         out = rows if out is None else out.unionByName(rows)
     return out
 

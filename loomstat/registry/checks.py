@@ -67,7 +67,10 @@ def levels(spark, d):
     "C04_checks_on_matching_hosts",
     f"""
     WITH {METRICS}, {CHECK_SQL}, f AS (SELECT host FROM s, a WHERE regexp_matches(host, '-1*[02468]$') AND {AGE.format('last_ts')} < {DAY})
-    SELECT f.host, checks.metric, l.value, {STATUS_SQL} AS status FROM f CROSS JOIN checks LEFT JOIN l ON l.host = f.host AND l.metric = checks.metric
+    , r AS (SELECT f.host, checks.metric, l.value, l.host IS NOT NULL AS found, {STATUS_SQL} AS status
+      FROM f CROSS JOIN checks LEFT JOIN l ON l.host = f.host AND l.metric = checks.metric)
+    SELECT host, metric, value, status, 1 AS n_checks FROM r WHERE found
+    UNION ALL SELECT host, NULL, NULL, 'UNKNOWN', count(*) FROM r WHERE NOT found GROUP BY host
     """,
 )
 def matching_hosts(spark, d):

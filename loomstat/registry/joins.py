@@ -182,9 +182,11 @@ def semi_anti(spark, d):
     f"""
     WITH {COUNTS}, {PHRASE_VECTORS}, grid AS (SELECT DISTINCT query_id, year FROM (SELECT DISTINCT query_id FROM pv) CROSS JOIN (SELECT DISTINCT year FROM counts)),
     q2 AS (SELECT query_id, sum(q * q) AS s FROM pv GROUP BY query_id), y2 AS (SELECT year, sum(count * count) AS s FROM counts GROUP BY year),
-    d AS (SELECT query_id, year, sum(q * count) AS s FROM pv JOIN counts USING (word) GROUP BY ALL)
-    SELECT query_id, year, CAST(q2.s + y2.s - 2 * coalesce(d.s, 0) AS BIGINT) AS squared
-    FROM grid JOIN q2 USING (query_id) JOIN y2 USING (year) LEFT JOIN d USING (query_id, year)
+    d AS (SELECT query_id, year, sum(q * count) AS s FROM pv JOIN counts USING (word) GROUP BY ALL),
+    every AS (SELECT query_id, year, CAST(q2.s + y2.s - 2 * coalesce(d.s, 0) AS BIGINT) AS squared, d.s IS NOT NULL AS shared
+      FROM grid JOIN q2 USING (query_id) JOIN y2 USING (year) LEFT JOIN d USING (query_id, year))
+    SELECT query_id, year, squared, 1 AS n_years, shared FROM every WHERE shared
+    UNION ALL SELECT query_id, arg_min(year, (squared, year)), min(squared), count(*), false FROM every WHERE NOT shared GROUP BY query_id
     """,
 )
 def missing_terms(spark, d):
@@ -259,21 +261,39 @@ def events_in_window(spark, d):
     return out.select("event_id", "clip_start", "clip_end", "starts_inside")
 
 
+SPANS = """
+sp AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 4 = 0 THEN 0
+         WHEN event_id % 2500 = 1 THEN 31536000 ELSE (event_id * 37) % 120 END AS e FROM events)
+"""
+
+
 @query(
     "J12_overlap_join",
     f"""
-    WITH {EVENT_ROWS}, sp AS (SELECT event_id, CAST(floor(epoch(start_ts)) AS BIGINT) AS s, CAST(floor(epoch(coalesce(end_ts, start_ts))) AS BIGINT) AS e FROM ev),
-    o AS (SELECT event_id AS other, ts, CAST(floor(epoch(ts)) AS BIGINT) AS os, CAST(floor(epoch(ts)) AS BIGINT) + 600 AS oe FROM events WHERE event_type = 'error')
-    SELECT other, count(*) AS n, max(event_id) AS newest FROM sp JOIN o ON s <= oe AND os <= e GROUP BY other
+    WITH {SPANS}, o AS (SELECT event_id AS other, CAST(floor(epoch(ts)) AS BIGINT) AS os, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value) AS BIGINT) % 60 AS oe FROM events)
+    SELECT event_id, other, greatest(s, os) AS first, least(e, oe) AS last FROM sp JOIN o ON s <= oe AND os <= e AND event_id <> other
     """,
 )
 def overlap(spark, d):
-    spans = dated_events(spark, d).select(
-        "event_id",
-        F.unix_seconds(F.col("start_ts").cast("timestamp")).alias("s"),
-        F.unix_seconds(F.coalesce("end_ts", "start_ts").cast("timestamp")).alias("e"),
-    )
-    os = F.unix_seconds(F.col("ts").cast("timestamp"))
-    errors = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("other"), os.alias("os"), (os + 600).alias("oe"))
-    pairs = J.overlap_join(spans, errors, ("s", "e"), ("os", "oe"), width=6 * 3600)
-    return pairs.groupBy("other").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
+    """Every pair of events that overlap: moments (no end), spans of seconds and, now and then, one of a year."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    events = table(spark, d, "events")
+    length = F.when(F.col("event_id") % 2500 == 1, F.lit(365 * 86_400)).otherwise((F.col("event_id") * 37) % 120)
+    end = F.when(F.col("event_id") % 4 != 0, at + length)
+    spans = events.select("event_id", at.alias("s"), end.alias("e"))
+    others = events.select(F.col("event_id").alias("other"), at.alias("os"), (at + F.floor("value") % 60).alias("oe"))
+    pairs = J.overlap_join(spans, others, ("s", "e"), ("os", "oe"), also=F.col("event_id") != F.col("other"))
+    return pairs.select("event_id", "other", F.greatest("s", "os").alias("first"), F.least(F.coalesce("e", "s"), "oe").alias("last"))
+
+
+@query(
+    "J12_events_from_a_time_on",
+    f"""
+    WITH {EVENT_ROWS} SELECT event_id, greatest(start_ts, TIMESTAMP '2024-01-28') AS clip_start, end_ts AS clip_end, start_ts >= TIMESTAMP '2024-01-28' AS starts_inside
+    FROM ev WHERE coalesce(end_ts, start_ts) >= TIMESTAMP '2024-01-28'
+    """,
+)
+def events_from(spark, d):
+    """A window that is open at its end."""
+    out = J.touching(dated_events(spark, d), F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"))
+    return out.select("event_id", "clip_start", "clip_end", "starts_inside")

@@ -98,15 +98,17 @@ BM25 = f"""
 idf AS (SELECT word, ((SELECT n FROM n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) AS idf FROM counts GROUP BY word),
 sc AS (SELECT query_id, year, sum(idf * count * 2.5::DOUBLE / (count + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * total / (SELECT a FROM n)))) AS s
   FROM hit JOIN idf USING (word) JOIN totals USING (year) GROUP BY ALL),
-bm AS (SELECT item_id AS query_id, t.year, coalesce(s, 0) AS score FROM benchmark CROSS JOIN totals t LEFT JOIN sc ON sc.query_id = item_id AND sc.year = t.year)
+grid AS (SELECT item_id AS query_id, t.year, s FROM benchmark CROSS JOIN totals t LEFT JOIN sc ON sc.query_id = item_id AND sc.year = t.year),
+bm AS (SELECT query_id, year, s AS score, 1 AS n_years FROM grid WHERE s IS NOT NULL
+  UNION ALL SELECT query_id, NULL, 0, count(*) FROM grid WHERE s IS NULL GROUP BY query_id)
 """
 
 
 @query(
     "M05_bm25_scores_ranked",
     f"""
-    WITH {BM25} SELECT query_id, year, round(score, 6) AS score,
-      CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, year) AS INTEGER) AS rank FROM bm
+    WITH {BM25} SELECT query_id, year, round(score, 6) AS score, n_years, CAST(1 + coalesce(sum(n_years) OVER (
+      PARTITION BY query_id ORDER BY round(score, 6) DESC, year NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS rank FROM bm
     """,
 )
 def bm25_scores(spark, d):
@@ -118,27 +120,34 @@ def bm25_scores(spark, d):
     "M05_bm25_log_idf",
     f"""
     WITH {PHRASES}, n AS (SELECT count(*) AS n, avg(total) AS a FROM totals),
-    idf AS (SELECT word, ln(((SELECT n FROM n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM counts GROUP BY word)
-    SELECT item_id AS query_id, t.year, round(coalesce(s, 0), 6) AS score FROM benchmark CROSS JOIN totals t LEFT JOIN (
-      SELECT query_id, year, sum(idf * count * 2.2::DOUBLE / (count + 1.2::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * total / (SELECT a FROM n)))) AS s
-      FROM hit JOIN idf USING (word) JOIN totals USING (year) GROUP BY ALL) sc ON sc.query_id = item_id AND sc.year = t.year
+    idf AS (SELECT word, ln(((SELECT n FROM n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM counts GROUP BY word),
+    sc AS (SELECT query_id, year, sum(idf * count * 2.2::DOUBLE / (count + 1.2::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * total / (SELECT a FROM n)))) AS s
+      FROM hit JOIN idf USING (word) JOIN totals USING (year) GROUP BY ALL),
+    grid AS (SELECT item_id AS query_id, t.year, s FROM benchmark CROSS JOIN totals t LEFT JOIN sc ON sc.query_id = item_id AND sc.year = t.year),
+    bm AS (SELECT query_id, year, s AS score, 1 AS n_years FROM grid WHERE s IS NOT NULL
+      UNION ALL SELECT query_id, NULL, 0, count(*) FROM grid WHERE s IS NULL GROUP BY query_id)
+    SELECT query_id, year, round(score, 6) AS score, n_years, CAST(1 + coalesce(sum(n_years) OVER (
+      PARTITION BY query_id ORDER BY round(score, 6) DESC, year NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS rank FROM bm
     """,
 )
 def bm25_log(spark, d):
-    scores = Y.bm25(year_table(spark, d), phrases(spark, d), k1=1.2, b=0.5, log_idf=True)
-    return scores.withColumn("score", F.round("score", 6))
+    """Words of most years have a negative weight here, so the 0 of all other years may stand between matched scores."""
+    scores = Y.bm25(year_table(spark, d), phrases(spark, d), k1=1.2, b=0.5, log_idf=True).withColumn("score", F.round("score", 6))
+    return Y.rank_years(scores, F.col("score").desc())
 
 
 NEAREST = f"""
 {COUNTS}, {PHRASE_VECTORS}, norm AS (SELECT year, sqrt(sum(count * count)) AS n FROM counts GROUP BY year),
 ql AS (SELECT query_id, sqrt(sum(q * q)) AS n FROM pv GROUP BY query_id),
 dot AS (SELECT query_id, year, sum(q * count) AS dt FROM pv JOIN counts USING (word) GROUP BY ALL),
-near AS (SELECT ql.query_id, norm.year, sqrt(greatest(2 - 2 * coalesce(dt, 0) / (ql.n * norm.n), 0)) AS distance
-  FROM ql CROSS JOIN norm LEFT JOIN dot ON dot.query_id = ql.query_id AND dot.year = norm.year)
+ngrid AS (SELECT ql.query_id, norm.year, dt, sqrt(greatest(2 - 2 * dt / (ql.n * norm.n), 0)) AS distance
+  FROM ql CROSS JOIN norm LEFT JOIN dot ON dot.query_id = ql.query_id AND dot.year = norm.year),
+near AS (SELECT query_id, year, distance, 1 AS n_years FROM ngrid WHERE dt IS NOT NULL
+  UNION ALL SELECT query_id, NULL, sqrt(2.0::DOUBLE), count(*) FROM ngrid WHERE dt IS NULL GROUP BY query_id)
 """
 
 
-@query("M06_nearest_years", f"WITH {NEAREST} SELECT query_id, year, round(distance, 7) AS distance FROM near")
+@query("M06_nearest_years", f"WITH {NEAREST} SELECT query_id, year, round(distance, 7) AS distance, n_years FROM near")
 def nearest(spark, d):
     return Y.nearest_years(year_table(spark, d), phrases(spark, d)).withColumn("distance", F.round("distance", 7))
 
@@ -191,23 +200,40 @@ def tf_idf(spark, d):
     )
 
 
-WEIGHTED = f"""
-{TFIDF}, wm AS (SELECT CAST(quality AS VARCHAR) AS label, term, sum(weight) AS mw FROM w JOIN labels USING (doc_id) GROUP BY ALL),
+def weighted_sql(labelled: str, scored: str = "w") -> str:
+    """Model, scores and best label: ``labelled`` (doc_id, label) trains, the vectors of ``scored`` are scored."""
+    return f"""
+{TFIDF}, la AS ({labelled}), wm AS (SELECT label, term, sum(weight) AS mw FROM w JOIN la USING (doc_id) GROUP BY ALL),
 lab AS (SELECT label, sum(mw) AS t FROM wm GROUP BY label), nf AS (SELECT count(DISTINCT term) AS f FROM wm),
-base AS (SELECT doc_id, label, sum(weight) * ln(1 / (t + (SELECT f FROM nf))) AS b FROM w CROSS JOIN lab GROUP BY doc_id, label, t),
-gain AS (SELECT doc_id, label, sum(weight * ln(mw + 1)) AS g FROM w JOIN wm USING (term) GROUP BY ALL),
-ws AS (SELECT doc_id, label, b + coalesce(g, 0) AS score FROM base LEFT JOIN gain USING (doc_id, label)),
+base AS (SELECT doc_id, label, sum(weight) * ln(1 / (t + (SELECT f FROM nf))) AS b FROM {scored} CROSS JOIN lab GROUP BY doc_id, label, t),
+gain AS (SELECT doc_id, label, sum(weight * ln(mw + 1)) AS g FROM {scored} JOIN wm USING (term) GROUP BY ALL),
+ws AS (SELECT doc_id, label, b + coalesce(g, 0) AS score, g IS NOT NULL AS matched FROM base LEFT JOIN gain USING (doc_id, label)),
 wb AS (SELECT doc_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, label) AS rn FROM ws) WHERE rn = 1)
 """
 
 
+LANG_QUALITY = "SELECT doc_id, lang || '-' || quality AS label FROM documents JOIN labels USING (doc_id)"
+WEIGHTED = weighted_sql(LANG_QUALITY)
+
+
+def _labels(spark, d):
+    """Language and quality of the labelled documents; languages share few words, so labels are missed."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id").select("doc_id", F.concat_ws("-", "lang", "quality").alias("label"))
+
+
 def _weighted(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    scores = B.classify_documents(documents(spark, d), labels, "doc_id", "text", "label")
-    return scores, labels
+    labels = _labels(spark, d)
+    return B.classify_documents(documents(spark, d), labels, "doc_id", "text", "label"), labels
 
 
-@query("M10_weighted_scores", f"WITH {WEIGHTED} SELECT doc_id, label, round(score, 4) AS score FROM ws")
+@query(
+    "M10_weighted_scores",
+    f"""
+    WITH {WEIGHTED}, top AS (SELECT label FROM lab ORDER BY t, label LIMIT 1)
+    SELECT doc_id, label, round(score, 4) AS score, matched FROM ws WHERE matched OR label IN (SELECT label FROM top)
+    """,
+)
 def weighted_scores(spark, d):
     return _weighted(spark, d)[0].withColumn("score", F.round("score", 4))
 
@@ -220,7 +246,7 @@ def weighted_scores(spark, d):
 )
 def validity(spark, d):
     vectors = B.weighted_documents(documents(spark, d), "doc_id", "text")
-    model = B.weight_model(vectors, table(spark, d, "labels").withColumn("label", F.col("quality").cast("string")), "doc_id", "label")
+    model = B.weight_model(vectors, _labels(spark, d), "doc_id", "label")
     return B.validate_weights(model, 1.0).withColumn("total_weight", F.round("total_weight", 4))
 
 
@@ -281,10 +307,11 @@ def document_classifier(spark, d):
     WITH {BM25}, {PHRASE_VECTORS}, norm AS (SELECT year, sqrt(sum(count * count)) AS n FROM counts GROUP BY year),
     ql AS (SELECT query_id, sqrt(sum(q * q)) AS n FROM pv GROUP BY query_id),
     dot AS (SELECT query_id, year, sum(q * count) AS dt FROM pv JOIN counts USING (word) GROUP BY ALL)
-    SELECT 'bm25' AS scorer, query_id, year, round(score, 6) AS score FROM bm
-    UNION ALL SELECT 'naive_bayes', query_id, year, round(sum(ln(count + 1)) - count(*) * ln(total + 1), 6) FROM hit JOIN totals USING (year) GROUP BY query_id, year, total
-    UNION ALL SELECT 'nearest', ql.query_id, norm.year, round(sqrt(greatest(2 - 2 * coalesce(dt, 0) / (ql.n * norm.n), 0)), 6)
-      FROM ql CROSS JOIN norm LEFT JOIN dot ON dot.query_id = ql.query_id AND dot.year = norm.year
+    SELECT 'bm25' AS scorer, query_id, year, round(score, 6) AS score, n_years FROM bm
+    UNION ALL SELECT 'naive_bayes', query_id, year, round(sum(ln(count + 1)) - count(*) * ln(total + 1), 6), 1 FROM hit JOIN totals USING (year) GROUP BY query_id, year, total
+    UNION ALL SELECT 'nearest', query_id, year, round(sqrt(greatest(2 - 2 * dt / (ql.n * norm.n), 0)), 6), 1
+      FROM dot JOIN ql USING (query_id) JOIN norm USING (year)
+    UNION ALL SELECT 'nearest', ql.query_id, NULL, round(sqrt(2.0::DOUBLE), 6), count(*) FROM ql CROSS JOIN norm ANTI JOIN dot ON dot.query_id = ql.query_id AND dot.year = norm.year GROUP BY ql.query_id
     """,
 )
 def all_scorers(spark, d):
@@ -292,10 +319,8 @@ def all_scorers(spark, d):
 
 
 SIMILAR = f"""
-{RATINGS}, p AS (SELECT a.u AS a, b.u AS b, CAST(count(*) AS DOUBLE) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS sxx, sum(b.x * b.x) AS syy, sum(a.x * b.x) AS sxy
-  FROM r a JOIN r b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2 HAVING count(*) >= 2),
-sim AS (SELECT a, b, CAST(n AS BIGINT) AS n, (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS similarity FROM p
-  WHERE n * sxx - sx * sx > 1e-9 * n * sxx AND n * syy - sy * sy > 1e-9 * n * syy)
+{RATINGS}, sim AS (SELECT a.u AS a, b.u AS b, count(*) AS n, corr(a.x, b.x) AS similarity
+  FROM r a JOIN r b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2 HAVING count(*) >= 2 AND min(a.x) < max(a.x) AND min(b.x) < max(b.x))
 """
 
 
@@ -312,10 +337,10 @@ NEAR = f"""
 """
 
 
-@query("M17_threshold_neighbourhood", f"WITH {BOTH} SELECT of, count(*) AS n, round(min(similarity), 8) AS lowest FROM bw WHERE similarity >= 0.1 GROUP BY of")
+@query("M17_threshold_neighbourhood", f"WITH {BOTH} SELECT of, other, round(similarity, 8) AS similarity FROM bw WHERE round(similarity, 8) >= 0.1")
 def threshold_near(spark, d):
-    near = REC.near_threshold(REC.user_similarity(ratings_table(spark, d)), 0.1)
-    return near.groupBy("of").agg(F.count("*").alias("n"), F.round(F.min("similarity"), 8).alias("lowest"))
+    pairs = REC.user_similarity(ratings_table(spark, d)).withColumn("similarity", F.round("similarity", 8))
+    return REC.near_threshold(pairs, 0.1)
 
 
 @query("M17_nearest_neighbourhood", f"WITH {NEAR} SELECT of, other, round(similarity, 8) AS similarity FROM nn")
@@ -338,6 +363,25 @@ def user_recommendations(spark, d):
     return out.select("user", "item", F.round("estimate", 6).alias("estimate"), "rank")
 
 
+@query(
+    "M18_recommendations_for_asked_users",
+    f"""
+    WITH {BOTH}, asked AS (SELECT c_custkey AS of FROM customer WHERE c_acctbal < 0),
+    nn AS (SELECT of, other, similarity FROM bw SEMI JOIN asked USING (of) QUALIFY row_number() OVER (PARTITION BY of ORDER BY round(similarity, 12) DESC, other) <= 100),
+    est AS (SELECT of AS u, i, sum(similarity * x) / nullif(sum(similarity), 0) AS e FROM nn JOIN r ON r.u = nn.other GROUP BY 1, 2),
+    un AS (SELECT est.u, est.i, e FROM est LEFT JOIN r ON r.u = est.u AND r.i = est.i WHERE r.u IS NULL AND e IS NOT NULL)
+    SELECT u AS user, i AS item, round(e, 6) AS estimate, CAST(row_number() OVER (PARTITION BY u ORDER BY round(e, 9) DESC, i) AS INTEGER) AS rank FROM un
+    QUALIFY rank <= 5
+    """,
+)
+def asked_recommendations(spark, d):
+    """For the customers in debt: the rest of the users meet them, but not each other."""
+    r = ratings_table(spark, d)
+    asked = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user"))
+    near = REC.near_n(REC.user_similarity(r, asked=asked), 100, asked=True)
+    return REC.recommend(near, r, 5).select("user", "item", F.round("estimate", 6).alias("estimate"), "rank")
+
+
 def _xlx(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
 
@@ -373,25 +417,41 @@ def item_recommendations(spark, d):
     return out.select("user", "item", F.round("estimate", 6).alias("estimate"), "rank")
 
 
-@query("M20_recommender_error")
-def recommender_error(spark, d):
-    """Hold-out error of two trials. The split is by Spark's row hash, so there is no SQL twin."""
-    return REC.evaluate(ratings_table(spark, d), seeds=(0, 1))
-
-
 @query(
-    "M20_hold_out_error",
+    "M19_similar_to_asked_items",
     f"""
-    WITH {RATINGS}, full_r AS (SELECT * FROM r), tr AS (SELECT * FROM full_r WHERE (u * 7 + i * 3) % 10 <> 0), te AS (SELECT * FROM full_r WHERE (u * 7 + i * 3) % 10 = 0),
-    p AS (SELECT a.u AS a, b.u AS b, CAST(count(*) AS DOUBLE) AS n, sum(a.x) AS sx, sum(b.x) AS sy, sum(a.x * a.x) AS sxx, sum(b.x * b.x) AS syy, sum(a.x * b.x) AS sxy
-      FROM tr a JOIN tr b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2 HAVING count(*) >= 2),
-    sim AS (SELECT a, b, (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS s FROM p
-      WHERE n * sxx - sx * sx > 1e-9 * n * sxx AND n * syy - sy * sy > 1e-9 * n * syy),
-    bw AS (SELECT a AS of, b AS other, s FROM sim WHERE s >= 0.1 UNION ALL SELECT b, a, s FROM sim WHERE s >= 0.1),
-    e AS (SELECT te.u, te.i, te.x, sum(s * tr.x) / nullif(sum(s), 0) AS est FROM te JOIN bw ON bw.of = te.u JOIN tr ON tr.u = bw.other AND tr.i = te.i GROUP BY ALL)
-    SELECT round(avg(abs(est - x)), 6) AS mae, count(est) AS n FROM e
+    WITH {ITEMS}, bw AS (SELECT a, b, n, similarity FROM isim UNION ALL SELECT b, a, n, similarity FROM isim)
+    SELECT a, b, n, round(similarity, 7) AS similarity FROM bw WHERE a IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 5000)
     """,
 )
+def similar_to_asked(spark, d):
+    """Items like those of suppliers with a small balance, from the users of these items only."""
+    asked = table(spark, d, "supplier").where("s_acctbal < 5000").select(F.col("s_suppkey").alias("item"))
+    return REC.item_similarity(ratings_table(spark, d), asked=asked).withColumn("similarity", F.round("similarity", 7))
+
+
+def _hold_out_sql(train: str, seed: str) -> str:
+    """Mean error of the ratings outside ``train``, a condition on (u, i)."""
+    return f"""
+    SELECT {seed} round(avg(abs(est - x)), 6) AS mae, count(est) AS n FROM (
+      WITH tr AS (SELECT * FROM r WHERE {train}), te AS (SELECT * FROM r WHERE NOT ({train})),
+      sim AS (SELECT a.u AS of, b.u AS other, corr(a.x, b.x) AS s FROM tr a JOIN tr b ON a.i = b.i AND a.u <> b.u
+        GROUP BY 1, 2 HAVING count(*) >= 2 AND min(a.x) < max(a.x) AND min(b.x) < max(b.x))
+      SELECT te.u, te.i, te.x, sum(s * tr.x) / nullif(sum(s), 0) AS est FROM te JOIN sim ON of = te.u AND s >= 0.1 JOIN tr ON tr.u = other AND tr.i = te.i GROUP BY ALL)
+    """
+
+
+def _split_sql(seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || u || ':' || i), 1, 8) AS BIGINT) % 100 < 90"
+
+
+@query("M20_recommender_error", f"WITH {RATINGS} " + " UNION ALL ".join(_hold_out_sql(_split_sql(k), f"{k} AS seed,") for k in (0, 1)))
+def recommender_error(spark, d):
+    """Hold-out error of two trials; the split is by a digest that SQL repeats."""
+    return REC.evaluate(ratings_table(spark, d), seeds=(0, 1)).withColumn("mae", F.round("mae", 6))
+
+
+@query("M20_hold_out_error", f"WITH {RATINGS} " + _hold_out_sql("(u * 7 + i * 3) % 10 <> 0", ""))
 def hold_out(spark, d):
     r = ratings_table(spark, d)
     held = (F.col("user") * 7 + F.col("item") * 3) % 10 == 0
@@ -399,13 +459,19 @@ def hold_out(spark, d):
     return out.withColumn("mae", F.round("mae", 6))
 
 
+HELD_OUT = "CAST('0x' || substr(md5('0:' || doc_id), 1, 8) AS BIGINT) % 100 < 20"
+
+
 @query(
     "M21_classifier_evaluation",
-    f"WITH {WEIGHTED} SELECT CAST(quality AS VARCHAR) AS label, predicted, count(*) AS n FROM labels LEFT JOIN wb USING (doc_id) GROUP BY ALL",
+    f"""
+    WITH {weighted_sql(f"{LANG_QUALITY} WHERE NOT ({HELD_OUT})", f"(SELECT * FROM w WHERE {HELD_OUT} AND doc_id IN (SELECT doc_id FROM labels))")}
+    SELECT tests.label, predicted, count(*) AS n FROM ({LANG_QUALITY} WHERE {HELD_OUT}) tests LEFT JOIN wb USING (doc_id) GROUP BY ALL
+    """,
 )
 def evaluation(spark, d):
-    scores, labels = _weighted(spark, d)
-    return B.confusion(B.best_label(scores, "doc_id"), labels, "doc_id", "label")
+    """Trained on four fifths of the labels, tested on the rest."""
+    return B.evaluate_documents(documents(spark, d), _labels(spark, d), "doc_id", "text", "label")
 
 
 @query(

@@ -54,14 +54,49 @@ def test_regex_join_without_rules(rows):
     assert J.regex_matches(rows.of([("a",)], "host string"), empty, [("host", "hp")]).count() == 0
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_overlap_join_matches_brute_force(rows, width):
-    rng = random.Random(2)
-    spans = lambda: [(i, s, s + rng.randint(0, 30)) for i, s in enumerate(rng.randint(0, 100) for _ in range(60))]
-    a, b = spans(), spans()
-    got = J.overlap_join(rows.of(a, "i int, s int, e int"), rows.of(b, "j int, s2 int, e2 int"), ("s", "e"), ("s2", "e2"), width)
-    want = sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2])
-    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+def spans(rng, n, longest, width=100):
+    out = []
+    for i in range(n):
+        s = rng.randint(-width, width)
+        out.append((i, s, rng.choice([s, s + rng.randint(0, longest), s + rng.randint(0, 5), None, s - 1])))
+    return out + [(n, None, 4), (n + 1, -(10**9), 10**9), (n + 2, 3, 3 + 2**20)]
+
+
+def overlapping(a, b, also=lambda x, y: True):
+    end = lambda r: r[1] if r[2] is None else r[2]
+    ok = lambda r: r[1] is not None and r[1] <= end(r)
+    return sorted((x[0], y[0]) for x in a for y in b if ok(x) and ok(y) and x[1] <= end(y) and y[1] <= end(x) and also(x, y))
+
+
+@pytest.mark.parametrize("longest, slice_rows", [(0, 4096), (30, 4096), (500, 3), (30, 1)])
+def test_overlap_join_matches_brute_force(rows, longest, slice_rows):
+    rng = random.Random(longest + slice_rows)
+    a, b = spans(rng, 60, longest), spans(rng, 50, 7)
+    left, right = rows.of(a, "i int, s bigint, e bigint"), rows.of(b, "j int, s2 int, e2 int")
+    got = J.overlap_join(left, right, ("s", "e"), ("s2", "e2"), slice_rows=slice_rows)
+    assert got.columns == ["i", "s", "e", "j", "s2", "e2"]
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == overlapping(a, b)
+    some = J.overlap_join(left, right, ("s", "e"), ("s2", "e2"), also=F.col("i") < F.col("j"), slice_rows=slice_rows)
+    assert sorted((r["i"], r["j"]) for r in some.collect()) == overlapping(a, b, lambda x, y: x[0] < y[0])
+
+
+def test_overlap_join_of_repeated_rows_and_empty_sides(rows):
+    one = rows.of([(1, 5, 9), (1, 5, 9), (2, 9, 9)], "i int, s int, e int")
+    two = rows.of([(1, 9, 12), (1, 9, 12)], "j int, s2 int, e2 int")
+    assert J.overlap_join(one, two, ("s", "e"), ("s2", "e2"), slice_rows=1).count() == 6
+    assert J.overlap_join(one.limit(0), two, ("s", "e"), ("s2", "e2")).count() == 0
+    assert J.overlap_join(one, two.limit(0), ("s", "e"), ("s2", "e2")).count() == 0
+    with pytest.raises(ValueError):
+        J.overlap_join(one, one, ("s", "e"), ("s", "e"))
+
+
+def test_a_long_range_beside_short_ones_makes_few_keys(rows):
+    """A range of a year among seconds has two keys at its own level; each second has its own and two at the year's."""
+    short = rows.of([(i, i, i) for i in range(200)], "i int, s bigint, e bigint")
+    year = rows.of([(0, 0, 31_536_000)], "j int, s2 bigint, e2 bigint")
+    sides = {"l": J._levelled(short, "s", "e", "l"), "r": J._levelled(year, "s2", "e2", "r")}
+    assert J._keyed(sides["r"], "r", J._levels(sides["l"], "l")).count() <= 2
+    assert J._keyed(sides["l"], "l", J._levels(sides["r"], "r")).count() == 400
 
 
 def test_events_in_window(rows):
@@ -73,6 +108,11 @@ def test_events_in_window(rows):
     at = lambda h: F.lit(t(h)).cast("timestamp_ntz")
     got = rows.sorted(J.touching(ev, at(3), at(10), F.lit("web-7")), "event_id", "clip_start", "clip_end", "starts_inside")
     assert got == [(1, t(3), t(5), False), (3, t(4), None, True), (5, t(8), t(10), True)]
+    ids = lambda df: [r["event_id"] for r in df.orderBy("event_id").collect()]
+    assert ids(J.touching(ev, start=at(5))) == [1, 4, 5] and ids(J.touching(ev, end=at(1))) == [1, 2, 6]
+    assert ids(J.touching(ev)) == [1, 2, 3, 4, 5, 6]
+    late = J.touching(ev, start=at(5)).where("event_id = 1").select("clip_start", "clip_end", "starts_inside").head()
+    assert tuple(late) == (t(5), t(5), False)
 
 
 def test_pair_sums_match_brute_force(rows):
@@ -93,6 +133,24 @@ def test_pair_sums_match_brute_force(rows):
         assert got == want
 
 
+@pytest.mark.parametrize("sizes", [(512, 1024), (7, 4), (1, 1)])
+def test_pair_sums_of_asked_rows(rows, sizes):
+    rng = random.Random(5)
+    data = {(rng.randint(0, 30), rng.randint(0, 12)): float(rng.randint(1, 5)) for _ in range(200)}
+    df = rows.of([(r, c, v) for (r, c), v in data.items()], "r bigint, c bigint, v double")
+    asked = rows.of([(3,), (3,), (8,), (29,), (99,)], "r bigint")
+    got = {(p["a"], p["b"]): tuple(p[c] for c in ("n", "sx", "sy", "sxx", "syy", "sxy")) for p in pair_sums(df, "r", "c", "v", *sizes, asked=asked).collect()}
+    want = {}
+    for i in (3, 8, 29):
+        for j in {r for r, _ in data} - {i}:
+            common = [c for c in range(13) if (i, c) in data and (j, c) in data]
+            if common:
+                xs, ys = [data[i, c] for c in common], [data[j, c] for c in common]
+                dot = lambda p, q: sum(a * b for a, b in zip(p, q))
+                want[i, j] = (len(common), sum(xs), sum(ys), dot(xs, xs), dot(ys, ys), dot(xs, ys))
+    assert got == want
+
+
 def test_moving_average(rows):
     data = [("url1", "2011-02-28", 100), ("url1", "2011-02-27", 50), ("url1", "2011-02-24", 25),
             ("url2", "2011-02-28", 100), ("url2", "2011-02-26", 50), ("url2", "2011-02-25", 25)]

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -42,7 +43,8 @@ def test_weighted_scores_by_hand(rows):
     for doc, vec in ((1, {"a": 1.5, "c": 0.5}), (2, {"zzz": 1.0})):
         for label in w:
             want = sum(x * math.log((w[label].get(t, 0) + 0.5) / (sum(w[label].values()) + 0.5 * 3)) for t, x in vec.items())
-            assert got[doc, label] == pytest.approx(want)
+            # Document 2 shares no term, so only the label of the greatest floor is returned.
+            assert (doc, label) not in got if (doc, label) == (2, "y") else got[doc, label] == pytest.approx(want)
     with pytest.raises(ValueError):
         B.score_weights(model, vectors, "id", 0)
 
@@ -81,9 +83,10 @@ def test_bm25_by_hand(rows):
             idf = (n - with_[w] + 0.5) / (with_[w] + 0.5)
             want[y] += idf * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * totals[y] / avg))
     got = {r["year"]: r["score"] for r in Y.bm25(counts, q).collect()}
-    assert got == pytest.approx(want) and got[2000] == 0
+    want[None] = want.pop(2000)  # the complement row
+    assert got == pytest.approx(want) and got[None] == 0
     ranked = Y.rank_years(Y.bm25(counts, q), F.col("score").desc()).orderBy("rank").collect()
-    assert [r["rank"] for r in ranked] == [1, 2, 3] and ranked[-1]["year"] == 2000
+    assert [r["rank"] for r in ranked] == [1, 2, 3] and ranked[-1]["year"] is None and ranked[-1]["n_years"] == 1
 
 
 def test_year_naive_bayes_drops_years_without_words(rows):
@@ -101,14 +104,22 @@ def test_nearest_matches_full_vectors(rows):
     q = rows.of([("q", "the, the war."), ("r", "nothing here")], "query_id string, text string")
     got = {(r["query_id"], r["year"]): r["distance"] for r in Y.nearest_years(counts, q).collect()}
     raw = {(r["query_id"], r["year"]): r["squared"] for r in Y.squared_distances(counts, q).collect()}
+    rest = {(r["query_id"], r["year"], r["n_years"]) for r in Y.squared_distances(counts, q).collect() if not r["shared"]}
     for qid, vec in (("q", {"the": 2, "war": 1}), ("r", {"nothing": 1, "here": 1})):
+        squared, unshared = {}, []
         for year in (1900, 1950, 2000):
             yv = {w: c for w, y, c in COUNTS if y == year}
             norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
             words = set(vec) | set(yv)
             want = math.sqrt(sum((vec.get(w, 0) / norm(vec) - yv.get(w, 0) / norm(yv)) ** 2 for w in words))
-            assert got[qid, year] == pytest.approx(want, abs=1e-7)
-            assert raw[qid, year] == sum((vec.get(w, 0) - yv.get(w, 0)) ** 2 for w in words)
+            assert got.get((qid, year), got.get((qid, None))) == pytest.approx(want, abs=1e-7)
+            squared[year] = sum((vec.get(w, 0) - yv.get(w, 0)) ** 2 for w in words)
+            if set(vec) & set(yv):
+                assert raw[qid, year] == squared[year] and (qid, year) in got
+            else:
+                unshared.append((squared[year], year))
+        if unshared:
+            assert raw[qid, min(unshared)[1]] == min(unshared)[0] and (qid, min(unshared)[1], len(unshared)) in rest
 
 
 def test_a_failing_scorer_does_not_stop_the_others(rows, tmp_path, monkeypatch):
@@ -198,6 +209,26 @@ def test_pearson_against_brute_force(ratings):
     assert got == pytest.approx(similarities(data))
 
 
+def test_pearson_of_asked_users_and_of_large_offsets(ratings, spark):
+    data, df = ratings
+    sims = similarities(data)
+    asked = spark.createDataFrame([(2,), (7,)], "user bigint")
+    got = {(r["a"], r["b"]): r["similarity"] for r in REC.user_similarity(df, asked=asked).collect()}
+    assert got == pytest.approx({(a, b): s for (x, y), s in sims.items() for a, b in ((x, y), (y, x)) if a in (2, 7)})
+    far = df.withColumn("rating", F.col("rating") + F.col("user") * 1_000_000.0 + 10_000_000.0)
+    moved = {(r["a"], r["b"]): r["similarity"] for r in REC.user_similarity(far).collect()}
+    assert moved == pytest.approx(sims, abs=1e-6)
+
+
+@pytest.mark.parametrize("heavy", [1024, 2])
+def test_similarity_of_asked_items(ratings, spark, heavy):
+    data, df = ratings
+    every = {(r["a"], r["b"]): (r["n"], r["similarity"]) for r in REC.item_similarity(df).collect()}
+    asked = spark.createDataFrame([(1,), (4,), (4,), (77,)], "item bigint")
+    got = {(r["a"], r["b"]): (r["n"], r["similarity"]) for r in REC.item_similarity(df, asked=asked, heavy=heavy).collect()}
+    assert got == {(a, b): v for (x, y), v in every.items() for a, b in ((x, y), (y, x)) if a in (1, 4)}
+
+
 def test_recommendations_against_brute_force(ratings):
     data, df = ratings
     sims = similarities(data)
@@ -237,16 +268,51 @@ def test_nearest_n_and_split(ratings):
     assert train.count() + test.count() == len(data)
     again, _ = REC.split_ratings(df, 90, seed=4)
     assert train.exceptAll(again).count() == 0
+    first = {(r["user"], r["item"]) for r in train.collect()}
+    digest = lambda u, i: int(hashlib.md5(f"4:{u}:{i}".encode()).hexdigest()[:8], 16) % 100
+    assert first == {(u, i) for u, i in data if digest(u, i) < 90}
     assert REC.evaluate(df, seeds=(1, 2), train_percent=70).count() == 2
 
 
 def test_no_bound_on_years_and_labels(spark, rows):
+    """Many years and labels: rows grow with the matches, the complement row stands for the rest."""
     n = 100_001
     ids = spark.range(n)
-    counts = ids.select(F.lit("war").alias("word"), F.col("id").alias("year"), (F.col("id") + 1).alias("count"))
+    counts = ids.select(F.when(F.col("id") < 1000, "war").otherwise("other").alias("word"), F.col("id").alias("year"), (F.col("id") + 1).alias("count"))
     q = rows.of([("q", "war"), ("r", "peace")], "query_id string, text string")
-    for grid in (Y.bm25(counts, q), Y.nearest_years(counts, q), Y.squared_distances(counts, q)):
-        assert grid.agg(F.count("*"), F.count_distinct("year")).head()[:] == (2 * n, n)
-    model = ids.select(F.col("id").cast("string").alias("label"), F.lit("a").alias("term"), F.lit(1.0).alias("weight"))
+    for found in (Y.bm25(counts, q), Y.nearest_years(counts, q), Y.squared_distances(counts, q)):
+        got = {r["query_id"]: (r["rows"], r["n"]) for r in found.groupBy("query_id").agg(F.count("*").alias("rows"), F.sum("n_years").alias("n")).collect()}
+        assert got == {"q": (1001, n), "r": (1, n)}
+        assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    model = ids.select(F.col("id").cast("string").alias("label"), F.when(F.col("id") < 5, "a").otherwise("b").alias("term"), (F.col("id") + 1.0).alias("weight"))
     vectors = rows.of([(1, "a", 1.0), (2, "zz", 1.0)], "id int, term string, weight double")
-    assert B.score_weights(model, vectors, "id").agg(F.count("score"), F.count_distinct("label")).head()[:] == (2 * n, n)
+    scores = B.score_weights(model, vectors, "id")
+    assert {(r["id"], r["label"], r["matched"]) for r in scores.collect()} == {(1, str(k), True) for k in range(5)} | {(2, "0", False)}
+
+
+def test_the_constant_of_other_years_ranks_between_matched_scores(rows):
+    counts = [("the", 1, 5), ("the", 2, 9), ("the", 3, 1), ("war", 3, 4), ("sea", 4, 2), ("air", 5, 2)]
+    q = rows.of([("q", "the war"), ("n", "nothing")], "query_id string, text string")
+    scores = Y.bm25(rows.of(counts, "word string, year int, count bigint"), q, log_idf=True).withColumn("score", F.round("score", 6))
+    got = [(r["query_id"], r["year"], r["rank"], r["n_years"]) for r in Y.rank_years(scores, F.col("score").desc()).orderBy("query_id", "rank").collect()]
+    # "the" is in three of five years, so its weight is below zero; years 4 and 5 share no word.
+    assert [g for g in got if g[0] == "n"] == [("n", None, 1, 5)]
+    mine = [g[1:] for g in got if g[0] == "q"]
+    assert mine[0][0] == 3 and mine[1] == (None, 2, 2) and [m[1] for m in mine[2:]] == [4, 5] and {m[0] for m in mine[2:]} == {1, 2}
+
+
+def test_best_label_matches_the_full_grid(rows):
+    rng = random.Random(3)
+    model = [(f"l{k}", t, round(rng.random() * 9, 2)) for k in range(9) for t in "abcdefgh" if rng.random() < 0.3]
+    vectors = [(d, t, round(rng.random(), 2)) for d in range(40) for t in rng.sample("abcdefghxyz", rng.randint(1, 4))]
+    m, v = rows.of(model, "label string, term string, weight double"), rows.of(vectors, "id int, term string, weight double")
+    terms, labels = {t for _, t, _ in model}, sorted({x for x, _, _ in model})
+    weight = {x: sum(w for y, _, w in model if y == x) for x in labels}
+    of = {(x, t): w for x, t, w in model}
+    want = {}
+    for d in range(40):
+        score = {x: sum(w * math.log((of.get((x, t), 0) + 1) / (weight[x] + len(terms))) for e, t, w in vectors if e == d) for x in labels}
+        want[d] = min(labels, key=lambda x: (-round(score[x], 9), x))
+    assert {r["id"]: r["predicted"] for r in B.best_label(B.score_weights(m, v, "id"), "id").collect()} == want
+    with pytest.raises(Exception, match="negative"):
+        B.score_weights(m, rows.of([(1, "a", -1.0)], "id int, term string, weight double"), "id").collect()
