@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomstat.functions import schema as S
 from loomstat.operators import grouping as G
 from loomstat.operators import metrics as M
 from loomstat.operators import ranking as R
@@ -134,8 +135,7 @@ def _rollup_rows(spark, d):
 )
 def rollup_events(spark, d):
     events = G.rollup_events(_rollup_rows(spark, d), ROLLUP_ORDER, ["l_returnflag", "l_linestatus", "l_suppkey"], "l_returnflag")
-    out = events.select("seq", "event", "depth", "l_orderkey", "l_linenumber", "l_partkey")
-    return R.with_position(out, [F.col("seq").asc()]).drop("seq")
+    return events.select("event", "depth", "l_orderkey", "l_linenumber", "l_partkey", F.col("seq").alias("position"))
 
 
 @query(
@@ -174,6 +174,36 @@ def first_last(spark, d):
     )
 
 
+EDGE_KEYS = "o_orderpriority, o_orderstatus, o_custkey"
+
+
+def _edges_sql() -> str:
+    """Every level by itself: first and last order of the group, status in its declared order, newest first."""
+    order = "o_orderpriority, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_custkey, o_orderdate DESC, o_orderkey DESC"
+    levels = []
+    for depth, fields in ((1, "o_orderpriority, o_orderstatus"), (2, EDGE_KEYS)):
+        below = "o_custkey" if depth == 2 else "NULL::BIGINT"
+        levels.append(
+            f"SELECT {depth} AS depth, o_orderpriority, o_orderstatus, {below} AS o_custkey, arg_min(o_orderkey, place) AS first_order, arg_max(o_orderkey, place) AS last_order,"
+            f" arg_min(o_orderdate, place) AS first_date, arg_max(o_orderdate, place) AS last_date FROM r GROUP BY {fields}"
+        )
+    return f"WITH r AS (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM orders) " + " UNION ALL ".join(levels)
+
+
+@query("A11_first_and_last_of_every_level", _edges_sql())
+def edges_of_levels(spark, d):
+    """An enum in its declared order, and dates descending."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_custkey", "o_orderdate", "o_orderkey")
+    declared = S.schema([S.field("o_orderstatus", "enum", nullable=True, values=["P", "O", "F"]) if f.name == "o_orderstatus" else f for f in o.schema])
+    edges = G.rollup_edges(
+        o, f"{EDGE_KEYS}, o_orderdate:desc, o_orderkey:desc", ["o_orderpriority", "o_orderstatus", "o_custkey"], "o_orderstatus", ["o_orderkey", "o_orderdate"], declared
+    )
+    return edges.select(
+        "depth", "o_orderpriority", "o_orderstatus", "o_custkey", F.col("first.o_orderkey").alias("first_order"), F.col("last.o_orderkey").alias("last_order"),
+        F.col("first.o_orderdate").alias("first_date"), F.col("last.o_orderdate").alias("last_date"),
+    )
+
+
 @query(
     "A12_ordered_group_reducer",
     """
@@ -371,6 +401,48 @@ def cluster_load(spark, d):
     return out.select("cluster", F.round("load_percent", 6).alias("load_percent"), F.round("utilisation", 6).alias("utilisation"))
 
 
+class SteepestFall(G.RollupState):
+    """Rows, sum, and the largest fall from one row to the next: the order of the rows matters, over all cuts."""
+
+    def zero(self):
+        return 0, 0.0, None, None, 0.0
+
+    def add(self, state, rows):
+        v = rows["l_quantity"].to_numpy()
+        fall = float((v[:-1] - v[1:]).max(initial=0.0))
+        return self.merge(state, (len(v), float(v.sum()), float(v[0]), float(v[-1]), fall))
+
+    def merge(self, state, later):
+        if not state[0] or not later[0]:
+            return state if state[0] else later
+        fall = max(state[4], later[4], state[3] - later[2])
+        return state[0] + later[0], state[1] + later[1], state[2], later[3], fall
+
+    def close(self, depth, field, key, state):
+        key = [*key, *[None] * (3 - len(key))]
+        yield depth, *key, state[0], round(state[1], 2), state[4]
+
+
+def _falls_sql() -> str:
+    levels = []
+    for depth, fields in enumerate(("l_returnflag", "l_returnflag, l_linestatus", "l_returnflag, l_linestatus, l_suppkey")):
+        shown = [n if n in fields else f"NULL AS {n}" for n in ("l_returnflag", "l_linestatus", "l_suppkey")]
+        levels.append(
+            f"SELECT {depth} AS depth, {', '.join(shown)}, count(*) AS n, round(sum(l_quantity), 2) AS quantity, greatest(max(coalesce(before - l_quantity, 0)), 0) AS fall FROM ("
+            f"SELECT *, lag(l_quantity) OVER (PARTITION BY {fields} ORDER BY l_returnflag, l_linestatus, l_suppkey, l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS before FROM lineitem) GROUP BY {fields}"
+        )
+    return " UNION ALL ".join(levels)
+
+
+@query("F04_rollup_reducer", _falls_sql())
+def rollup_reducer(spark, d):
+    """Every group of every level, over three flags, on all cores."""
+    return G.rollup_states(
+        _rollup_rows(spark, d), ROLLUP_ORDER, ["l_returnflag", "l_linestatus", "l_suppkey"], "l_returnflag", SteepestFall(),
+        "depth int, l_returnflag string, l_linestatus string, l_suppkey long, n long, quantity double, fall double",
+    )
+
+
 class FlagTotals(G.RollupHooks):
     """Rollup hooks that add up quantities and answer when a status group closes."""
 
@@ -394,10 +466,10 @@ class FlagTotals(G.RollupHooks):
 
 
 @query(
-    "F04_rollup_reducer",
+    "F04_rollup_hooks",
     "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL",
 )
-def rollup_reducer(spark, d):
+def rollup_hooks(spark, d):
     return G.rollup_hooks(
         _rollup_rows(spark, d), ROLLUP_ORDER, ["l_returnflag", "l_linestatus", "l_suppkey"], "l_returnflag", FlagTotals(),
         "l_returnflag string, l_linestatus string, n long, quantity double",

@@ -58,18 +58,56 @@ def cogroup_reducer(spark, d):
         people, money, salary = 0, 0.0, None
         for b in batches:
             mine = b[b["source_ix"] == 1]
-            people += len(mine)
+            people += int(mine["n"].sum())
             money += float(mine["money"].sum())
             found = b.loc[b["source_ix"] == 0, "salary"]
             salary = int(found.iloc[-1]) if len(found) else salary
         yield key[0], people, salary, round(money, 2) if people else None
 
+    # Only sums matter here, so people shrink to one row a nation and task before they move.
+    combine = lambda people: people.groupBy("home").agg(F.count("name").alias("n"), F.sum("money").alias("money"))
     return G.reduce_cogroups(
         sources, ["nation"], summarise, "nation int, people long, salary long, money double",
-        aliases={"people": {"nation": "home"}}, specific_order={"people": "money"},
+        aliases={"people": {"nation": "home"}}, combiners={"people": combine},
     )
 
 
+class StatusTotals(G.CogroupState):
+    """Orders and lines of a status: rows and largest price of each source."""
+
+    def zero(self, source):
+        return 0, None
+
+    def add(self, source, state, rows):
+        return self.merge(source, state, (len(rows), float(rows["price"].max())))
+
+    def merge(self, source, state, other):
+        highest = [p for p in (state[1], other[1]) if p is not None]
+        return state[0] + other[0], max(highest, default=None)
+
+    def close(self, key, states):
+        orders, lines = (states.get(name, (None, None)) for name in ("orders", "lines"))
+        yield key[0], *orders, *lines
+
+
+@query(
+    "J01_cogroup_states",
+    """
+    WITH o AS (SELECT o_orderstatus AS status, count(*) AS orders, max(o_totalprice) AS dearest_order FROM orders GROUP BY ALL),
+    l AS (SELECT l_linestatus AS status, count(*) AS lines, max(l_extendedprice) AS dearest_line FROM lineitem GROUP BY ALL)
+    SELECT status, orders, dearest_order, lines, dearest_line FROM o FULL JOIN l USING (status)
+    """,
+)
+def cogroup_states(spark, d):
+    """Three keys, one in the orders only: each is spread over many tasks and its states merge."""
+    sources = {
+        "orders": table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")),
+        "lines": table(spark, d, "lineitem").select(F.col("l_linestatus").alias("state"), F.col("l_extendedprice").alias("price")),
+    }
+    schema = "status string, orders long, dearest_order double, lines long, dearest_line double"
+    return G.cogroup_states(sources, ["status"], StatusTotals(), schema, aliases={"lines": {"status": "state"}})
+
+
 URLS = """
 h AS (SELECT split_part(split_part(url, '#', 1), '?', 1) AS url, page_id AS timestamp, length(html) AS size FROM pages),
 map AS (SELECT url AS nc, regexp_replace(url, '^https?://(m\\.)?', '') AS canonical FROM h)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstat.functions import schema as S
@@ -9,7 +10,7 @@ from loomstat.functions import status as ST
 from loomstat.functions import text as X
 from loomstat.operators import joins as J
 from loomstat.operators import metrics as M
-from loomstat.operators.grouping import RowMapper, map_rows
+from loomstat.operators.grouping import OutputMapper, RowMapper, map_outputs, map_rows
 from loomstat.plans import vectors as V
 from loomstat.plans import years as Y
 from loomstat.registry.base import AGE, COUNTS, METRICS, TOKENS, as_of, documents, metric_table, phrases, query, table, token_rows, year_counts
@@ -335,8 +336,6 @@ class LastOfTask(RowMapper):
         return iter(())
 
     def cleanup(self):
-        import pandas as pd
-
         yield pd.DataFrame({"lines": [self.total]})
 
 
@@ -346,6 +345,70 @@ def mapper_flush(spark, d):
     return map_rows(li, LastOfTask(), "lines long").agg(F.sum("lines").alias("lines"))
 
 
+class PriceRouter(OutputMapper):
+    """Rows dearer than a share of a given price go to ``dear``, the others to ``cheap``; ``seen`` counts them at the end of a task."""
+
+    def __init__(self, kind, key, price, limit):
+        self.kind, self.key, self.price, self.limit = kind, key, price, limit
+
+    def setup(self):
+        self.rows = 0
+
+    def map(self, batch):
+        self.rows += len(batch)
+        dear = batch[self.price] > self.limit
+        yield "dear", pd.DataFrame({"kind": self.kind, "key": batch.loc[dear, self.key], "price": batch.loc[dear, self.price]})
+        yield "cheap", pd.DataFrame({"kind": self.kind, "key": batch.loc[~dear, self.key], "limit": float(self.limit)})
+
+    def cleanup(self):
+        yield "seen", pd.DataFrame({"kind": [self.kind], "rows": [self.rows]})
+
+
+def _routed(spark, d):
+    """Two inputs, each through an instance with settings of its own, into three outputs, in one pass over each."""
+    inputs = [
+        (table(spark, d, "orders").select("o_orderkey", "o_totalprice"), PriceRouter("order", "o_orderkey", "o_totalprice", 150_000)),
+        (table(spark, d, "part").select("p_partkey", "p_retailprice"), PriceRouter("part", "p_partkey", "p_retailprice", 1_500)),
+    ]
+    outputs = {"dear": "kind string, key long, price double", "cheap": "kind string, key long, limit double", "seen": "kind string, rows long"}
+    return map_outputs(inputs, outputs)
+
+
+ROUTED = """
+i AS (SELECT 'order' AS kind, o_orderkey AS key, o_totalprice AS price, 150000.0::DOUBLE AS lim FROM orders UNION ALL SELECT 'part', p_partkey, p_retailprice, 1500.0 FROM part)
+"""
+
+
+@query(
+    "F02_mapper_with_named_outputs",
+    f"""
+    WITH {ROUTED} SELECT 'dear' AS output, kind, key, price, NULL::DOUBLE AS "limit", NULL::BIGINT AS rows FROM i WHERE price > lim
+    UNION ALL SELECT 'cheap', kind, key, NULL, lim, NULL FROM i WHERE price <= lim UNION ALL SELECT 'seen', kind, NULL, NULL, NULL, count(*) FROM i GROUP BY kind
+    """,
+)
+def named_outputs(spark, d):
+    found = _routed(spark, d)
+    seen = found["seen"].groupBy("kind").agg(F.sum("rows").alias("rows"))
+    out = None
+    for name, df in (("dear", found["dear"]), ("cheap", found["cheap"]), ("seen", seen)):
+        rows = df.withColumn("output", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.select("output", "kind", "key", "price", "limit", "rows")
+
+
+@query(
+    "F05_mapper_instances",
+    f"""
+    WITH {ROUTED} SELECT kind, lim AS "limit", count(*) FILTER (price <= lim) AS cheap, count(*) AS rows FROM i GROUP BY ALL
+    """,
+)
+def mapper_instances(spark, d):
+    """Two instances of one class with different settings: what each counted and where it drew its line."""
+    found = _routed(spark, d)
+    cheap = found["cheap"].groupBy("kind", "limit").agg(F.count("*").alias("cheap"))
+    return cheap.join(found["seen"].groupBy("kind").agg(F.sum("rows").alias("rows")), "kind")
+
+
 @query(
     "F05_mappers_with_own_settings",
     "SELECT 'order' AS kind, round(sum(o_totalprice * 0.5), 2) AS scaled FROM orders UNION ALL SELECT 'line', round(sum(l_extendedprice * 0.25), 2) FROM lineitem",

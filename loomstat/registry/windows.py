@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from loomstat.functions import ordering as O
 from loomstat.functions import schema as S
+from loomstat.operators import grouping as G
 from loomstat.operators import metrics as M
 from loomstat.operators import ranking as R
 from loomstat.operators import windows as W
@@ -175,6 +177,26 @@ def source_order(spark, d):
     return R.with_position(rows, order).select("nation", "name", "position")
 
 
+@query(
+    "O03_source_between_fields",
+    """
+    WITH r AS (SELECT c_nationkey AS nation, CAST(floor(c_acctbal / 1000) AS BIGINT) AS band, 0 AS ix, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer
+      UNION ALL SELECT s_nationkey, CAST(floor(s_acctbal / 1000) AS BIGINT), 1, s_name, NULL, s_acctbal FROM supplier)
+    SELECT nation, band, name, row_number() OVER (ORDER BY nation, band DESC, ix DESC, name, CASE WHEN ix = 0 THEN segment END NULLS FIRST, CASE WHEN ix = 1 THEN balance END DESC NULLS LAST) - 1 AS position FROM r
+    """,
+)
+def source_between(spark, d):
+    """The source stands between two common fields of the order text; each source has an order of its own behind them."""
+    band = lambda c: F.floor(F.col(c) / 1000).alias("band")
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), band("c_acctbal"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), band("s_acctbal"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    rows, order = G.cogroup_rows(
+        {"customers": customers, "suppliers": suppliers}, ["nation"], "nation, band:desc, source_ix:desc, name",
+        specific_order={"customers": "segment", "suppliers": "balance:desc"},
+    )
+    return R.with_position(rows, order).select("nation", "band", "name", "position")
+
+
 @query(
     "O04_order_and_group_by_nested_field",
     "SELECT brand, size, n, row_number() OVER (ORDER BY size DESC, brand) - 1 AS position FROM "
@@ -197,13 +219,29 @@ def default_order(spark, d):
     return R.with_position(counts, O.sort_columns(O.default_order(["l_returnflag", "l_linestatus"])))
 
 
-@query("O06_custom_partitioning", "SELECT c_nationkey, count(*) AS n, 1 AS partitions FROM customer GROUP BY ALL")
+@query(
+    "O06_custom_partitioning",
+    """
+    SELECT c_nationkey, count(DISTINCT c_mktsegment) AS groups, count(*) AS n, round(max(c_acctbal), 2) AS highest, 1 AS partitions FROM customer GROUP BY ALL
+    """,
+)
 def custom_partitioning(spark, d):
-    """All rows of a key share one partition when partitioned by it."""
-    c = table(spark, d, "customer").select("c_nationkey").repartition(16, "c_nationkey")
-    placed = c.select("c_nationkey", F.spark_partition_id().alias("p"))
-    per = placed.groupBy("c_nationkey", "p").agg(F.count("*").alias("n"))
-    return per.groupBy("c_nationkey").agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("partitions"))
+    """Groups of nation and segment, dealt by nation alone into a number of partitions of the caller's."""
+
+    def summarise(key, batches):
+        rows, highest = 0, None
+        for b in batches:
+            rows, highest = rows + len(b), b["c_acctbal"].iloc[0] if highest is None else highest
+        yield *key, rows, float(highest), TaskContext.get().partitionId()
+
+    c = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
+    groups = G.reduce_groups(
+        c, ["c_nationkey", "c_mktsegment"], summarise, "c_nationkey int, c_mktsegment string, n long, highest double, part int", order="c_acctbal:desc",
+        partition_fields=["c_nationkey"], partitions=12,
+    )
+    return groups.groupBy("c_nationkey").agg(
+        F.count("*").alias("groups"), F.sum("n").alias("n"), F.round(F.max("highest"), 2).alias("highest"), F.count_distinct("part").cast("int").alias("partitions")
+    )
 
 
 @query(
@@ -238,6 +276,25 @@ def checked_job(spark, d):
     return c.groupBy(*[k.name for k in keys]).agg(F.count("*").alias("n"))
 
 
+@query(
+    "O10_specific_orders",
+    """
+    WITH r AS (SELECT o_custkey AS customer, 1 AS ix, o_orderkey, o_totalprice, o_orderdate, NULL AS name FROM orders
+      UNION ALL SELECT c_custkey, 0, NULL, NULL, NULL, c_name FROM customer)
+    SELECT customer, name, o_orderkey, row_number() OVER (ORDER BY customer, ix, CASE WHEN ix = 1 THEN o_orderdate END DESC, o_orderkey) - 1 AS position FROM r
+    """,
+)
+def specific_orders(spark, d):
+    """A checked job of two sources: the customer first, then the orders, newest first."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    rows, order = G.cogroup_rows(
+        {"customers": customers, "orders": orders}, ["customer"], "customer, source_ix", specific_order={"orders": "o_orderdate:desc, o_orderkey"},
+        aliases={"orders": {"customer": "o_custkey"}},
+    )
+    return R.with_position(rows, order).select("customer", "name", "o_orderkey", "position")
+
+
 @query(
     "O11_hosts_by_metric",
     f"""

@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomstat.functions import schema as S
 from loomstat.functions.text import tokens
 from loomstat.operators import grouping as G
 
@@ -106,8 +108,197 @@ def test_square_sum_overflow_is_an_error(rows):
 def test_first_and_last(rows):
     got = G.group_edges(rows.of(FIRST, PEOPLE), ["country"], "age, height:desc", ["name", "height"])
     assert rows.sorted(got.select("country", "first.height", F.col("last.height").alias("l")))[1] == ("US", 202, 160)
+    by_name = G.group_edges(rows.of(FIRST, PEOPLE), ["country"], "name:desc, height", ["name"])
+    got = {r["country"]: (r["first"]["name"], r["last"]["name"]) for r in by_name.collect()}
+    assert got == {c: (max(r[2] for r in FIRST if r[0] == c), min(r[2] for r in FIRST if r[0] == c)) for c in {r[0] for r in FIRST}}
+
+
+@pytest.mark.parametrize("mark", ["", ":desc", ":null_biggest", ":desc|null_biggest"])
+def test_first_and_last_of_every_level(rows, mark):
+    """Enum, date and text fields, both directions, nulls and repeated rows, at every rollup level."""
+    rng = random.Random(len(mark))
+    days = [None, dt.date(2024, 1, 2), dt.date(2023, 5, 6), dt.date(2024, 3, 1)]
+    data = [(rng.choice("ab"), rng.choice(["LOW", "HIGH", None]), rng.choice(days), rng.choice(["x", "é", None, "Z"]), i // 2) for i in range(80)]
+    df = rows.of(data, "g string, e string, d date, t string, n int").repartition(4)
+    declared = S.schema([df.schema["g"], S.field("e", "enum", nullable=True, values=["LOW", "MID", "HIGH"]), *[df.schema[c] for c in "dtn"]])
+    order = f"g, e{mark}, d{mark}, t{mark}, n"
+    got = G.rollup_edges(df, order, ["g", "e", "d"], "e", ["t", "n"], declared).collect()
+
+    def rank(value, index):
+        values = {1: ["LOW", "MID", "HIGH"], 2: sorted(d for d in days if d), 3: sorted(["x", "é", "Z"], key=str.encode)}[index]
+        if value is None:
+            at = len(values) if "null_biggest" in mark else -1
+        else:
+            at = values.index(value)
+        return -at if "desc" in mark else at
+
+    whole = sorted(data, key=lambda r: (r[0], rank(r[1], 1), rank(r[2], 2), rank(r[3], 3), r[4]))
+    want = {}
+    for depth in (1, 2):
+        for r in whole:
+            key = (depth, *r[: depth + 1], *[None] * (2 - depth))
+            first, _ = want.get(key, ((r[3], r[4]), None))
+            want[key] = (first, (r[3], r[4]))
+    assert {(r["depth"], r["g"], r["e"], r["d"]): (tuple(r["first"]), tuple(r["last"])) for r in got} == want
+
+
+class Spread(G.RollupState):
+    """Rows, sum, first and last value of a group: the order matters."""
+
+    def zero(self):
+        return None
+
+    def add(self, state, rows):
+        values = rows["height"].tolist()
+        return self.merge(state, (len(values), sum(values), values[0], values[-1]))
+
+    def merge(self, state, later):
+        if state is None or later is None:
+            return later if state is None else state
+        return state[0] + later[0], state[1] + later[1], state[2], later[3]
+
+    def close(self, depth, field, key, state):
+        yield depth, field, "|".join(map(str, key)), *state
+
+
+@pytest.mark.parametrize("rollup_from", ["country", "age"])
+def test_rollup_states_merge_over_partition_edges(spark, rows, rollup_from):
+    """Two countries over many partitions, batches of three rows: most groups are cut somewhere."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    for key, value in zip(saved, ("false", "3", "7")):
+        spark.conf.set(key, value)
+    try:
+        rng = random.Random(5)
+        data = sorted((rng.choice(["A", "B", "B", "B"]), rng.randint(0, 1), rng.choice("xy"), -i) for i in range(90))
+        data = [(a, b, c, -d) for a, b, c, d in data]
+        df = rows.of(data, PEOPLE).repartition(5)
+        schema = "depth int, field string, key string, n long, total long, first long, last long"
+        got = sorted(tuple(r) for r in G.rollup_states(df, ORDER, ["country", "age", "name"], rollup_from, Spread(), schema).collect())
+    finally:
+        for key, value in saved.items():
+            spark.conf.set(key, value)
+    want = []
+    for depth in range(["country", "age"].index(rollup_from), 3):
+        for key, group in itertools.groupby(data, key=lambda r: r[: depth + 1]):
+            values = [r[3] for r in group]
+            want.append((depth, ["country", "age", "name"][depth], "|".join(map(str, key)), len(values), sum(values), values[0], values[-1]))
+    assert got == sorted(want)
+    assert G.rollup_states(df.limit(0), ORDER, ["country", "age", "name"], rollup_from, Spread(), schema).collect() == []
+
+
+def test_rollup_events_are_numbered_without_gaps(rows):
+    rng = random.Random(6)
+    data = [(rng.choice("AB"), rng.randint(0, 2), rng.choice("xyz"), i) for i in range(70)]
+    seq = [r["seq"] for r in G.rollup_events(rows.of(data, PEOPLE).repartition(6), ORDER, ["country", "age", "name"], "age").orderBy("seq").collect()]
+    assert seq == list(range(len(seq)))
+
+
+class Totals(G.CogroupState):
+    def zero(self, source):
+        return [0, 0]
+
+    def add(self, source, state, rows):
+        column = "money" if source == "user" else "size"
+        return [state[0] + len(rows), state[1] + int(rows[column].sum())]
+
+    def merge(self, source, state, other):
+        return [a + b for a, b in zip(state, other)]
+
+    def close(self, key, states):
+        yield key[0], str(sorted(states.items()))
+
+
+@pytest.mark.parametrize("slices", [1, 8])
+def test_cogroup_states_spread_a_hot_key(rows, slices):
+    users = [("hot" if i % 3 else f"u{i}", i) for i in range(200)] + [(None, 7), (None, 8)]
+    sizes = [("hot", 5), ("hot", 6), ("alone", 1)]
+    sources = {"user": rows.of(users, "home string, money int").repartition(4), "place": rows.of(sizes, "k string, size int")}
+    got = dict(rows.sorted(G.cogroup_states(sources, ["k"], Totals(), "k string, t string", aliases={"user": {"k": "home"}}, slices=slices)))
+    want = {}
+    for k in {k for k, _ in users + sizes}:
+        found = {}
+        for source, data in (("user", users), ("place", sizes)):
+            mine = [v for x, v in data if x == k]
+            if mine:
+                found[source] = [len(mine), sum(mine)]
+        want[k] = str(sorted(found.items()))
+    assert got == want
+
+
+def test_combiner_of_one_source(rows):
+    people = rows.of([("a", 1), ("a", 2), ("b", 3)], "k string, v long")
+    places = rows.of([("a", 9)], "k string, w long")
+    seen = lambda key, batches: iter([(key[0], sum(len(b) for b in batches))])
+    combine = {"people": lambda df: df.groupBy("k").agg(F.sum("v").alias("v"))}
+    got = G.reduce_cogroups({"people": people, "places": places}, ["k"], seen, "k string, n long", combiners=combine)
+    assert rows.sorted(got) == [("a", 2), ("b", 1)]
     with pytest.raises(ValueError):
-        G.group_edges(rows.of(FIRST, PEOPLE), ["country"], "name:desc", ["name"])
+        G.reduce_cogroups({"people": people}, ["k"], seen, "k string, n long", combiners={"nobody": lambda df: df})
+
+
+def test_source_order_between_other_fields(rows):
+    a, b = rows.of([("k", 2, 1.0), ("k", 1, 5.0), ("j", 1, 1.0)], "k string, x int, p double"), rows.of([("k", 1, 7), ("k", 2, 8), ("k", 1, 6)], "k string, x int, q int")
+    out, columns = G.cogroup_rows({"a": a, "b": b}, ["k"], "k, x, source_ix:desc", specific_order={"b": "q:desc"})
+    got = [(r["k"], r["x"], r["source_ix"], r["q"]) for r in out.orderBy(*columns).collect()]
+    assert got == [("j", 1, 0, None), ("k", 1, 1, 7), ("k", 1, 1, 6), ("k", 1, 0, None), ("k", 2, 1, 8), ("k", 2, 0, None)]
+    out, columns = G.cogroup_rows({"a": a, "b": b}, ["k"], "k, source_ix, x:desc")
+    assert [(r["x"], r["source_ix"]) for r in out.where("k = 'k'").orderBy(*columns).collect()] == [(2, 0), (1, 0), (2, 1), (1, 1), (1, 1)]
+
+
+def test_partition_fields_keep_groups_whole(rows):
+    data = [(a, b, i) for i, (a, b) in enumerate(itertools.product("xyz", range(4)))] * 2
+    df = rows.of(data, "a string, b int, v int")
+
+    def where(key, batches):
+        from pyspark import TaskContext
+
+        yield *key, sum(int(b["v"].sum()) for b in batches), TaskContext.get().partitionId()
+
+    schema = "a string, b int, total long, part int"
+    got = G.reduce_groups(df, ["a", "b"], where, schema, partition_fields=["a"], partitions=5).collect()
+    assert {(r["a"], r["b"]): r["total"] for r in got} == {(a, b): 2 * v for a, b, v in data}
+    assert all(len({r["part"] for r in got if r["a"] == a}) == 1 for a in "xyz")
+    trace = G.rollup_hooks(df, "a, b", ["a", "b"], "b", G.RollupHooks(), "x int", partition_fields=["a"], partitions=3)
+    assert trace.count() == 0
+    for wrong in (["v"], [], ["nothing"], ["a", "a"]):
+        with pytest.raises(ValueError):
+            G.reduce_groups(df, ["a", "b"], where, schema, partition_fields=wrong)
+    with pytest.raises(ValueError):  # b is below the field that the rollup starts from
+        G.rollup_hooks(df, "a, b", ["a", "b"], "a", G.RollupHooks(), "x int", partition_fields=["b"])
+
+
+class Router(G.OutputMapper):
+    """Rows above a limit of its own go to one output, the others to another; the count comes at the end."""
+
+    def __init__(self, column, limit):
+        self.column, self.limit = column, limit
+
+    def setup(self):
+        self.rows = 0
+
+    def map(self, batch):
+        self.rows += len(batch)
+        high = batch[self.column] > self.limit
+        yield "high", pd.DataFrame({"v": batch.loc[high, self.column]})
+        yield "low", pd.DataFrame({"v": batch.loc[~high, self.column], "limit": float(self.limit)})
+
+    def cleanup(self):
+        yield "seen", pd.DataFrame({"limit": [self.limit], "n": [self.rows]})
+
+
+def test_mappers_with_settings_and_named_outputs(spark, rows):
+    one, two = spark.range(10).withColumnRenamed("id", "a"), spark.range(100).repartition(3).withColumnRenamed("id", "b")
+    outputs = {"high": "v long", "low": "v long, limit double", "seen": "limit long, n long", "never": "x string"}
+    got = G.map_outputs([(one, Router("a", 6)), (two, Router("b", 90))], outputs)
+    assert set(got) == set(outputs) and got["low"].dtypes == [("v", "bigint"), ("limit", "double")]
+    assert sorted(r["v"] for r in got["high"].collect()) == sorted([7, 8, 9, *range(91, 100)])
+    assert got["low"].where("limit = 6").count() == 7 and got["low"].where("limit = 90").count() == 91
+    totals = {r["limit"]: r["n"] for r in got["seen"].groupBy("limit").agg(F.sum("n").alias("n")).collect()}
+    assert totals == {6: 10, 90: 100} and got["never"].count() == 0
+    plan = got["high"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(output" in plan
+    with pytest.raises(Exception, match="no output"):
+        G.map_outputs([(one, Router("a", 6))], {"high": "v long"})
 
 
 def test_cogroup_source_order(rows):

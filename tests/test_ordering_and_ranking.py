@@ -73,6 +73,41 @@ def test_job_checks(rows):
             O.check_job(sources, keys, order, rollup)
 
 
+def test_job_checks_on_source_and_specific_orders(rows):
+    a, b = rows.of([(1, "x", 2)], "k int, s string, n int"), rows.of([(1, "y", 2.0)], "k int, t string, n double")
+    both = {"a": a, "b": b}
+    assert [k.name for k in O.check_job(both, ["k"], "k, source_ix:desc", specific={"a": "s, n:desc", "b": "t"})] == ["k", "source_ix"]
+    bad = [
+        (both, "source_ix, k", None),  # before the group fields
+        (both, "k, source_ix, source_ix", None),
+        (both, "k, n", None),  # types differ, but an order field only needs to be there: see below
+        ({"a": a}, "k, source_ix", None),
+        (both, "k", {"c": "s"}),
+        (both, "k", {"a": []}),
+        (both, "k", {"a": "t"}),
+        (both, "k", {"a": "k"}),
+        (both, "k", {"a": "s, s"}),
+        (both, "k", {"a": "source_ix"}),
+        (both, "k, n", {"a": "n"}),
+    ]
+    for at, (sources, order, specific) in enumerate(bad):
+        if at == 2:
+            assert O.check_job(sources, ["k"], order, specific=specific)
+            continue
+        with pytest.raises(ValueError):
+            O.check_job(sources, ["k"], order, specific=specific)
+    with pytest.raises(ValueError):
+        O.check_job({"a": a.withColumnRenamed("n", "source_ix"), "b": b}, ["k"])
+
+
+def test_reversed_keys_sort_the_other_way_round(rows):
+    for mark in ("", ":desc", ":null_biggest", ":desc|null_biggest"):
+        df = rows.of([(2,), (None,), (1,), (3,)], "v int")
+        key = O.parse_order(f"v{mark}")[0]
+        up, down = ([r[0] for r in df.orderBy(k.column()).collect()] for k in (key, key.reversed()))
+        assert up == down[::-1]
+
+
 def test_positions_match_a_sort(spark, rows):
     rng = random.Random(3)
     data = [(rng.randint(0, 30), rng.random(), i) for i in range(3000)]
