@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.session import materialise
+
 
 def resolve(hits: DataFrame, mapping: DataFrame, key: str, map_key: str, canonical: str, order: str) -> DataFrame:
     """Replace ``key`` by its canonical value (null when unmapped).
@@ -51,38 +54,165 @@ def drop_terms(df: DataFrame, column: str, stop: DataFrame, term: str = "word")
     return df.join(stop.select(F.col(term).alias("_term")), F.col(column) == F.col("_term"), "left_anti")
 
 
-def regex_matches(
-    catalog: DataFrame,
-    rules: DataFrame,
-    tests: Sequence[tuple[str, str]],
-    chunk: int = 256,
-    spread: int = 64,
-) -> DataFrame:
-    """Pairs of catalog rows and rules where every pattern is found, any case.
+#: Length of the pieces of text that the index of names is made of.
+GRAM = 3
+
+
+def required_literal(pattern: str | None) -> str | None:
+    """The longest run of ASCII characters, in lower case, that every match of the pattern holds; None if none is sure.
+
+    Only what is plain is read: characters outside of groups and classes that no
+    quantifier makes optional. A top-level alternative, inline flags or quoting give None.
+    """
+    if pattern is None:
+        return None
+    runs, run, at, n = [], "", 0, len(pattern)
+    while at < n:
+        c = pattern[at]
+        if c == "|" or pattern.startswith(("(?", "\\Q", "\\E"), at):
+            return None
+        literal, step = None, 1
+        if c == "\\":
+            step = 2
+            if at + 1 >= n or pattern[at + 1].isalnum():
+                if at + 1 < n and pattern[at + 1] not in "dDwWsSbB":
+                    return None  # a code, a reference or something rarer
+            else:
+                literal = pattern[at + 1]
+        elif c in "([":
+            end = _closing(pattern, at)
+            if end is None:
+                return None
+            step = end - at
+        elif c not in ".^$)]{}?*+" and " " <= c <= "~":
+            literal = c
+        after = pattern[at + step : at + step + 1]
+        if literal is not None and after not in ("?", "*", "{") and " " <= literal <= "~":
+            run += literal
+            if after == "+":  # once is sure, what follows it is not next to what came before
+                runs.append(run)
+                run = ""
+        else:
+            runs.append(run)
+            run = ""
+        at += step
+        while at < n and pattern[at] in "?*+":
+            at += 1
+        if at < n and pattern[at] == "{":
+            end = pattern.find("}", at)
+            if end < 0:
+                return None
+            at = end + 1
+            while at < n and pattern[at] in "?*+":
+                at += 1
+    best = max([*runs, run], key=len).lower()
+    return best if len(best) >= GRAM else None
+
+
+def _closing(pattern: str, at: int) -> int | None:
+    """Just behind the group or class that opens at ``at``; None where that is not plain to see."""
+    depth, klass = 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            if pattern.startswith("\\Q", at):
+                return None
+            at += 1
+        elif klass:
+            if c == "[" or (c == "]" and pattern[at - 1] in "[^"):
+                return None  # classes in classes, or a bracket as a member
+            klass -= c == "]"
+            if not klass and not depth:
+                return at + 1
+        elif c == "[":
+            klass = 1
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return at + 1
+        at += 1
+    return None
+
+
+def _literals(patterns: Column) -> Column:
+    """The required literals of a column of patterns, in Arrow batches."""
+
+    def read(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda p: required_literal(p) if isinstance(p, str) else None)
+
+    return F.pandas_udf(read, "string")(patterns)
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of ``GRAM`` characters of a text; none of a null or shorter one."""
+    starts = F.sequence(F.lit(1), F.length(text) - (GRAM - 1))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM))))
+    return F.when(F.length(text) >= GRAM, pieces).otherwise(F.array().cast("array<string>"))
+
+
+def _placed_grams(k: int) -> Column:
+    """The pieces of the literal of the k-th test, each with that number."""
+    return F.transform(_grams(F.col(f"_l{k}")), lambda g: F.struct(F.lit(k).alias("_at"), g.alias("_gram")))
+
+
+def regex_matches(catalog: DataFrame, rules: DataFrame, tests: Sequence[tuple[str, str]], slice_rows: int = 4096, chunk: int = 256) -> DataFrame:
+    """Pairs of distinct catalog rows and rules where every pattern is found, any case.
 
     ``tests`` lists (catalog column, rule pattern column); a null pattern matches
-    everything. Rules are cut into chunks of about ``chunk``; catalog rows are
-    copied once per chunk and spread by a row hash, so each task tests a slice of
-    the catalog against one chunk. Only matches leave a task. Distinct catalog
-    rows are tested once.
+    everything. The sides must not share column names.
+
+    An index of required literals: a pattern that must hold a literal is only tested on
+    names that hold the rarest of the literal's three-character pieces; a piece in many names is cut into slices
+    of about ``slice_rows``. Rules without any literal are cut into chunks and tested on
+    every slice of the catalog, as many of both as the data need. Only matches leave a task.
     """
-    chunks = rules.agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("n")).scalar()
-    n = F.greatest(F.coalesce(chunks, F.lit(1)), F.lit(1))
-    names = catalog.columns
-    left = (
-        catalog.distinct()
-        .withColumn("_slice", F.pmod(F.xxhash64(*names), F.lit(spread)).cast("int"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), n - 1)))
-    )
-    right = rules.withColumn("_chunk", F.pmod(F.xxhash64(*rules.columns), n).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    )
+    names, asked_for = catalog.columns, list(dict.fromkeys(p for _, p in tests))
+    left = materialise(catalog.distinct(), "names")
+    alias = {p: f"_p{k}" for k, p in enumerate(asked_for)}
+    asked = rules.select(*[F.col(p).alias(alias[p]) for p in asked_for]).distinct()
+    patterns = list(alias.values())
     found = F.lit(True)
     for column, pattern in tests:
-        hit = F.rlike(left[column].cast("string"), F.concat(F.lit("(?i)"), right[pattern]))
-        found = found & F.coalesce(hit, right[pattern].isNull())
-    same = (left["_chunk"] == right["_chunk"]) & (left["_slice"] == right["_slice"])
-    return left.join(right, same & found).drop("_chunk", "_slice")
+        hit = F.rlike(F.col(column).cast("string"), F.concat(F.lit("(?i)"), F.col(alias[pattern])))
+        found = found & F.coalesce(hit, F.col(alias[pattern]).isNull())
+
+    marked = asked.withColumns({f"_l{k}": _literals(F.col(alias[p])) for k, (_, p) in enumerate(tests)})
+    marked = marked.withColumn("_pieces", F.concat(*[_placed_grams(k) for k in range(len(tests))])).select(*patterns, "_pieces")
+    marked = materialise(marked, "patterns")
+
+    # Names by piece, and how many names have it.
+    index = None
+    for k, (column, _) in enumerate(tests):
+        values = left.select(F.col(column).cast("string").alias("_value")).distinct()
+        part = values.select(F.lit(k).alias("_at"), "_value", F.explode(_grams(F.lower("_value"))).alias("_gram"))
+        index = part if index is None else index.unionByName(part)
+    sizes = index.groupBy("_at", "_gram").agg(F.ceil(F.count("*") / F.lit(slice_rows)).cast("int").alias("_n"), F.count("*").alias("_count"))
+    # A piece that no name has means that nothing matches: the rule drops out here.
+    wanted = marked.select(*patterns, F.explode("_pieces").alias("_p")).select(*patterns, "_p.*").join(sizes, ["_at", "_gram"], "left")
+    order = F.struct(F.coalesce("_count", F.lit(0)), "_at", "_gram")
+    rarest = wanted.groupBy(*patterns).agg(F.min_by(F.struct("_at", "_gram", "_n"), order).alias("_best")).select(*patterns, "_best.*")
+    rarest = rarest.where("_n is not null").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    large = sizes.where("_n > 1").select("_at", "_gram", "_n")
+    index = index.join(large, ["_at", "_gram"], "left").withColumn("_slice", F.pmod(F.xxhash64("_value"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    candidates = rarest.join(index, ["_at", "_gram", "_slice"]).select(*patterns, "_at", "_value")
+    matched = None
+    for k, (column, _) in enumerate(tests):
+        mine = candidates.where(F.col("_at") == k).drop("_at")
+        hits = left.join(mine, F.col(column).cast("string") == F.col("_value")).where(found).select(*names, *patterns)
+        matched = hits if matched is None else matched.unionByName(hits)
+
+    plain = marked.where(F.size("_pieces") == 0).select(*patterns)
+    chunks, slices = (max(1, -(-df.count() // size)) for df, size in ((plain, chunk), (left, slice_rows)))
+    rows = left.withColumn("_slice", F.pmod(F.xxhash64(*names), F.lit(slices)).cast("int")).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    every = plain.withColumn("_chunk", F.pmod(F.xxhash64(*patterns), F.lit(chunks)).cast("int")).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    matched = matched.unionByName(rows.join(every, ["_chunk", "_slice"]).where(found).select(*names, *patterns))
+
+    same = F.lit(True)
+    for p, q in alias.items():
+        same = same & F.col(p).eqNullSafe(F.col(q))
+    return matched.join(rules, same).select(*names, *rules.columns)
 
 
 def touching(events: DataFrame, start: Column | None = None, end: Column | None = None, host: Column | None = None) -> DataFrame:

@@ -261,7 +261,7 @@ def regex_rules(spark, d):
         "n_name",
     )
     catalog = metric_table(spark, d).select("host", "metric")
-    return J.regex_matches(catalog, rules, [("host", "hp"), ("metric", "mp")], chunk=8, spread=4).select("host", "metric", "n_name")
+    return J.regex_matches(catalog, rules, [("host", "hp"), ("metric", "mp")]).select("host", "metric", "n_name")
 
 
 EVENT_ROWS = """

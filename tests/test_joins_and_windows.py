@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,18 +36,46 @@ def test_stop_words_are_exact(rows):
     assert rows.sorted(J.drop_terms(words, "word", stop)) == sorted([("Bar",), ("foo",), (None,)], key=repr)
 
 
-@pytest.mark.parametrize("chunk,spread", [(1, 1), (2, 3), (256, 64)])
-def test_regex_join_matches_brute_force(rows, chunk, spread):
-    import re
+HOSTS = [(f"{p}{i}", m) for p in ("web-", "DB-", "front.Web") for i in range(12) for m in ("cpu_user", "mem", None)] + [("a", "é-mem"), (None, "mem"), ("", "")]
 
-    hosts = [(f"{p}{i}", m) for p in ("web-", "DB-") for i in range(12) for m in ("cpu_user", "mem")]
-    rules = [("web-1", None), ("db-[24]$", "CPU"), (".*", "^mem$"), ("none", "x"), (None, "user")]
+
+def regex_hits(rules):
+    hit = lambda p, v: p is None or (v is not None and re.search(p, v, re.I | re.A) is not None)
+    return sorted(((h, m, hp, mp) for h, m in HOSTS for hp, mp in rules if hit(hp, h) and hit(mp, m)), key=repr)
+
+
+@pytest.mark.parametrize("slice_rows, chunk", [(1, 1), (5, 2), (4096, 256)])
+def test_regex_join_matches_brute_force(rows, slice_rows, chunk):
+    rules = [("web-1", None), ("db-[24]$", "CPU"), (".*", "^mem$"), ("none", "x"), (None, "user"), ("web-1", None), (None, None), ("t.web(1|2)+", "em$"), ("WEB-?1", "(cpu|mem)")]
     got = J.regex_matches(
-        rows.of(hosts + hosts, "host string, metric string"), rows.of(rules, "hp string, mp string"), [("host", "hp"), ("metric", "mp")], chunk, spread
+        rows.of(HOSTS + HOSTS, "host string, metric string"), rows.of(rules, "hp string, mp string"), [("host", "hp"), ("metric", "mp")], slice_rows, chunk
     )
-    hit = lambda p, v: p is None or re.search(p, v, re.I) is not None
-    want = [(h, m, hp, mp) for h, m in hosts for hp, mp in rules if hit(hp, h) and hit(mp, m)]
-    assert rows.sorted(got, "host", "metric", "hp", "mp") == sorted(want, key=repr)
+    assert rows.sorted(got, "host", "metric", "hp", "mp") == regex_hits(rules)
+
+
+def random_pattern(rng):
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        part = rng.choice(["web", "WEB-", "db", "front", "cpu", "_user", "mem", "e", "-", r"\.", ".", "[0-9]", "[^a-c]", r"\d", "(web|db)", "(me(m)?)", "b-1", "é", r"\-"])
+        parts.append(part + rng.choice(["", "", "", "?", "*", "+", "{1,2}", "+?"]))
+    return rng.choice(["", "", "^", "(a|)"]) + "".join(parts) + rng.choice(["", "", "$", "|mem"])
+
+
+def test_regex_join_equals_the_plain_test_on_random_rules(rows):
+    rng = random.Random(12)
+    rules = [(random_pattern(rng), rng.choice([None, random_pattern(rng), "mem"])) for _ in range(150)]
+    assert sum(J.required_literal(h) is not None for h, _ in rules) > 30
+    got = J.regex_matches(rows.of(HOSTS, "host string, metric string"), rows.of(rules, "hp string, mp string"), [("host", "hp"), ("metric", "mp")], 7)
+    assert rows.sorted(got, "host", "metric", "hp", "mp") == regex_hits(rules)
+
+
+def test_required_literals():
+    found = {
+        "web-1": "web-1", "^Host[0-9]+cpu$": "host", "a|web": None, "(web|db)front": "front", "(?i)web": None, "we?bx": None, "colou?red": "colo",
+        "ab+cde": "cde", "abc+d": "abc", r"a\.b": "a.b", r"web\d": "web", r"\Qweb\E": None, r"\x41web": None, "[]a]web": None, "[[a]web": None, "webé": "web", "x{3}web": "web",
+        "(a(b|c)|[)])web": "web", "(web": None, "": None, None: None, "ab": None, "web*": None, "weba*": "web",
+    }
+    assert {p: J.required_literal(p) for p in found} == found
 
 
 def test_regex_join_without_rules(rows):
