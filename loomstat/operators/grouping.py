@@ -37,6 +37,12 @@ def group_sum(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str], count
     return df.groupBy(*keys).agg(*aggs)
 
 
+def group_count(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataFrame:
+    """Rows per key; null keys form one group. Counted in part before the shuffle."""
+    check_job({"input": df}, keys)
+    return df.groupBy(*keys).agg(F.count("*").alias(name))
+
+
 def checked_square_sum(df: DataFrame, keys: Sequence[str], value: str, name: str = "square_sum") -> DataFrame:
     """Sum of squares of whole numbers that raises on overflow instead of wrapping.
 

@@ -35,6 +35,17 @@ def fan_out(many: DataFrame, one: DataFrame, many_key: str, one_key: str, payloa
     return many.join(parent, F.col(many_key) == F.col("_key"), "left").drop("_key")
 
 
+def lookup(rows: DataFrame, model: DataFrame, key: str, model_key: str, value: str, default: Column) -> DataFrame:
+    """``rows`` with ``value`` of the model, ``default`` where the key is unknown, and ``missed``, whether it was.
+
+    The model has one row per key; a null value of a known key stays null.
+    """
+    known = model.select(F.col(model_key).alias("_key"), F.col(value).alias("_value"), F.lit(True).alias("_known"))
+    joined = rows.join(known, F.col(key) == F.col("_key"), "left")
+    missed = F.col("_known").isNull()
+    return joined.select(*rows.columns, F.when(missed, default).otherwise(F.col("_value")).alias(value), missed.alias("missed"))
+
+
 def outer_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer join on one null-safe key, kept as a single column."""
     r = right.withColumnRenamed(key, "_key")

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstat.functions import status as ST
 from loomstat.functions.ordering import natural_key
@@ -102,17 +103,28 @@ def order_hosts(df: DataFrame, how: str, k: int | None = None) -> DataFrame:
 # ---- checks ----------------------------------------------------------------------
 
 
-def check_one(snapshot: DataFrame, hosts: DataFrame, metric: str, operator: str, limit: float) -> DataFrame:
+def check_one(snapshot: DataFrame, hosts: DataFrame, metric: str, operator: str, limit: float | str) -> DataFrame:
     """Status of one metric for each asked host name (any case).
 
-    Several snapshot hosts may differ only by case; the smallest name answers.
+    Several snapshot hosts may differ only by case; the smallest name answers. Values may be
+    numbers or text. A limit given as text, or a text value, makes "equal" and "notequal" compare trimmed
+    texts; "less" and "more" compare numbers, and a text that is none is UNKNOWN.
     """
     if operator not in ST.OPERATORS:
         raise ValueError(f"operator must be one of {ST.OPERATORS}")
     value = snapshot.where(F.col("metric") == metric)
     values = value.groupBy(F.lower("host").alias("_h")).agg(F.min_by(F.struct("value", "units"), "host").alias("_v"))
     joined = hosts.select("host").join(values, F.lower("host") == F.col("_h"), "left")
-    state = ST.threshold_status(F.lit(operator), F.col("_v.value"), F.lit(float(limit)))
+    texts = isinstance(limit, str) or isinstance(snapshot.schema["value"].dataType, T.StringType)
+    if texts and operator in ("equal", "notequal"):
+        state = ST.threshold_status(F.lit(operator), F.trim(F.col("_v.value").cast("string")), F.lit(str(limit).strip()))
+    else:
+        number = F.col("_v.value").try_cast("double")
+        try:
+            bound = float(limit)
+        except ValueError:
+            raise ValueError(f"{operator!r} needs a number, not {limit!r}") from None
+        state = ST.threshold_status(F.lit(operator), number, F.lit(bound))
     return joined.select("host", F.lit(metric).alias("metric"), F.col("_v.value").alias("value"), state.alias("status"))
 
 
@@ -194,9 +206,10 @@ def heartbeat(df: DataFrame, as_of: Column, threshold: int = 25) -> DataFrame:
     )
 
 
-def stuck_senders(df: DataFrame, metric: str, as_of: Column, fresh: int = 60, stale: int = 180) -> DataFrame:
-    """Hosts still reporting whose given metric is older than ``stale``."""
-    seen = df.groupBy("host").agg(
+def stuck_senders(df: DataFrame, metric: str, as_of: Column, fresh: int = 60, stale: int = 180, ignore: str = "") -> DataFrame:
+    """Hosts still reporting whose given metric is older than ``stale``; hosts whose name matches ``ignore`` are passed over."""
+    kept = df.where(~F.coalesce(F.col("host").cast("string").rlike(ignore), F.lit(False))) if ignore else df
+    seen = kept.groupBy("host").agg(
         F.max("ts").alias("last_ts"), F.max(F.when(F.col("metric") == metric, F.col("ts"))).alias("metric_ts")
     )
     fresh_now = age_seconds(F.col("last_ts"), as_of) < fresh
@@ -215,18 +228,22 @@ def latest_value(df: DataFrame, host: str, metric: str) -> DataFrame:
 
 
 def value_agreement(snapshot: DataFrame) -> DataFrame:
-    """Per (metric, value): how many hosts hold it, and whether all hosts agree."""
-    per_value = snapshot.groupBy("metric", "value").agg(F.count_distinct("host").alias("n_hosts"))
+    """Per (metric, value): how many hosts hold it, and whether all hosts that have one agree.
+
+    A null is no value: its host neither agrees nor differs, here and in ``disagreeing_members``.
+    """
+    per_value = snapshot.where("value is not null").groupBy("metric", "value").agg(F.count_distinct("host").alias("n_hosts"))
     per_metric = per_value.groupBy("metric").agg(F.count("*").alias("n_values"))
     out = per_value.join(per_metric, "metric")
     return out.select("metric", "value", "n_hosts", (F.col("n_values") == 1).alias("same"))
 
 
 def disagreeing_members(snapshot: DataFrame) -> DataFrame:
-    """(metric, value, host) of every metric that is not the same everywhere."""
-    spread = snapshot.groupBy("metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    """(metric, value, host) of every metric that is not the same everywhere; hosts without a value are left out."""
+    known = snapshot.where("value is not null")
+    spread = known.groupBy("metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     differing = spread.where(F.col("_lo") != F.col("_hi")).select("metric")
-    return snapshot.select("metric", "value", "host").join(differing, "metric", "left_semi")
+    return known.select("metric", "value", "host").join(differing, "metric", "left_semi")
 
 
 # ---- summaries -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomstat.functions import stats
 from loomstat.functions.text import ENGLISH_STOP_WORDS, analyzed_tokens, analyzed_words, head_of, shingles, tail_of, tokens
 from loomstat.operators.ranking import with_position
+from loomstat.session import materialise
 
 
 def word_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -66,40 +67,28 @@ def tf_idf(tf: DataFrame, df: DataFrame, n_docs, doc: str) -> DataFrame:
 
 
 def gram_counts(docs: DataFrame, doc: str, text: str, n_max: int = 2) -> DataFrame:
-    """Counts of n-grams of 2..n_max words with their head and tail counts.
+    """Counts of n-grams of 2..n_max words: gram, head, tail, n, head_n, tail_n, total.
 
     A head count sums the n-grams that start with the same words, a tail count
-    those that end with the same word.
+    those that end with the same word, and the total all of them. Texts are cut into words
+    once; the counts are written, since all three sums come from them.
     """
     words = docs.select(tokens(F.col(text)).alias("_w"))
     grams = words.select(F.explode(shingles(F.col("_w"), n_max, 2)).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    parts = counts.select("gram", "n", head_of(F.col("gram")).alias("head"), tail_of(F.col("gram")).alias("tail"))
+    parts = materialise(counts.select("gram", "n", head_of(F.col("gram")).alias("head"), tail_of(F.col("gram")).alias("tail")), "grams")
     heads = parts.groupBy("head").agg(F.sum("n").alias("head_n"))
     tails = parts.groupBy("tail").agg(F.sum("n").alias("tail_n"))
-    return parts.join(heads, "head").join(tails, "tail").select("gram", "head", "tail", "n", "head_n", "tail_n")
+    total = parts.agg(F.sum("n").alias("t")).scalar()
+    return parts.join(heads, "head").join(tails, "tail").select("gram", "head", "tail", "n", "head_n", "tail_n", total.alias("total"))
 
 
-def gram_total(docs: DataFrame, text: str, n_max: int = 2) -> Column:
-    """Number of n-grams of 2..n_max words in all documents, as a scalar.
-
-    A document of w words has w − n + 1 grams of n words, so only the words are
-    counted, not the grams.
-    """
-    w = F.size(tokens(F.col(text)))
-    per_doc = sum((F.greatest(w - (n - 1), F.lit(0)) for n in range(2, n_max + 1)), F.lit(0).cast("bigint"))
-    return docs.agg(F.sum(per_doc).alias("t")).scalar()
-
-
-def collocations(grams: DataFrame, total: Column, min_support: int = 2, min_llr: float = 1.0) -> DataFrame:
-    """N-grams scored by log-likelihood ratio, weak and rare ones dropped.
-
-    ``total`` comes from ``gram_total``; it is a scalar subquery, not an action.
-    """
+def collocations(grams: DataFrame, min_support: int = 2, min_llr: float = 1.0) -> DataFrame:
+    """N-grams of ``gram_counts`` scored by log-likelihood ratio, weak and rare ones dropped."""
     n, head, tail = F.col("n"), F.col("head_n"), F.col("tail_n")
     frequent = grams.where(n >= min_support)
     # A three-word tail can also end two-word grams, so the rest may not go below 0.
-    rest = F.greatest(total - (head + tail - n), F.lit(0))
+    rest = F.greatest(F.col("total") - (head + tail - n), F.lit(0))
     llr = stats.log_likelihood_ratio(n, head - n, tail - n, rest)
     return frequent.select("gram", "n", llr.alias("llr")).where(F.col("llr") >= F.lit(float(min_llr)))
 

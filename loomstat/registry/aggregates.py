@@ -14,16 +14,10 @@ from loomstat.plans import years as Y
 from loomstat.registry.base import COUNTS, METRICS, TOKENS, as_of, documents, metric_table, query, table, token_rows, year_counts
 
 
-@query(
-    "A01_topical_word_count",
-    f"""
-    WITH {TOKENS}, c AS (SELECT lang, word, count(*) AS count FROM tok GROUP BY ALL)
-    SELECT lang, word, count, CAST(rank AS INTEGER) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS rank FROM c) WHERE rank <= 20
-    """,
-)
+@query("A01_topical_word_count", f"WITH {TOKENS} SELECT lang, word, count(*) AS count FROM tok GROUP BY ALL")
 def topical_word_count(spark, d):
-    return W.top_counts(token_rows(spark, d), ["lang"], "word", 20)
+    """How often each language uses each word; the most frequent ones are W03's."""
+    return G.group_count(token_rows(spark, d), ["lang", "word"])
 
 
 @query(
@@ -242,7 +236,7 @@ def ordered_reducer(spark, d):
     """,
 )
 def collocation_counts(spark, d):
-    return V.gram_counts(documents(spark, d), "doc_id", "text", 2).where("n >= 2")
+    return V.gram_counts(documents(spark, d), "doc_id", "text", 2).where("n >= 2").drop("total")
 
 
 @query(
@@ -253,29 +247,33 @@ def document_frequency(spark, d):
     return V.document_frequencies(V.term_frequencies(token_rows(spark, d).withColumnRenamed("word", "term"), "doc_id"))
 
 
+def _steps(spark, d):
+    """Latest values in steps of ten; from 40 on they are unknown, which agrees and differs with nothing."""
+    v = F.col("value")
+    return M.latest(metric_table(spark, d)).withColumn("value", F.when(v < 40, F.floor(v / 10).cast("double")))
+
+
 @query(
     "A15_value_agreement",
     f"""
-    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l),
+    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l WHERE value < 40),
     p AS (SELECT metric, value, count(DISTINCT host) AS n_hosts FROM v GROUP BY ALL)
     SELECT metric, value, n_hosts, count(*) OVER (PARTITION BY metric) = 1 AS same FROM p
     """,
 )
 def value_agreement(spark, d):
-    snap = M.latest(metric_table(spark, d)).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
-    return M.value_agreement(snap)
+    return M.value_agreement(_steps(spark, d))
 
 
 @query(
     "A15_members_of_differing_values",
     f"""
-    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l)
+    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l WHERE value < 40)
     SELECT metric, value, host FROM v WHERE metric IN (SELECT metric FROM v GROUP BY metric HAVING min(value) <> max(value))
     """,
 )
 def differing_members(spark, d):
-    snap = M.latest(metric_table(spark, d)).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
-    return M.disagreeing_members(snap)
+    return M.disagreeing_members(_steps(spark, d))
 
 
 @query(

@@ -33,6 +33,26 @@ def threshold_check(spark, d):
     return M.check_one(M.latest(m), asked, "purchase", "more", 20.0)
 
 
+@query(
+    "C01_text_check",
+    """
+    WITH lt AS (SELECT user_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, props DESC) = 1),
+    v AS (SELECT 'user-' || user_id AS host, CASE WHEN user_id % 3 = 0 THEN ' 7 ' ELSE 'k' || CAST(props->>'k' AS INTEGER) % 3 END AS value FROM lt),
+    asked AS (SELECT DISTINCT upper(host) AS host FROM v UNION ALL SELECT 'nowhere')
+    SELECT a.host, 'state' AS metric, value, CASE WHEN value IS NULL THEN 'UNKNOWN' WHEN trim(value) <> 'k1' THEN 'OK' ELSE 'CRITICAL' END AS status
+    FROM asked a LEFT JOIN v ON lower(a.host) = v.host
+    """,
+)
+def text_check(spark, d):
+    """A metric whose value is text; the limit has blanks around it."""
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max_by("props", F.struct("ts", "props")).alias("props"))
+    state = F.when(F.col("user_id") % 3 == 0, " 7 ").otherwise(F.concat(F.lit("k"), F.get_json_object("props", "$.k").cast("int") % 3))
+    snap = last.select(F.concat(F.lit("user-"), "user_id").alias("host"), F.lit("state").alias("metric"), state.alias("value"), F.lit("").alias("units"))
+    asked = snap.select(F.upper("host").alias("host")).distinct().unionByName(spark.createDataFrame([("nowhere",)], "host string"))
+    return M.check_one(snap, asked, "state", "equal", " k1")
+
+
 @query(
     "C02_many_checks",
     f"""
@@ -91,12 +111,12 @@ def heartbeat(spark, d):
     "C06_stuck_senders",
     f"""
     WITH {METRICS}, x AS (SELECT host, max(ts) AS last_ts, max(ts) FILTER (metric = 'click') AS click_ts FROM m GROUP BY host)
-    SELECT host FROM x, a WHERE {AGE.format('last_ts')} < {DAY} AND {AGE.format('click_ts')} > {DAY}
+    SELECT host FROM x, a WHERE {AGE.format('last_ts')} < {DAY} AND {AGE.format('click_ts')} > {DAY} AND NOT regexp_matches(host, '-[0-4]$')
     """,
 )
 def stuck(spark, d):
     m = metric_table(spark, d)
-    return M.stuck_senders(m, "click", as_of(m), fresh=DAY, stale=DAY)
+    return M.stuck_senders(m, "click", as_of(m), fresh=DAY, stale=DAY, ignore="-[0-4]$")
 
 
 @query("C07_shared_metrics", f"WITH {METRICS} SELECT DISTINCT metric FROM m WHERE regexp_matches(host, '^compute-[01]-1')")

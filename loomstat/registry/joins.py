@@ -10,7 +10,7 @@ from loomstat.operators.pairs import pair_sums
 from loomstat.operators.ranking import with_position
 from loomstat.plans import years as Y
 from loomstat.registry.base import (
-    COUNTS, METRICS, RATINGS, metric_table, phrases, query, ratings_table, table, year_counts, year_table,
+    COUNTS, METRICS, RATINGS, metric_table, phrases, query, ratings_table, table, token_rows, year_counts, year_table,
 )
 from loomstat.registry.rows import PHRASE_VECTORS
 
@@ -108,24 +108,24 @@ def cogroup_states(spark, d):
     return G.cogroup_states(sources, ["status"], StatusTotals(), schema, aliases={"lines": {"status": "state"}})
 
 
-URLS = """
-h AS (SELECT split_part(split_part(url, '#', 1), '?', 1) AS url, page_id AS timestamp, length(html) AS size FROM pages),
-map AS (SELECT url AS nc, regexp_replace(url, '^https?://(m\\.)?', '') AS canonical FROM h)
-""".replace("\\\\", "\\")
-
-
 @query(
     "J02_url_resolution",
-    f"""
-    WITH {URLS}, one AS (SELECT nc, max(canonical) AS canonical FROM map GROUP BY nc)
+    """
+    WITH h AS (SELECT source || '/' || doc_id AS url, doc_id AS timestamp, n_chars AS size FROM documents),
+    map AS (SELECT source || '/' || doc_id AS nc, 'good/' || quality AS canonical FROM documents JOIN labels USING (doc_id)
+      UNION ALL SELECT source || '/' || doc_id, 'clean/' || toxic FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+    one AS (SELECT nc, max(canonical) AS canonical FROM map GROUP BY nc)
     SELECT h.url AS original, canonical AS url, timestamp, size FROM h LEFT JOIN one ON h.url = nc
     """,
 )
 def url_resolution(spark, d):
-    base = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
-    hits = table(spark, d, "pages").select(base.alias("url"), F.col("page_id").alias("timestamp"), F.length("html").cast("bigint").alias("size"))
-    mapping = hits.select(
-        F.col("url").alias("nc"), F.regexp_replace("url", r"^https?://(m\.)?", "").alias("canonical")
+    """Labels cover some documents only, and some of them twice: unmapped urls stay, none is multiplied."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    url = F.concat_ws("/", "source", "doc_id")
+    hits = docs.select(url.alias("url"), F.col("doc_id").alias("timestamp"), F.col("n_chars").alias("size"))
+    known = docs.select("doc_id", url.alias("nc")).join(labels, "doc_id")
+    mapping = known.select("nc", F.concat(F.lit("good/"), F.col("quality")).alias("canonical")).unionByName(
+        known.where("quality = 1").select("nc", F.concat(F.lit("clean/"), F.col("toxic")).alias("canonical"))
     )
     return J.resolve(hits, mapping, "url", "nc", "canonical", "timestamp")
 
@@ -133,45 +133,51 @@ def url_resolution(spark, d):
 @query(
     "J03_fan_out_with_array",
     """
-    SELECT l_orderkey, l_linenumber, len(p.tags) AS n_tags, array_to_string(p.tags, '|') AS all_tags
-    FROM lineitem LEFT JOIN (SELECT p_partkey, string_split(p_name, ' ') AS tags FROM part) p ON l_partkey = p_partkey
+    WITH q AS (SELECT item_id, unnest(string_split(text, ' ')) AS word FROM benchmark),
+    p AS (SELECT word, list_sort(list(DISTINCT lang)) AS langs FROM (SELECT lang, unnest(string_split_regex(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents) GROUP BY word)
+    SELECT item_id, q.word, len(p.langs) AS n_langs, array_to_string(p.langs, '|') AS all_langs FROM q LEFT JOIN p USING (word) WHERE q.word <> ''
     """,
 )
 def fan_out(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    rows = J.fan_out(li, p, "l_partkey", "p_partkey", ["tags"])
-    n = F.when(F.col("tags").isNotNull(), F.size("tags").cast("bigint"))
-    return rows.select("l_orderkey", "l_linenumber", n.alias("n_tags"), F.array_join("tags", "|").alias("all_tags"))
+    """Every word of the benchmark with the languages that use it; many are in no document."""
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    langs = token_rows(spark, d).groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
+    rows = J.fan_out(words, langs, "word", "word", ["langs"])
+    n = F.when(F.col("langs").isNotNull(), F.size("langs").cast("bigint"))
+    return rows.select("item_id", "word", n.alias("n_langs"), F.array_join("langs", "|").alias("all_langs"))
 
 
 @query(
     "J04_lookup_with_default",
     f"""
     WITH {COUNTS}, n AS (SELECT count(DISTINCT year) AS n FROM counts),
-    idf AS (SELECT word, ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5) AS idf FROM counts GROUP BY word)
-    SELECT year, round(sum(count * coalesce(CAST(idf AS DOUBLE), 0)), 3) AS weighted FROM counts LEFT JOIN idf USING (word) GROUP BY year
+    idf AS (SELECT word, CAST(((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5) AS DOUBLE) AS idf FROM counts GROUP BY word),
+    q AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations) WHERE word <> '' GROUP BY ALL)
+    SELECT conv_id, turn, round(sum(n * coalesce(idf, -1)), 3) AS weight, count(*) FILTER (idf IS NULL) AS unknown FROM q LEFT JOIN idf USING (word) GROUP BY ALL
     """,
 )
 def lookup_default(spark, d):
-    counts = year_table(spark, d)
-    idf = Y.idf_model(counts)
-    joined = counts.join(idf, "word", "left")
-    return joined.groupBy("year").agg(F.round(F.sum(F.col("count") * F.coalesce("idf", F.lit(0.0))), 3).alias("weighted"))
+    """Words of conversations by their weight in the documents; a word that is in none counts as -1."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    counted = turns.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
+    joined = J.lookup(counted, Y.idf_model(year_table(spark, d)), "word", "word", "idf", F.lit(-1.0))
+    weight = F.sum(F.col("n") * F.col("idf"))
+    return joined.groupBy("conv_id", "turn").agg(F.round(weight, 3).alias("weight"), F.count_if("missed").alias("unknown"))
 
 
 @query(
     "J05_rows_with_totals_full_outer",
     """
-    WITH t AS (SELECT c_nationkey AS key, count(*) AS customers FROM customer GROUP BY ALL),
-    s AS (SELECT s_nationkey AS key, count(*) AS suppliers FROM supplier GROUP BY ALL)
-    SELECT key, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM t FULL JOIN s USING (key)
+    WITH e AS (SELECT user_id AS key, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL),
+    o AS (SELECT o_custkey + 100 AS key, count(*) AS orders FROM orders GROUP BY ALL)
+    SELECT key, coalesce(events, 0) AS events, value, coalesce(orders, 0) AS orders FROM e FULL JOIN o USING (key)
     """,
 )
 def totals_outer(spark, d):
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("customers"))
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("suppliers"))
-    return J.outer_by_key(c, s, "key").na.fill(0, ["customers", "suppliers"])
+    """Users of the events beside customers with orders, whose numbers begin at 100: each side has keys of its own."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("value"))
+    o = table(spark, d, "orders").groupBy((F.col("o_custkey") + 100).alias("key")).agg(F.count("*").alias("orders"))
+    return J.outer_by_key(e, o, "key").na.fill(0, ["events", "orders"])
 
 
 @query(
@@ -203,16 +209,17 @@ def dictionary_lookup(spark, d):
 @query(
     "J08_semi_and_anti",
     """
-    SELECT c_mktsegment, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS large,
-      count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS rest FROM customer GROUP BY ALL
+    SELECT c_mktsegment, count(*) FILTER (c_custkey IN (SELECT user_id FROM events)) AS active,
+      count(*) FILTER (c_custkey NOT IN (SELECT user_id FROM events)) AS rest FROM customer GROUP BY ALL
     """,
 )
 def semi_anti(spark, d):
+    """Customers with events, and most of them without."""
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    keys = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    keys = table(spark, d, "events").select(F.col("user_id").alias("c_custkey"))
     semi = c.join(keys, "c_custkey", "left_semi").select("c_mktsegment", F.lit(1).alias("a"), F.lit(0).alias("b"))
     anti = c.join(keys, "c_custkey", "left_anti").select("c_mktsegment", F.lit(0).alias("a"), F.lit(1).alias("b"))
-    return semi.unionByName(anti).groupBy("c_mktsegment").agg(F.sum("a").alias("large"), F.sum("b").alias("rest"))
+    return semi.unionByName(anti).groupBy("c_mktsegment").agg(F.sum("a").alias("active"), F.sum("b").alias("rest"))
 
 
 @query(

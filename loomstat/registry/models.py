@@ -160,29 +160,27 @@ def dictionary(spark, d):
     return V.dictionary(token_rows(spark, d), "word")
 
 
-@query(
-    "M08_term_frequencies",
-    f"""
-    WITH {TOKENS}, dict AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_id FROM (SELECT DISTINCT word FROM tok WHERE length(word) > 6))
-    SELECT doc_id, word AS term, term_id, count(*) AS tf FROM tok JOIN dict USING (word) GROUP BY ALL
-    """,
-)
+BENCHMARK_WORDS = "dict AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_id FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark) WHERE word <> '')"
+
+
+def _benchmark_words(spark, d):
+    """A dictionary of another table: many of its words are in no document, and some documents have none of them."""
+    return V.dictionary(table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("term")).where("term <> ''"))
+
+
+@query("M08_term_frequencies", f"WITH {TOKENS}, {BENCHMARK_WORDS} SELECT doc_id, word AS term, term_id, count(*) AS tf FROM tok JOIN dict USING (word) GROUP BY ALL")
 def term_frequencies(spark, d):
     terms = token_rows(spark, d).withColumnRenamed("word", "term")
-    known = V.dictionary(terms.where(F.length("term") > 6))
-    return V.term_frequencies(terms, "doc_id", known, keep="term_id")
+    return V.term_frequencies(terms, "doc_id", _benchmark_words(spark, d), keep="term_id")
 
 
 @query(
     "M08_empty_vectors",
-    f"""
-    WITH {TOKENS} SELECT count(*) AS empty_vectors FROM documents
-    WHERE doc_id NOT IN (SELECT doc_id FROM tok WHERE length(word) > 12)
-    """,
+    f"WITH {TOKENS}, {BENCHMARK_WORDS} SELECT count(*) AS empty_vectors FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tok JOIN dict USING (word))",
 )
 def empty_vectors(spark, d):
     terms = token_rows(spark, d).withColumnRenamed("word", "term")
-    vectors = V.term_frequencies(terms, "doc_id", terms.where(F.length("term") > 12).select("term").distinct())
+    vectors = V.term_frequencies(terms, "doc_id", _benchmark_words(spark, d))
     return V.empty_documents(documents(spark, d), "doc_id", vectors)
 
 
@@ -192,12 +190,9 @@ w AS (SELECT doc_id, term, sqrt(tf) * (ln((SELECT count(*) FROM documents) / (df
 """
 
 
-@query("M09_tf_idf", f"WITH {TFIDF} SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM w GROUP BY doc_id")
+@query("M09_tf_idf", f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM w")
 def tf_idf(spark, d):
-    w = B.weighted_documents(documents(spark, d), "doc_id", "text")
-    return w.groupBy("doc_id").agg(
-        F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest")
-    )
+    return B.weighted_documents(documents(spark, d), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 def weighted_sql(labelled: str, scored: str = "w") -> str:
@@ -283,9 +278,8 @@ def ngrams(spark, d):
     """,
 )
 def collocations(spark, d):
-    docs = documents(spark, d)
-    grams = V.gram_counts(docs, "doc_id", "text", 3)
-    return V.collocations(grams, V.gram_total(docs, "text", 3), min_support=3, min_llr=20.0).withColumn("llr", F.round("llr", 4))
+    grams = V.gram_counts(documents(spark, d), "doc_id", "text", 3)
+    return V.collocations(grams, min_support=3, min_llr=20.0).withColumn("llr", F.round("llr", 4))
 
 
 @query(

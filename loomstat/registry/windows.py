@@ -55,6 +55,19 @@ def top_hashtags(spark, d):
     return W.top_counts(DOC.hashtags(tweets(spark, d)), ["location", "date"], "hashtag", 2)
 
 
+@query(
+    "W03_top_words",
+    f"""
+    WITH {TOKENS}, c AS (SELECT lang, word, count(*) AS count FROM tok GROUP BY ALL)
+    SELECT lang, word, count, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, word) AS rank FROM c) WHERE rank <= 20
+    """,
+)
+def top_words(spark, d):
+    """The report of the most frequent words of each language."""
+    return W.top_counts(token_rows(spark, d), ["lang"], "word", 20)
+
+
 FINGER = f"""
 WITH {TOKENS}, c AS (SELECT source, word, count(*) AS count FROM tok GROUP BY ALL),
 top AS (SELECT source, word, count FROM (

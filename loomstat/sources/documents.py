@@ -43,15 +43,17 @@ def read_whole_files(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_categories(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of ``root/<category>/<title>`` with both names as columns."""
+def read_categories(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
+    """Lines of ``root/<category>/<title>`` with both names as columns.
+
+    With a ``depth`` of 3 a title is a folder of files, ``root/<category>/<title>/<any>``.
+    """
+    if depth not in (2, 3):
+        raise ValueError("depth is 2 or 3")
     path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    lines = spark.read.text(f"{root.rstrip('/')}/*/*")
-    return lines.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("category"),
-        F.regexp_extract(path, r"([^/]+)$", 1).alias("title"),
-        F.col("value").alias("text"),
-    )
+    lines = spark.read.text("/".join([root.rstrip("/"), *["*"] * depth]))
+    place = F.slice(F.split(path, "/"), -depth, 2)
+    return lines.select(place[0].alias("category"), place[1].alias("title"), F.col("value").alias("text"))
 
 
 def labelled_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -219,13 +219,3 @@ def test_previous_window(rows):
     df = rows.of([("a", t(1), 1.0), ("a", t(8), 2.0), (None, t(1), 5.0), (None, t(8), 6.0)], "k string, ts timestamp_ntz, v double")
     got = W.with_previous_window(df, ["k"], "ts", "v", 7 * 86400)
     assert rows.sorted(got, "k", "v", "previous") == sorted([("a", 1.0, None), ("a", 2.0, 1.0), (None, 5.0, None), (None, 6.0, 5.0)], key=repr)
-
-
-def test_short_list_is_never_cut(spark):
-    from loomstat.operators.lists import short_list
-
-    values = spark.range(5)
-    got = spark.range(1).select(short_list(values, F.col("id"), 5).alias("v")).head()[0]
-    assert sorted(got) == [0, 1, 2, 3, 4]
-    with pytest.raises(Exception, match="short list"):
-        spark.range(1).select(short_list(values, F.col("id"), 4).alias("v")).collect()
