@@ -31,6 +31,8 @@ HEADLINE = [
     "J01_cogroup_in_order",
     "J02_url_resolution",
     "J03_fan_out_with_array",
+    "J10_co_rated_pairs",
+    "J11_regex_rules",
     "J12_overlap_join",
     "M02_naive_bayes_classify",
     "M05_bm25_scores_ranked",
@@ -38,7 +40,11 @@ HEADLINE = [
     "M07_dictionary",
     "M13_collocations",
     "M14_document_classifier",
+    "M16_user_similarity",
+    "M18_recommendations_for_asked_users",
     "M19_item_similarity",
+    "M19_similar_to_asked_items",
+    "M20_hold_out_error",
     "S01_delimited_lines_to_rows",
     "S14_delimited_write_and_read",
     "W01_moving_average",
@@ -46,6 +52,10 @@ HEADLINE = [
     "W03_top_hashtags",
     "W06_rank_with_ties",
     "C02_many_checks",
+    "F04_rollup_reducer",
+    "A20_trend",
+    "J01_cogroup_reducer",
+    "J01_cogroup_states",
 ]
 
 
