@@ -22,26 +22,53 @@ from loomstat.session import materialise
 BLOCK_ROWS = 20_000
 
 
+#: numpy's sampler takes populations below this.
+_NUMPY_LIMIT = 1_000_000_000
+
+
+def _log_ratio(n: int, p: float, k: int, mode: int) -> float:
+    """log of the binomial probability of ``k`` by that of ``mode``: a sum of the exact steps between them."""
+    low, high = min(k, mode), max(k, mode)
+    j = np.arange(low, high, dtype=float)
+    steps = np.log((n - j) / (j + 1)).sum() + (high - low) * np.log(p / (1 - p))
+    return float(steps if k > mode else -steps)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, limit: int = _NUMPY_LIMIT) -> int:
+    """How many of ``n`` draws without replacement are good, at any size.
+
+    From ``limit`` on by rejection: the smaller side's number is drawn from a binomial, and kept
+    with the probability that the larger side's binomial gives the rest, over its
+    largest. Given their sum, two binomials of one p are hypergeometric, so
+    the draw is exact; half of the tries or more are kept.
+    """
+    if not n or not good:
+        return 0
+    if not bad or n == good + bad:
+        return min(n, good)
+    if good + bad < limit:
+        return int(rng.hypergeometric(good, bad, n))
+    small, large = min(good, bad), max(good, bad)
+    p = n / (good + bad)
+    mode = min(int((large + 1) * p), large)
+    while True:
+        x = int(rng.binomial(small, p))
+        rest = n - x
+        if 0 <= rest <= large and np.log(1 - rng.random()) <= _log_ratio(large, p, rest, mode):
+            return x if good <= bad else rest
+
+
 def communication_matrix(rows: list[int], sizes: list[int], seed: int) -> np.ndarray:
     """How many rows each partition sends to each shard: row sums ``rows``, column sums ``sizes``.
 
-    The draw is hypergeometric, partition by partition from the places still
-    free. Beyond a thousand million free places, where numpy has no exact sampler,
-    a rounded normal with the same mean and variance stands in; the sums stay exact.
+    The draw is hypergeometric, partition by partition from the places still free, at any size.
     """
     rng, free, out = np.random.default_rng(seed), np.array(sizes, np.int64), []
     for n in rows:
         drawn = np.zeros(len(free), np.int64)
         left = int(n)
         for s in range(len(free)):
-            rest = int(free[s:].sum())
-            good, bad = int(free[s]), rest - int(free[s])
-            if rest < 1_000_000_000:
-                drawn[s] = rng.hypergeometric(good, bad, left) if left else 0
-            else:
-                share = good / rest
-                deviation = np.sqrt(left * share * (1 - share) * (rest - left) / max(rest - 1, 1))
-                drawn[s] = int(np.clip(round(rng.normal(left * share, deviation)), max(0, left - bad), min(good, left)))
+            drawn[s] = hypergeometric(rng, int(free[s]), int(free[s + 1 :].sum()), left)
             left -= int(drawn[s])
         free -= drawn
         out.append(drawn)
