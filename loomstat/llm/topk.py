@@ -14,12 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.session import materialise
+
 CANDIDATE_ROWS, QUERY_ROWS = 8_192, 2_048
 DIMENSIONS = 16
 _AT_ONCE = 256
 _LONG = np.iinfo(np.int64)
 
 
+def _length() -> Column:
+    """The Euclidean length of the vector ``v``."""
+    return F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     """Rows of an array of lists as numbers, padded with zeros to ``width``."""
     lengths = np.asarray(vectors.value_lengths())
@@ -40,8 +47,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (row ids, scores) of its k best rows other than its own."""
+def search_block(
+    queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, floors: np.ndarray | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (row ids, scores) of its k best rows other than its own, those that reach its floor."""
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
     size = max(float(np.abs(queries).max(initial=0)), float(np.abs(rows).max(initial=0)))
     if size * size * max(queries.shape[1], 1) >= 2.0**53:  # beyond exact doubles: whole numbers of any size
         out = []
@@ -62,6 +72,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
         q, own = queries[at : at + _AT_ONCE], query_ids[at : at + _AT_ONCE]
         seed = np.where(row_ids[first][None, :] == own[:, None], -np.inf, q @ columns[:, first])
         floor = np.sort(seed, axis=1)[:, -k] if seed.shape[1] >= k else np.full(len(q), -np.inf)
+        floor = np.maximum(floor, floors[at : at + _AT_ONCE])
         partial = q[:, : cuts[1]] @ columns[: cuts[1]] if len(cuts) > 1 else np.zeros((len(q), columns.shape[1]))
         for i in range(len(q)):
             low, rest = floor[i], left_queries[min(1, len(cuts) - 1)][at + i] * left_rows[min(1, len(cuts) - 1)]
@@ -99,16 +110,17 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64, id_co
     candidates than ``k`` give fewer rows; other columns are ignored.
 
     Candidates and queries are dealt by hash into blocks of bounded size, and each
-    pair of blocks is one group, so no task holds more than two blocks. A group
-    returns at most ``k`` rows a query; the ranks of a query come from those.
+    pair of blocks is one group, so no task holds more than two blocks. Each block of
+    queries first meets one block of candidates; the k-th score found there is the
+    query's floor, which travels with it to all other blocks: a block whose longest
+    row cannot reach it is skipped, and only rows that reach it leave a group.
     """
-    rows = usable(vectors.where(F.col(id_col).isNotNull()), id_col, vector_col, scale)
-    queries = usable(vectors.where(asked), id_col, vector_col, scale)
+    rows = usable(vectors.where(F.col(id_col).isNotNull()), id_col, vector_col, scale).withColumn("length", _length())
+    queries = usable(vectors.where(asked), id_col, vector_col, scale).withColumn("length", _length())
     n, m = rows.count(), queries.count()
     many, few = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-m // QUERY_ROWS))
     block, asked_block = (F.pmod(F.xxhash64("id", "v"), F.lit(b)).cast("int") for b in (many, few))
-    left = queries.select("id", "v", asked_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("cb"))
-    right = rows.select("id", "v", block.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("qb"))
+    queries, rows = queries.withColumn("qb", asked_block), rows.withColumn("cb", block)
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         found, ids = [], pa.array([], pa.int64())
@@ -116,13 +128,29 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64, id_co
             q, r = (t.column("v").combine_chunks() for t in (asked, held))
             width = max(max(v.value_lengths().to_pylist(), default=0) for v in (q, r))
             ids = asked.column("id").combine_chunks()
-            found = search_block(_matrix(q, width), ids.to_numpy(), _matrix(r, width), held.column("id").to_numpy(), k)
+            floors = asked.column("floor").fill_null(-np.inf).to_numpy()
+            found = search_block(_matrix(q, width), ids.to_numpy(), _matrix(r, width), held.column("id").to_numpy(), k, floors)
         names = np.repeat(ids.to_numpy(), [len(i) for i, _ in found]) if found else np.zeros(0, np.int64)
         near = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in (0, 1)]
         return pa.table({"query_id": pa.array(names, pa.int64()), "vec_id": pa.array(near[0], pa.int64()), "score": pa.array(near[1], pa.int64())})
 
-    grouped = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
-    found = grouped.applyInArrow(search, "query_id long, vec_id long, score long")
+    def searched(left: DataFrame) -> DataFrame:
+        """The answers of all (query, candidate block) rows of ``left``."""
+        pairs = left.select("qb", "cb").distinct()
+        right = rows.select("id", "v", "cb").join(pairs, "cb").select("id", "v", F.col("cb").alias("c"), F.col("qb").alias("q"))
+        left = left.select("id", "v", "floor", "qb", "cb")
+        return left.groupBy("qb", "cb").cogroup(right.groupBy("q", "c")).applyInArrow(search, "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    home = F.col("qb") % F.lit(many)
+    first = materialise(searched(queries.withColumns({"cb": home, "floor": F.lit(None).cast("double")})), "first-block")
+    floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    floors = floors.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    # Each query goes to the blocks that may still hold one of its k best.
+    longest = rows.groupBy("cb").agg(F.max("length").alias("longest"))
+    rest = queries.withColumn("home", home).join(floors, "id", "left")
+    rest = rest.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).where("cb <> home").join(longest, "cb")
+    may = F.col("floor").isNull() | (F.col("length") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("floor"))
+    found = first.unionByName(searched(rest.where(may)))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
