@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.llm.common import free_name
+
 #: Kinds in the order in which equal starts are listed (fixed values). The first four are base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+BASE_KINDS = 4
 #: Patterns. A run of characters that may open a match is entered at its beginning only, or right
 #: where the match before ended, and repeats are possessive, so time stays linear in the text.
 PATTERNS = {
@@ -20,6 +23,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![0-9])(?![ -][0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Words that make a kind likelier when they stand shortly before it.
 CONTEXT = {
@@ -28,13 +32,16 @@ CONTEXT = {
     "card": r"\b(?:card|visa|mastercard|amex|credit|debit|payment)\b",
     "phone": r"\b(?:tel|phone|call|mobile|fax)\b",
     "iban": r"\b(?:iban|bank|account|transfer|konto|cuenta|compte)\b",
+    "ssn": r"\b(?:ssn|social security|taxpayer|tax id)\b",
 }
 #: Score of a confirmed span, and what context adds.
-BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.8}
+BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.8, "ssn": 0.4}
 CONTEXT_SCORE = 0.2
+#: What the score of a span of a kind that is not base must reach. The base kinds are fixed by their patterns and checks.
+ADDED_SCORE = 0.5
 CONTEXT_CHARS = 40
 #: Where a kind needs a character, texts without it are not searched.
-NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]"}
+NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]", "ssn": r"[0-9]{3}-[0-9]{2}-"}
 _HIT = "array<struct<at:int,stop:int,hit:string>>"
 
 
@@ -75,6 +82,8 @@ def _confirmed(kind: str, hit: Column) -> Column:
         return F.length(_digits(hit)).between(10, 15)
     if kind == "iban":
         return F.length(F.replace(hit, F.lit(" "), F.lit(""))).between(15, 34) & _mod_97(hit)
+    if kind == "ssn":  # numbers that are never given out
+        return ~hit.rlike("^(?:000|666|9[0-9]{2})-|-00-|-0000$")
     return F.lit(True)
 
 
@@ -106,7 +115,10 @@ def _spans(text: Column, kind: str, hits: Column, gaps: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<start:int,order:int,kind:string,stop:int,score:double>>")
-    return F.when(F.size(hits) > 0, F.transform(F.filter(_placed(hits, gaps), confirmed), span)).otherwise(empty)
+    found = F.transform(F.filter(_placed(hits, gaps), confirmed), span)
+    if KINDS.index(kind) >= BASE_KINDS:
+        found = F.filter(found, lambda s: s["score"] >= F.lit(ADDED_SCORE))
+    return F.when(F.size(hits) > 0, found).otherwise(empty)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
@@ -116,20 +128,21 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii") ->
     kind; offsets are code points, stop exclusive. Matches of one kind do not
     overlap, those of two kinds may. A match that its check refuses is dropped.
     ``score`` is the kind's own plus what a context word in the CONTEXT_CHARS
-    before it adds; it never drops a span. Null and empty texts give an empty
-    array. All columns of ``docs`` stay, but one named ``spans_col`` is replaced;
-    names that start with ``_pii_`` are taken.
+    before it adds. It decides over spans of the added kinds (``iban``, ``ssn``): below ADDED_SCORE
+    they are dropped, as a bare number of an ssn's form is; base spans stay
+    whatever their score. Null and empty texts give an empty
+    array. All columns of ``docs`` stay, but one named ``spans_col``, in any case, is replaced.
     """
+    own, p = [c for c in docs.columns if c.lower() != spans_col.lower()], free_name(docs, "_pii")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_pii_text", text)
-    text, none = F.col("_pii_text"), F.array().cast("array<string>")
+    rows = docs.select(*own).withColumn(f"{p}_text", text)
+    text, none = F.col(f"{p}_text"), F.array().cast("array<string>")
     rows = rows.withColumns(
-        {f"_pii_h_{k}": F.when(text.rlike(NEEDED[k]), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS}
+        {f"{p}_h_{k}": F.when(text.rlike(NEEDED[k]), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS}
     )
-    rows = rows.withColumns({f"_pii_g_{k}": F.when(F.size(f"_pii_h_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in KINDS})
-    rows = rows.withColumns({f"_pii_s_{k}": _spans(text, k, F.col(f"_pii_h_{k}"), F.col(f"_pii_g_{k}")) for k in KINDS})
-    spans = F.array_sort(F.concat(*[F.col(f"_pii_s_{k}") for k in KINDS]))
-    own = [c for c in docs.columns if c != spans_col]
+    rows = rows.withColumns({f"{p}_g_{k}": F.when(F.size(f"{p}_h_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in KINDS})
+    rows = rows.withColumns({f"{p}_s_{k}": _spans(text, k, F.col(f"{p}_h_{k}"), F.col(f"{p}_g_{k}")) for k in KINDS})
+    spans = F.array_sort(F.concat(*[F.col(f"{p}_s_{k}") for k in KINDS]))
     return rows.select(*own, spans.alias(spans_col))
 
 
@@ -142,7 +155,7 @@ def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "pii") -> D
     """``docs`` with every span replaced by its kind in angle brackets.
 
     Of overlapping spans the first names the replacement and all their characters
-    go. Texts without a span, nulls included, stay as they are.
+    go. Texts without a span, nulls included, stay as they are, and so do all other columns; every row counts for itself.
     """
     text = F.col(text_col)
 
