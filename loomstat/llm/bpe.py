@@ -229,7 +229,7 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_co
     list and an empty text. Other columns pass through; one that has the name of
     a new column is replaced.
     """
-    kept = [c for c in docs.columns if c not in (text_col, ids_col, decoded_col)]
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), ids_col.lower(), decoded_col.lower())]
     schema = docs.select(*kept).schema.add(ids_col, T.ArrayType(T.IntegerType())).add(decoded_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     give ``und`` with score 0; so does everything if the model has no language.
     Other columns pass through, except ones named like the new columns.
     """
-    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), "lang_pred", "score")]
     schema = docs.select(*kept).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

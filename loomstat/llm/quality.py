@@ -156,18 +156,19 @@ class RuleModel:
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> RuleModel:
-    """Rules and weights from a sample. Without both labels the score is the constant share (0.5 if empty)."""
-    if not len(y) or y.min() == y.max():
+    """Rules and weights from a sample. Without both labels, or a rule that parts them, the score is the constant share (0.5 if empty)."""
+    rules = tree_rules(x, y) if len(y) and y.min() < y.max() else []
+    if not rules:
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999))
         return RuleModel([], [], float(np.log(share / (1 - share))))
-    rules = tree_rules(x, y)
     weights, intercept = lasso_logistic(np.stack([holds(r, x) for r in rules], axis=1), y, penalty)
     kept = np.flatnonzero(np.abs(weights) > 1e-6)
     return RuleModel([rules[k] for k in kept], [float(weights[k]) for k in kept], intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
-    """Train on at most ``sample`` labelled rows where ``learn`` (on the id) holds, chosen by a hash of the id.
+    """Train on at most ``sample`` labelled ids where ``learn`` (on the id) holds, chosen by a hash of the id.
+    Where ids repeat, on at most twice as many of their rows, chosen by a hash of id and text.
 
     The chosen (id, label) rows are few by that bound, so they go to every task
     and texts stay where they are; only statistics of the sample reach the driver.
@@ -177,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     known = known.where("_id is not null and _label is not null")
     chosen = known.orderBy(unit_hash("_id", seed=5), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows, names = statistics(texts, "_text")
-    found = rows.select("_label", *names).limit(2 * sample).toPandas()
+    # Ids on several rows may bring more; those of the smallest hashes of id and text stay, whatever the order of the files.
+    rows, names = statistics(texts.withColumn("_hash", unit_hash("_id", "_text", seed=6)), "_text")
+    found = rows.orderBy("_hash", "_label").select("_label", *names).limit(2 * sample).toPandas()
     return fit(found[names].to_numpy(float).reshape(-1, len(names)), found["_label"].to_numpy(float))
 
 
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold:
     over the whole text. Null and empty texts are scored as empty texts. Columns
     named like the new ones are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     rows, names = statistics(docs.select(*kept), text_col)
     scored = rows.withColumn("score", model.expression(names))
     return scored.select(*kept, "score", (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"))

@@ -28,8 +28,8 @@ STEMS = (4, 5, 6)
 TELLING = 10.0
 #: Smaller weights are dropped.
 LEAST_WEIGHT = 0.1
-#: In which share of the confirmed texts a feature must occur.
-LEAST_SHARE = 0.01
+#: In how many confirmed texts a feature must occur.
+LEAST_TEXTS = 3
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 300_000
 
@@ -46,9 +46,10 @@ def text_features(text: str) -> list[int]:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for kinds, texts in text_chunks(batch.column(0), batch.column(1)):
+        for at, texts in text_chunks(pa.array(range(len(batch))), batch.column(2)):
             found = [np.array(text_features(t), np.uint32).view(np.int32) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([kinds, pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
+            part = batch.slice(at[0].as_py(), len(at))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], ["positive", "hash", "found"])
 
 
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, features: int, prior: float, rounds: int = 400, rate: float = 0.05, strength: float = 1.0) -> tuple[np.ndarray, float]:
@@ -56,14 +57,15 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, features: int, prior:
 
     ``rows`` are the feature numbers present in each example. When the estimated
     risk of the negative class falls below zero, a step goes against it instead.
-    An absolute penalty per weight, of a least share and two standard deviations of the
-    feature's count, keeps features near zero that toxic texts hold by chance.
+    An absolute penalty per weight, of one and a half standard deviations of the
+    feature's count, keeps features near zero that toxic texts hold by chance; a
+    feature of few texts is not held back further.
     """
     at = np.concatenate(rows) if rows else np.zeros(0, int)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     p, u = positive, ~positive
     held = np.bincount(np.concatenate([np.zeros(0, int), *(r for r, own in zip(rows, p) if own)]), minlength=features)
-    penalty = strength * prior * (0.008 + 1.5 * np.sqrt(held) / max(p.sum(), 1))
+    penalty = strength * prior * 1.5 * np.sqrt(held) / max(p.sum(), 1)
     share_p, share_u = prior * p / max(p.sum(), 1), u / max(u.sum(), 1)
     w, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -140,10 +142,13 @@ def train(
     rows = docs.where(learn)
     size = rows.count()
     texts = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
-    sure = texts.join(F.broadcast(chosen), "_id").select(F.lit(True).alias("positive"), "_text")
-    plain = texts.where(unit_hash("_id", seed=9) * F.lit(float(size)) < unlabelled).select(F.lit(False).alias("positive"), "_text")
-    kind = "positive boolean, found array<int>"
-    found = sure.mapInArrow(_feature_rows, kind).limit(2 * positives).unionByName(plain.mapInArrow(_feature_rows, kind).limit(2 * unlabelled))
+    own = unit_hash("_id", "_text", seed=10).alias("hash")
+    sure = texts.join(F.broadcast(chosen), "_id").select(F.lit(True).alias("positive"), own, "_text")
+    plain = texts.where(unit_hash("_id", seed=9) * F.lit(float(size)) < unlabelled).select(F.lit(False).alias("positive"), own, "_text")
+    kind = "positive boolean, hash double, found array<int>"
+    # Ids on several rows may bring more; those of the smallest hashes of id and text stay, whatever the order of the files.
+    sides = [side.mapInArrow(_feature_rows, kind).orderBy("hash").limit(2 * n) for side, n in ((sure, positives), (plain, unlabelled))]
+    found = sides[0].unionByName(sides[1])
     found = found.toPandas()
     positive = found["positive"].to_numpy(bool)
     if not positive.any():
@@ -157,7 +162,7 @@ def train(
     share = n / positive.sum()
     clean = np.maximum(other / max((~positive).sum(), 1) - prior * share, 0) / (1 - prior)
     telling = share >= TELLING * (clean + 1 / max((~positive).sum(), 1))
-    names = names[(n >= max(3, LEAST_SHARE * positive.sum())) & telling]
+    names = names[(n >= LEAST_TEXTS) & telling]
     rows = []
     for f in found["found"]:
         f = np.asarray(f, np.int32)
@@ -181,7 +186,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresho
     Whole texts, one Arrow pass, no shuffle. Null texts score as empty ones.
     Other columns pass through, except ones named like the new columns.
     """
-    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), "score", "predicted")]
     schema = docs.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
