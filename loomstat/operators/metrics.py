@@ -261,13 +261,12 @@ def host_extremes(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def series_limits(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Smallest and largest finite value per key, both widened to include 0."""
+def series_limits(df: DataFrame, keys: Sequence[str], average: str | None = None) -> DataFrame:
+    """Smallest and largest finite value per key, both widened to include 0; with ``average`` also the mean, in the same pass."""
     v = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
     zero = F.lit(0.0)
-    return df.groupBy(*keys).agg(
-        F.least(F.coalesce(F.min(v), zero), zero).alias("low"), F.greatest(F.coalesce(F.max(v), zero), zero).alias("high")
-    )
+    ends = [F.least(F.coalesce(F.min(v), zero), zero).alias("low"), F.greatest(F.coalesce(F.max(v), zero), zero).alias("high")]
+    return df.groupBy(*keys).agg(*ends, *([F.avg("value").alias(average)] if average else []))
 
 
 def series_average(df: DataFrame, keys: Sequence[str]) -> DataFrame:

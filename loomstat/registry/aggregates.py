@@ -294,9 +294,7 @@ def extremes(spark, d):
     """,
 )
 def limits(spark, d):
-    m = metric_table(spark, d)
-    average = M.series_average(m, ["metric"]).withColumn("average", F.round("average", 6))
-    return M.series_limits(m, ["metric"]).join(average, "metric")
+    return M.series_limits(metric_table(spark, d), ["metric"], "average").withColumn("average", F.round("average", 6))
 
 
 @query(

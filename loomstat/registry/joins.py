@@ -251,6 +251,21 @@ def co_rated(spark, d):
     return pair_sums(ratings_table(spark, d), "item", "user", "rating")
 
 
+@query(
+    "J10_co_rated_with_asked",
+    f"""
+    WITH {RATINGS}, asked AS (SELECT s_suppkey AS i FROM supplier WHERE s_acctbal < 5000)
+    SELECT a.i AS a, b.i AS b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(a.x) AS DOUBLE) AS sx, CAST(sum(b.x) AS DOUBLE) AS sy,
+      sum(a.x * a.x) AS sxx, sum(b.x * b.x) AS syy, sum(a.x * b.x) AS sxy
+    FROM (SELECT * FROM r SEMI JOIN asked USING (i)) a JOIN r b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2
+    """,
+)
+def co_rated_with_asked(spark, d):
+    """Suppliers with a small balance against all others."""
+    asked = table(spark, d, "supplier").where("s_acctbal < 5000").select(F.col("s_suppkey").alias("item"))
+    return pair_sums(ratings_table(spark, d), "item", "user", "rating", asked=asked)
+
+
 @query(
     "J11_regex_rules",
     f"""

@@ -219,3 +219,14 @@ def test_previous_window(rows):
     df = rows.of([("a", t(1), 1.0), ("a", t(8), 2.0), (None, t(1), 5.0), (None, t(8), 6.0)], "k string, ts timestamp_ntz, v double")
     got = W.with_previous_window(df, ["k"], "ts", "v", 7 * 86400)
     assert rows.sorted(got, "k", "v", "previous") == sorted([("a", 1.0, None), ("a", 2.0, 1.0), (None, 5.0, None), (None, 6.0, 5.0)], key=repr)
+
+
+def test_top_n_beyond_the_size_that_spark_limits(spark, rows):
+    rng = random.Random(8)
+    data = [("hot" if rng.random() < 0.8 else rng.choice("ab"), rng.randint(0, 500), i) for i in range(4000)]
+    got = W.top_n(rows.of(data, "g string, v int, i int").repartition(5), ["g"], [F.col("v").desc(), F.col("i").asc()], 1500)
+    want = []
+    for g in ("hot", "a", "b"):
+        mine = sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))[:1500]
+        want += [(*r, k) for k, r in enumerate(mine, 1)]
+    assert rows.sorted(got, "g", "v", "i", "rank") == sorted(want, key=repr)

@@ -154,3 +154,28 @@ def test_no_bound_on_checks(df, spark):
     assert got == {"a": (1, 0, 10_001), "B2": (1, 0, 10_001), "b": (0, 1, 10_001)}
     levels = checks.selectExpr("metric", "'more' warn_op", "1.5D warn_limit", "'more' crit_op", "3.5D crit_limit")
     assert {r["host"]: r["n_warning"] for r in M.check_levels(M.latest(df), levels).collect()} == {"a": 1, "B2": 1, "b": 1}
+
+
+def test_text_values_are_compared_trimmed(rows):
+    snap = rows.of([("A", "state", " up "), ("b", "state", "down"), ("c", "state", None), ("d", "state", "7.0"), ("d", "other", "up")], "host string, metric string, value string")
+    snap = snap.withColumn("units", F.lit(""))
+    hosts = rows.of([("a",), ("B",), ("c",), ("d",), ("e",)], "host string")
+    status = lambda operator, limit: {r["host"]: r["status"] for r in M.check_one(snap, hosts, "state", operator, limit).collect()}
+    # The operator names the bad side: "equal" is critical where the two are the same.
+    assert status("equal", "up ") == {"a": "CRITICAL", "B": "OK", "c": "UNKNOWN", "d": "OK", "e": "UNKNOWN"}
+    assert status("notequal", "up") == {"a": "OK", "B": "CRITICAL", "c": "UNKNOWN", "d": "CRITICAL", "e": "UNKNOWN"}
+    assert status("more", 9) == {"a": "UNKNOWN", "B": "UNKNOWN", "c": "UNKNOWN", "d": "OK", "e": "UNKNOWN"}
+    assert status("equal", 7.0)["d"] == "CRITICAL" and status("less", "9")["d"] == "CRITICAL"
+    with pytest.raises(ValueError):
+        M.check_one(snap, hosts, "state", "less", "many")
+
+
+def test_ignored_hosts_and_unknown_values(rows):
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, 0) + dt.timedelta(seconds=s)
+    df = rows.of([(h, m, t(s), 1.0) for h in ("web-1", "db-1") for m, s in (("load", 0), ("cpu", 290))], "host string, metric string, ts timestamp_ntz, value double")
+    now = F.lit(t(300)).cast("timestamp_ntz")
+    names = lambda **k: [r[0] for r in M.stuck_senders(df, "load", now, **k).orderBy("host").collect()]
+    assert names() == ["db-1", "web-1"] and names(ignore="^db") == ["web-1"] and names(ignore="1$") == []
+    snap = rows.of([("m", 1.0, "a"), ("m", None, "b"), ("n", 1.0, "a"), ("n", 2.0, "b"), ("n", None, "c"), ("o", None, "a")], "metric string, value double, host string")
+    assert rows.sorted(M.value_agreement(snap)) == [("m", 1.0, 1, True), ("n", 1.0, 1, False), ("n", 2.0, 1, False)]
+    assert rows.sorted(M.disagreeing_members(snap)) == [("n", 1.0, "a"), ("n", 2.0, "b")]
