@@ -36,14 +36,19 @@ def unit_hash(*cols: str, seed: int) -> Column:
     return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
 
 
-#: Bits of a filter as a power of two: 2^25 bits are 4 MB, the bound of what is broadcast.
-FILTER_BITS = 25
+#: Bits of a filter as a power of two: 16 bits a value, within these bounds. 2^29 bits are 64 MB, the most that is broadcast.
+LEAST_BITS, MOST_BITS = 20, 29
 _BLOCK = 12  # one row of a filter holds 2^12 bits as 64 words
 
 
-def filter_cell(value: Column, which: int) -> Column:
+def filter_bits(values: int) -> int:
+    """The size of a filter for so many values, as a power of two."""
+    return min(max((16 * max(values, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def filter_cell(value: Column, which: int, bits: int) -> Column:
     """A filter cell of a value; cells of one value with different ``which`` share a block."""
-    block = F.xxhash64(value, F.lit(-1)).bitwiseAND(F.lit((1 << (FILTER_BITS - _BLOCK)) - 1))
+    block = F.xxhash64(value, F.lit(-1)).bitwiseAND(F.lit((1 << (bits - _BLOCK)) - 1))
     inside = F.xxhash64(value, F.lit(which)).bitwiseAND(F.lit((1 << _BLOCK) - 1))
     return F.shiftleft(block, _BLOCK).bitwiseOR(inside)
 
@@ -51,8 +56,7 @@ def filter_cell(value: Column, which: int) -> Column:
 def filter_blocks(cells: DataFrame) -> DataFrame:
     """A bitmap filter as rows (filter_block, filter_words), with the bit of every ``cell`` set.
 
-    Whatever the number of cells, it has at most 2^(FILTER_BITS - 12) rows of
-    64 words, so it may be broadcast.
+    Whatever the number of cells, it has at most 2^(bits - 12) rows of 64 words, so it may be broadcast.
     """
     word, bit = F.expr("cast(shiftright(cell, 6) & 63 as int)"), F.expr("shiftleft(1L, cast(cell & 63 as int))")
     words = cells.groupBy(F.shiftright("cell", _BLOCK).alias("filter_block"), word.alias("word")).agg(F.bit_or(bit).alias("bits"))
@@ -65,19 +69,55 @@ def with_filter(rows: DataFrame, blocks: DataFrame, cell: Column) -> DataFrame:
     return rows.join(F.broadcast(blocks), F.shiftright(cell, _BLOCK) == F.col("filter_block"), "left").drop("filter_block")
 
 
-def in_filter(cell: Column) -> Column:
-    """Whether the cell's bit is set in ``filter_words``."""
-    word = F.get(F.col("filter_words"), F.shiftright(cell, 6).bitwiseAND(F.lit(63)).cast("int"))
+def in_filter(cell: Column, words: str = "filter_words") -> Column:
+    """Whether the cell's bit is set in ``words``."""
+    word = F.get(F.col(words), F.shiftright(cell, 6).bitwiseAND(F.lit(63)).cast("int"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
     return F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))
 
 
+def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be among ``keys`` (column ``key``, longs), and those where it surely is not.
+
+    A broadcast filter over the keys decides, so the second part needs no join and
+    its texts never shuffle. The keys are read twice: give a written table.
+    """
+    bits = filter_bits(keys.count())
+    cell, own = filter_cell(key, 0, bits), free_name(rows, "_filter")
+    blocks = filter_blocks(keys.select(filter_cell(F.col("key"), 0, bits).alias("cell"))).toDF(f"{own}_block", f"{own}_words")
+    tested = rows.join(F.broadcast(blocks), F.shiftright(cell, _BLOCK) == F.col(f"{own}_block"), "left")
+    maybe = in_filter(cell, f"{own}_words")
+    return tested.where(maybe).select(*rows.columns), tested.where(~maybe).select(*rows.columns)
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    """Where each text starts and the last one ends; large strings keep 64-bit offsets."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def with_group_values(rows: DataFrame, keys: list[str], salt: Column, first: dict[str, Column], whole: dict[str, Column], slices: int = 64) -> DataFrame:
+    """``rows`` with the values of their group, without one task that sees all rows of a hot group.
+
+    A group is cut into slices by a hash of ``salt``. ``first`` aggregates a slice, ``whole``
+    the slices of a group, from the columns that ``first`` names; both are combined before
+    they shuffle. The values go back to the slices, of which a group has 64 at most, and
+    from there to the rows. Keys must not be null.
+    """
+    own = free_name(rows, "_slice")
+    cut = rows.withColumn(own, F.pmod(F.xxhash64(salt), F.lit(slices)).cast("int"))
+    parts = cut.groupBy(*keys, own).agg(*[c.alias(n) for n, c in first.items()])
+    groups = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in whole.items()])
+    back = parts.select(*keys, own).join(groups, keys)
+    return cut.join(back, [*keys, own]).drop(own)
+
+
 def text_chunks(ids: pa.Array, texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Cut one Arrow batch into runs of rows of about ``limit`` bytes of text, one row at least."""
     if not len(texts):
         return
     texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    offsets = _offsets(texts)
     start = 0
     while start < len(texts):
         stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
@@ -88,7 +128,7 @@ def text_chunks(ids: pa.Array, texts: pa.Array, limit: int = CHUNK_BYTES) -> Ite
 
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array without nulls, and where each text starts (one more entry than texts)."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    offsets = _offsets(texts)
     data = texts.buffers()[2]
     if data is None or offsets[0] == offsets[-1]:
         return np.zeros(0, np.uint8), offsets - offsets[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.llm.common import with_group_values
 from loomstat.session import materialise
 
 
@@ -13,17 +14,20 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Every edge (u, v) with the least v of its u; a node of very many edges is cut into slices."""
+    return with_group_values(edges, ["u"], F.col("v"), {"low": F.min("v")}, {"m": F.min("low")})
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    larger = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))  # w > u
-    return larger.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    found = _with_least(edges)
+    ways = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return found.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def _state(edges: DataFrame) -> tuple:

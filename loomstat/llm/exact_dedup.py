@@ -1,6 +1,6 @@
 """Exact duplicates with a two-pass Bloom filter, in DataFrame operations only.
 
-The first pass counts, per cell of a filter of a fixed number of bits, how many
+The first pass counts, per cell of a filter sized from the number of rows, how many
 texts fall on it; cells with two or more form the filter. In the second pass a
 text whose cells are all in the filter is possibly repeated. Only those rows
 shuffle by their hash; the rest pass straight through as groups of one.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import filter_blocks, filter_cell, free_name, in_filter, with_filter
+from loomstat.llm.common import filter_bits, filter_blocks, filter_cell, free_name, in_filter, parted, with_filter, with_group_values
 from loomstat.session import materialise
 
 
@@ -23,15 +23,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smaller than any other. Other columns are ignored; an empty table gives no rows.
 
     Only (id, digest) goes on after the texts are read, written once so that both
-    passes see the same rows. The filter that is broadcast has a fixed number of
-    bits (``common.FILTER_BITS``); beyond about a tenth as many rows, more of them
-    shuffle, and the result stays the same. A group of copies is counted before it shuffles; joining the count back
-    is a plain join, which Spark splits when a group is large.
+    passes see the same rows. The filter that is broadcast has 16 bits a row, up to
+    64 MB (``common.MOST_BITS``); with over 30 million rows more of them shuffle, and
+    the result stays the same. A group of copies is counted in slices, and its rows get the count by slice, so
+    no task sees a whole large group.
     """
     digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     rows = docs.select(F.col(id_col).alias("id"), digest.alias("digest"))
-    cells = {f"c{k}": filter_cell(F.col("digest"), k) for k in (0, 1)}
-    rows = materialise(rows.select("*", F.monotonically_increasing_id().alias("row")).withColumns(cells), "digests")
+    rows = materialise(rows.select("*", F.monotonically_increasing_id().alias("row")), "digests")
+    bits = filter_bits(rows.count())
+    rows = rows.withColumns({f"c{k}": filter_cell(F.col("digest"), k, bits) for k in (0, 1)})
 
     each = rows.select(F.explode(F.array_distinct(F.array("c0", "c1"))).alias("cell"))
     often = each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -42,8 +43,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     again = tested.where("maybe").select("id", "digest", "row")
     order = F.struct(F.col("id").isNotNull().alias("has"), "id", "row")
-    groups = again.groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("group_size"))
-    back = again.join(groups, "digest").select(
+    back = with_group_values(
+        again, ["digest"], F.col("row"), {"best": F.max(order), "n": F.count("*")}, {"best": F.max("best"), "group_size": F.sum("n")}
+    ).select(
         "id", "digest", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept")
     )
     return single.unionByName(back).select(
@@ -57,6 +59,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are told apart by id and text, so another text under the same id stays and
     a null id leaves where an id with the same text is there. Where the id that stays
     repeats with that text, any one of its rows does.
+
+    Texts of rows outside a filter over the dropped (id, digest) bypass the join; only
+    the dropped rows and a few others shuffle.
     """
     own = free_name(docs, "_copy")
     who, what = f"{own}_id", f"{own}_digest"
@@ -64,6 +69,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = exact_duplicates(docs, id_col, text_col).where("not kept")
     same = F.col(id_col).eqNullSafe(F.col("keep_id")).alias("same")
     extra = materialise(extra.select(F.col(id_col).alias(who), F.col("text_sha256").alias(what), same).distinct(), "copies")
+    maybe, others = parted(docs, F.xxhash64(F.col(id_col), digest), extra.select(F.xxhash64(who, what).alias("key")))
     match = F.col(id_col).eqNullSafe(F.col(who)) & (digest == F.col(what))
-    repeated = docs.join(extra.where("same"), match, "left_semi").withColumn(what, digest).dropDuplicates([id_col, what])
-    return docs.join(extra, match, "left_anti").unionByName(repeated.drop(what))
+    kept = others.unionByName(maybe.join(extra, match, "left_anti"))
+    if extra.where("same").isEmpty():
+        return kept
+    repeated = maybe.join(extra.where("same"), match, "left_semi").withColumn(what, digest).dropDuplicates([id_col, what])
+    return kept.unionByName(repeated.drop(what))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import filter_blocks, filter_cell, in_filter, mix, text_chunks, utf8_bytes, with_filter
+from loomstat.llm.common import free_name, mix, parted, text_chunks, utf8_bytes, with_group_values
 from loomstat.llm.components import components
 from loomstat.session import materialise
 
@@ -180,10 +180,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def _confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    asked = materialise(asked, "asked")
     # A filter of bounded size keeps most other texts out of the shuffle. The join is a merge join at
     # every size, so its cost stays in proportion.
-    cell = filter_cell(F.col("id"), 0)
-    likely = with_filter(rows, filter_blocks(asked.select(cell.alias("cell"))), cell).where(in_filter(cell)).select("id", "text")
+    likely, _ = parted(rows, F.col("id"), asked.select(F.col("id").alias("key")))
     sets = likely.join(asked.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
     sets = materialise(sets, "shingle-sets")
     with_a = pairs.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id with exactly the same set, ``component_id``
     the smallest id that links reach, ``kept`` whether the row carries that id.
 
-    Scale: copies with equal sets collapse first (``min`` per fingerprint,
-    combined before the shuffle). Inside a band bucket every document is compared
+    Scale: copies with equal sets collapse first (``min`` per fingerprint, in slices, so a
+    large group of copies is in no task as a whole). Inside a band bucket every document is compared
     with the bucket's smallest and largest one, so a bucket of copies costs no more
     than two pairs a member. Only where a bucket still holds several components are
     documents of different components compared, on sizes and sketches inside
@@ -212,9 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(rows.mapInArrow(_signatures, _SIGNATURE), "signatures")
     usable = signed.where("n > 0 and id is not null")
-    classes = usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    reps = usable.join(classes, ["f1", "f2", "n"]).where("id = rep")
-    sketches = materialise(reps.select("rep", "n", "m", "sketch", "bands"), "sketches")
+    # Every row learns its class's smallest id; a class is never whole in one task.
+    same = ["f1", "f2", "n"]
+    placed_rows = with_group_values(usable.select("id", *same), same, F.col("id"), {"low": F.min("id")}, {"rep": F.min("low")})
+    placed_rows = materialise(placed_rows, "classes")
+    reps = usable.join(placed_rows.where("id = rep").select("id", *same), ["id", *same], "left_semi")
+    sketches = materialise(reps.select(F.col("id").alias("rep"), "n", "m", "sketch", "bands"), "sketches")
 
     buckets = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
@@ -244,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(edges).withColumnRenamed("node", "rep")
 
-    members = signed.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").join(final, "rep", "left")
+    rest = signed.where("n = 0 or id is null").select("id", "n", F.lit(None).cast("long").alias("rep"))
+    members = placed_rows.select("id", "n", "rep").unionByName(rest).join(final, "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))
     component = F.coalesce("component", own)
     return members.select(
@@ -254,3 +258,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("id").isNotNull(), component).alias("component_id"),
         (F.col("id").isNull() | (F.col("id") == component)).alias("kept"),
     )
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    An id on several rows leaves only if all of them do; a null id stays. Rows whose id
+    lies outside a filter over the dropped ids bypass the join, so their texts do not shuffle.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent)
+    ids = found.groupBy(F.col(id_col).alias("key")).agg(F.bool_or("kept").alias("kept"))
+    gone = materialise(ids.where("not kept and key is not null").select("key"), "near-copies")
+    own, name = F.col(id_col).cast("long"), free_name(docs, "_gone")
+    maybe, others = parted(docs, own, gone)
+    return others.unionByName(maybe.join(gone.toDF(name), own == F.col(name), "left_anti"))
