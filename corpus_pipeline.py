@@ -32,9 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, the one with the smallest id. An id on several rows leaves only if all of them do."""
-    ids = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    gone = ids.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return near_dedup.without_near_copies(docs.select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
