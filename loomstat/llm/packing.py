@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from loomstat.llm.bpe import WordBPE, byte_letters
+from loomstat.llm.bpe import REMEMBERED, WordBPE, _Memo, byte_letters
 from loomstat.llm.common import free_name, text_chunks
 from loomstat.session import materialise
 
@@ -42,6 +42,10 @@ class LibraryCoder(WordBPE):
         self.library = Tokenizer.from_file(path).model
         self.letters = dict(enumerate(byte_letters()))
         super().__init__(path)
+        # The library holds the merges. Runs of text between blanks are what repeats: to
+        # remember the words inside them too costs memory and saves no time.
+        self.ranks = {}
+        self.known, self.runs = _Memo(self._encode_word, 512), _Memo(self._encode_run, REMEMBERED * 4 // 5)
 
     def _encode_word(self, word: str) -> bytes:
         written = word.encode("utf-8").decode("latin-1").translate(self.letters)
