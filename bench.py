@@ -40,11 +40,8 @@ HEADLINE = [
     "M07_dictionary",
     "M13_collocations",
     "M14_document_classifier",
-    "M16_user_similarity",
-    "M18_recommendations_for_asked_users",
     "M19_item_similarity",
     "M19_similar_to_asked_items",
-    "M20_hold_out_error",
     "S01_delimited_lines_to_rows",
     "S14_delimited_write_and_read",
     "W01_moving_average",
