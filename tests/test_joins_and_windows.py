@@ -180,6 +180,22 @@ def test_pair_sums_of_asked_rows(rows, sizes):
     assert got == want
 
 
+def test_pairs_are_summed_in_one_shuffle_of_lists(rows):
+    """The sums of a cell take no shuffle of their own, so no pair crosses one."""
+    df = rows.of([(r, c, 1.0) for r in range(12) for c in range(9)], "r bigint, c bigint, v double")
+    for asked in (None, rows.of([(3,), (4,)], "r bigint")):
+        pairs = pair_sums(df, "r", "c", "v", 1, 1, asked=asked)
+        assert pairs.count() == (66 if asked is None else 22)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("shufflepartitionidpassthrough")]
+        assert above.count("Exchange") == 1 and above.count("Generate inline") == 2
+
+
+def test_pair_sums_without_nulls_in_either_key(rows):
+    df = rows.of([(1, 1, 2.0), (2, 1, 3.0), (None, 1, 9.0), (3, None, 9.0), (4, None, 9.0), (5, 1, None)], "r bigint, c bigint, v double")
+    assert rows.sorted(pair_sums(df, "r", "c", "v"), "a", "b", "n", "sxy") == [(1, 2, 1.0, 6.0)]
+
+
 def test_moving_average(rows):
     data = [("url1", "2011-02-28", 100), ("url1", "2011-02-27", 50), ("url1", "2011-02-24", 25),
             ("url2", "2011-02-28", 100), ("url2", "2011-02-26", 50), ("url2", "2011-02-25", 25)]
