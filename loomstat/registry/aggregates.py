@@ -248,15 +248,14 @@ def document_frequency(spark, d):
 
 
 def _steps(spark, d):
-    """Latest values in steps of ten; from 40 on they are unknown, which agrees and differs with nothing."""
-    v = F.col("value")
-    return M.latest(metric_table(spark, d)).withColumn("value", F.when(v < 40, F.floor(v / 10).cast("double")))
+    """Latest values in steps of ten."""
+    return M.latest(metric_table(spark, d)).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
 
 
 @query(
     "A15_value_agreement",
     f"""
-    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l WHERE value < 40),
+    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l),
     p AS (SELECT metric, value, count(DISTINCT host) AS n_hosts FROM v GROUP BY ALL)
     SELECT metric, value, n_hosts, count(*) OVER (PARTITION BY metric) = 1 AS same FROM p
     """,
@@ -268,7 +267,7 @@ def value_agreement(spark, d):
 @query(
     "A15_members_of_differing_values",
     f"""
-    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l WHERE value < 40)
+    WITH {METRICS}, v AS (SELECT metric, floor(value / 10) AS value, host FROM l)
     SELECT metric, value, host FROM v WHERE metric IN (SELECT metric FROM v GROUP BY metric HAVING min(value) <> max(value))
     """,
 )
