@@ -190,10 +190,17 @@ def fresh_hosts(df: DataFrame, as_of: Column, pattern: str = "", max_age: int =
 
 
 def check_matching(
-    df: DataFrame, checks: DataFrame, pattern: str, as_of: Column, max_age: int = 60, ignore_unknown: bool = False
+    df: DataFrame, checks: DataFrame, pattern: str, as_of: Column, max_age: int = 60, ignore_unknown: bool = False, whole: bool = False
 ) -> DataFrame:
-    """All checks on fresh hosts that match a pattern."""
+    """All checks on fresh hosts that match a pattern; with ``whole`` every check of every host in its own row, without ``n_checks``."""
     hosts = fresh_hosts(df, as_of, pattern, max_age)
+    if whole:
+        values = latest(df).select("host", F.col("metric").alias("_m"), "value")
+        asked = hosts.select("host").distinct().crossJoin(checks.select("metric", "operator", "limit_value"))
+        rows = asked.join(values, asked["host"].eqNullSafe(values["host"]) & (F.col("metric") == F.col("_m")), "left")
+        state = ST.threshold_status(F.col("operator"), F.col("value"), F.col("limit_value"))
+        out = rows.select(asked["host"], "metric", "value", state.alias("status"))
+        return out.where(F.col("status") != ST.UNKNOWN) if ignore_unknown else out
     out = check_many(latest(df).join(hosts, "host", "left_semi"), checks)
     return out.where(F.col("status") != ST.UNKNOWN) if ignore_unknown else out
 

@@ -87,15 +87,12 @@ def levels(spark, d):
     "C04_checks_on_matching_hosts",
     f"""
     WITH {METRICS}, {CHECK_SQL}, f AS (SELECT host FROM s, a WHERE regexp_matches(host, '-1*[02468]$') AND {AGE.format('last_ts')} < {DAY})
-    , r AS (SELECT f.host, checks.metric, l.value, l.host IS NOT NULL AS found, {STATUS_SQL} AS status
-      FROM f CROSS JOIN checks LEFT JOIN l ON l.host = f.host AND l.metric = checks.metric)
-    SELECT host, metric, value, status, 1 AS n_checks FROM r WHERE found
-    UNION ALL SELECT host, NULL, NULL, 'UNKNOWN', count(*) FROM r WHERE NOT found GROUP BY host
+    SELECT f.host, checks.metric, l.value, {STATUS_SQL} AS status FROM f CROSS JOIN checks LEFT JOIN l ON l.host = f.host AND l.metric = checks.metric
     """,
 )
 def matching_hosts(spark, d):
     m = metric_table(spark, d)
-    return M.check_matching(m, checks(spark), "-1*[02468]$", as_of(m), max_age=DAY)
+    return M.check_matching(m, checks(spark), "-1*[02468]$", as_of(m), max_age=DAY, whole=True)
 
 
 @query(
@@ -111,12 +108,12 @@ def heartbeat(spark, d):
     "C06_stuck_senders",
     f"""
     WITH {METRICS}, x AS (SELECT host, max(ts) AS last_ts, max(ts) FILTER (metric = 'click') AS click_ts FROM m GROUP BY host)
-    SELECT host FROM x, a WHERE {AGE.format('last_ts')} < {DAY} AND {AGE.format('click_ts')} > {DAY} AND NOT regexp_matches(host, '-[0-4]$')
+    SELECT host FROM x, a WHERE {AGE.format('last_ts')} < {DAY} AND {AGE.format('click_ts')} > {DAY}
     """,
 )
 def stuck(spark, d):
     m = metric_table(spark, d)
-    return M.stuck_senders(m, "click", as_of(m), fresh=DAY, stale=DAY, ignore="-[0-4]$")
+    return M.stuck_senders(m, "click", as_of(m), fresh=DAY, stale=DAY)
 
 
 @query("C07_shared_metrics", f"WITH {METRICS} SELECT DISTINCT metric FROM m WHERE regexp_matches(host, '^compute-[01]-1')")

@@ -179,3 +179,10 @@ def test_ignored_hosts_and_unknown_values(rows):
     snap = rows.of([("m", 1.0, "a"), ("m", None, "b"), ("n", 1.0, "a"), ("n", 2.0, "b"), ("n", None, "c"), ("o", None, "a")], "metric string, value double, host string")
     assert rows.sorted(M.value_agreement(snap)) == [("m", 1.0, 1, True), ("n", 1.0, 1, False), ("n", 2.0, 1, False)]
     assert rows.sorted(M.disagreeing_members(snap)) == [("n", 1.0, "a"), ("n", 2.0, "b")]
+
+
+def test_every_check_of_matching_hosts_has_a_row(rows):
+    m = rows.of([("h-2", "cpu", dt.datetime(2024, 1, 1), 5.0, "u"), ("h-3", "cpu", dt.datetime(2024, 1, 1), 5.0, "u")], "host string, metric string, ts timestamp_ntz, value double, units string")
+    checks = rows.of([("cpu", ">", 1.0), ("mem", ">", 1.0), ("net", ">", 1.0)], "metric string, operator string, limit_value double")
+    out = M.check_matching(m, checks, "2$", F.lit("2024-01-01 00:00:01").cast("timestamp_ntz"), whole=True)
+    assert [(h, n, v) for h, n, v in rows.sorted(out, "host", "metric", "value")] == [("h-2", "cpu", 5.0), ("h-2", "mem", None), ("h-2", "net", None)]
