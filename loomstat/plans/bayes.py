@@ -91,7 +91,7 @@ def validate_weights(model: DataFrame, alpha: float) -> DataFrame:
     return sizes.withColumn("valid", valid)
 
 
-def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float = 1.0) -> DataFrame:
+def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float = 1.0, whole: bool = False) -> DataFrame:
     """Σ w·ln((W_lf + α)/(W_l + α·F)) of the labels that share a term with the document.
 
     Terms a label has never seen contribute w·ln(α/(W_l + α·F)): a constant of the
@@ -99,7 +99,7 @@ def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float =
     has that floor alone, so of these only the best is returned, as one row per document with
     ``matched`` false: the label of the greatest floor (ties to the smaller). Where that
     label shares a term itself, it has the matched row only. Weights must not be negative, so that no
-    other unmatched label can come first.
+    other unmatched label can come first. With ``whole`` every document has a row for every label.
     """
     if alpha <= 0:
         raise ValueError("alpha must be positive")
@@ -115,6 +115,10 @@ def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float =
     matched = vectors.join(known, "term").groupBy(doc, "label").agg(F.sum(F.col("weight") * gain).alias("_gain"))
     scored = matched.join(per_doc, doc).join(floors, "label")
     scored = scored.select(doc, "label", (F.col("_total") * F.col("_floor") + F.col("_gain")).alias("score"), F.lit(True).alias("matched"))
+    if whole:
+        every = per_doc.crossJoin(floors).join(matched, [doc, "label"], "left")
+        score = F.col("_total") * F.col("_floor") + F.coalesce("_gain", F.lit(0.0))
+        return every.select(doc, "label", score.alias("score"), F.col("_gain").isNotNull().alias("matched"))
     # One label for all documents: a scalar of the small table of floors.
     best = floors.agg(F.min_by(F.struct("label", "_floor"), F.struct(-F.col("_floor"), F.col("label"))).alias("b")).scalar()
     rest = per_doc.withColumn("_b", best).where("_b is not null")
@@ -156,14 +160,14 @@ def weighted_documents(docs: DataFrame, doc: str, text: str, n_max: int = 1, kno
 
 
 def classify_documents(
-    docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, n_max: int = 1, alpha: float = 1.0
+    docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, n_max: int = 1, alpha: float = 1.0, whole: bool = False
 ) -> DataFrame:
     """The whole chain: train on the labelled documents, score all of them (see ``score_weights``).
 
     The vectors feed training and scoring, so they are written once.
     """
     vectors = materialise(weighted_documents(docs, doc, text, n_max), "vectors")
-    return score_weights(weight_model(vectors, labels, doc, label), vectors, doc, alpha)
+    return score_weights(weight_model(vectors, labels, doc, label), vectors, doc, alpha, whole)
 
 
 def confusion(predicted: DataFrame, labels: DataFrame, doc: str, label: str) -> DataFrame:

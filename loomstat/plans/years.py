@@ -104,10 +104,17 @@ def with_complement(queries: DataFrame, matched: DataFrame, totals: DataFrame, *
     return one.unionByName(rest)
 
 
+def with_every_year(queries: DataFrame, matched: DataFrame, totals: DataFrame, **constant: Column) -> DataFrame:
+    """One row per query and year: ``matched`` (query_id, year, …), or the values of ``constant`` where a year shares no word."""
+    grid = queries.select("query_id").distinct().crossJoin(totals.select("year").distinct())
+    out = grid.join(matched.withColumn("_found", F.lit(True)), ["query_id", "year"], "left")
+    return out.select("query_id", "year", *[F.when(F.col("_found"), F.col(k)).otherwise(c).alias(k) for k, c in constant.items()])
+
+
 def bm25(
-    counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, log_idf: bool = False
+    counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, log_idf: bool = False, whole: bool = False
 ) -> DataFrame:
-    """BM25 of the years that have a word of the phrase; all other years score 0, in one complement row."""
+    """BM25 of the years that have a word of the phrase; all other years score 0, in one complement row, or one by one with ``whole``."""
     totals = year_totals(counts).select("year", "total_words")
     average = average_words(totals).scalar()
     terms = phrase_terms(queries)
@@ -116,7 +123,7 @@ def bm25(
     length = F.coalesce("total_words", F.lit(0))
     term = stats.bm25_term(F.coalesce("idf", F.lit(0.0)), F.col("count"), length, average, k1, b)
     scored = rows.groupBy("query_id", "year").agg(F.sum(term).alias("score"))
-    return with_complement(queries, scored, totals, score=F.lit(0.0))
+    return (with_every_year if whole else with_complement)(queries, scored, totals, score=F.lit(0.0))
 
 
 def naive_bayes(counts: DataFrame, queries: DataFrame, vocabulary: int = 0) -> DataFrame:
@@ -141,11 +148,11 @@ def phrase_vectors(queries: DataFrame) -> DataFrame:
     return cleaned.groupBy("query_id", "word").agg(F.count("*").alias("q"))
 
 
-def nearest_years(counts: DataFrame, queries: DataFrame) -> DataFrame:
+def nearest_years(counts: DataFrame, queries: DataFrame, whole: bool = False) -> DataFrame:
     """Euclidean distance of unit-length count vectors to the years that share a word.
 
     d² = 2 − 2·cos, so only shared words are joined; all other years lie at √2, in one
-    complement row. Phrases without a word are left out. Doubles throughout.
+    complement row, or one by one with ``whole``. Phrases without a word are left out. Doubles throughout.
     """
     vectors = phrase_vectors(queries)
     f = F.col("count").cast("double")
@@ -156,10 +163,10 @@ def nearest_years(counts: DataFrame, queries: DataFrame) -> DataFrame:
     cos = F.try_divide("_dot", F.col("_norm") * F.col("_len"))
     squared = F.greatest(F.lit(2.0) - F.lit(2.0) * F.coalesce(cos, F.lit(0.0)), F.lit(0.0))
     matched = joined.select("query_id", "year", F.sqrt(squared).alias("distance"))
-    return with_complement(lengths, matched, norms, distance=F.sqrt(F.lit(2.0)))
+    return (with_every_year if whole else with_complement)(lengths, matched, norms, distance=F.sqrt(F.lit(2.0)))
 
 
-def squared_distances(counts: DataFrame, queries: DataFrame) -> DataFrame:
+def squared_distances(counts: DataFrame, queries: DataFrame, whole: bool = False) -> DataFrame:
     """‖q − y‖² of raw count vectors: every year that shares a word, and the nearest of the others.
 
     ‖q‖² + ‖y‖² − 2·q·y covers terms missing on either side without pairing the two
@@ -167,6 +174,7 @@ def squared_distances(counts: DataFrame, queries: DataFrame) -> DataFrame:
     nearest such year is the first in the order of (‖y‖², year) that the query does not match; with
     m matches it is among the first m + 1, and no more are looked at. Its row has
     ``n_years``, how many years share no word; matched rows have 1 and ``shared`` true.
+    With ``whole`` every year has its own row, (query_id, year, squared, shared).
     """
     vectors = phrase_vectors(queries)
     f, q = F.col("count"), F.col("q")
@@ -174,6 +182,10 @@ def squared_distances(counts: DataFrame, queries: DataFrame) -> DataFrame:
     lengths = vectors.groupBy("query_id").agg(F.sum(q * q).alias("_qq"))
     dots = counts.join(vectors, "word").groupBy("query_id", "year").agg(F.sum(q * f).alias("_dot"))
     squared = F.col("_qq") + F.col("_yy") - 2 * F.col("_dot")
+    if whole:
+        grid = lengths.crossJoin(years).join(dots, ["query_id", "year"], "left")
+        each = F.col("_qq") + F.col("_yy") - 2 * F.coalesce("_dot", F.lit(0).cast("bigint"))
+        return grid.select("query_id", "year", each.alias("squared"), F.col("_dot").isNotNull().alias("shared"))
     columns = ["query_id", "year", "squared", "n_years", "shared"]
     matched = dots.join(years, "year").join(lengths, "query_id").withColumns(
         {"squared": squared, "n_years": F.lit(1).cast("bigint"), "shared": F.lit(True)}
@@ -196,25 +208,29 @@ def rank_years(scores: DataFrame, score: Column) -> DataFrame:
 
     A complement row counts as its ``n_years`` years: it has the first rank of
     them, and what comes after it follows with the gap. A phrase has at most one row per matched year, so its window is bounded.
+    Without ``n_years`` every row is one year.
     """
     order = Window.partitionBy("query_id").orderBy(score, F.col("year").asc_nulls_last())
+    if "n_years" not in scores.columns:
+        return scores.withColumn("rank", F.row_number().over(order))
     before = F.sum("n_years").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return scores.withColumn("rank", (F.coalesce(before, F.lit(0)) + 1).cast("int"))
 
 
-def all_scorers(counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> dict[str, DataFrame]:
+def all_scorers(counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, whole: bool = False) -> dict[str, DataFrame]:
     return {
-        "bm25": bm25(counts, queries, k1, b),
+        "bm25": bm25(counts, queries, k1, b, whole=whole),
         "naive_bayes": naive_bayes(counts, queries).withColumn("n_years", F.lit(1).cast("bigint")),
-        "nearest": nearest_years(counts, queries).withColumnRenamed("distance", "score"),
+        "nearest": nearest_years(counts, queries, whole).withColumnRenamed("distance", "score"),
     }
 
 
-def analyse(counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """All three scorers on a batch: (scorer, query_id, year, score, n_years)."""
+def analyse(counts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, whole: bool = False) -> DataFrame:
+    """All three scorers on a batch: (scorer, query_id, year, score, n_years), without ``n_years`` with ``whole``."""
+    columns = ["query_id", "year", "score"] + ([] if whole else ["n_years"])
     out = None
-    for name, df in all_scorers(counts, queries, k1, b).items():
-        rows = df.select(F.lit(name).alias("scorer"), "query_id", "year", "score", "n_years")
+    for name, df in all_scorers(counts, queries, k1, b, whole).items():
+        rows = df.select(F.lit(name).alias("scorer"), *columns)
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -227,16 +227,14 @@ def semi_anti(spark, d):
     f"""
     WITH {COUNTS}, {PHRASE_VECTORS}, grid AS (SELECT DISTINCT query_id, year FROM (SELECT DISTINCT query_id FROM pv) CROSS JOIN (SELECT DISTINCT year FROM counts)),
     q2 AS (SELECT query_id, sum(q * q) AS s FROM pv GROUP BY query_id), y2 AS (SELECT year, sum(count * count) AS s FROM counts GROUP BY year),
-    d AS (SELECT query_id, year, sum(q * count) AS s FROM pv JOIN counts USING (word) GROUP BY ALL),
-    every AS (SELECT query_id, year, CAST(q2.s + y2.s - 2 * coalesce(d.s, 0) AS BIGINT) AS squared, d.s IS NOT NULL AS shared
-      FROM grid JOIN q2 USING (query_id) JOIN y2 USING (year) LEFT JOIN d USING (query_id, year))
-    SELECT query_id, year, squared, 1 AS n_years, shared FROM every WHERE shared
-    UNION ALL SELECT query_id, arg_min(year, (squared, year)), min(squared), count(*), false FROM every WHERE NOT shared GROUP BY query_id
+    d AS (SELECT query_id, year, sum(q * count) AS s FROM pv JOIN counts USING (word) GROUP BY ALL)
+    SELECT query_id, year, CAST(q2.s + y2.s - 2 * coalesce(d.s, 0) AS BIGINT) AS squared, d.s IS NOT NULL AS shared
+      FROM grid JOIN q2 USING (query_id) JOIN y2 USING (year) LEFT JOIN d USING (query_id, year)
     """,
 )
 def missing_terms(spark, d):
     """Squared distance of raw count vectors; terms may be missing on either side."""
-    return Y.squared_distances(year_table(spark, d), phrases(spark, d))
+    return Y.squared_distances(year_table(spark, d), phrases(spark, d), whole=True)
 
 
 @query(

@@ -316,3 +316,30 @@ def test_best_label_matches_the_full_grid(rows):
     assert {r["id"]: r["predicted"] for r in B.best_label(B.score_weights(m, v, "id"), "id").collect()} == want
     with pytest.raises(Exception, match="negative"):
         B.score_weights(m, rows.of([(1, "a", -1.0)], "id int, term string, weight double"), "id").collect()
+
+
+def test_whole_grids_of_years_and_labels(rows):
+    """With ``whole`` every year and label has its own row, also where nothing is shared."""
+    counts = rows.of([("a", "y1", 2), ("b", "y2", 1), ("c", "y3", 5)], "word string, year string, count bigint")
+    queries = rows.of([(1, "a"), (2, "zzz")], "query_id bigint, text string")
+    ranked = Y.rank_years(Y.bm25(counts, queries, whole=True), F.col("score").desc())
+    assert rows.sorted(ranked, "query_id", "year", "rank") == [(1, f"y{k}", k) for k in (1, 2, 3)] + [(2, f"y{k}", k) for k in (1, 2, 3)]
+    assert Y.nearest_years(counts, queries, whole=True).count() == 6
+    assert rows.sorted(Y.squared_distances(counts, queries, whole=True)) == sorted(
+        [(1, "y1", 1, True), (1, "y2", 2, False), (1, "y3", 26, False), (2, "y1", 5, False), (2, "y2", 2, False), (2, "y3", 26, False)], key=repr
+    )
+    model = rows.of([("p", "a", 1.0), ("q", "b", 2.0), ("r", "c", 3.0)], "label string, term string, weight double")
+    vectors = rows.of([(1, "a", 1.0), (2, "b", 1.0)], "doc bigint, term string, weight double")
+    scores = B.score_weights(model, vectors, "doc", whole=True)
+    assert rows.sorted(scores, "doc", "label", "matched") == sorted([(d, x, (d, x) in ((1, "p"), (2, "q"))) for d in (1, 2) for x in "pqr"], key=repr)
+
+
+def test_seen_items_are_marked_in_their_cell(rows):
+    """Recommendations leave out what a user rated without a join against the ratings."""
+    df = rows.of([(1, 1, 5.0), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 2.0), (2, 3, 1.0)], "user bigint, item bigint, rating double")
+    near = rows.of([(1, 2, 0.5)], "of bigint, other bigint, similarity double")
+    out = REC.recommend(near, df, 3)
+    assert rows.sorted(out, "user", "item", "estimate", "rank") == [(1, 3, 1.0, 1)]
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+    pairs = rows.of([(1, 3, 0.5), (2, 3, 0.5), (1, 2, 0.5)], "a bigint, b bigint, similarity double")
+    assert rows.sorted(REC.recommend_by_items(df, pairs, 2), "user", "item", "estimate", "rank") == [(1, 3, 4.0, 1)]
