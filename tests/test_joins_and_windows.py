@@ -191,9 +191,9 @@ def test_pairs_are_summed_in_one_shuffle_of_lists(rows):
         assert above.count("Exchange") == 1 and above.count("Generate inline") == 2
 
 
-def test_pair_sums_without_nulls_in_either_key(rows):
+def test_pair_sums_of_null_rows_and_columns(rows):
     df = rows.of([(1, 1, 2.0), (2, 1, 3.0), (None, 1, 9.0), (3, None, 9.0), (4, None, 9.0), (5, 1, None)], "r bigint, c bigint, v double")
-    assert rows.sorted(pair_sums(df, "r", "c", "v"), "a", "b", "n", "sxy") == [(1, 2, 1.0, 6.0)]
+    assert rows.sorted(pair_sums(df, "r", "c", "v"), "a", "b", "n", "sxy") == [(1, 2, 1.0, 6.0), (3, 4, 1.0, 81.0)]
 
 
 def test_moving_average(rows):
