@@ -396,6 +396,39 @@ class RollupHooks:
         return iter(())
 
 
+def _packed_runs(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """Events in the order of ``seq`` as runs for one target each: (_to, seq of the first, compressed Arrow stream)."""
+    waiting, held = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            waiting.append(batch)
+            held += batch.num_rows
+        if not held or (batch is not None and held < rows):
+            continue
+        table = pa.Table.from_batches(waiting)
+        waiting, held = [], 0
+        # A scan may put several ranges one behind the other: a run ends where the numbers jump, so no two runs overlap.
+        places = table.column("seq").to_numpy()
+        for first, last in itertools.pairwise([0, *(np.flatnonzero(np.diff(places) != 1) + 1).tolist(), table.num_rows]):
+            part = table.slice(first, last - first)
+            targets = part.column("_to").to_numpy()
+            for target in np.unique(targets):
+                run = part.filter(pa.array(targets == target)).drop_columns(["_to"]).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(run)
+                start = pa.array([run.column("seq")[0].as_py()], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), start, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_to", "seq", "_run"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for run in batch.column("_run"):
+            with pa.ipc.open_stream(run.as_buffer()) as stream:
+                for piece in stream:
+                    yield from (piece.slice(at, rows) for at in range(0, piece.num_rows, rows))
+
+
 def rollup_hooks(
     df: DataFrame,
     order: str | Sequence[SortKey],
@@ -410,21 +443,24 @@ def rollup_hooks(
 
     Rows are partitioned by the fields above and at ``rollup_from`` (or by fewer, as
     ``partition_fields``), so one hierarchy stays in one task and is streamed through it in
-    order. Where the hooks only build up values, ``rollup_states`` does it on all cores.
+    order; it arrives there in compressed runs of the ranges that ``rollup_events`` wrote. Where the hooks only build up values, ``rollup_states`` does it on all cores.
     """
     keys = check_job({"input": df}, group_fields, order, rollup_from, partition_fields=partition_fields)
     names = [k.name for k in keys if k.name in group_fields]
     base = partition_fields or prefixes(names, group_fields, rollup_from)[0]
     events = rollup_events(df, keys, group_fields, rollup_from)
-    dealt = events.repartition(partitions, *base) if partitions else events.repartition(*base)
-    layout = dealt.sortWithinPartitions("seq")
+    tasks = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = F.pmod(F.hash(*base), F.lit(tasks)).alias("_to")
+    # A task sorts compressed runs of events by where they begin, not the events one by one.
+    packed = events.select(to, "seq", "event", "depth", *df.columns).mapInArrow(_packed_runs, "_to int, seq bigint, _run binary")
+    layout = packed.repartitionById(tasks, "_to").sortWithinPartitions("seq")
     out, columns, hook = to_arrow_schema(_struct(schema)), df.columns, shipped(hooks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hooks = pickle.loads(hook)
 
         def produced() -> Iterator[tuple]:
-            for record in itertools.chain.from_iterable(batch.to_pylist() for batch in batches):
+            for record in itertools.chain.from_iterable(batch.to_pylist() for batch in _unpacked(batches)):
                 row = {c: record[c] for c in columns}
                 if record["event"] == "ELEMENT":
                     yield from hooks.on_element(row)

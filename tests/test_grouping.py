@@ -440,3 +440,25 @@ def test_rollup_over_many_partitions(spark, rows):
         assert events(rows, data, "country", ["country", "age", "name"]) == expected(data, 0, 2)
     finally:
         spark.conf.set(key, old)
+
+
+def test_rollup_hooks_sort_packed_runs(spark, rows):
+    """A task of hooks sorts a few compressed runs, not every event of its hierarchy."""
+
+    class Sums(G.RollupHooks):
+        def __init__(self):
+            self.seen = []
+
+        def on_element(self, row):
+            self.seen.append(row["v"])
+            return iter(())
+
+        def on_close(self, depth, field, row):
+            if field == "g":
+                yield row["g"], self.seen == sorted(self.seen), len(self.seen)
+                self.seen = []
+
+    data = [(None if k % 3 == 2 else "ab"[k % 3], k % 50, k) for k in range(9000)]
+    got = G.rollup_hooks(rows.of(data, "g string, h int, v int").repartition(7), "g, h, v", ["g", "h"], "g", Sums(), "g string, ordered boolean, n long")
+    assert rows.sorted(got.select("g", "n")) == sorted([("a", 3000), ("b", 3000), (None, 3000)], key=repr)
+    assert "_run" in got._jdf.queryExecution().optimizedPlan().toString()
