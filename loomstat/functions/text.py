@@ -72,6 +72,13 @@ def shingles(words: Column, n_max: int, n_min: int = 1) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def longest_runs(words: Column, n_max: int, n_min: int = 1) -> Column:
+    """The longest run of up to ``n_max`` words from each position that has ``n_min``; its beginnings are the other ``shingles``."""
+    last = F.size(words) - (n_min - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(n_max))))
+
+
 def head_of(ngram: Column) -> Column:
     """Everything before the last blank."""
     return F.left(ngram, F.length(ngram) - F.length(tail_of(ngram)) - 1)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import normalised_tokens
-from loomstat.plans.vectors import analyzed_grams, document_frequencies, term_frequencies, tf_idf
-from loomstat.session import materialise
+from loomstat.plans.vectors import analyzed_grams, document_frequencies, join_terms, term_frequencies, tf_idf
+from loomstat.session import by_document, materialise
 
 
 def word_category_counts(docs: DataFrame, text: str, category: str) -> DataFrame:
@@ -43,7 +43,7 @@ def score(model: DataFrame, docs: DataFrame, doc: str, text: str, size: str = "t
     taken from the complete sums.
     """
     v = _vocabulary(model, size)
-    words = docs.select(doc, normalised_tokens(F.col(text)).alias("_ws"))
+    words = by_document(docs, doc, text).select(doc, normalised_tokens(F.col(text)).alias("_ws"))
     # The length rides along with the words, so no second pass per document is needed.
     exploded = words.select(doc, F.size("_ws").alias("_len"), F.explode("_ws").alias("word"))
     counted = exploded.groupBy(doc, "_len", "word").agg(F.count("*").alias("_m"))
@@ -112,7 +112,7 @@ def score_weights(model: DataFrame, vectors: DataFrame, doc: str, alpha: float =
     per_doc = vectors.groupBy(doc).agg(F.sum("weight").alias("_total"))
     gain = F.ln((F.col("_mw") + F.lit(alpha)) / F.lit(alpha))
     known = model.select("term", "label", F.col("weight").alias("_mw"))
-    matched = vectors.join(known, "term").groupBy(doc, "label").agg(F.sum(F.col("weight") * gain).alias("_gain"))
+    matched = join_terms(vectors, known, document_frequencies(vectors)).groupBy(doc, "label").agg(F.sum(F.col("weight") * gain).alias("_gain"))
     scored = matched.join(per_doc, doc).join(floors, "label")
     scored = scored.select(doc, "label", (F.col("_total") * F.col("_floor") + F.col("_gain")).alias("score"), F.lit(True).alias("matched"))
     if whole:
@@ -145,18 +145,23 @@ def evaluate_documents(
 ) -> DataFrame:
     """Confusion on held-out labelled documents: trained on the other labels, tested on these only."""
     vectors = materialise(weighted_documents(docs, doc, text, n_max), "vectors")
-    out = held_out(doc, percent, seed)
-    model = weight_model(vectors, labels.where(~out), doc, label)
+    labels, out = materialise(labels, "labels"), held_out(doc, percent, seed)
+    model = materialise(weight_model(vectors, labels.where(~out), doc, label), "weights")
     tests = labels.where(out)
-    scores = score_weights(model, vectors.join(tests.select(doc), doc, "left_semi"), doc, alpha)
+    asked = materialise(vectors.join(tests.select(doc), doc, "left_semi"), "test-vectors")
+    scores = score_weights(model, asked, doc, alpha)
     return confusion(best_label(scores, doc), tests, doc, label)
 
 
 def weighted_documents(docs: DataFrame, doc: str, text: str, n_max: int = 1, known: DataFrame | None = None) -> DataFrame:
-    """Text → analyzed n-grams → counts (dictionary only) → TF-IDF weights."""
-    tf = term_frequencies(analyzed_grams(docs, doc, text, n_max), doc, known)
+    """Text → analyzed n-grams → counts (dictionary only) → TF-IDF weights.
+
+    The counts are made where the documents are, without a shuffle of words, and written; so are the
+    frequencies, whose size the planner then knows when it joins the two.
+    """
+    tf = materialise(term_frequencies(analyzed_grams(by_document(docs, doc, text), doc, text, n_max), doc, known), "tf")
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    return tf_idf(tf, document_frequencies(tf), n_docs, doc)
+    return tf_idf(tf, materialise(document_frequencies(tf), "df"), n_docs, doc)
 
 
 def classify_documents(
@@ -164,10 +169,11 @@ def classify_documents(
 ) -> DataFrame:
     """The whole chain: train on the labelled documents, score all of them (see ``score_weights``).
 
-    The vectors feed training and scoring, so they are written once.
+    The vectors feed training and scoring and the model is read three times, so both are written once.
     """
     vectors = materialise(weighted_documents(docs, doc, text, n_max), "vectors")
-    return score_weights(weight_model(vectors, labels, doc, label), vectors, doc, alpha, whole)
+    model = materialise(weight_model(vectors, materialise(labels, "labels"), doc, label), "weights")
+    return score_weights(model, vectors, doc, alpha, whole)
 
 
 def confusion(predicted: DataFrame, labels: DataFrame, doc: str, label: str) -> DataFrame:

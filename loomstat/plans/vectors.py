@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions import stats
-from loomstat.functions.text import ENGLISH_STOP_WORDS, analyzed_tokens, analyzed_words, head_of, shingles, tail_of, tokens
+from loomstat.functions.text import ENGLISH_STOP_WORDS, analyzed_tokens, analyzed_words, head_of, longest_runs, shingles, tail_of, tokens
 from loomstat.operators.ranking import with_position
-from loomstat.session import materialise
+from loomstat.session import materialise, text_tasks
 
 
 def word_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -60,12 +62,44 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def join_terms(rows: DataFrame, table: DataFrame, df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``rows`` joined with ``table`` on ``term``; ``df`` says in how many rows a term is.
+
+    The terms of most rows are few: up to ``most`` of them are written as a table of their own, whose size tells
+    the planner that it need not move the rows. Only rows of rarer terms cross a shuffle.
+    """
+    least = math.ceil(rows.count() / most)
+    if least <= 1:
+        return rows.join(table, "term")
+    often = materialise(df.where(F.col("df") >= least).select("term"), "frequent-terms")
+    frequent = materialise(table.join(often, "term", "left_semi"), "frequent")
+    rare = [x.join(often, "term", "left_anti") for x in (rows, table)]
+    return rows.join(frequent, "term").unionByName(rare[0].join(rare[1], "term"))
+
+
 def tf_idf(tf: DataFrame, df: DataFrame, n_docs, doc: str) -> DataFrame:
     """Weighted vectors; ``n_docs`` is a Column (literal or scalar subquery)."""
-    joined = tf.join(df, "term")
+    joined = join_terms(tf, df, df)
     return joined.select(doc, "term", stats.tf_idf(F.col("tf"), F.col("df"), n_docs).alias("weight"))
 
 
+def gram_totals(docs: DataFrame, doc: str, text: str, n_max: int = 2, n_min: int = 2) -> DataFrame:
+    """(gram, n): the n-grams of ``n_min``..``n_max`` words and how often they occur.
+
+    Every position counts its longest run only, the shorter grams are that run's beginnings. Runs
+    are counted in tasks of bounded size first and cross one shuffle, by their first
+    ``n_min`` words, so the beginnings are added up where the runs arrive.
+    """
+    n = text_tasks(docs, text)
+    dealt = docs.select(F.pmod(F.xxhash64(doc, text), F.lit(n)).cast("int").alias("_task"), text).repartitionById(n, "_task")
+    words = dealt.select("_task", tokens(F.col(text)).alias("_w"))
+    runs = words.select("_task", F.explode(longest_runs(F.col("_w"), n_max, n_min)).alias("_run"))
+    counts = runs.groupBy("_task", "_run").agg(F.count("*").alias("_n"))
+    counts = counts.select(F.substring_index("_run", " ", n_min).alias("_lead"), "_run", "_n").repartition(n, "_lead")
+    grams = F.array_distinct(F.array(*[F.substring_index("_run", " ", k) for k in range(n_min, n_max + 1)]))
+    return counts.select("_lead", "_n", F.explode(grams).alias("gram")).groupBy("_lead", "gram").agg(F.sum("_n").alias("n")).drop("_lead")
+
+
 def gram_counts(docs: DataFrame, doc: str, text: str, n_max: int = 2) -> DataFrame:
     """Counts of n-grams of 2..n_max words: gram, head, tail, n, head_n, tail_n, total.
 
@@ -73,10 +107,8 @@ def gram_counts(docs: DataFrame, doc: str, text: str, n_max: int = 2) -> DataFra
     those that end with the same word, and the total all of them. Texts are cut into words
     once; the counts are written, since all three sums come from them.
     """
-    words = docs.select(tokens(F.col(text)).alias("_w"))
-    grams = words.select(F.explode(shingles(F.col("_w"), n_max, 2)).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    parts = materialise(counts.select("gram", "n", head_of(F.col("gram")).alias("head"), tail_of(F.col("gram")).alias("tail")), "grams")
+    counts = materialise(gram_totals(docs, doc, text, n_max), "grams")
+    parts = counts.select("gram", "n", head_of(F.col("gram")).alias("head"), tail_of(F.col("gram")).alias("tail"))
     heads = parts.groupBy("head").agg(F.sum("n").alias("head_n"))
     tails = parts.groupBy("tail").agg(F.sum("n").alias("tail_n"))
     total = parts.agg(F.sum("n").alias("t")).scalar()

@@ -343,3 +343,35 @@ def test_seen_items_are_marked_in_their_cell(rows):
     assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
     pairs = rows.of([(1, 3, 0.5), (2, 3, 0.5), (1, 2, 0.5)], "a bigint, b bigint, similarity double")
     assert rows.sorted(REC.recommend_by_items(df, pairs, 2), "user", "item", "estimate", "rank") == [(1, 3, 4.0, 1)]
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_of_a_document_are_counted_without_a_shuffle_of_words(rows):
+    from loomstat.session import by_document
+
+    docs = rows.of([(1, "b bb bb"), (2, "bb c"), (1, "bb"), (None, "c c"), (3, None)], "doc bigint, text string")
+    tf = V.term_frequencies(V.analyzed_grams(by_document(docs, "doc", "text"), "doc", "text"), "doc")
+    assert _shuffles(tf) == 1  # the texts
+    assert rows.sorted(tf, "doc", "term", "tf") == sorted([(1, "b", 1), (1, "bb", 3), (2, "bb", 1), (2, "c", 1), (None, "c", 2)], key=repr)
+
+
+def test_gram_totals_match_all_shingles(rows):
+    texts = ["x y z x y", "x y", "x", "", None, "x y z", "z z z z", "x y"]
+    docs = rows.of([(k % 5, t) for k, t in enumerate(texts)], "doc int, text string")
+    for n_max, n_min in ((2, 2), (3, 2), (3, 1), (4, 3)):
+        want = Counter(" ".join(w[i : i + k]) for w in ((t or "").split() for t in texts) for k in range(n_min, n_max + 1) for i in range(len(w) - k + 1))
+        totals = V.gram_totals(docs, "doc", "text", n_max, n_min)
+        assert dict(rows.sorted(totals, "gram", "n")) == want
+        assert _shuffles(totals) == 1
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_join_terms_of_frequent_and_rare_terms(rows, most):
+    data = [(k, t) for k in range(6) for t in "aaab"[: k + 1]] + [(7, "rare"), (8, None), (9, "unknown")]
+    table = [("a", "x"), ("a", "y"), ("b", "x"), ("rare", "z"), (None, "n"), ("other", "o")]
+    left, right = rows.of(data, "doc int, term string"), rows.of(table, "term string, label string")
+    got = V.join_terms(left, right, V.document_frequencies(left), most)
+    assert rows.sorted(got, "doc", "term", "label") == sorted([(d, t, y) for d, t in data for u, y in table if t is not None and t == u], key=repr)
