@@ -14,7 +14,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,21 +166,31 @@ class WordBPE:
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str):
+        self.special = self._tables(path)
+        self.words = _pattern(0xFFFF)
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.known = _Memo(self._encode_word)
+        self.runs = _Memo(self._encode_run, REMEMBERED // 2)
+
+    def _tables(self, path: str) -> dict[str, int]:
+        """Take the file's vocabulary and merges; the ids of its special tokens."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, self.mark = model["vocab"], model["end_of_word_suffix"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        names = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
         self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
         self.ranks = {(vocab[a], vocab[b]): (rank << 32, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.mark] for c in letters]
-        self.words, self.all_words = _pattern(0xFFFF), _pattern(sys.maxunicode)
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.known = _Memo(self._encode_word)
-        self.runs = _Memo(self._encode_run, REMEMBERED // 2)
+        return special
+
+    @cached_property
+    def all_words(self) -> re.Pattern:
+        """The split for texts beyond the basic plane, built when the first one comes."""
+        return _pattern(sys.maxunicode)
 
     def _encode_word(self, word: str) -> bytes:
         data = word.encode("utf-8")
@@ -189,8 +199,10 @@ class WordBPE:
 
     def _encode_run(self, run: str) -> bytes:
         """Ids of text as it stands between blanks; words do not reach over blanks."""
-        words = self.all_words if BEYOND.search(run) else self.words
-        return b"".join(map(self.known.__getitem__, words.findall(run)))
+        return b"".join(map(self.known.__getitem__, self._words_of(run)))
+
+    def _words_of(self, run: str) -> list[str]:
+        return (self.all_words if BEYOND.search(run) else self.words).findall(run)
 
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():

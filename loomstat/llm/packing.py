@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from loomstat.llm.bpe import REMEMBERED, WordBPE, _Memo, byte_letters
+from loomstat.llm.bpe import WordBPE, _Memo, byte_letters
 from loomstat.llm.common import free_name, text_chunks
 from loomstat.session import materialise
 
@@ -31,25 +31,44 @@ CAPACITY = 4096
 END = 1
 
 
+#: Runs of text that one generation of a worker's memory holds (about 30 MB each, two at most).
+RUNS = 150_000
+
+
 class LibraryCoder(WordBPE):
-    """Ids by the model of the tokenizers library; words seen before are not encoded again.
+    """Ids by the model of the tokenizers library; runs of text seen before are not encoded again.
 
     Words come here normalised and split, so only the library's merges are asked. Its
     normaliser must not run again: lower case can leave marks in an order that it changes.
+    An executor keeps more idle workers than it has cores, and each holds on to its coder: it is
+    kept small, and a run that was forgotten is cheap to encode again. It only encodes.
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path).model
         self.letters = dict(enumerate(byte_letters()))
         super().__init__(path)
-        # The library holds the merges. Runs of text between blanks are what repeats: to
-        # remember the words inside them too costs memory and saves no time.
-        self.ranks = {}
-        self.known, self.runs = _Memo(self._encode_word, 512), _Memo(self._encode_run, REMEMBERED * 4 // 5)
+        # Runs of text between blanks are what repeats: to remember the words inside them too costs memory and saves no time.
+        self.runs = _Memo(self._encode_run, RUNS)
+
+    def _tables(self, path: str) -> dict[str, int]:
+        """The library holds vocabulary and merges; a second copy of them is never read."""
+        tokenizer = Tokenizer.from_file(path)
+        self.library = tokenizer.model
+        return {token.content: i for i, token in tokenizer.get_added_tokens_decoder().items()}
+
+    def _written(self, word: str) -> str:
+        """The word's bytes as the library writes them; printable ASCII stands for itself."""
+        if word.isascii() and word.isprintable():
+            return word
+        return word.encode("utf-8").decode("latin-1").translate(self.letters)
 
     def _encode_word(self, word: str) -> bytes:
-        written = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("i", [token.id for token in self.library.tokenize(written)]).tobytes()
+        return array("i", [token.id for token in self.library.tokenize(self._written(word))]).tobytes()
+
+    def _encode_run(self, run: str) -> bytes:
+        words = [run] if run.isascii() and run.isalpha() else self._words_of(run)
+        tokenize, written = self.library.tokenize, self._written
+        return array("i", [token.id for word in words for token in tokenize(written(word))]).tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -221,6 +222,19 @@ def test_packing_coder_equals_library():
         assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_packing_coder_stays_small():
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q{k:x}" for k in range(450_000)]
+    tracemalloc.start()
+    coder = packing.LibraryCoder(PATH)
+    coder.runs.encode = lambda run: run.encode() + b"...."
+    for k in range(0, len(words), 1000):
+        coder.encode(" ".join(words[k : k + 1000]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(coder.runs) + len(coder.runs.old) <= 2 * packing.RUNS
+    assert held < 75e6
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(PATH)
     got = packing.pack(docs, PATH, capacity=512, with_ids=True).collect()
