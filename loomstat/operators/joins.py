@@ -249,13 +249,28 @@ def touching(events: DataFrame, start: Column | None = None, end: Column | None
     )
 
 
+#: Levels are this far apart: more levels are more keys a row, fewer are more candidates a bucket.
+STEP = 4
+#: Cells that one busy bucket is cut into at most; the rows of one side are copied into as many, so it must not grow with the data.
+CELLS = 512
+
+
+def _ends(start: Column, end: Column) -> tuple[Column, Column]:
+    return start.cast("bigint"), F.coalesce(end, start).cast("bigint")
+
+
+def _level(s: Column, e: Column) -> Column:
+    """The least multiple of STEP whose power of two the range's length fits; 63 is the highest level."""
+    bits = F.when(e == s, F.lit(0)).otherwise(F.length(F.bin(e - s)))
+    return F.least(F.ceil(bits / F.lit(STEP)) * F.lit(STEP), F.lit(63)).cast("int")
+
+
 def _levelled(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
-    """Rows with a non-empty range as (row, start, end, level): 2^level is the least power that the range's length fits."""
-    s, e = F.col(start).cast("bigint"), F.coalesce(F.col(end), F.col(start)).cast("bigint")
-    level = F.when(e == s, F.lit(0)).otherwise(F.length(F.bin(e - s)))
+    """Rows with a non-empty range as (row, start, end, level)."""
+    s, e = _ends(F.col(start), F.col(end))
     row = F.struct(*[F.col(c) for c in df.columns])
     out = df.where(s.isNotNull() & (s <= e))
-    return out.select(row.alias(f"{side}row"), s.alias(f"{side}s"), e.alias(f"{side}e"), level.cast("int").alias(f"{side}level"))
+    return out.select(row.alias(f"{side}row"), s.alias(f"{side}s"), e.alias(f"{side}e"), _level(s, e).alias(f"{side}level"))
 
 
 def _levels(df: DataFrame, side: str) -> Column:
@@ -271,6 +286,13 @@ def _keyed(df: DataFrame, side: str, others: Column) -> DataFrame:
     return at.withColumn("bucket", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
 
 
+def _cut(busy: DataFrame) -> DataFrame:
+    """``busy`` with the slices ln and rn of its buckets' sides made fewer where they would make more cells than CELLS."""
+    shrink = F.least(F.lit(1.0), F.sqrt(F.lit(float(CELLS)) / (F.col("ln").cast("double") * F.col("rn"))))
+    left = busy.withColumn("ln", F.greatest(F.lit(1), F.least(F.floor(F.col("ln") * shrink), F.lit(CELLS))).cast("int"))
+    return left.withColumn("rn", F.greatest(F.lit(1), F.least(F.col("rn"), F.floor(F.lit(CELLS) / F.col("ln")))).cast("int"))
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], also: Column | None = None, slice_rows: int = 4096
 ) -> DataFrame:
@@ -280,12 +302,13 @@ def overlap_join(
     start, matches nothing. ``also`` is a further condition on the columns of both
     sides; the sides must not share column names.
 
-    Intervals in levels: a range lies on the level whose buckets are at least as
+    Intervals in levels: a range lies on the least level whose buckets are at least as
     long as it, so it touches two buckets at most, however long it is. Ranges of two levels
     meet in the buckets of the higher one, and a pair is taken where its overlap
     begins. A year beside a second costs the year nothing and the second one more
     key. A bucket with more rows than ``slice_rows`` on a side is cut into slices by a
-    row hash, each slice of one side meeting each of the other in a key of its own.
+    row hash, each slice of one side meeting each of the other in a key of its own, CELLS at
+    most; so what is copied grows with the rows, not with their square.
     """
     shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
     if shared:
@@ -293,9 +316,12 @@ def overlap_join(
     sides = {"l": _levelled(left, *left_range, "l"), "r": _levelled(right, *right_range, "r")}
     keyed = {side: _keyed(df, side, _levels(sides["r" if side == "l" else "l"], "r" if side == "l" else "l")) for side, df in sides.items()}
     keys = ["level", "bucket"]
+    # Only the rows move, and whether this is their own level: their range is read from them again after the join.
+    keyed = {side: df.select("level", "bucket", (F.col(f"{side}level") == F.col("level")).alias(f"{side}own"), f"{side}row") for side, df in keyed.items()}
+    keys = ["level", "bucket"]
     # Busy buckets only: each side counted before its rows move, a key that one side lacks is left out.
-    counts = {side: df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(slice_rows)).cast("int").alias(f"{side}n")) for side, df in keyed.items()}
-    busy = counts["l"].join(counts["r"], keys).where((F.col("ln") > 1) | (F.col("rn") > 1))
+    counts = {side: df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(slice_rows)).alias(f"{side}n")) for side, df in keyed.items()}
+    busy = _cut(counts["l"].join(counts["r"], keys).where((F.col("ln") > 1) | (F.col("rn") > 1)))
     parts = {}
     for side, other in (("l", "r"), ("r", "l")):
         rows = keyed[side].join(busy, keys, "left")
@@ -303,7 +329,7 @@ def overlap_join(
         rows = rows.withColumn(f"{side}slice", F.pmod(F.xxhash64(f"{side}row"), mine).cast("int"))
         parts[side] = rows.withColumn(f"{other}slice", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("ln", "rn")
     joined = parts["l"].join(parts["r"], [*keys, "lslice", "rslice"])
-    begins = F.call_function("shiftright", F.greatest("ls", "rs"), F.col("level")) == F.col("bucket")
-    here = F.greatest("llevel", "rlevel") == F.col("level")
-    found = joined.where(here & begins & (F.col("ls") <= F.col("re")) & (F.col("rs") <= F.col("le"))).select("lrow.*", "rrow.*")
+    (ls, le), (rs, re) = (_ends(*[F.col(f"{side}row").getField(c) for c in ends]) for side, ends in (("l", left_range), ("r", right_range)))
+    begins = F.call_function("shiftright", F.greatest(ls, rs), F.col("level")) == F.col("bucket")
+    found = joined.where((ls <= re) & (rs <= le) & begins & (F.col("lown") | F.col("rown"))).select("lrow.*", "rrow.*")
     return found if also is None else found.where(also)

@@ -246,3 +246,15 @@ def test_top_n_beyond_the_size_that_spark_limits(spark, rows):
         mine = sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))[:1500]
         want += [(*r, k) for k, r in enumerate(mine, 1)]
     assert rows.sorted(got, "g", "v", "i", "rank") == sorted(want, key=repr)
+
+
+def test_overlap_join_deals_few_copies(rows):
+    """Ranges of many lengths have few keys a row, and a busy bucket is not cut into ever more cells."""
+    short = rows.of([(i, 1000 * i, 1000 * i + 2 ** (i % 8) - 1) for i in range(160)], "i int, s bigint, e bigint")
+    lengths = rows.of([(i, 1000 * i, 1000 * i + 2 ** (i % 7) - 1) for i in range(160)], "j int, s2 bigint, e2 bigint")
+    sides = {"l": J._levelled(short, "s", "e", "l"), "r": J._levelled(lengths, "s2", "e2", "r")}
+    assert J._keyed(sides["l"], "l", J._levels(sides["r"], "r")).count() <= 160 * 3
+    busy = rows.of([(1, 1, 8790), (2, 8790, 1), (3, 100, 100), (4, 3, 4), (5, 30_000, 20_000), (6, 1, 1)], "bucket int, ln bigint, rn bigint")
+    cut = {r["bucket"]: (r["ln"], r["rn"]) for r in J._cut(busy).collect()}
+    assert cut[1] == (1, 512) and cut[2] == (512, 1) and cut[4] == (3, 4) and cut[6] == (1, 1)
+    assert all(256 <= cut[k][0] * cut[k][1] <= 512 for k in (3, 5))
