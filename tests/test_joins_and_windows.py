@@ -196,6 +196,49 @@ def test_pair_sums_of_null_rows_and_columns(rows):
     assert rows.sorted(pair_sums(df, "r", "c", "v"), "a", "b", "n", "sxy") == [(1, 2, 1.0, 6.0), (3, 4, 1.0, 81.0)]
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 2**20])
+def test_cells_sum_some_rows_at_a_time_and_keep_the_best(chunk, monkeypatch):
+    """Rows of more products than a chunk, sparse rows, repeated entries and nulls give the sums of all products."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomstat.operators import pairs
+
+    monkeypatch.setattr(pairs, "CHUNK", chunk)
+    rng = random.Random(6)
+    pick = lambda many: None if rng.random() < 0.1 else rng.randint(0, many) * 1000
+    left = [(k % 5, pick(9), rng.choice([None, 1.0, 2.0])) for k in range(60)]
+    right = [(k % 6, pick(30), rng.choice([None, 3.0, 5.0])) for k in range(80)]
+    table = pa.table(
+        {
+            "_row": pa.array([r for r, _, _ in left + right], pa.int64()),
+            "_same": pa.array([False] * 140),
+            "_side": pa.array([0] * 60 + [1] * 80, pa.int32()),
+            "a": pa.array([a for _, a, _ in left] + [None] * 80, pa.int64()),
+            "x": pa.array([x for _, _, x in left] + [None] * 80, pa.float64()),
+            "b": pa.array([None] * 60 + [b for _, b, _ in right], pa.int64()),
+            "y": pa.array([None] * 60 + [y for _, _, y in right], pa.float64()),
+        }
+    )
+    sums = {"both": lambda x, y, has_x, has_y: np.where(has_x & has_y, x * y, 0.0), "y": lambda x, y, has_x, has_y: y}
+    want = {}
+    for k, a, x in left:
+        for m, b, y in right:
+            if k == m:
+                n, s, t = want.get((a, b), (0, 0.0, 0.0))
+                want[a, b] = (n + 1, s + (x or 0) * (y or 0), t + (y or 0))
+    taken = lambda best: [r for c in pairs._sum_cell(table, sums, False, False, best) for r in zip(*[x.to_pylist() for x in c])]
+    assert {(a, b): tuple(v) for a, b, *v in taken(None)} == want and len(taken(None)) == len(want)
+    best = pairs.Best(lambda total, a, b: (total["both"], total["y"] > 0), 3, 1)
+    low = lambda b: (b is not None, b or 0)
+    rows_of = {a: sorted((-v[1], *low(b)) for (c, b), v in want.items() if c == a and v[2] > 0)[:3] for a in {a for a, _ in want}}
+    got = {}
+    for a, b, n, score, rounded in taken(best):
+        assert score == rounded and n == want[a, b][0]
+        got.setdefault(a, []).append((-score, *low(b)))
+    assert {a: sorted(v) for a, v in got.items()} == {a: v for a, v in rows_of.items() if v}
+
+
 def test_moving_average(rows):
     data = [("url1", "2011-02-28", 100), ("url1", "2011-02-27", 50), ("url1", "2011-02-24", 25),
             ("url2", "2011-02-28", 100), ("url2", "2011-02-26", 50), ("url2", "2011-02-25", 25)]

@@ -345,6 +345,23 @@ def test_seen_items_are_marked_in_their_cell(rows):
     assert rows.sorted(REC.recommend_by_items(df, pairs, 2), "user", "item", "estimate", "rank") == [(1, 3, 4.0, 1)]
 
 
+@pytest.mark.parametrize("asked", [None, [3, 7]])
+def test_only_the_nearest_leave_a_cell(ratings, spark, asked):
+    """The cells drop what cannot be among the n nearest, and the n nearest are the same; pairs of all sums took a sort of all pairs."""
+    data, df = ratings
+    users = None if asked is None else spark.createDataFrame([(u,) for u in asked], "user bigint")
+    pairs = REC.user_similarity(df, asked=users, nearest=2)
+    sims = similarities(data)
+    best = lambda u: sorted((-round(s, 12), y if x == u else x) for (x, y), s in sims.items() if u in (x, y))[:2]
+    got = {}
+    for r in REC.near_n(pairs, 2).collect():
+        got.setdefault(r["of"], []).append((-round(r["similarity"], 12), r["other"]))
+    assert {u: sorted(v) for u, v in got.items()} == {u: best(u) for u in asked or range(12) if best(u)}
+    assert pairs.count() <= 2 * pairs.rdd.getNumPartitions() * len(asked or range(12))
+    whole = REC.near_n(REC.user_similarity(df, asked=users), 2, asked=asked is not None)
+    assert {(r["of"], r["other"]) for r in whole.collect()} == {(u, o) for u, v in got.items() for _, o in v}
+
+
 def _shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
