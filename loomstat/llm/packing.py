@@ -31,8 +31,8 @@ CAPACITY = 4096
 END = 1
 
 
-#: Runs of text that one generation of a worker's memory holds (about 30 MB each, two at most).
-RUNS = 150_000
+#: Runs of text that one generation of a worker's memory holds (about 45 MB each, two at most).
+RUNS = 220_000
 
 
 class LibraryCoder(WordBPE):
@@ -47,7 +47,7 @@ class LibraryCoder(WordBPE):
     def __init__(self, path: str):
         self.letters = dict(enumerate(byte_letters()))
         super().__init__(path)
-        # Runs of text between blanks are what repeats: to remember the words inside them too costs memory and saves no time.
+        # Runs of text between blanks and the words inside them share one memory: most of these words are runs elsewhere.
         self.runs = _Memo(self._encode_run, RUNS)
 
     def _tables(self, path: str) -> dict[str, int]:
@@ -67,8 +67,9 @@ class LibraryCoder(WordBPE):
 
     def _encode_run(self, run: str) -> bytes:
         words = [run] if run.isascii() and run.isalpha() else self._words_of(run)
-        tokenize, written = self.library.tokenize, self._written
-        return array("i", [token.id for word in words for token in tokenize(written(word))]).tobytes()
+        if words == [run]:
+            return self._encode_word(run)
+        return b"".join(map(self.runs.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -378,3 +378,21 @@ def test_pii_query_returns_scores(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
     assert all(len(r.scores) == len([s for s in r.spans.split(",") if s]) for r in got.values())
     assert got[0].scores and got[1].scores[0] > got[0].scores[0] and got[2].scores == [] == got[3].scores
+
+
+def test_words_known_as_runs_are_not_merged_again():
+    """A run of several words takes its words from the memory of runs; the library merges each word once."""
+    coder, asked = packing.LibraryCoder(PATH), []
+
+    class Counting:
+        model = coder.library
+
+        def tokenize(self, word):
+            asked.append(word)
+            return self.model.tokenize(word)
+
+    coder.library = Counting()
+    texts = ["river, bank. It's", "river bank; (river) bank! it's river,bank", "élan, élan. naïve-élan 12 2", "'s 's, 't''s \x1c river\x1cbank"]
+    library = Tokenizer.from_file(PATH)
+    assert [coder.encode(t).tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("river") == asked.count("bank") == 1 and len(asked) == len(set(asked))
