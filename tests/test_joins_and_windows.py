@@ -301,3 +301,42 @@ def test_overlap_join_deals_few_copies(rows):
     cut = {r["bucket"]: (r["ln"], r["rn"]) for r in J._cut(busy).collect()}
     assert cut[1] == (1, 512) and cut[2] == (512, 1) and cut[4] == (3, 4) and cut[6] == (1, 1)
     assert all(256 <= cut[k][0] * cut[k][1] <= 512 for k in (3, 5))
+
+
+def test_an_entry_is_dealt_once_however_many_cells(rows, monkeypatch):
+    """Blocks meet in a product that reads them in place; lists were copied into every cell of the other side."""
+    from loomstat.operators import pairs
+
+    monkeypatch.setattr(pairs, "ENTRIES", 20)
+    data = {(r * 7, c): float((r * c) % 5) for r in range(30) for c in range(8) if (r + c) % 3}
+    df = rows.of([(r, c, v) for (r, c), v in data.items()], "a bigint, k bigint, x double")
+    packed = pairs._packed(df.select("k", "a", "x"), "a", "x", 12).collect()
+    blocks = [pairs.Block.read({b["name"]: bytes(b["data"]) for b in r["_list"]}) for r in packed]
+    assert sum(len(b.rows) for b in blocks) == len(data) and len({i for b in blocks for i in b.ids.to_pylist()}) == sum(len(b.ids) for b in blocks)
+    got = pair_sums(df.withColumnsRenamed({"a": "r", "k": "c", "x": "v"}), "r", "c", "v")
+    want = {(a, b): sum((a, c) in data and (b, c) in data for c in range(8)) for a in range(0, 210, 7) for b in range(a + 7, 210, 7)}
+    assert {(p["a"], p["b"]): p["n"] for p in got.collect()} == {k: n for k, n in want.items() if n}
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("candidates", [0, 5, 2**20])
+def test_leaders_of_rows_over_many_blocks(candidates, monkeypatch):
+    """One block after the other comes by, and the best of each row are those of all blocks, with their places; ties by id, a null first."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomstat.operators import pairs
+
+    monkeypatch.setattr(pairs, "CANDIDATES", candidates)
+    rng = random.Random(9)
+    left = pairs.Block(pa.array([None, 3, 8], pa.int64()), pa.array([0]), np.zeros(2, np.int64), np.zeros(0, np.int32), pa.array([], pa.float64()))
+    leaders, every = pairs._Leaders(left, 4), []
+    for block in range(6):
+        ids = [None, *range(block, 60, 6)] if block == 2 else list(range(block, 60, 6))
+        found = [(a, b, float(rng.randint(0, 4))) for a in range(3) for b in range(len(ids)) if rng.random() < 0.8]
+        every += [(left.ids[a].as_py(), ids[b], s) for a, b, s in found]
+        at, to, score = (np.array(c) for c in zip(*found))
+        leaders.add(at, pa.array(ids, pa.int64()), to, {"n": at * 0 + 1, "score": score, "rounded": score})
+    got = [r for c in leaders.given() for r in zip(*[x.to_pylist() for x in c])]
+    want = [(a, b, 1, s, s, k) for i in (None, 3, 8) for k, (a, b, s) in enumerate(sorted((r for r in every if r[0] == i), key=lambda r: (-r[2], r[1] is not None, r[1] or 0))[:4], 1)]
+    assert got == want

@@ -392,3 +392,33 @@ def test_join_terms_of_frequent_and_rare_terms(rows, most):
     left, right = rows.of(data, "doc int, term string"), rows.of(table, "term string, label string")
     got = V.join_terms(left, right, V.document_frequencies(left), most)
     assert rows.sorted(got, "doc", "term", "label") == sorted([(d, t, y) for d, t in data for u, y in table if t is not None and t == u], key=repr)
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("CartesianProduct")]
+    return sum(above.count(x) for x in ("SortMergeJoin", "HashJoin", "Window"))
+
+
+@pytest.mark.parametrize("asked", [None, [3, 7, 11]])
+def test_pairs_leave_their_cells_finished(ratings, spark, asked, monkeypatch):
+    """However many blocks there are, of each user exactly the nearest leave the tasks, and counts of items meet no join."""
+    from loomstat.operators import pairs
+
+    monkeypatch.setattr(pairs, "ENTRIES", 10)
+    data, df = ratings
+    users = None if asked is None else spark.createDataFrame([(u,) for u in asked], "user bigint")
+    near = REC.user_similarity(df, asked=users, nearest=2)
+    sims = similarities(data)
+    best = lambda u: [o for _, o in sorted((-round(s, 12), y if x == u else x) for (x, y), s in sims.items() if u in (x, y))[:2]]
+    got = {}
+    for r in sorted(near.collect(), key=lambda r: r["place"]):
+        got.setdefault(r["a"], []).append(r["b"])
+    assert got == {u: best(u) for u in asked or range(12) if best(u)}
+    out = REC.recommend(REC.near_n(near, 2), df, 2)
+    assert _joins(near) == _joins(REC.near_n(near, 2)) == _joins(out) == 0
+    items = REC.item_similarity(df, asked=None if asked is None else spark.createDataFrame([(1,), (4,)], "item bigint"))
+    assert _joins(items) == 0
+    assert {(r["user"], r["rank"]) for r in out.collect()} <= {(u, k) for u in got for k in (1, 2)}
+    for r in items.collect():
+        assert r["n"] == sum((u, r["a"]) in data and (u, r["b"]) in data for u in range(12))
