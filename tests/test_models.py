@@ -422,3 +422,32 @@ def test_pairs_leave_their_cells_finished(ratings, spark, asked, monkeypatch):
     assert {(r["user"], r["rank"]) for r in out.collect()} <= {(u, k) for u in got for k in (1, 2)}
     for r in items.collect():
         assert r["n"] == sum((u, r["a"]) in data and (u, r["b"]) in data for u in range(12))
+
+
+def test_hold_out_sums_stay_in_their_cells(spark, monkeypatch):
+    """Each held-out rating adds up its near raters block by block; pairs of users met a join and a shuffle of test rows with all raters."""
+    from loomstat.operators import pairs
+
+    monkeypatch.setattr(pairs, "ENTRIES", 16)
+    rng = random.Random(12)
+    some = {(u, i): rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0, 5.5]) for u in [*range(14), None] for i in [*range(10), None] if rng.random() < 0.75}
+    held = {k for k in some if rng.random() < 0.25} | {(99, 1)}
+    some[99, 1] = 3.0
+    of = lambda keys: spark.createDataFrame([(u, i, some[u, i]) for u, i in keys], "user bigint, item bigint, rating double")
+    train = {k: v for k, v in some.items() if k not in held}
+    sims = {}
+    for a in range(14):
+        for b in range(14):
+            common = [i for i in [*range(10), None] if a != b and train.get((a, i)) is not None and train.get((b, i)) is not None]
+            sims[a, b] = pearson([train[a, i] for i in common], [train[b, i] for i in common])
+    errors = []
+    for u, i in held:
+        raters = [(sims[u, v], train[v, i]) for v in range(14) if u is not None and u != 99 and i is not None and (v, i) in train and (sims[u, v] or 0) >= 0.1]
+        weight, known = sum(s for s, _ in raters), [(s, x) for s, x in raters if x is not None]
+        if known and some[u, i] is not None:
+            errors.append(abs(sum(s * x for s, x in known) / weight - some[u, i]))
+    out = REC.holdout_error(of(train), of(held), 0.1)
+    got = out.head()
+    assert got["n"] == len(errors) > 5 and got["mae"] == pytest.approx(sum(errors) / len(errors))
+    above = out._jdf.queryExecution().executedPlan().toString()
+    assert above[: above.index("CartesianProduct")].count("Join") == 0
