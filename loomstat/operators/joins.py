@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.session import materialise
+from loomstat.session import materialise, spread
 
 
 def resolve(hits: DataFrame, mapping: DataFrame, key: str, map_key: str, canonical: str, order: str) -> DataFrame:
@@ -255,6 +255,10 @@ STEP = 4
 CELLS = 512
 
 
+#: Rows of a side with ranges longer than nearly all others that are given to every task of the other side, at most.
+LONG = 2**14
+
+
 def _ends(start: Column, end: Column) -> tuple[Column, Column]:
     return start.cast("bigint"), F.coalesce(end, start).cast("bigint")
 
@@ -309,15 +313,59 @@ def overlap_join(
     key. A bucket with more rows than ``slice_rows`` on a side is cut into slices by a
     row hash, each slice of one side meeting each of the other in a key of its own, CELLS at
     most; so what is copied grows with the rows, not with their square.
+    Levels below one that holds a good part of the rows are raised to it, and ranges above it, if they are few, are
+    given to every task, so that the many rows need no key for them. One job counts the levels.
     """
     shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
     if shared:
         raise ValueError(f"both sides have {sorted(shared)}")
     sides = {"l": _levelled(left, *left_range, "l"), "r": _levelled(right, *right_range, "r")}
-    keyed = {side: _keyed(df, side, _levels(sides["r" if side == "l" else "l"], "r" if side == "l" else "l")) for side, df in sides.items()}
-    keys = ["level", "bucket"]
+    base, long = _raised({side: {r[0]: r[1] for r in df.groupBy(f"{side}level").count().collect()} for side, df in sides.items()})
+    sides = {side: df.withColumn(f"{side}level", F.greatest(f"{side}level", F.lit(base))) for side, df in sides.items()}
+    rare = {side: df.where(F.col(f"{side}level") > base) if side in long else None for side, df in sides.items()}
+    short = {side: df if rare[side] is None else df.where(F.col(f"{side}level") <= base) for side, df in sides.items()}
+    joined = [_sliced(short["l"], short["r"], slice_rows)]
+    for mine, others in ((rare["l"], sides["r"]), (rare["r"], short["l"])):
+        if mine is not None:
+            joined.append(_given(mine, others, *("lr" if mine is rare["l"] else "rl")))
+    (ls, le), (rs, re) = (_ends(*[F.col(f"{side}row").getField(c) for c in ends]) for side, ends in (("l", left_range), ("r", right_range)))
+    begins = F.call_function("shiftright", F.greatest(ls, rs), F.col("level")) == F.col("bucket")
+    met = joined[0]
+    for more in joined[1:]:
+        met = met.unionByName(more)
+    found = met.where((ls <= re) & (rs <= le) & begins & (F.col("lown") | F.col("rown"))).select("lrow.*", "rrow.*")
+    return found if also is None else found.where(also)
+
+
+def _raised(counts: dict[str, dict[int, int]]) -> tuple[int, set[str]]:
+    """The level that all lower ones are raised to, and the sides with so few rows above it that they are given to every task.
+
+    A quarter of the rows up to a level lie on it already, so the candidates of its buckets are four times as many at most.
+    """
+    both = {level: sum(side.get(level, 0) for side in counts.values()) for side in counts.values() for level in side}
+    below = lambda rows, top: sum(n for level, n in rows.items() if level <= top)
+    base = max((level for level, n in both.items() if 4 * n >= below(both, level)), default=0)
+    above = {side: sum(rows.values()) - below(rows, base) for side, rows in counts.items()}
+    return base, {side for side, n in above.items() if 0 < n <= LONG and 64 * n <= sum(counts[side].values())}
+
+
+def _owned(df: DataFrame, side: str, others: Column) -> DataFrame:
     # Only the rows move, and whether this is their own level: their range is read from them again after the join.
-    keyed = {side: df.select("level", "bucket", (F.col(f"{side}level") == F.col("level")).alias(f"{side}own"), f"{side}row") for side, df in keyed.items()}
+    own = (F.col(f"{side}level") == F.col("level")).alias(f"{side}own")
+    return _keyed(df, side, others).select("level", "bucket", own, f"{side}row")
+
+
+def _given(few: DataFrame, many: DataFrame, side: str, other: str) -> DataFrame:
+    """Candidates of a few long ranges, at most LONG, with rows that stay where they are."""
+    few = materialise(few, "long-ranges")
+    keyed = _owned(spread(many), other, _levels(few, side))
+    return keyed.join(F.broadcast(_owned(few, side, _levels(many, other))), ["level", "bucket"])
+
+
+def _sliced(left: DataFrame, right: DataFrame, slice_rows: int) -> DataFrame:
+    """Candidates of both sides by bucket, busy buckets in slices."""
+    sides = {"l": left, "r": right}
+    keyed = {side: _owned(df, side, _levels(sides["r" if side == "l" else "l"], "r" if side == "l" else "l")) for side, df in sides.items()}
     keys = ["level", "bucket"]
     # Busy buckets only: each side counted before its rows move, a key that one side lacks is left out.
     counts = {side: df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(slice_rows)).alias(f"{side}n")) for side, df in keyed.items()}
@@ -328,8 +376,4 @@ def overlap_join(
         mine, theirs = (F.coalesce(f"{x}n", F.lit(1)) for x in (side, other))
         rows = rows.withColumn(f"{side}slice", F.pmod(F.xxhash64(f"{side}row"), mine).cast("int"))
         parts[side] = rows.withColumn(f"{other}slice", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("ln", "rn")
-    joined = parts["l"].join(parts["r"], [*keys, "lslice", "rslice"])
-    (ls, le), (rs, re) = (_ends(*[F.col(f"{side}row").getField(c) for c in ends]) for side, ends in (("l", left_range), ("r", right_range)))
-    begins = F.call_function("shiftright", F.greatest(ls, rs), F.col("level")) == F.col("bucket")
-    found = joined.where((ls <= re) & (rs <= le) & begins & (F.col("lown") | F.col("rown"))).select("lrow.*", "rrow.*")
-    return found if also is None else found.where(also)
+    return parts["l"].join(parts["r"], [*keys, "lslice", "rslice"]).drop("lslice", "rslice")

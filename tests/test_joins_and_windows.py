@@ -340,3 +340,18 @@ def test_leaders_of_rows_over_many_blocks(candidates, monkeypatch):
     got = [r for c in leaders.given() for r in zip(*[x.to_pylist() for x in c])]
     want = [(a, b, 1, s, s, k) for i in (None, 3, 8) for k, (a, b, s) in enumerate(sorted((r for r in every if r[0] == i), key=lambda r: (-r[2], r[1] is not None, r[1] or 0))[:4], 1)]
     assert got == want
+
+
+def test_few_long_ranges_cost_the_others_no_key(rows):
+    """Short ranges lie on one level, and a few long ones go to every task; each row had a key at every level in use."""
+    rng = random.Random(13)
+    a = [(i, s := rng.randint(0, 20_000), s + (0 if i % 4 == 0 else rng.randint(1, 100))) for i in range(300)] + [(300, 50, 30_000), (301, 9_000, 2_000_000)]
+    b = [(i, s := rng.randint(0, 20_000), s + rng.randint(0, 60)) for i in range(200)] + [(200, 10_000, 18_000), (201, 1, None), (202, None, 5), (203, 9, 8)]
+    left, right = rows.of(a, "i int, s bigint, e bigint"), rows.of(b, "j int, s2 int, e2 int")
+    counts = {side: {r[0]: r[1] for r in df.groupBy(f"{side}level").count().collect()} for side, df in (("l", J._levelled(left, "s", "e", "l")), ("r", J._levelled(right, "s2", "e2", "r")))}
+    assert J._raised(counts) == (8, {"l", "r"})
+    assert J._raised({"l": {0: 9}, "r": {28: 1}}) == (0, set()) and J._raised({"l": {}, "r": {}}) == (0, set())
+    got = J.overlap_join(left, right, ("s", "e"), ("s2", "e2"), slice_rows=50)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == overlapping(a, b)
+    some = J.overlap_join(left, right, ("s", "e"), ("s2", "e2"), also=F.col("i") > F.col("j"))
+    assert sorted((r["i"], r["j"]) for r in some.collect()) == overlapping(a, b, lambda x, y: x[0] > y[0])
